@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tilespark.functions import geometry as geo
 from tilespark.functions import keys
 from tilespark.functions.tilemath import Grid, affected_range
+from tilespark.session import cut_lineage
 
 # One row describes at most this many tiles per side before its range is spread over tasks.
 BLOCK = 256
@@ -65,16 +66,28 @@ def tile_box(grid: Grid) -> Column:
 
 
 def _classify(edges: Column, box: Column, tile: Column) -> Column:
-    return F.when(edges.isNull(), geo.bbox_relation(box, tile)).otherwise(geo.classify_in_edges(edges, tile))
+    return (
+        F.when(~geo.bbox_overlaps(box, tile), geo.NONE)
+        .when(edges.isNull(), geo.bbox_relation(box, tile))
+        .otherwise(geo.classify_in_edges(edges, tile))
+    )
+
+
+def _keep_touching(df: DataFrame, name: str, state: Column) -> DataFrame:
+    """Add the class and drop NONE rows.
+
+    A filter over the class would be pushed below its projection and the ring test evaluated twice;
+    exploding the class, emptied when NONE, evaluates it once.
+    """
+    return df.withColumn(name, F.explode(F.array_remove(F.array(state), geo.NONE)))
 
 
 def coverage_cells(coverages: DataFrame, grid: Grid, depth: int) -> DataFrame:
     """Cells of levels ``0..depth`` each coverage touches, with their class and the coverage's edges."""
     levelled = coverages.withColumn("edges", geo.polygon_edges(F.col("polygon"))).withColumn(
         "z", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    cells = affected_tiles(levelled, grid)
-    state = _classify(F.col("edges"), F.col("box"), tile_box(grid))
-    return cells.withColumn("cell_class", state).filter(F.col("cell_class") != geo.NONE)
+    cells = affected_tiles(levelled, grid).withColumn("tile", tile_box(grid))
+    return _keep_touching(cells, "cell_class", _classify(F.col("edges"), F.col("box"), F.col("tile"))).drop("tile")
 
 
 def _salted(left: DataFrame, right: DataFrame, spread_by: Sequence[str], salts: int):
@@ -97,13 +110,9 @@ def join_coverages(tiles: DataFrame, coverages: DataFrame, grid: Grid, depth: in
     )
     keyed, cells = _salted(keyed, cells, ("x", "y"), salts)
     settled = (F.col("cell_class") == geo.CONTAINS) | (F.col("z") <= depth)
-    state = F.when(settled, F.col("cell_class")).otherwise(_classify(F.col("edges"), F.col("box"), tile_box(grid)))
-    return (
-        keyed.join(cells, ["_cz", "_cx", "_cy", "_salt"])
-        .withColumn("coverage_class", state)
-        .filter(F.col("coverage_class") != geo.NONE)
-        .select(*tiles.columns, "coverage", "coverage_class")
-    )
+    state = F.when(settled, F.col("cell_class")).otherwise(_classify(F.col("edges"), F.col("box"), F.col("_tile")))
+    met = keyed.join(cells, ["_cz", "_cx", "_cy", "_salt"]).withColumn("_tile", tile_box(grid))
+    return _keep_touching(met, "coverage_class", state).select(*tiles.columns, "coverage", "coverage_class")
 
 
 def points_in_coverages(
@@ -117,41 +126,57 @@ def points_in_coverages(
     keyed, cells = _salted(keyed, cells, (x, y), salts)
     px, py, box = F.col(x), F.col(y), F.col("box")
     in_box = (px >= box.minx) & (px < box.maxx) & (py >= box.miny) & (py < box.maxy)
-    inside = F.when(F.col("edges").isNull(), in_box).otherwise(geo.point_in_edges(F.col("edges"), px, py))
-    return (
-        keyed.join(cells, ["_cx", "_cy", "_salt"])
-        .filter((F.col("cell_class") == geo.CONTAINS) | inside)
-        .select(*points.columns, "coverage")
+    inside = (
+        F.when((F.col("cell_class") == geo.CONTAINS), True)
+        .when(~in_box, False)
+        .otherwise(F.col("edges").isNull() | geo.point_in_edges(F.col("edges"), px, py))
+    )
+    return keyed.join(cells, ["_cx", "_cy", "_salt"]).filter(inside).select(*points.columns, "coverage")
+
+
+def _descendants(cells: DataFrame, grid: Grid, z: int, steps: int) -> DataFrame:
+    """Tiles of the next ``steps`` levels below cells of level ``z``, inside their matrix."""
+    level = F.explode(F.sequence(F.lit(1), F.lit(steps)))
+    side = F.pow(F.lit(2.0), F.col("_k")).cast("long")
+    opened = (
+        cells.withColumn("_k", level)
+        .withColumn("_dx", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
+        .withColumn("_dy", F.explode(F.sequence(F.lit(0).cast("long"), side - 1)))
     )
+    below = opened.select(
+        "coverage", "box", "edges", (F.lit(z) + F.col("_k")).alias("z"),
+        (F.col("x") * side + F.col("_dx")).alias("x"), (F.col("y") * side + F.col("_dy")).alias("y"))
+    return below.filter(keys.in_matrix(F.col("x"), F.col("y"), grid.grid_w(F.col("z")), grid.grid_h(F.col("z"))))
 
 
-def count_tiles(coverages: DataFrame, grid: Grid, levels: int) -> DataFrame:
-    """Distinct tiles per coverage and level, without listing them.
+def count_tiles(coverages: DataFrame, grid: Grid, levels: int, stride: int = 4) -> DataFrame:
+    """Distinct tiles per coverage and level, without listing them all.
 
-    The descent only opens tiles the coverage's edge runs through: a tile wholly inside stands for
-    4^k tiles k levels below. Each step is a narrow transformation of the frontier.
+    The descent goes ``stride`` levels at a time and only opens cells the coverage's edge runs
+    through: a cell wholly inside stands for 4^k tiles k levels below. Stages deeper than the
+    second start from a checkpointed frontier.
     """
-    by = ["coverage", "z"]
-    based = coverages.withColumn("edges", geo.polygon_edges(F.col("polygon"))).withColumn("z", F.lit(0))
-    state = _classify(F.col("edges"), F.col("box"), tile_box(grid))
-    frontier = affected_tiles(based, grid).withColumn("state", state).filter(F.col("state") != geo.NONE)
-    counted = None
-    for z in range(levels):
-        deeper = F.explode(F.sequence(F.lit(z), F.lit(levels - 1)))
-        inside = frontier.filter(F.col("state") == geo.CONTAINS).select("coverage", deeper.alias("z")).withColumn(
-            "tiles", F.pow(F.lit(4.0), F.col("z") - z).cast("long"))
-        edge = frontier.filter(F.col("state") == geo.INTERSECTS)
-        step = inside.unionByName(edge.select("coverage", F.lit(z).alias("z"), F.lit(1).cast("long").alias("tiles")))
-        counted = step if counted is None else counted.unionByName(step)
-        if z + 1 < levels:
-            last_w, last_h = (F.lit(n).cast("long") for n in grid.size(z + 1))
-            frontier = (
-                edge.withColumn("c", F.explode(keys.children(F.col("x"), F.col("y"), F.col("z"))))
-                .select("coverage", "box", "edges", F.col("c.z").alias("z"), F.col("c.x").alias("x"), F.col("c.y").alias("y"))
-                .filter(keys.in_matrix(F.col("x"), F.col("y"), last_w, last_h))
-                .withColumn("state", state).filter(F.col("state") != geo.NONE)
-            )
-    return counted.groupBy(*by).agg(F.sum("tiles").alias("tiles"))
+    top = min(stride, levels - 1)
+    cells = coverage_cells(coverages, grid, top).withColumnRenamed("cell_class", "state")
+    one = F.lit(1).cast("long")
+    parts = [cells.select("coverage", "z", one.alias("tiles"))]
+    while top < levels - 1:
+        bottom = cells.filter(F.col("z") == top)
+        deeper = F.explode(F.sequence(F.lit(top + 1), F.lit(levels - 1)))
+        parts.append(bottom.filter(F.col("state") == geo.CONTAINS).select("coverage", deeper.alias("z")).select(
+            "coverage", "z", F.pow(F.lit(4.0), F.col("z") - top).cast("long").alias("tiles")))
+        steps = min(stride, levels - 1 - top)
+        below = _descendants(bottom.filter(F.col("state") == geo.INTERSECTS), grid, top, steps).withColumn(
+            "tile", tile_box(grid))
+        cells = _keep_touching(below, "state", _classify(F.col("edges"), F.col("box"), F.col("tile"))).drop("tile")
+        top += steps
+        if top < levels - 1:
+            cells = cut_lineage(cells)
+        parts.append(cells.select("coverage", "z", one.alias("tiles")))
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part)
+    return counted.groupBy("coverage", "z").agg(F.sum("tiles").alias("tiles"))
 
 
 def count_box_tiles(boxes: DataFrame, grid: Grid) -> DataFrame:

@@ -62,8 +62,9 @@ UNION ALL SELECT event_id AS query_id, 'CONTAINS' AS class FROM events WHERE eve
 def coverage_classify(t: Inputs):
     polygons = cut_coverages(t).select(F.col("coverage").alias("n_nationkey"), "polygon")
     q = box_of(t.map_queries).withColumn("n_nationkey", (F.col("query_id") % 25).cast("int"))
+    polygons = polygons.withColumn("edges", geo.polygon_edges(F.col("polygon")))
     classified = q.join(polygons, "n_nationkey").select(
-        "query_id", geo.classify_in_polygon(F.col("polygon"), F.col("box")).alias("class"))
+        "query_id", geo.classify_in_edges(F.col("edges"), F.col("box")).alias("class"))
     # requests without a coverage count as contained
     uncovered = t.events.filter("event_type = 'error'").select(
         F.col("event_id").alias("query_id"),
@@ -225,11 +226,9 @@ def tile_limit_guard(t: Inputs):
 
 
 @plan("tile_aligned", "F8", """
-WITH r AS (SELECT event_id, value, x, y, 360e0/16e0/256e0 AS res, x*22.5e0-180e0 AS a, cast(y//2 AS bigint)*22.5e0-90e0 AS c FROM tile_requests)
-SELECT event_id, abs(a - (a+value*res/100e0)) <= abs(22.5e0/256e0/10e0) AS aligned
-FROM (SELECT r.event_id, e.value, res, a, c FROM (SELECT event_id, x, y, 360e0/16e0/256e0 AS res, x*22.5e0-180e0 AS a, cast(y//2 AS bigint)*22.5e0-90e0 AS c FROM tile_requests) r
-      JOIN events e ON r.event_id = e.event_id)""".replace("""WITH r AS (SELECT event_id, value, x, y, 360e0/16e0/256e0 AS res, x*22.5e0-180e0 AS a, cast(y//2 AS bigint)*22.5e0-90e0 AS c FROM tile_requests)
-""", ""))
+WITH r AS (SELECT q.event_id, value, 360e0/16e0/256e0 AS res, x*22.5e0-180e0 AS a
+           FROM tile_requests q JOIN events e ON q.event_id = e.event_id)
+SELECT event_id, abs(a - (a+value*res/100e0)) <= abs(22.5e0/256e0/10e0) AS aligned FROM r""")
 def tile_aligned(t: Inputs):
     # the asked box is the tile's own, shifted by a fraction of a pixel
     r = t.tile_requests.join(t.events.select("event_id", "value"), "event_id").withColumn(
@@ -245,15 +244,15 @@ def tile_aligned(t: Inputs):
 @plan("buffered_bbox", "P12", """
 WITH q AS (SELECT *, 360e0/256e0/pow(2e0, query_id%10) AS res, query_id%7*30-30 AS px FROM map_queries)
 SELECT query_id,
-  round(CASE WHEN px > 0 THEN greatest(minx-px*res, -180e0) ELSE minx END, 6) AS minx,
-  round(CASE WHEN px > 0 THEN greatest(miny-px*res, -90e0) ELSE miny END, 6) AS miny,
-  round(CASE WHEN px > 0 THEN least(maxx+px*res, 180e0) ELSE maxx END, 6) AS maxx,
-  round(CASE WHEN px > 0 THEN least(maxy+px*res, 90e0) ELSE maxy END, 6) AS maxy FROM q""")
+  round(CASE WHEN px > 0 THEN greatest(minx-px*res, -180e0) ELSE minx END, 5) AS minx,
+  round(CASE WHEN px > 0 THEN greatest(miny-px*res, -90e0) ELSE miny END, 5) AS miny,
+  round(CASE WHEN px > 0 THEN least(maxx+px*res, 180e0) ELSE maxx END, 5) AS maxx,
+  round(CASE WHEN px > 0 THEN least(maxy+px*res, 90e0) ELSE maxy END, 5) AS maxy FROM q""")
 def buffered_bbox_plan(t: Inputs):
     grown = buffered_bbox(GEODETIC, *[F.col(c) for c in SIDES], (F.col("query_id") % 10).cast("int"),
                           F.col("query_id") % 7 * 30 - 30)
     return t.map_queries.withColumn("grown", grown).select(
-        "query_id", *[F.round(F.col(f"grown.{c}"), 6).alias(c) for c in SIDES])
+        "query_id", *[F.round(F.col(f"grown.{c}"), 5).alias(c) for c in SIDES])
 
 
 @plan("pixel_to_coord", "P13", """
