@@ -59,18 +59,21 @@ class Grid:
         )
 
     def resolution(self, z: Column) -> Column:
-        """Resolution of a level column, by plain arithmetic-free lookup."""
+        """Resolution of a level column: halving grids by arithmetic, others by lookup."""
+        first = self.resolutions[0]
+        if all(r == first / 2**i for i, r in enumerate(self.resolutions)):
+            return F.lit(first) / F.call_function("shiftleft", F.lit(1).cast("long"), z.cast("int"))
         return F.element_at(F.array(*[F.lit(r) for r in self.resolutions]), z.cast("int") + 1)
 
+    def _tiles_along(self, extent: float, z: Column) -> Column:
+        pixels = F.floor(F.lit(extent) / self.resolution(z))
+        return F.greatest(F.ceil(pixels / self.tile_size), F.lit(1)).cast("long")
+
     def grid_w(self, z: Column) -> Column:
-        return F.element_at(
-            F.array(*[F.lit(self.size(i)[0]).cast("long") for i in range(self.levels)]), z.cast("int") + 1
-        )
+        return self._tiles_along(self.width, z)
 
     def grid_h(self, z: Column) -> Column:
-        return F.element_at(
-            F.array(*[F.lit(self.size(i)[1]).cast("long") for i in range(self.levels)]), z.cast("int") + 1
-        )
+        return self._tiles_along(self.height, z)
 
     def tile_x(self, x: Column, z: Column) -> Column:
         span = self.resolution(z) * self.tile_size

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as geo
 from tilespark.functions import keys
+from tilespark.functions.once import once, once_unless
 from tilespark.functions.tilemath import Grid, affected_range
 from tilespark.session import cut_lineage
 
@@ -29,7 +30,7 @@ def box_columns(box: Column) -> tuple[Column, Column, Column, Column]:
 def tile_ranges(boxes: DataFrame, grid: Grid, box: str = "box", z: str = "z") -> DataFrame:
     """Add ``r struct<x0,y0,x1,y1>``, the tiles of level ``z`` each box touches, and their number."""
     r = affected_range(grid, *box_columns(F.col(box)), F.col(z))
-    return boxes.withColumn("r", r).withColumn(
+    return once(boxes, "r", r).withColumn(
         "n_tiles", (F.col("r.x1") - F.col("r.x0") + 1) * (F.col("r.y1") - F.col("r.y0") + 1))
 
 
@@ -74,12 +75,7 @@ def _classify(edges: Column, box: Column, tile: Column) -> Column:
 
 
 def _keep_touching(df: DataFrame, name: str, state: Column) -> DataFrame:
-    """Add the class and drop NONE rows.
-
-    A filter over the class would be pushed below its projection and the ring test evaluated twice;
-    exploding the class, emptied when NONE, evaluates it once.
-    """
-    return df.withColumn(name, F.explode(F.array_remove(F.array(state), geo.NONE)))
+    return once_unless(df, name, state, geo.NONE)
 
 
 def coverage_cells(coverages: DataFrame, grid: Grid, depth: int) -> DataFrame:
@@ -216,9 +212,8 @@ def clip_queries(queries: DataFrame, extent: str = "extent") -> DataFrame:
     """Cut map queries to an extent: whole, partial (with the sub-image to ask for) or empty."""
     query, limit = F.col("box"), F.col(extent)
     relation = geo.bbox_relation(limit, query)
-    clipped = queries.withColumn("_relation", relation).withColumn(
-        "sub", F.when(F.col("_relation") == geo.INTERSECTS,
-                      geo.sub_image(query, F.col("width"), F.col("height"), limit)))
+    clipped = once(queries.withColumn("_relation", relation), "sub", F.when(
+        F.col("_relation") == geo.INTERSECTS, geo.sub_image(query, F.col("width"), F.col("height"), limit)))
     outcome = (
         F.when(F.col("_relation") == geo.CONTAINS, "whole")
         .when((F.col("_relation") == geo.NONE) | (F.col("sub.width") == 0) | (F.col("sub.height") == 0), "empty")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tilespark.plans.registry import PLANS, Plan
 
-_AREAS = ("keys", "coverage")
+_AREAS = ("keys", "coverage", "cache")
 
 
 def load() -> dict[str, Plan]:

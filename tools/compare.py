@@ -85,7 +85,7 @@ def session(cpus: str = "8"):
 
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("compare")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
