@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tilespark.plans.registry import PLANS, Plan
 
-_AREAS = ("keys", "coverage", "cache")
+_AREAS = ("keys", "coverage", "cache", "routing", "requests")
 
 
 def load() -> dict[str, Plan]:

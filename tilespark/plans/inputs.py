@@ -66,8 +66,35 @@ SHARED = {
                (o_orderkey*61.8034e0)%140e0-80e0 + 1e0 + o_custkey%13 AS maxy,
                cast(256*(1+o_custkey%4) as bigint) AS width, cast(256*(1+o_custkey%3) as bigint) AS height,
                CASE WHEN o_custkey%3=0 THEN 'EPSG:4326' WHEN o_custkey%3=1 THEN 'EPSG:3857'
-                    ELSE 'EPSG:25832' END AS srs
+                    ELSE 'EPSG:25832' END AS srs,
+               o_orderkey%(SELECT count(*) FROM part) AS layer_key
         FROM orders""",
+    "layer_requests": """
+        SELECT event_id, ts, user_id, event_type, event_id%(SELECT count(*) FROM part) AS layer_key FROM events""",
+    "service_urls": """
+        SELECT event_id, ts, user_id, layer, z, x, y, CASE event_id%8
+            WHEN 0 THEN concat('/tiles/layer_', l, '/', zxy, '.png')
+            WHEN 1 THEN concat('/tiles/1.0.0/layer_', l, '/hd/', zxy, '.png')
+            WHEN 2 THEN concat('/tms/1.0.0/layer_', l, '/EPSG900913/', zxy, '.jpeg')
+            WHEN 3 THEN concat('/mapbox/layer_', l, '/', zxy, '@2x.mvt')
+            WHEN 4 THEN concat('/cesium/layer_', l, '/', zxy, '.terrain')
+            WHEN 5 THEN concat('/wmts/layer_', l, '/GLOBAL_WEBMERCATOR/', zxy, '.png')
+            WHEN 6 THEN concat('/tiles/layer_', l, '/-', zxy, '.png')
+            ELSE concat('/about/layer_', l) END AS path
+        FROM (SELECT *, cast(layer AS varchar(20)) AS l,
+                concat(cast(z AS varchar(20)), '/', cast(x AS varchar(20)), '/', cast(y AS varchar(20))) AS zxy
+              FROM tile_requests) q""",
+    "service_queries": """
+        SELECT o_orderkey, o_custkey, a, b, concat('service=WMS&Layers=roads&layers=rivers%20x&bad%21key=1&WIDTH=', w,
+            CASE o_custkey%5 WHEN 0 THEN '' WHEN 1 THEN '&height=tall' ELSE concat('&height=', h) END,
+            CASE o_custkey%4 WHEN 0 THEN concat('&bbox=', a, ',', b, ',', c, ',', d)
+              WHEN 1 THEN concat('&bbox=', a, '&BBOX=', b, '&bbox=', c, '&bbox=', d)
+              WHEN 2 THEN concat('&bbox=', a, ',', b, ',east,', d) ELSE '' END,
+            '&tilecol=', a, CASE o_custkey%3 WHEN 0 THEN '' WHEN 1 THEN '&tilerow=north' ELSE concat('&TileRow=', b) END,
+            '&tilematrix=', c) AS query
+        FROM (SELECT o_orderkey, o_custkey, cast(o_orderkey%170 AS varchar(20)) AS a, cast(o_custkey%80 AS varchar(20)) AS b,
+                cast(o_orderkey%170+5 AS varchar(20)) AS c, cast(o_custkey%80+7 AS varchar(20)) AS d,
+                cast(256*(1+o_custkey%4) AS varchar(20)) AS w, cast(128*(1+o_custkey%3) AS varchar(20)) AS h FROM orders) q""",
     "upstream_layers": """
         SELECT p_partkey AS layer_id, p_brand AS name, p_type AS url, p_size,
                CASE WHEN p_size%2=0 THEN 'EPSG:4326' ELSE 'EPSG:3857' END AS srs,
@@ -157,5 +184,5 @@ class Inputs:
             raise AttributeError(name)
         sources = {n: getattr(self, n) for n in (*BASE, *SHARED, *PAIRED)
                    if n != name and _mentions(text, n)}
-        bound = re.sub(r"\b(" + "|".join(sources) + r")\b(?=\s|$)", r"{\1}", text)
+        bound = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(sources) + r")\b", r"\1 {\2}", text)
         return self.spark.sql(bound, **sources)
