@@ -164,6 +164,8 @@ def with_clause(sql: str) -> str:
     parts = [f"{n} AS ({SHARED.get(n) or PAIRED[n][1]})" for n in _needed(body)]
     if not parts:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -64,7 +64,7 @@ f AS (SELECT query_id, layer_id, NOT transparent AND NOT (opacity > 0 AND opacit
 
 @plan("opaque_layers", "F11", f"WITH {OPAQUE} SELECT query_id, layer_id, opaque FROM f")
 def opaque_layers(t: Inputs):
-    q = queries_with_extent(t).withColumn("layer_id", F.col("query_id") % 500)
+    q = queries_with_extent(t).withColumn("layer_id", F.col("layer_key"))
     covers = geo.bbox_contains(F.col("extent"), F.col("box"))
     return q.join(t.upstream_layers, "layer_id").select("query_id", "layer_id", routing.is_opaque(
         F.lit(True), F.col("transparent"), F.col("opacity"), covers).alias("opaque"))
@@ -74,7 +74,7 @@ def opaque_layers(t: Inputs):
 SELECT query_id, CASE WHEN {RES}*1000e0 > min_res/10e0 THEN 'low' ELSE 'high' END AS layer
 FROM map_queries JOIN upstream_layers ON layer_id = layer_key""")
 def route_by_resolution(t: Inputs):
-    q = query_res(t).withColumn("layer_id", F.col("query_id") % 500)
+    q = query_res(t).withColumn("layer_id", F.col("layer_key"))
     return q.join(t.upstream_layers.select("layer_id", "min_res"), "layer_id").select("query_id", routing.route_by_resolution(
         F.col("res") * 1000.0, F.col("min_res") / 10.0, F.lit("low"), F.lit("high")).alias("layer"))
 
