@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tilespark.plans.registry import PLANS, Plan
 
-_AREAS = ("keys", "coverage", "cache", "routing", "requests", "raster", "stack")
+_AREAS = ("keys", "coverage", "cache", "routing", "requests", "raster", "stack", "vector")
 
 
 def load() -> dict[str, Plan]:
