@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +20,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def once_unless(df: DataFrame, name: str, value: Column, dropped) -> DataFrame:
     """Like :func:`once`, dropping the rows whose value equals ``dropped``."""
     return df.withColumn(name, F.explode(F.array_remove(F.array(value), dropped)))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated a single time, inside one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

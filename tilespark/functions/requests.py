@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilespark.functions.once import bind
+
 _INT = r"(-?\d+)"
 # URL shapes by service family.
 PREFIXED = r"^/(\w+)/(?:(1\.0\.0)/)?([^/]+)/(?:([^/]+)/)?" + f"{_INT}/{_INT}/{_INT}" + r"\.(\w+)"
@@ -51,19 +53,23 @@ def parse_tile_url(path: Column, family: Column) -> Column:
     for fam, shape in shapes.items():
         matched = matched.when(family == fam, path.rlike(shape["pattern"]))
     matched = matched.otherwise(F.lit(False))
-    z, x, y = pick("z", "int"), pick("x", "long"), pick("y", "long")
     checked = family.isin("xyz", "tms")
-    reason = (
-        F.when(~matched, "no match")
-        .when(z.isNull() | x.isNull() | y.isNull(), "bad number")
-        .when(checked & ((x < 0) | (y < 0) | (z < 0)), "negative coordinate")
-        .when(checked & (z > 30), "zoom too deep")
-    )
-    return F.struct(
-        pick("version").alias("version"), pick("layer").alias("layer"), pick("spec").alias("layer_spec"),
-        z.alias("z"), x.alias("x"), y.alias("y"),
-        pick("retina", "int").alias("retina"), pick("fmt").alias("format"), reason.alias("reason"),
-    )
+    fields = F.struct(
+        matched.alias("matched"), pick("version").alias("version"), pick("layer").alias("layer"), pick("spec").alias("layer_spec"),
+        pick("z", "int").alias("z"), pick("x", "long").alias("x"), pick("y", "long").alias("y"),
+        pick("retina", "int").alias("retina"), pick("fmt").alias("format"))
+
+    def judged(f: Column) -> Column:
+        reason = (
+            F.when(~f.matched, "no match")
+            .when(f.z.isNull() | f.x.isNull() | f.y.isNull(), "bad number")
+            .when(checked & ((f.x < 0) | (f.y < 0) | (f.z < 0)), "negative coordinate")
+            .when(checked & (f.z > 30), "zoom too deep")
+        )
+        names = ("version", "layer", "layer_spec", "z", "x", "y", "retina", "format")
+        return F.struct(*[f[n].alias(n) for n in names], reason.alias("reason"))
+
+    return bind(fields, judged)
 
 
 def query_pairs(query: Column) -> Column:
@@ -82,20 +88,19 @@ def query_pairs(query: Column) -> Column:
 
 def query_params(query: Column) -> Column:
     """``map<string,array<string>>`` of a raw query string."""
-    pairs = query_pairs(query)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
-    return F.map_from_arrays(keys, F.transform(
-        keys, lambda k: F.transform(F.filter(pairs, lambda p: p.k == k), lambda p: p.v)
-    ))
+    def by_key(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(
+            k, F.transform(F.filter(pairs, lambda p: p.k == k), lambda p: p.v))))
+
+    return bind(query_pairs(query), by_key)
 
 
 def canonical_query(params: Column) -> Column:
     """Normalised query string: valid names in order, values joined and cut at 1000 characters."""
     valid = F.map_filter(params, lambda k, v: k.rlike(r"^[\p{L}\p{Nd}_-]{1,100}$") & (F.size(v) > 0))
-    entries = F.transform(
-        F.array_sort(F.map_keys(valid)),
-        lambda k: F.concat_ws("=", F.url_encode(k), F.url_encode(F.substring(F.array_join(valid[k], ","), 1, 1000))),
-    )
+    entries = F.transform(F.sort_array(F.map_entries(valid)), lambda e: F.concat_ws(
+        "=", F.url_encode(e.key), F.url_encode(F.substring(F.array_join(e.value, ","), 1, 1000))))
     return F.array_join(entries, "&")
 
 
@@ -103,42 +108,38 @@ def param(params: Column, name: str) -> Column:
     return F.element_at(params[name.upper()], 1)
 
 
-def _numbers(params: Column, name: str, count: int, kind: str) -> Column:
-    """Numbers given as ``count`` values or one comma list; null unless all of them parse."""
+def _numbers(params: Column, name: str, kind: str) -> Column:
+    """Numbers given as separate values or one comma list; unreadable ones are null."""
     values = params[name.upper()]
     items = F.when(F.size(values) == 1, F.split(values[0], ",")).otherwise(values)
-    parsed = F.transform(items, lambda v: v.try_cast(kind))
-    fine = (F.size(items) == count) & ~F.exists(parsed, lambda v: v.isNull())
-    return F.when(fine, parsed)
+    return F.transform(items, lambda v: v.try_cast(kind))
+
+
+def _complete(numbers: Column, count: int) -> Column:
+    return F.coalesce((F.size(numbers) == count) & ~F.exists(numbers, lambda v: v.isNull()), F.lit(False))
 
 
 def param_bbox(params: Column) -> Column:
     """Box of a request; anything unreadable is the all-zero box."""
-    numbers = _numbers(params, "bbox", 4, "double")
-    return F.struct(*[
-        F.coalesce(numbers[i], F.lit(0.0)).alias(name)
-        for i, name in enumerate(("minx", "miny", "maxx", "maxy"))
-    ])
+    names = ("minx", "miny", "maxx", "maxy")
+    return bind(_numbers(params, "bbox", "double"), lambda n: F.when(
+        _complete(n, 4), F.struct(*[n[i].alias(name) for i, name in enumerate(names)])
+    ).otherwise(F.struct(*[F.lit(0.0).alias(name) for name in names])))
 
 
 def param_size(params: Column) -> Column:
     """WIDTH and HEIGHT, or one SIZE; zero unless both parse."""
-    single = _numbers(params, "size", 2, "long")
-    w, h = param(params, "width").try_cast("long"), param(params, "height").try_cast("long")
-    both = w.isNotNull() & h.isNotNull()
-    zero = F.lit(0).cast("long")
-    return F.struct(
-        F.when(both, w).otherwise(F.coalesce(single[0], zero)).alias("width"),
-        F.when(both, h).otherwise(F.coalesce(single[1], zero)).alias("height"),
-    )
+    sides = F.array(*[param(params, n).try_cast("long") for n in ("width", "height")])
+    given = F.when(_complete(sides, 2), sides).otherwise(_numbers(params, "size", "long"))
+    return bind(given, lambda n: F.struct(*[
+        F.when(_complete(n, 2), n[i]).otherwise(F.lit(0).cast("long")).alias(name) for i, name in enumerate(("width", "height"))]))
 
 
 def param_tile(params: Column) -> Column:
     """TILECOL, TILEROW and TILEMATRIX; one unreadable value voids all three."""
-    raw = [F.coalesce(param(params, n), F.lit("-1")).try_cast("long") for n in ("tilecol", "tilerow", "tilematrix")]
-    bad = raw[0].isNull() | raw[1].isNull() | raw[2].isNull()
-    minus = F.lit(-1).cast("long")
-    return F.struct(*[F.when(bad, minus).otherwise(v).alias(n) for n, v in zip(("x", "y", "z"), raw)])
+    raw = F.array(*[F.coalesce(param(params, n), F.lit("-1")).try_cast("long") for n in ("tilecol", "tilerow", "tilematrix")])
+    return bind(raw, lambda n: F.struct(*[
+        F.when(_complete(n, 3), n[i]).otherwise(F.lit(-1).cast("long")).alias(name) for i, name in enumerate("xyz")]))
 
 
 def valid_layer_name(name: Column) -> Column:

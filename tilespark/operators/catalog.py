@@ -46,7 +46,7 @@ def available_json(ranges: DataFrame, by: str = "tileset") -> DataFrame:
     """``available`` of a layer description: per level its rectangles, as JSON."""
     rect = F.struct(F.col("start_x").alias("startX"), F.col("start_y").alias("startY"),
                     F.col("end_x").alias("endX"), F.col("end_y").alias("endY"))
-    levels = ranges.groupBy(by, "z").agg(F.array_sort(F.collect_list(rect)).alias("rects"))
+    levels = ranges.groupBy(by, "z").agg(F.sort_array(F.collect_list(rect)).alias("rects"))
     return levels.select(by, "z", F.to_json("rects").alias("available"))
 
 

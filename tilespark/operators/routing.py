@@ -129,4 +129,4 @@ def combine_requests(stack: DataFrame, by: Sequence[str], order: Sequence[str],
     ranked = numbered.withColumn("_at", F.row_number().over(w))
     return ranked.groupBy(*by, "request_no").agg(
         *[F.first(c).alias(c) for c in same], F.count(F.lit(1)).alias("n_layers"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_at", "layer"))), lambda s: s["layer"]).alias("layers"))
+        F.transform(F.sort_array(F.collect_list(F.struct("_at", "layer"))), lambda s: s["layer"]).alias("layers"))

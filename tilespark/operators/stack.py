@@ -27,7 +27,7 @@ def fold_stack(
     A pixel has one entry per layer of its map, a bounded handful.
     """
     entry = F.struct(*[F.col(c) for c in order], F.col(value).cast("double").alias("_v"), F.col(alpha).alias("_a"))
-    stacked = layers.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_stack"))
+    stacked = layers.groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("_stack"))
     folded = F.aggregate("_stack", F.lit(start), lambda acc, e: merge(acc, e["_v"], e["_a"]))
     return stacked.select(*by, folded.alias("value"), F.size("_stack").alias("n_layers"))
 

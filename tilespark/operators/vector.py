@@ -107,7 +107,7 @@ def layer_stats(features: DataFrame, by: Sequence[str] = ("layer",)) -> DataFram
 def vector_layers(features: DataFrame) -> DataFrame:
     """Catalogue entry per layer: its fields with their types, and its zoom range."""
     fields = attribute_stats(features).groupBy("layer").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute", "type")))).alias("fields"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("attribute", "type")))).alias("fields"))
     zooms = features.groupBy("layer").agg(F.min("z").alias("minzoom"), F.max("z").alias("maxzoom"))
     return zooms.join(fields, "layer")
 
@@ -121,7 +121,7 @@ def tilejson(catalog: DataFrame, tileset: str, url: str) -> DataFrame:
     """One tile description from a layer catalogue (a few dozen layers)."""
     entry = F.struct(F.col("layer").alias("id"), "fields", "minzoom", "maxzoom")
     whole = catalog.agg(
-        F.array_sort(F.collect_list(F.to_json(entry))).alias("_layers"),
+        F.sort_array(F.collect_list(F.to_json(entry))).alias("_layers"),
         F.min("minzoom").alias("minzoom"), F.max("maxzoom").alias("maxzoom"))
     text = F.concat(
         F.lit('{"tilejson":"3.0.0","version":"1.0.0","scheme":"xyz","id":"' + tileset + '","type":"'),
@@ -174,7 +174,7 @@ def feature_info(
 def combine_text(docs: DataFrame, by: Sequence[str], order: str, text: str) -> DataFrame:
     """Documents of a request joined by line breaks; a request asks a bounded number of layers."""
     return docs.groupBy(*by).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(order, text))), lambda d: d[text]), "\n").alias("text"))
+        F.sort_array(F.collect_list(F.struct(order, text))), lambda d: d[text]), "\n").alias("text"))
 
 
 def _nesting(text: Column) -> Column:
@@ -196,18 +196,18 @@ def _fold_paths(entries: DataFrame, by: Sequence[str]) -> DataFrame:
     def kind(v: Column) -> Column:
         return F.when(v.startswith("{"), "map").when(v.startswith("["), "list").otherwise("scalar")
 
-    grouped = entries.groupBy(*by, "path").agg(F.array_sort(F.collect_list(F.struct("_ord", "_v"))).alias("_all"))
-    solid = F.filter("_all", lambda e: kind(e["_v"]) != "scalar")
-    opened = grouped.withColumn("_first", F.get(solid, F.lit(0)))
-    kinds = opened.withColumn("kind", F.when(F.col("_first").isNull(), "scalar").otherwise(kind(F.col("_first._v"))))
-    kept = kinds.withColumn("live", F.filter("_all", lambda e: (e["_ord"] >= F.col("_first._ord")) & (kind(e["_v"]) == F.col("kind"))))
+    grouped = entries.groupBy(*by, "path").agg(F.sort_array(F.collect_list(F.struct("_ord", "_v"))).alias("_all"))
+    solid = F.filter("_all", lambda e: e["_v"].startswith("{") | e["_v"].startswith("["))
+    opened = once(grouped, "_first", F.get(solid, F.lit(0))).withColumn(
+        "kind", F.when(F.col("_first").isNull(), "scalar").otherwise(kind(F.col("_first._v"))))
+    kept = opened.withColumn("live", F.filter("_all", lambda e: (e["_ord"] >= F.col("_first._ord")) & (kind(e["_v"]) == F.col("kind"))))
     inner = F.filter(F.transform("live", lambda e: F.substring(e["_v"], F.lit(2), F.length(e["_v"]) - 2)), lambda v: v != "")
     value = (
         F.when(F.col("kind") == "scalar", F.element_at("_all", -1)["_v"])
         .when(F.col("kind") == "list", F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")))
         .when(F.forall("live", lambda e: e["_v"] == "{}"), F.lit("{}"))
     )
-    return kept.select(*by, "path", "kind", "live", value.alias("value"))
+    return once(kept, "value", value).select(*by, "path", "live", "value")
 
 
 def combine_json(docs: DataFrame, by: Sequence[str], order: str, text: str) -> DataFrame:
@@ -218,8 +218,9 @@ def combine_json(docs: DataFrame, by: Sequence[str], order: str, text: str) -> D
     bounded number of layers, so the entries of one path are few. Unreadable documents add nothing.
     """
     by = list(by)
-    whole = docs.select(*by, F.array().cast("array<string>").alias("path"), F.col(order).alias("_ord"),
-                        F.to_json(F.try_parse_json(text)).alias("_v")).filter(F.col("_v").startswith("{"))
+    body = F.trim(F.col(text))
+    whole = docs.filter(body.startswith("{") & F.try_parse_json(text).isNotNull()).select(
+        *by, F.array().cast("array<string>").alias("path"), F.col(order).alias("_ord"), body.alias("_v"))
     depth = whole.agg(F.max(_nesting(F.col("_v")))).first()[0] or 0
     level, leaves = whole, None
     for _ in range(depth):

@@ -13,7 +13,12 @@ from tilespark.plans.inputs import Inputs
 from tilespark.plans.registry import plan
 from tilespark.sources import manifest
 
-EXPIRE = F.lit("1998-06-01").cast("timestamp_ntz")
+
+
+def expire():
+    return F.lit("1998-06-01").cast("timestamp_ntz")
+
+
 STORE = """store AS (
   SELECT z, x, y, arg_max(mtime, (mtime, o_orderkey)) AS mtime, arg_max(size, (mtime, o_orderkey)) AS size
   FROM tile_store GROUP BY z, x, y)"""
@@ -30,7 +35,7 @@ heat AS (SELECT z, x, y, count(*) AS requests, count(*) FILTER (WHERE event_type
 SELECT z, x, y, requests, errors, CASE WHEN mtime IS NULL THEN 'miss' WHEN mtime < TIMESTAMP '1998-06-01' THEN 'stale' ELSE 'hit' END AS state
 FROM heat LEFT JOIN store USING (z, x, y)""")
 def tile_heat_cache_state(t: Inputs):
-    return cs.request_heat(t.tile_requests, current_store(t), EXPIRE)
+    return cs.request_heat(t.tile_requests, current_store(t), expire())
 
 
 @plan("last_write_wins", "W5", """
@@ -80,8 +85,8 @@ FROM c WHERE (z, x, y) IN (SELECT (z, x, y) FROM w)""")
 def stale_and_fresh_tiles(t: Inputs):
     stored = cs.latest(sparse_store(t), order=("mtime", "o_orderkey"))
     wanted = deep_requests(t)
-    old = cs.stale(stored, wanted, EXPIRE).withColumn("state", F.lit("stale"))
-    new = cs.fresh(stored, wanted, EXPIRE).withColumn("state", F.lit("fresh"))
+    old = cs.stale(stored, wanted, expire()).withColumn("state", F.lit("stale"))
+    new = cs.fresh(stored, wanted, expire()).withColumn("state", F.lit("fresh"))
     return old.unionByName(new).select("z", "x", "y", "state")
 
 
@@ -253,7 +258,7 @@ SELECT service, layer, z, count(*) FILTER (WHERE hit AND NOT bad) AS hits, count
   count(*) FILTER (WHERE bad) AS errors, count(*) FILTER (WHERE NOT bad) AS requests
 FROM j GROUP BY ROLLUP (service, layer, z)""")
 def access_metrics(t: Inputs):
-    return cs.access_metrics(t.tile_requests, current_store(t), EXPIRE)
+    return cs.access_metrics(t.tile_requests, current_store(t), expire())
 
 
 @plan("fetch_manifest", "S10", """

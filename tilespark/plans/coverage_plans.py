@@ -75,7 +75,7 @@ def coverage_classify(t: Inputs):
 
 @plan("points_in_coverage", "F2", """
 SELECT event_id, n_nationkey AS coverage FROM event_points, boxes
-WHERE lon > minx AND lon < maxx AND lat > miny AND lat < maxy AND lon+lat < maxx+maxy-cut""")
+WHERE lon >= minx AND lon < maxx AND lat >= miny AND lat < maxy AND lon+lat < maxx+maxy-cut""")
 def points_in_coverage(t: Inputs):
     return cov.points_in_coverages(t.event_points, cut_coverages(t), GEODETIC, "lon", "lat", salts=4).select(
         "event_id", "coverage")

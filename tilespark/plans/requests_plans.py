@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilespark.functions import requests as req
+from tilespark.functions.once import once
 from tilespark.operators import fetch
 from tilespark.plans.inputs import Inputs
 from tilespark.plans.registry import plan
@@ -44,7 +45,7 @@ SELECT o_orderkey, concat(
   CASE WHEN o_custkey%3 = 1 THEN -1 ELSE ia+5 END AS z
 FROM n""")
 def query_string_normalise(t: Inputs):
-    q = t.service_queries.select("o_orderkey", req.query_params(F.col("query")).alias("params"))
+    q = once(t.service_queries.select("o_orderkey", "query"), "params", req.query_params(F.col("query")))
     params = F.col("params")
     q = q.select("o_orderkey", req.canonical_query(params).alias("canonical"), req.param_bbox(params).alias("box"),
                  req.param_size(params).alias("image"), req.param_tile(params).alias("tile"))

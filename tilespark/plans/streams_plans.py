@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions.tilemath import GEODETIC, WEBMERCATOR, lonlat_to_tile_x, lonlat_to_tile_y
 from tilespark.functions import geometry as geo
-from tilespark.plans.cache_plans import EXPIRE, STORE, current_store
+from tilespark.plans.cache_plans import STORE, current_store, expire
 from tilespark.plans.inputs import Inputs
 from tilespark.plans.registry import plan
 from tilespark.sources.storage import scratch
@@ -34,7 +34,7 @@ def classified(t: Inputs):
     stored = current_store(t).filter("x <> 3").withColumn("mtime", F.col("mtime").cast("timestamp"))
     covered = stored.select("z", "x", "y").filter("y > 1").unionByName(
         t.spark.range(0, 16).select(F.lit(4).alias("z"), F.lit(3).cast("long").alias("x"), F.col("id").alias("y")).filter("y > 1"))
-    return stream.classify(event_stream(t), stored, WEBMERCATOR, EXPIRE.cast("timestamp"), covered)
+    return stream.classify(event_stream(t), stored, WEBMERCATOR, expire().cast("timestamp"), covered)
 
 
 CLASSIFIED = f"""{STORE},

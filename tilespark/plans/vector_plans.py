@@ -90,7 +90,7 @@ def shapes(t: Inputs):
 
 @plan("feature_coverage_filter", "J17", f"""
 WITH {SHAPES}
-SELECT fid, n_nationkey AS coverage FROM shp, boxes WHERE CASE WHEN k = 0 THEN a > minx AND a < maxx AND c > miny AND c < maxy AND a+c < maxx+maxy-cut
+SELECT fid, n_nationkey AS coverage FROM shp, boxes WHERE CASE WHEN k = 0 THEN a >= minx AND a < maxx AND c >= miny AND c < maxy AND a+c < maxx+maxy-cut
   ELSE greatest(a,minx) < least(b,maxx) AND greatest(c,miny) < least(d,maxy) AND greatest(a,minx)+greatest(c,miny) < maxx+maxy-cut END""")
 def feature_coverage_filter(t: Inputs):
     return vector.features_in_coverages(shapes(t), cut_coverages(t), GEODETIC, depth=5, salts=2).select("fid", "coverage")

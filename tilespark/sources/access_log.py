@@ -26,7 +26,7 @@ def parse_access_log(log: DataFrame, url: str = "url") -> DataFrame:
     """
     path = F.substring_index(F.col(url), "?", 1)
     query = F.when(F.instr(F.col(url), "?") > 0, F.substring_index(F.col(url), "?", -1))
-    split = log.withColumn("_path", path).withColumn("_params", req.query_params(query))
+    split = once(log.withColumn("_path", path), "_params", req.query_params(query))
     family = F.coalesce(req.url_family(F.col("_path")), F.when(F.upper(req.param(F.col("_params"), "service")) == "WMS", "wms"))
     known = split.withColumn("family", family)
     tiled = once(known, "_tile", req.parse_tile_url(F.col("_path"), F.col("family")))

@@ -64,10 +64,10 @@ def feature_tile_documents(features: DataFrame, key=("z", "x", "y"), max_feature
         F.lit('","coordinates":'), parts_to_coordinates(F.col("geom_type"), F.col("parts")), F.lit('},"properties":'),
         F.to_json("props"), F.lit("}"))
     collections = numbered.select(*key, "part", "layer", "fid", text.alias("_t")).groupBy(*key, "part", "layer").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fid", "_t"))), lambda f: f["_t"]), ",").alias("_fs"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("fid", "_t"))), lambda f: f["_t"]), ",").alias("_fs"))
     entry = F.concat(_quoted(F.col("layer")), F.lit(':{"type":"FeatureCollection","features":['), F.col("_fs"), F.lit("]}"))
     return collections.groupBy(*key, "part").agg(
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("json"))
+        F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ","), F.lit("}")).alias("json"))
 
 
 def flatten_layers(features: DataFrame) -> DataFrame:
