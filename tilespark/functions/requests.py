@@ -72,18 +72,18 @@ def parse_tile_url(path: Column, family: Column) -> Column:
     return bind(fields, judged)
 
 
+def _decoded(text: Column) -> Column:
+    escaped = text.contains("%") | text.contains("+")
+    return F.when(escaped, F.try_url_decode(text)).otherwise(text)
+
+
 def query_pairs(query: Column) -> Column:
     """``array<struct<k,v>>`` of a raw query string, keys upper-cased, both sides decoded."""
-    def pair(item):
-        return F.struct(
-            F.upper(F.try_url_decode(F.substring_index(item, "=", 1))).alias("k"),
-            F.when(item.contains("="), F.try_url_decode(
-                F.substring(item, F.instr(item, "=") + 1, F.length(item))
-            )).otherwise("").alias("v"),
-        )
-
     items = F.filter(F.split(F.coalesce(query, F.lit("")), "&"), lambda s: s != "")
-    return F.filter(F.transform(items, pair), lambda p: p.k.isNotNull() & p.v.isNotNull())
+    sides = F.transform(items, lambda s: F.split(s, "=", 2))
+    pairs = F.transform(sides, lambda a: F.struct(
+        F.upper(_decoded(a[0])).alias("k"), _decoded(F.coalesce(F.get(a, F.lit(1)), F.lit(""))).alias("v")))
+    return F.filter(pairs, lambda p: p.k.isNotNull() & p.v.isNotNull())
 
 
 def query_params(query: Column) -> Column:

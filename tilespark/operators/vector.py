@@ -179,7 +179,7 @@ def combine_text(docs: DataFrame, by: Sequence[str], order: str, text: str) -> D
 
 def _nesting(text: Column) -> Column:
     """Depth of nested objects in a JSON text."""
-    braces = F.regexp_replace(F.regexp_replace(text, r'"(?:\\\\.|[^"\\\\])*"', ""), r"[^{}]", "")
+    braces = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*(?:\\.[^"\\]*)*"', ""), r"[^{}]+", "")
     step = F.aggregate(
         F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
         lambda acc, c: F.struct(
@@ -221,7 +221,11 @@ def combine_json(docs: DataFrame, by: Sequence[str], order: str, text: str) -> D
     body = F.trim(F.col(text))
     whole = docs.filter(body.startswith("{") & F.try_parse_json(text).isNotNull()).select(
         *by, F.array().cast("array<string>").alias("path"), F.col(order).alias("_ord"), body.alias("_v"))
-    depth = whole.agg(F.max(_nesting(F.col("_v")))).first()[0] or 0
+    # braces bound the depth and are cheap to count; only brace-rich documents need it exactly
+    braces = F.length("_v") - F.length(F.replace("_v", F.lit("{"), F.lit("")))
+    depth = whole.agg(F.max(braces)).first()[0] or 0
+    if depth > 4:
+        depth = whole.agg(F.max(_nesting(F.col("_v")))).first()[0]
     level, leaves = whole, None
     for _ in range(depth):
         keyed = level.select(*by, "path", "_ord", F.explode(F.from_json("_v", "map<string,variant>")).alias("_k", "_value"))

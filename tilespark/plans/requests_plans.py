@@ -9,6 +9,7 @@ from tilespark.functions.once import once
 from tilespark.operators import fetch
 from tilespark.plans.inputs import Inputs
 from tilespark.plans.registry import plan
+from tilespark.session import spread
 from tilespark.sources import access_log
 
 
@@ -23,7 +24,7 @@ SELECT event_id, path,
   CASE event_id%8 WHEN 6 THEN 'negative coordinate' WHEN 7 THEN 'no match' END AS reason
 FROM service_urls""")
 def tile_url_parse(t: Inputs):
-    parsed = t.service_urls.select("event_id", "path").withColumn("family", req.url_family(F.col("path")))
+    parsed = spread(t.service_urls.select("event_id", "path")).withColumn("family", req.url_family(F.col("path")))
     parsed = parsed.withColumn("p", req.parse_tile_url(F.col("path"), F.col("family")))
     return parsed.select("event_id", "path", "family", *[F.col(f"p.{c}").alias(c) for c in (
         "layer", "layer_spec", "z", "x", "y", "retina", "format", "reason")])
@@ -45,7 +46,7 @@ SELECT o_orderkey, concat(
   CASE WHEN o_custkey%3 = 1 THEN -1 ELSE ia+5 END AS z
 FROM n""")
 def query_string_normalise(t: Inputs):
-    q = once(t.service_queries.select("o_orderkey", "query"), "params", req.query_params(F.col("query")))
+    q = once(spread(t.service_queries.select("o_orderkey", "query")), "params", req.query_params(F.col("query")))
     params = F.col("params")
     q = q.select("o_orderkey", req.canonical_query(params).alias("canonical"), req.param_bbox(params).alias("box"),
                  req.param_size(params).alias("image"), req.param_tile(params).alias("tile"))
@@ -63,7 +64,7 @@ SELECT o_orderkey, 'map', 'wms', 'roads', NULL, CASE WHEN o_custkey%4 < 2 THEN c
 def access_log_rows(t: Inputs):
     log = t.service_urls.select(F.col("event_id").alias("id"), F.lit("tile").alias("kind"), F.col("path").alias("url")).unionByName(
         t.service_queries.select(F.col("o_orderkey").alias("id"), F.lit("map").alias("kind"), F.concat(F.lit("/service?"), "query").alias("url")))
-    return access_log.parse_access_log(log).select(
+    return access_log.parse_access_log(spread(log)).select(
         "id", "kind", "family", "layer", "z", F.col("box.minx").alias("minx"), F.col("image.width").alias("width"), "reason")
 
 
