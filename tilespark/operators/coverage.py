@@ -39,27 +39,39 @@ def within_tile_limit(ranges: DataFrame, limit: int) -> tuple[DataFrame, DataFra
     return ranges.filter(F.col("n_tiles") < limit), ranges.filter(F.col("n_tiles") >= limit)
 
 
-def expand_ranges(ranges: DataFrame) -> DataFrame:
+def expand_ranges(ranges: DataFrame, spread: bool = False) -> DataFrame:
     """One row per tile of each range.
 
-    Wide ranges are cut into blocks that are shuffled before they are expanded, so a world-sized
-    box at a deep level becomes many tasks instead of one.
+    With ``spread``, ranges are cut into blocks that are shuffled before they are expanded, so a
+    world-sized box at a deep level becomes many tasks instead of one. Ranges known to be small stay
+    where they are.
     """
+    if not spread:
+        return (
+            ranges.withColumn("x", F.explode(F.sequence(F.col("r.x0"), F.col("r.x1"))))
+            .withColumn("y", F.explode(F.sequence(F.col("r.y0"), F.col("r.y1"))))
+            .drop("r", "n_tiles")
+        )
+
     def starts(lo: str, hi: str) -> Column:
         return F.explode(F.sequence(F.col(lo), F.col(hi), F.lit(BLOCK).cast("long")))
 
     blocks = ranges.withColumn("_bx", starts("r.x0", "r.x1")).withColumn("_by", starts("r.y0", "r.y1"))
     return (
-        blocks.repartition("_bx", "_by", *[c for c in ("z",) if c in ranges.columns])
+        # the range is part of the key: boxes sharing a popular block do not share a task
+        blocks.repartition("_bx", "_by", "r")
         .withColumn("x", F.explode(F.sequence(F.col("_bx"), F.least(F.col("_bx") + BLOCK - 1, F.col("r.x1")))))
         .withColumn("y", F.explode(F.sequence(F.col("_by"), F.least(F.col("_by") + BLOCK - 1, F.col("r.y1")))))
         .drop("_bx", "_by", "r", "n_tiles")
     )
 
 
-def affected_tiles(boxes: DataFrame, grid: Grid, box: str = "box") -> DataFrame:
-    """Tiles of level ``z`` touched by each box (both columns of ``boxes``)."""
-    return expand_ranges(tile_ranges(boxes, grid, box))
+def affected_tiles(boxes: DataFrame, grid: Grid, box: str = "box", spread: bool = False) -> DataFrame:
+    """Tiles of level ``z`` touched by each box (both columns of ``boxes``).
+
+    Use ``spread`` for seed tasks and other boxes without a tile limit.
+    """
+    return expand_ranges(tile_ranges(boxes, grid, box), spread)
 
 
 def tile_box(grid: Grid) -> Column:

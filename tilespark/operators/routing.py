@@ -39,33 +39,30 @@ def route_by_resolution(res: Column, limit: Column, coarse: Column, fine: Column
 def route_by_srs(queries: DataFrame, layers: DataFrame, preferred: DataFrame, by: str = "name") -> DataFrame:
     """Layer variant per query: its own system, else the first preferred one offered, else the first.
 
-    ``layers``: (by, srs, ordinal, layer_id); ``preferred``: (query_srs, srs, rank).
+    ``layers``: (by, srs, ordinal, layer_id); ``preferred``: (query_srs, srs, rank). The three lookups
+    are tables of layer size that the planner broadcasts while they are small; queries are not
+    regrouped for them.
     """
-    offered = layers.select(by, F.col("srs").alias("_srs"), "ordinal", "layer_id")
-    ranks = preferred.select(F.col("query_srs").alias("srs"), F.col("srs").alias("_srs"), "rank")
-    # which variant wins depends only on (name, srs), so decide once per pair and join that back
-    asked = queries.select(by, "srs").distinct()
-    paired = asked.join(offered, by).join(ranks, ["srs", "_srs"], "left")
-    order = F.struct(
-        F.when(F.col("srs") == F.col("_srs"), 0).when(F.col("rank").isNotNull(), 1).otherwise(2).alias("class"),
-        F.coalesce("rank", "ordinal").alias("at"), F.col("ordinal").alias("tie"))
-    chosen = paired.groupBy(by, "srs").agg(
-        F.min_by(F.struct(F.col("_srs").alias("layer_srs"), "layer_id"), order).alias("_c"))
-    return queries.join(chosen.select(by, "srs", "_c.*"), [by, "srs"], "left")
+    choice = F.struct(F.col("srs").alias("layer_srs"), "layer_id")
+    own = layers.select(by, "srs", choice.alias("_own"))
+    ranked = preferred.withColumnRenamed("srs", "_offered").join(
+        layers.withColumnRenamed("srs", "_offered").withColumn("srs", F.col("_offered")), "_offered")
+    wished = ranked.groupBy(by, F.col("query_srs").alias("_query_srs")).agg(F.min_by(choice, "rank").alias("_wished")).withColumnRenamed(
+        "_query_srs", "srs")
+    first = layers.groupBy(by).agg(F.min_by(choice, "ordinal").alias("_first"))
+    found = queries.join(own, [by, "srs"], "left").join(wished, [by, "srs"], "left").join(first, by, "left")
+    return found.select(*queries.columns, F.coalesce("_own", "_wished", "_first").alias("_c")).select(*queries.columns, "_c.*")
 
 
 def resolve_layer_names(requests: DataFrame, layers: DataFrame, suffixes: Sequence[str] = ("_EPSG900913", "_EPSG4326")) -> DataFrame:
-    """Layer of ``layer[_layer_spec]``: the plain name, else the first known suffix.
-
-    Requests repeat few names, so each distinct name is resolved once and joined back.
-    """
+    """Layer of ``layer[_layer_spec]``: the plain name, else the first known suffix."""
     name = F.when(F.col("layer_spec").isNull(), F.col("layer")).otherwise(F.concat_ws("_", "layer", "layer_spec"))
-    named = requests.withColumn("_name", name)
-    tried = named.select("_name").distinct().select("_name", F.posexplode(F.array(
-        F.col("_name"), *[F.concat(F.col("_name"), F.lit(s)) for s in suffixes])).alias("_try", "layer_name"))
-    hits = tried.join(layers.select("layer_name", "layer_id"), "layer_name")
-    best = hits.groupBy("_name").agg(F.min_by(F.struct("layer_name", "layer_id"), "_try").alias("_b"))
-    return named.join(best, "_name", "left").select(*requests.columns, "_b.layer_name", "_b.layer_id")
+    found, hits = requests.withColumn("_name", name), []
+    for i, suffix in enumerate(("", *suffixes)):
+        table = layers.select(F.col("layer_name").alias(f"_n{i}"), F.struct("layer_name", "layer_id").alias(f"_l{i}"))
+        found = found.join(table, F.concat("_name", F.lit(suffix)) == F.col(f"_n{i}"), "left")
+        hits.append(f"_l{i}")
+    return found.select(*requests.columns, F.coalesce(*hits).alias("_l")).select(*requests.columns, "_l.*")
 
 
 def first_by_priority(candidates: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -89,13 +86,13 @@ def eligible_sources(tiles: DataFrame, pairs: DataFrame, by: Sequence[str]) -> D
 def status_policy(responses: DataFrame, policies: DataFrame) -> DataFrame:
     """Fallback per response: the policy of its code, else of ``other``, else none.
 
-    ``policies``: (code, color, cacheable). The handful of codes is resolved before the join back.
+    ``policies``: (code, color, cacheable), a handful of rows the planner broadcasts.
     """
-    codes = responses.select("code").distinct()
-    tried = codes.select("code", F.posexplode(F.array("code", F.lit("other"))).alias("_try", "_code"))
-    hits = tried.join(policies.withColumnRenamed("code", "_code"), "_code")
-    best = hits.groupBy("code").agg(F.min_by(F.struct(F.col("_code").alias("policy"), "color", "cacheable"), "_try").alias("_p"))
-    return responses.join(best, "code", "left").select(*responses.columns, "_p.policy", "_p.color", "_p.cacheable")
+    entry = F.struct(F.col("code").alias("policy"), "color", "cacheable")
+    exact = policies.select("code", entry.alias("_exact"))
+    other = policies.filter("code = 'other'").select(F.col("code").alias("_any"), entry.alias("_other"))
+    found = responses.join(exact, "code", "left").join(other, F.lit("other") == F.col("_any"), "left")
+    return found.select(*responses.columns, F.coalesce("_exact", "_other").alias("_p")).select(*responses.columns, "_p.*")
 
 
 def is_opaque(in_range: Column, transparent: Column, opacity: Column, covers: Column) -> Column:
@@ -105,12 +102,9 @@ def is_opaque(in_range: Column, transparent: Column, opacity: Column, covers: Co
 
 
 def cut_hidden(stack: DataFrame, by: Sequence[str], order: str, opaque: str = "opaque") -> DataFrame:
-    """Drop layers beneath the topmost opaque one.
-
-    The cut position is one aggregate per request, joined back, so no request is held in one task.
-    """
-    top = stack.filter(opaque).groupBy(*by).agg(F.max(order).alias("_top"))
-    return stack.join(top, list(by), "left").filter(F.col("_top").isNull() | (F.col(order) >= F.col("_top"))).drop("_top")
+    """Drop layers beneath the topmost opaque one; a request lists a bounded number of layers."""
+    top = F.max(F.when(F.col(opaque), F.col(order))).over(Window.partitionBy(*by))
+    return stack.withColumn("_top", top).filter(F.col("_top").isNull() | (F.col(order) >= F.col("_top"))).drop("_top")
 
 
 def combine_requests(stack: DataFrame, by: Sequence[str], order: Sequence[str], same: Sequence[str], blocked: Column) -> DataFrame:

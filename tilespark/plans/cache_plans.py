@@ -111,7 +111,7 @@ g AS (SELECT DISTINCT x, y FROM range(16) a(x), range(8) b(y), boxes
   WHERE greatest(x*22.5e0-180e0, minx) < least((x+1)*22.5e0-180e0, maxx) AND greatest(y*22.5e0-90e0, miny) < least((y+1)*22.5e0-90e0, maxy))
 SELECT z, x, y, size FROM store WHERE NOT (mtime < TIMESTAMP '2000-01-01' AND (x, y) IN (SELECT (x, y) FROM g))""")
 def cleanup(t: Inputs):
-    doomed = cov.affected_tiles(box_coverages(t).withColumn("z", F.lit(4)), GEODETIC)
+    doomed = cov.affected_tiles(box_coverages(t).withColumn("z", F.lit(4)), GEODETIC, spread=True)
     kept = cs.cleanup(current_store(t), doomed, F.lit("2000-01-01").cast("timestamp_ntz"))
     return kept.select("z", "x", "y", "size")
 

@@ -126,7 +126,7 @@ def tile_count_boxes(t: Inputs):
 
 
 def _parts(t: Inputs, z: int):
-    tiles = cov.affected_tiles(box_coverages(t).withColumn("z", F.lit(z)), GEODETIC)
+    tiles = cov.affected_tiles(box_coverages(t).withColumn("z", F.lit(z)), GEODETIC, spread=True)
     return tiles.select("coverage", "n_regionkey", "z", "x", "y")
 
 

@@ -239,5 +239,5 @@ def coordinate_sort(t: Inputs):
     from tilespark.operators.ordering import ranked_sort
 
     pts = t.event_points.select("event_id", "user_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
-    return ranked_sort(pts, ["user_id"], F.floor("lat").cast("long"), ["lat", "lon", "event_id"], "ord").select(
+    return ranked_sort(pts, ["user_id"], F.floor(F.col("lat") * 1024).cast("long"), ["lat", "lon", "event_id"], "ord").select(
         "event_id", "lat", "lon", "ord")

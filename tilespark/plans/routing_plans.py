@@ -80,14 +80,14 @@ def route_by_resolution(t: Inputs):
 
 
 @plan("route_by_srs", "J8", """
-WITH l AS (SELECT name, srs, min(layer_id) AS layer_id FROM upstream_layers WHERE p_size%5 <> 0 OR name < 'Brand#15' GROUP BY 1,2),
+WITH l AS (SELECT name, srs, min(layer_id) AS layer_id FROM upstream_layers WHERE p_size > 10 OR name < 'Brand#15' GROUP BY 1,2),
 k AS (SELECT name, arg_min(layer_id, srs) AS first_id, max(layer_id) FILTER (WHERE srs='EPSG:4326') AS geo_id,
       max(layer_id) FILTER (WHERE srs='EPSG:3857') AS merc_id FROM l GROUP BY 1)
 SELECT query_id, coalesce(CASE srs WHEN 'EPSG:4326' THEN geo_id WHEN 'EPSG:3857' THEN merc_id END,
        CASE srs WHEN 'EPSG:25832' THEN geo_id END, first_id) AS layer_id
 FROM (SELECT query_id, srs, p_brand AS name FROM map_queries JOIN part ON p_partkey = layer_key) q LEFT JOIN k USING (name)""")
 def route_by_srs(t: Inputs):
-    kept = t.upstream_layers.filter("p_size % 5 <> 0 OR name < 'Brand#15'")
+    kept = t.upstream_layers.filter("p_size > 10 OR name < 'Brand#15'")
     layers = kept.groupBy("name", "srs").agg(F.min("layer_id").alias("layer_id")).withColumn(
         "ordinal", F.when(F.col("srs") == "EPSG:3857", 0).otherwise(1))
     # systems without a layer of their own prefer lon/lat
@@ -99,9 +99,9 @@ def route_by_srs(t: Inputs):
 
 
 @plan("layer_name_fallback", "J9", """
-WITH r AS (SELECT event_id, concat('part', cast(layer_key AS varchar), CASE WHEN user_id%2=0 THEN '_hd' ELSE '' END) AS name FROM layer_requests),
+WITH r AS (SELECT event_id, concat('part', cast(layer_key AS varchar), CASE user_id%3 WHEN 0 THEN '_hd' WHEN 1 THEN '_sd' ELSE '' END) AS name FROM layer_requests),
 l AS (SELECT concat('part', cast(p_partkey AS varchar), CASE p_size%2 WHEN 0 THEN '_hd' ELSE '' END, CASE p_partkey%3 WHEN 0 THEN '' WHEN 1 THEN '_EPSG900913' ELSE '_EPSG4326' END) AS layer_name, p_partkey AS layer_id FROM part
-  UNION ALL SELECT concat('part', cast(p_partkey AS varchar), '_EPSG4326'), p_partkey + 1000000 FROM part WHERE p_partkey%3 < 2 AND p_size%2 = 1)
+  UNION ALL SELECT concat('part', cast(p_partkey AS varchar), '_sd_EPSG4326'), p_partkey + 1000000 FROM part WHERE p_retailprice < 1000)
 SELECT event_id, coalesce(a.layer_name, b.layer_name, c.layer_name) AS layer_name, coalesce(a.layer_id, b.layer_id, c.layer_id) AS layer_id
 FROM r LEFT JOIN l a ON a.layer_name = name LEFT JOIN l b ON b.layer_name = name || '_EPSG900913' LEFT JOIN l c ON c.layer_name = name || '_EPSG4326'""")
 def layer_name_fallback(t: Inputs):
@@ -109,11 +109,11 @@ def layer_name_fallback(t: Inputs):
     base = F.concat(F.lit("part"), key.cast("string"))
     suffix = F.when(key % 3 == 0, "").when(key % 3 == 1, "_EPSG900913").otherwise("_EPSG4326")
     layers = t.part.select(F.concat(base, F.when(size % 2 == 0, "_hd").otherwise(""), suffix).alias("layer_name"), key.alias("layer_id"))
-    layers = layers.unionByName(t.part.filter("p_partkey % 3 < 2 AND p_size % 2 = 1").select(
-        F.concat(base, F.lit("_EPSG4326")).alias("layer_name"), (key + 1000000).alias("layer_id")))
+    layers = layers.unionByName(t.part.filter("p_retailprice < 1000").select(
+        F.concat(base, F.lit("_sd_EPSG4326")).alias("layer_name"), (key + 1000000).alias("layer_id")))
     asked = t.layer_requests.select(
         "event_id", F.concat(F.lit("part"), F.col("layer_key").cast("string")).alias("layer"),
-        F.when(F.col("user_id") % 2 == 0, "hd").alias("layer_spec"))
+        F.when(F.col("user_id") % 3 == 0, "hd").when(F.col("user_id") % 3 == 1, "sd").alias("layer_spec"))
     return routing.resolve_layer_names(asked, layers).select("event_id", "layer_name", "layer_id")
 
 

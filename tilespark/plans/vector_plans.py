@@ -108,11 +108,11 @@ def vector_retile(t: Inputs):
 
 
 @plan("vector_tile_merge", "A10", f"""
-WITH {FEATURES}, u AS (SELECT * FROM feat UNION ALL SELECT * FROM feat WHERE bal%2 = 0)
+WITH {FEATURES}, u AS (SELECT * FROM feat UNION ALL SELECT * FROM feat WHERE bal > 0)
 SELECT z, x, y, layer, count(*) AS n_features, cast(sum(bal) AS bigint) AS balance FROM u GROUP BY 1,2,3,4""")
 def vector_tile_merge(t: Inputs):
     f = features(t)
-    again = f.filter(F.col("props")["balance"].cast("long") % 2 == 0)
+    again = f.filter(F.col("props")["balance"].cast("long") > 0)
     empty = f.filter(F.col("geom_type") == "LineString").withColumn("parts", F.lit(None).cast(f.schema["parts"].dataType))
     merged = vector.merge_layers([f, again, empty])
     return merged.groupBy("z", "x", "y", "layer").agg(

@@ -76,5 +76,5 @@ def seed(tasks: DataFrame, stored: DataFrame, grid: Grid, path: str, checkpoint:
 
     Tasks already listed in the checkpoint are not walked again, so an interrupted run resumes.
     """
-    wanted = affected_tiles(tasks, grid).select("task", "z", "x", "y")
+    wanted = affected_tiles(tasks, grid, spread=True).select("task", "z", "x", "y")
     run_available(missing(wanted, stored), path, checkpoint)
