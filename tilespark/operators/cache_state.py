@@ -28,7 +28,7 @@ def distinct_tiles(tiles: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
 
 
 def missing(wanted: DataFrame, stored: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
-    return wanted.join(stored.select(*by), list(by), "left_anti")
+    return wanted.join(stored.select(*by), list(by), "left_anti").select(*wanted.columns)
 
 
 def stale(stored: DataFrame, wanted: DataFrame, expire: Column, by: Sequence[str] = KEY) -> DataFrame:
