@@ -203,13 +203,13 @@ SELECT query_id, CASE WHEN inside THEN 'whole' WHEN NOT touching OR r-l = 0 OR o
   CASE WHEN touching AND NOT inside THEN cast(abs(o-u) AS bigint) END AS sub_h,
   CASE WHEN touching AND NOT inside THEN cast(l AS bigint) END AS off_x,
   CASE WHEN touching AND NOT inside THEN cast(u AS bigint) END AS off_y,
-  CASE WHEN touching AND NOT inside THEN round(greatest(minx,a),6) END AS sub_minx,
-  CASE WHEN touching AND NOT inside THEN round(least(maxy,d),6) END AS sub_maxy FROM r""")
+  CASE WHEN touching AND NOT inside THEN greatest(minx,a) END AS sub_minx,
+  CASE WHEN touching AND NOT inside THEN least(maxy,d) END AS sub_maxy FROM r""")
 def extent_clip(t: Inputs):
     return cov.clip_queries(queries_with_extent(t)).select(
         "query_id", "outcome", F.col("sub.width").alias("sub_w"), F.col("sub.height").alias("sub_h"),
         F.col("sub.off_x").alias("off_x"), F.col("sub.off_y").alias("off_y"),
-        F.round("sub.bbox.minx", 6).alias("sub_minx"), F.round("sub.bbox.maxy", 6).alias("sub_maxy"))
+        F.col("sub.bbox.minx").alias("sub_minx"), F.col("sub.bbox.maxy").alias("sub_maxy"))
 
 
 @plan("tile_limit_guard", "F7", """
@@ -244,20 +244,20 @@ def tile_aligned(t: Inputs):
 @plan("buffered_bbox", "P12", """
 WITH q AS (SELECT *, 360e0/256e0/pow(2e0, query_id%10) AS res, query_id%7*30-30 AS px FROM map_queries)
 SELECT query_id,
-  round(CASE WHEN px > 0 THEN greatest(minx-px*res, -180e0) ELSE minx END, 5) AS minx,
-  round(CASE WHEN px > 0 THEN greatest(miny-px*res, -90e0) ELSE miny END, 5) AS miny,
-  round(CASE WHEN px > 0 THEN least(maxx+px*res, 180e0) ELSE maxx END, 5) AS maxx,
-  round(CASE WHEN px > 0 THEN least(maxy+px*res, 90e0) ELSE maxy END, 5) AS maxy FROM q""")
+  CASE WHEN px > 0 THEN greatest(minx-px*res, -180e0) ELSE minx END AS minx,
+  CASE WHEN px > 0 THEN greatest(miny-px*res, -90e0) ELSE miny END AS miny,
+  CASE WHEN px > 0 THEN least(maxx+px*res, 180e0) ELSE maxx END AS maxx,
+  CASE WHEN px > 0 THEN least(maxy+px*res, 90e0) ELSE maxy END AS maxy FROM q""")
 def buffered_bbox_plan(t: Inputs):
     grown = buffered_bbox(GEODETIC, *[F.col(c) for c in SIDES], (F.col("query_id") % 10).cast("int"),
                           F.col("query_id") % 7 * 30 - 30)
     return t.map_queries.withColumn("grown", grown).select(
-        "query_id", *[F.round(F.col(f"grown.{c}"), 5).alias(c) for c in SIDES])
+        "query_id", *[F.col(f"grown.{c}").alias(c) for c in SIDES])
 
 
 @plan("pixel_to_coord", "P13", """
 WITH q AS (SELECT *, query_id%width AS px, query_id*7%height AS py FROM map_queries)
-SELECT query_id, px, py, round(minx + px*(maxx-minx)/width, 6) AS x, round(miny + (height-py)*(maxy-miny)/height, 6) AS y,
+SELECT query_id, px, py, minx + px*(maxx-minx)/width AS x, miny + (height-py)*(maxy-miny)/height AS y,
   cast(trunc((minx+1.5e0-minx)/(maxx-minx)*width) AS bigint) AS off_x,
   cast(trunc((maxy-(maxy-0.75e0))/(maxy-miny)*height) AS bigint) AS off_y FROM q""")
 def pixel_to_coord(t: Inputs):
@@ -268,20 +268,20 @@ def pixel_to_coord(t: Inputs):
     q = q.withColumn("px", px).withColumn("py", py).withColumn("inner", inner)
     at = geo.pixel_to_coord(F.col("px"), F.col("py"), w, h, box)
     off = geo.tile_offset(box, w, h, F.col("inner"))
-    return q.select("query_id", "px", "py", F.round(at.x, 6).alias("x"), F.round(at.y, 6).alias("y"),
+    return q.select("query_id", "px", "py", at.x.alias("x"), at.y.alias("y"),
                     off.off_x.alias("off_x"), off.off_y.alias("off_y"))
 
 
 @plan("axis_order_switch", "P16", """
 SELECT query_id, srs,
-  round(CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN miny ELSE minx END, 6) AS minx,
-  round(CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN minx ELSE miny END, 6) AS miny,
-  round(CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN maxy ELSE maxx END, 6) AS maxx,
-  round(CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN maxx ELSE maxy END, 6) AS maxy
+  CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN miny ELSE minx END AS minx,
+  CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN minx ELSE miny END AS miny,
+  CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN maxy ELSE maxx END AS maxx,
+  CASE WHEN srs IN ('EPSG:4326','EPSG:4258','EPSG:31466','EPSG:31467','EPSG:31468') THEN maxx ELSE maxy END AS maxy
 FROM map_queries""")
 def axis_order_switch(t: Inputs):
     q = box_of(t.map_queries).withColumn("box", geo.swap_axes(F.col("srs"), F.col("box")))
-    return q.select("query_id", "srs", *[F.round(F.col(f"box.{c}"), 6).alias(c) for c in SIDES])
+    return q.select("query_id", "srs", *[F.col(f"box.{c}").alias(c) for c in SIDES])
 
 
 MX = "radians({0})*6378137e0"

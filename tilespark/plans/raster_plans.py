@@ -171,11 +171,11 @@ def dem_sample(t: Inputs):
 
 
 @plan("geoid_shift", "P22", f"""
-WITH {CORNERS} SELECT id, round(id%1000 + ({BILINEAR})/100e0, 4) AS height FROM f""")
+WITH {CORNERS} SELECT id, round(id%1000 + ({BILINEAR})/100e0, 6) AS height FROM f""")
 def geoid_shift(t: Inputs):
     # the raster stands for a geoid grid in centimetres
     offset = raster.sample_points(dem_points(t), dem_tiles(t), "id", "px", "py", N, F.lit(160), F.col("th"), NODATA, snap=False)
-    return offset.select("id", F.round(elevation.shift_datum(F.col("id") % 1000, F.col("value") / 100.0), 4).alias("height"))
+    return offset.select("id", F.round(elevation.shift_datum(F.col("id") % 1000, F.col("value") / 100.0), 6).alias("height"))
 
 
 @plan("interpolators", "P21", """
