@@ -38,6 +38,8 @@ def test_container_round_trip(spark, tiles, tmp_path, kind):
     back = containers.read_containers(spark, manifest.select(F.col("container").alias("path")))
     cols = ["z", "x", "y", "data"]
     assert back.select(cols).exceptAll(tiles.select(cols)).count() == 0 and back.count() == 200
+    pieces = containers.read_containers(spark, manifest.select(F.col("container").alias("path")), chunk=7)
+    assert pieces.select(cols).exceptAll(tiles.select(cols)).count() == 0 and pieces.count() == 200
 
 
 def test_container_kinds():

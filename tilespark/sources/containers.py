@@ -5,19 +5,24 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import shutil
 import sqlite3
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import keys
+from tilespark.operators.cache_state import latest
 from tilespark.operators.catalog import tileset_metadata
 from tilespark.functions.tilemath import Grid
-from tilespark.sources.storage import get_bytes, put_bytes
+from tilespark.sources.storage import open_filesystem, open_random, open_stream, put_bytes, qualified
 
 ENTRY_SCHEMA = "container string, name string, layout string, format string, z int, x long, y long, data binary"
 BATCH = 256
@@ -40,52 +45,108 @@ def _maybe_gunzip(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == GZIP_MAGIC else data
 
 
-def _archive_entries(path: str, kind: str) -> Iterator[dict]:
-    payload = get_bytes(path)
-    if kind == "zip":
-        with zipfile.ZipFile(io.BytesIO(payload)) as z:
-            meta = json.loads(z.read("metadata.json"))
-            for name in z.namelist():
-                if name != "metadata.json":
-                    yield dict(name=name, layout=meta.get("directory_layout") or "tms", format=meta["format"], data=z.read(name))
-    else:
-        with tarfile.open(fileobj=io.BytesIO(payload), mode="r:gz") as t:
-            meta = json.load(t.extractfile("metadata.json"))
-            for member in t:
-                if member.isfile() and member.name != "metadata.json":
-                    yield dict(name=member.name, layout=meta.get("directory_layout") or "tms", format=meta["format"],
-                               data=t.extractfile(member).read())
+# A task reads at most this many entries of a container that can be entered in the middle.
+CHUNK = 20_000
+CHUNK_SCHEMA = "path string, lo long, hi long"
 
 
-def _database(path: str) -> sqlite3.Connection:
-    con = sqlite3.connect(":memory:")
-    con.deserialize(get_bytes(path))
-    return con
+def _zip_names(z: zipfile.ZipFile) -> list[str]:
+    return [n for n in z.namelist() if n != "metadata.json" and not n.endswith("/")]
+
+
+def _zip_entries(path: str, lo: int, hi: int) -> Iterator[dict]:
+    with open_random(path) as src, zipfile.ZipFile(src) as z:
+        meta = json.loads(z.read("metadata.json"))
+        for name in _zip_names(z)[lo:hi]:
+            yield dict(name=name, layout=meta.get("directory_layout") or "tms", format=meta["format"], data=z.read(name))
+
+
+def _tar_members(path: str) -> Iterator[tuple[str, bytes]]:
+    with open_stream(path) as src, tarfile.open(fileobj=src, mode="r|gz") as t:
+        for member in t:
+            if member.isfile():
+                yield member.name, t.extractfile(member).read()
+
+
+def _tar_entries(path: str) -> Iterator[dict]:
+    """A compressed archive can only be read front to back; its metadata may come last."""
+    meta = json.loads(next(data for name, data in _tar_members(path) if name == "metadata.json"))
+    for name, data in _tar_members(path):
+        if name != "metadata.json":
+            yield dict(name=name, layout=meta.get("directory_layout") or "tms", format=meta["format"], data=data)
+
 
+@contextmanager
+def _database(path: str) -> Iterator[sqlite3.Connection]:
+    """Open a database file read-only: in place on mounted storage, else from a task-private copy."""
+    from pyarrow import fs
 
-def _mbtiles_entries(path: str) -> Iterator[dict]:
-    con = _database(path)
-    meta = dict(con.execute("SELECT name, value FROM metadata"))
-    for z, x, row, data in con.execute("SELECT zoom_level, tile_column, tile_row, tile_data FROM tiles"):
-        yield dict(format=meta.get("format", ""), z=z, x=x, y=(1 << z) - 1 - row, data=_maybe_gunzip(data))
-    con.close()
+    filesystem, local = open_filesystem(path)
+    with tempfile.NamedTemporaryFile() as copy:
+        if not isinstance(filesystem, fs.LocalFileSystem):
+            with filesystem.open_input_stream(local, compression=None) as src:
+                shutil.copyfileobj(src, copy)
+            copy.flush()
+            local = copy.name
+        con = sqlite3.connect(f"file:{quote(local)}?mode=ro", uri=True)
+        try:
+            yield con
+        finally:
+            con.close()
 
 
-def _gpkg_entries(path: str) -> Iterator[dict]:
-    con = _database(path)
-    table = con.execute("SELECT table_name FROM gpkg_tile_matrix_set ORDER BY rowid LIMIT 1").fetchone()[0]
-    fmt = (con.execute("SELECT description FROM gpkg_contents WHERE table_name = ?", (table,)).fetchone() or [""])[0]
-    quoted = '"' + table.replace('"', '""') + '"'
-    for z, x, y, data in con.execute(f"SELECT zoom_level, tile_column, tile_row, tile_data FROM {quoted}"):
-        yield dict(format=fmt, z=z, x=x, y=y, data=_maybe_gunzip(data) if fmt in ("pbf", "mvt") else data)
-    con.close()
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
-def _entries(path: str) -> Iterator[dict]:
+def _tile_table(con: sqlite3.Connection, kind: str) -> str:
+    if kind == "mbtiles":
+        return "tiles"
+    return con.execute("SELECT table_name FROM gpkg_tile_matrix_set ORDER BY rowid LIMIT 1").fetchone()[0]
+
+
+def _database_entries(path: str, kind: str, lo: int | None, hi: int | None) -> Iterator[dict]:
+    with _database(path) as con:
+        table = _tile_table(con, kind)
+        if kind == "mbtiles":
+            fmt = dict(con.execute("SELECT name, value FROM metadata")).get("format", "")
+        else:
+            fmt = (con.execute("SELECT description FROM gpkg_contents WHERE table_name = ?", (table,)).fetchone() or [""])[0]
+        part, bounds = ("", ()) if lo is None else (" WHERE rowid >= ? AND rowid < ?", (lo, hi))
+        # GeoPackage payloads are only unpacked for vector tiles
+        unpack = kind == "mbtiles" or fmt in ("pbf", "mvt")
+        for z, x, row, data in con.execute(
+            f"SELECT zoom_level, tile_column, tile_row, tile_data FROM {_quoted(table)}{part}", bounds
+        ):
+            y = (1 << z) - 1 - row if kind == "mbtiles" else row
+            yield dict(format=fmt, z=z, x=x, y=y, data=_maybe_gunzip(data) if unpack else data)
+
+
+def _chunks(path: str, chunk: int) -> list[tuple[int | None, int | None]]:
+    """Ranges a container can be read in; one open range where it cannot be split."""
+    kind = container_kind(path)
+    if kind == "zip":
+        with open_random(path) as src, zipfile.ZipFile(src) as z:
+            first, end = 0, len(_zip_names(z))
+    elif kind == "tar":
+        return [(None, None)]
+    else:
+        with _database(path) as con:
+            try:
+                first, last = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(_tile_table(con, kind))}").fetchone()
+            except sqlite3.OperationalError:  # a view has no row ids
+                return [(None, None)]
+            if first is None:
+                return []
+            end = last + 1
+    return [(lo, min(lo + chunk, end)) for lo in range(first, end, chunk)]
+
+
+def _entries(path: str, lo: int | None, hi: int | None) -> Iterator[dict]:
     kind = container_kind(path)
-    if kind in ("zip", "tar"):
-        return _archive_entries(path, kind)
-    return _mbtiles_entries(path) if kind == "mbtiles" else _gpkg_entries(path)
+    if kind == "zip":
+        return _zip_entries(path, lo or 0, hi)
+    return _tar_entries(path) if kind == "tar" else _database_entries(path, kind, lo, hi)
 
 
 _COLUMNS = ["container", "name", "layout", "format", "z", "x", "y", "data"]
@@ -109,18 +170,26 @@ def _frames(rows: Iterator[dict], container: str) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def read_containers(spark: SparkSession, paths: DataFrame, layouts: tuple[str, ...] = keys.LAYOUTS) -> DataFrame:
-    """Tiles of many containers, one task per container and one small batch of tiles at a time.
+def read_containers(spark: SparkSession, paths: DataFrame, layouts: tuple[str, ...] = keys.LAYOUTS, chunk: int = CHUNK) -> DataFrame:
+    """Tiles of many containers, small batches at a time.
 
-    ``paths``: column ``path``. Archive entries get their key from the layout their metadata names.
+    ``paths``: column ``path``. Archives with a directory and databases are read in chunks by many
+    tasks, so one container may hold a third of all tiles. Archive entries get their key from the
+    layout their metadata names.
     """
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(path, lo, hi) for path in batch["path"] for lo, hi in _chunks(path, chunk)]
+            yield pd.DataFrame(rows, columns=["path", "lo", "hi"]).astype({"lo": "Int64", "hi": "Int64"})
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
-                yield from _frames(_entries(path), path)
+            for path, lo, hi in zip(batch["path"], batch["lo"], batch["hi"]):
+                span = (None, None) if pd.isna(lo) else (int(lo), int(hi))
+                yield from _frames(_entries(path, *span), path)
 
-    spread = paths.select("path").repartition("path")
-    entries = spread.mapInPandas(read, ENTRY_SCHEMA)
+    chunks = paths.select("path").repartition("path").mapInPandas(plan, CHUNK_SCHEMA)
+    entries = chunks.repartition("path", "lo").mapInPandas(read, ENTRY_SCHEMA)
     parsed = F
     for layout in layouts:
         parsed = parsed.when(F.col("layout") == layout, keys.parse_tile_path(layout, F.col("name")))
@@ -187,7 +256,7 @@ def _write_gpkg(tiles: pd.DataFrame, meta: dict) -> bytes:
     con.execute("INSERT INTO gpkg_tile_matrix_set VALUES (?, 3857, ?, ?, ?, ?)", (name, *box))
     for z in sorted(set(int(v) for v in tiles["z"])):
         con.execute("INSERT INTO gpkg_tile_matrix VALUES (?, ?, ?, ?, 256, 256, 0, 0)", (name, z, 1 << z, 1 << z))
-    quoted = '"' + name.replace('"', '""') + '"'
+    quoted = _quoted(name)
     con.execute(f"CREATE TABLE {quoted} (id integer PRIMARY KEY AUTOINCREMENT, zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
     con.executemany(f"INSERT INTO {quoted} (zoom_level, tile_column, tile_row, tile_data) VALUES (?, ?, ?, ?)", [
         (int(z), int(x), int(y), _packed(d)) for z, x, y, d in zip(tiles["z"], tiles["x"], tiles["y"], tiles["data"])])
@@ -223,12 +292,15 @@ def export_containers(
     container's path, tile count, zoom range and bounds, taken from the keys.
     """
     suffix, writer = WRITERS[kind]
-    sharded = assign_shards(tiles, level, max_tiles).withColumn(
+    key = ("z", "x", "y")
+    # a container holds a key once; copies are combined before they could crowd a shard
+    single = latest(tiles, key) if "mtime" in tiles.columns else tiles.dropDuplicates(list(key))
+    sharded = assign_shards(single, level, max_tiles).withColumn(
         "path", keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")))
     meta = tileset_metadata(sharded, by="shard")
     described = sharded.select("shard", "z", "x", "y", "format", "path", "data").join(meta.select(
         "shard", "min_zoom", "max_zoom", "minx", "miny", "maxx", "maxy"), "shard")
-    origin, srs = grid.origin, grid.srs
+    origin, srs, base = grid.origin, grid.srs, qualified(tiles.sparkSession, root)
 
     def write(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
@@ -237,7 +309,7 @@ def export_containers(
             name=name, format=first["format"], type="overlay", minzoom=int(first["min_zoom"]), maxzoom=int(first["max_zoom"]), bounds=bounds,
             center=f"{(first['minx'] + first['maxx']) / 2},{(first['miny'] + first['maxy']) / 2},0", directory_layout=layout,
             origin=origin, srs=srs, bounds_srs="EPSG:4326", res_factor="2", tile_size=grid.tile_size)
-        target = f"{root}/{name}-{first['shard']}{suffix}"
+        target = f"{base}/{name}-{first['shard']}{suffix}"
         put_bytes(target, writer(group.sort_values(["z", "x", "y"]), info))
         return pd.DataFrame([dict(shard=first["shard"], container=target, tiles=len(group), min_zoom=info["minzoom"],
                                   max_zoom=info["maxzoom"], minx=first["minx"], miny=first["miny"], maxx=first["maxx"], maxy=first["maxy"])])

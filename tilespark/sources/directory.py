@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import keys
-from tilespark.sources.storage import put_bytes
+from tilespark.sources.storage import put_bytes, qualified
 
 TILE_SCHEMA = "tileset string, z int, x long, y long, format string, data binary, size long, mtime timestamp, cacheable boolean"
 
@@ -49,11 +49,12 @@ def export_files(tiles: DataFrame, root: str, layout: str) -> int:
     """Write one file per tile below ``root``; returns how many were written."""
     named = tiles.select(
         keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")).alias("path"), "data").filter("path IS NOT NULL")
+    base = qualified(tiles.sparkSession, root)
 
     def write(batches: Iterator) -> Iterator:
         for batch in batches:
             for path, data in zip(batch["path"], batch["data"]):
-                put_bytes(f"{root}/{path}", bytes(data))
+                put_bytes(f"{base}/{path}", bytes(data))
             yield batch[["path"]].assign(n=1)[["n"]]
 
     done = named.mapInPandas(write, "n long").agg(F.sum("n").alias("n")).first()

@@ -38,6 +38,24 @@ def get_bytes(uri: str) -> bytes:
         return src.read()
 
 
+def open_random(uri: str):
+    """Random-access reader of a file."""
+    filesystem, path = open_filesystem(uri)
+    return filesystem.open_input_file(path)
+
+
+def open_stream(uri: str):
+    """Sequential reader of a file's stored bytes."""
+    filesystem, path = open_filesystem(uri)
+    return filesystem.open_input_stream(path, compression=None)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """Location with its scheme, so Spark and tasks mean the same storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the session's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
