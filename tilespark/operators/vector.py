@@ -139,7 +139,8 @@ def top_per_key(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column
     the shuffle, so a crowded key stays cheap."""
     limit = F.lit(k) if isinstance(k, int) else k
     w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit).withColumnRenamed("_rank", "rank")
+    return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= limit).withColumn(
+        "rank", F.col("_rank").cast("long")).drop("_rank")
 
 
 def feature_info(

@@ -22,6 +22,7 @@ from tilespark.functions import keys
 from tilespark.operators.cache_state import latest
 from tilespark.operators.catalog import tileset_metadata
 from tilespark.functions.tilemath import Grid
+from tilespark.session import ship_package
 from tilespark.sources.storage import open_filesystem, open_random, open_stream, put_bytes, qualified
 
 ENTRY_SCHEMA = "container string, name string, layout string, format string, z int, x long, y long, data binary"
@@ -188,6 +189,7 @@ def read_containers(spark: SparkSession, paths: DataFrame, layouts: tuple[str, .
                 span = (None, None) if pd.isna(lo) else (int(lo), int(hi))
                 yield from _frames(_entries(path, *span), path)
 
+    ship_package(spark)
     chunks = paths.select("path").repartition("path").mapInPandas(plan, CHUNK_SCHEMA)
     entries = chunks.repartition("path", "lo").mapInPandas(read, ENTRY_SCHEMA)
     parsed = F
@@ -315,6 +317,7 @@ def export_containers(
                                   max_zoom=info["maxzoom"], minx=first["minx"], miny=first["miny"], maxx=first["maxx"], maxy=first["maxy"])])
 
     schema = "shard string, container string, tiles long, min_zoom int, max_zoom int, minx double, miny double, maxx double, maxy double"
+    ship_package(tiles.sparkSession)
     # the manifest is stored: reading it again must not write the containers again
     manifest = f"{root}/manifest-{name}-{kind}"
     described.groupBy("shard").applyInPandas(write, schema).write.mode("overwrite").parquet(manifest)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import keys
+from tilespark.session import ship_package
 from tilespark.sources.storage import put_bytes, qualified
 
 TILE_SCHEMA = "tileset string, z int, x long, y long, format string, data binary, size long, mtime timestamp, cacheable boolean"
@@ -50,6 +51,7 @@ def export_files(tiles: DataFrame, root: str, layout: str) -> int:
     named = tiles.select(
         keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")).alias("path"), "data").filter("path IS NOT NULL")
     base = qualified(tiles.sparkSession, root)
+    ship_package(tiles.sparkSession)
 
     def write(batches: Iterator) -> Iterator:
         for batch in batches:
