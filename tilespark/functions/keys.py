@@ -153,9 +153,7 @@ def internal_level(z: Column, skip_first: Column, skip_odd: Column, use_profiles
 def external_level(z: Column, skip_first: Column, skip_odd: Column, use_profiles: Column) -> Column:
     shifted = z - F.when(use_profiles & skip_first, 1).otherwise(0)
     # halves round toward zero, so level -1 of an odd-skipping grid is level 0
-    halved = F.when(shifted < 0, -F.floor(-shifted / 2)).otherwise(F.floor(shifted / 2)).cast(  # noqa: E501
-        "int"
-    )
+    halved = (F.signum(shifted) * F.floor(F.abs(shifted) / 2)).cast("int")
     return F.when(z >= 0, F.when(skip_odd, halved).otherwise(shifted))
 
 

@@ -115,6 +115,14 @@ SHARED = {
                cast(floor(l_quantity*5) as bigint) AS value, l_discount*12e0-0.05e0 AS opacity,
                l_discount, l_returnflag
         FROM lineitem""",
+    # one JSON document per listed layer of a request
+    "info_docs": """
+        SELECT *, concat('{"id":', cast(l_partkey AS varchar(20)), ',"info":{"flag":"', l_returnflag, '","qty":[',
+            cast(qty AS varchar(20)), ']},"x":', CASE WHEN l_linestatus='O'
+              THEN concat('{"k":', cast(l_suppkey AS varchar(20)), '}') ELSE concat('"s', cast(l_suppkey AS varchar(20)), '"') END, '}') AS doc
+        FROM (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey
+                ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord,
+                l_partkey, l_suppkey, l_returnflag, cast(floor(l_quantity) AS bigint) AS qty, l_linestatus FROM lineitem) q""",
     "log_urls": """
         SELECT page_id, url, html FROM pages""",
 }
@@ -186,5 +194,6 @@ class Inputs:
             raise AttributeError(name)
         sources = {n: getattr(self, n) for n in (*BASE, *SHARED, *PAIRED)
                    if n != name and _mentions(text, n)}
-        bound = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(sources) + r")\b", r"\1 {\2}", text)
+        literal = text.replace("{", "{{").replace("}", "}}")
+        bound = re.sub(r"\b(FROM|JOIN)\s+(" + "|".join(sources) + r")\b", r"\1 {\2}", literal)
         return self.spark.sql(bound, **sources)

@@ -168,33 +168,19 @@ def top_features_per_tile(t: Inputs):
     return vector.top_per_key(f, ["z", "x", "y"], [F.desc("bal"), "layer", "fid"], 3).select("z", "x", "y", "layer", "fid", "rank")
 
 
-# one JSON document per listed layer of a request
-DOCS = """docs AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS ord,
-  l_partkey, l_suppkey, l_returnflag, cast(floor(l_quantity) AS bigint) AS qty, l_linestatus FROM lineitem),
-texts AS (SELECT *, concat('{"id":', cast(l_partkey AS varchar(20)), ',"info":{"flag":"', l_returnflag, '","qty":[', cast(qty AS varchar(20)), ']},"x":',
-  CASE WHEN l_linestatus='O' THEN concat('{"k":', cast(l_suppkey AS varchar(20)), '}') ELSE concat('"s', cast(l_suppkey AS varchar(20)), '"') END, '}') AS doc FROM docs)"""
-
-
-def info_docs(t: Inputs):
-    return t.spark.sql("WITH " + DOCS.replace("FROM lineitem", "FROM {lineitem}").replace("'{\"id\":'", "'{{\"id\":'").replace(
-        "\"info\":{\"flag\"", "\"info\":{{\"flag\"").replace("']},\"x\":'", "']}},\"x\":'").replace("'{\"k\":'", "'{{\"k\":'").replace("'}'", "'}}'")
-        + " SELECT request, ord, doc FROM texts", lineitem=t.lineitem)
-
-
-@plan("feature_info_json_merge", "A16", f"""
-WITH {DOCS},
-f AS (SELECT request, min(ord) FILTER (WHERE l_linestatus='O') AS first_map FROM texts GROUP BY 1)
-SELECT request, 'id' AS path, cast(arg_max(l_partkey, ord) AS varchar) AS value FROM texts GROUP BY 1
-UNION ALL SELECT request, 'info.flag', concat('"', arg_max(l_returnflag, ord), '"') FROM texts GROUP BY 1
-UNION ALL SELECT request, 'info.qty', concat('[', string_agg(cast(qty AS varchar), ',' ORDER BY ord), ']') FROM texts GROUP BY 1
-UNION ALL SELECT request, 'x.k', cast(arg_max(l_suppkey, ord) AS varchar) FROM texts JOIN f USING (request) WHERE l_linestatus='O' GROUP BY 1
-UNION ALL SELECT request, 'x', concat('"s', cast(arg_max(l_suppkey, ord) AS varchar), '"') FROM texts JOIN f USING (request) WHERE first_map IS NULL GROUP BY 1""")
+@plan("feature_info_json_merge", "A16", """
+WITH f AS (SELECT request, min(ord) FILTER (WHERE l_linestatus='O') AS first_map FROM info_docs GROUP BY 1)
+SELECT request, 'id' AS path, cast(arg_max(l_partkey, ord) AS varchar) AS value FROM info_docs GROUP BY 1
+UNION ALL SELECT request, 'info.flag', concat('"', arg_max(l_returnflag, ord), '"') FROM info_docs GROUP BY 1
+UNION ALL SELECT request, 'info.qty', concat('[', string_agg(cast(qty AS varchar), ',' ORDER BY ord), ']') FROM info_docs GROUP BY 1
+UNION ALL SELECT request, 'x.k', cast(arg_max(l_suppkey, ord) AS varchar) FROM info_docs JOIN f USING (request) WHERE l_linestatus='O' GROUP BY 1
+UNION ALL SELECT request, 'x', concat('"s', cast(arg_max(l_suppkey, ord) AS varchar), '"') FROM info_docs JOIN f USING (request) WHERE first_map IS NULL GROUP BY 1""")
 def feature_info_json_merge(t: Inputs):
-    merged = vector.combine_json(info_docs(t), ["request"], "ord", "doc")
+    merged = vector.combine_json(t.info_docs, ["request"], "ord", "doc")
     return merged.select("request", F.array_join("path", ".").alias("path"), "value")
 
 
-@plan("feature_info_text_merge", "A16", f"""
-WITH {DOCS} SELECT request, string_agg(doc, chr(10) ORDER BY ord) AS text FROM texts GROUP BY 1""")
+@plan("feature_info_text_merge", "A16", """
+SELECT request, string_agg(doc, chr(10) ORDER BY ord) AS text FROM info_docs GROUP BY 1""")
 def feature_info_text_merge(t: Inputs):
-    return vector.combine_text(info_docs(t), ["request"], "ord", "doc")
+    return vector.combine_text(t.info_docs, ["request"], "ord", "doc")
