@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tilespark.functions.tilemath import GEODETIC, WEBMERCATOR
+from tilespark.functions.tilemath import GEODETIC, MERCATOR, WEBMERCATOR, Grid
 from tilespark.sources import containers, decode, directory
 from tilespark.sources.storage import get_bytes, put_bytes
 from tilespark.streaming import jobs, requests as stream
@@ -42,6 +42,19 @@ def test_container_round_trip(spark, tiles, tmp_path, kind):
     assert pieces.select(cols).exceptAll(tiles.select(cols)).count() == 0 and pieces.count() == 200
 
 
+def test_export_to_another_grid(spark, tiles, tmp_path):
+    square = tiles.filter("y < 50")
+    manifest = containers.export_containers(square, str(tmp_path), "zip", "demo", MERCATOR, source=WEBMERCATOR)
+    back = containers.read_containers(spark, manifest.select(F.col("container").alias("path")))
+    flipped = square.select("z", "x", (127 - F.col("y")).alias("y"), "data")
+    assert back.select("z", "x", "y", "data").exceptAll(flipped).count() == 0 and back.count() == square.count()
+    half = WEBMERCATOR.resolutions[7] * 128
+    west, south, east, north = WEBMERCATOR.bbox
+    shifted = Grid("shifted", "EPSG:3857", (west + half, south, east + half, north), WEBMERCATOR.resolutions)
+    with pytest.raises(ValueError):
+        containers.export_containers(square, str(tmp_path), "zip", "demo", shifted, source=WEBMERCATOR)
+
+
 def test_container_kinds():
     kinds = {"a.zip": "zip", "a.tar.gz": "tar", "b.mbtiles": "mbtiles", "c.gpkg": "gpkg", "c.gpkg:table": "gpkg"}
     assert {k: containers.container_kind(k) for k in kinds} == kinds

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions import keys
-from tilespark.operators.cache_state import latest
+from tilespark.operators.cache_state import latest, rekey
 from tilespark.operators.catalog import tileset_metadata
 from tilespark.functions.tilemath import Grid
 from tilespark.session import ship_package
@@ -286,14 +286,21 @@ def assign_shards(tiles: DataFrame, level: int, max_tiles: int) -> DataFrame:
 
 
 def export_containers(
-    tiles: DataFrame, root: str, kind: str, name: str, grid: Grid, level: int = 2, max_tiles: int = 20_000, layout: str = "tms"
+    tiles: DataFrame, root: str, kind: str, name: str, grid: Grid, level: int = 2, max_tiles: int = 20_000, layout: str = "tms",
+    source: Grid | None = None,
 ) -> DataFrame:
     """Write tiles (z, x, y, format, data) as one container per shard; returns the manifest.
 
     Payloads are gzipped in MBTiles and GeoPackage and raw in archives. The manifest carries each
-    container's path, tile count, zoom range and bounds, taken from the keys.
+    container's path, tile count, zoom range and bounds, taken from the keys. Tiles of another
+    ``source`` grid are keyed anew; a tile that fits no single tile of ``grid`` refuses the export.
     """
     suffix, writer = WRITERS[kind]
+    if source is not None and source != grid:
+        moved, misfits = rekey(tiles, source, grid)
+        if misfits.limit(1).count():
+            raise ValueError("tiles do not align to the target grid")
+        tiles = moved.drop("z", "x", "y").withColumnsRenamed({"nz": "z", "nx": "x", "ny": "y"})
     key = ("z", "x", "y")
     # a container holds a key once; copies are combined before they could crowd a shard
     single = latest(tiles, key) if "mtime" in tiles.columns else tiles.dropDuplicates(list(key))
