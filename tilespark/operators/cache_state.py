@@ -16,7 +16,10 @@ KEY = ("z", "x", "y")
 
 
 def latest(tiles: DataFrame, by: Sequence[str] = KEY, order: Sequence[str] = ("mtime",)) -> DataFrame:
-    """Last write wins: one row per key, combined on the map side."""
+    """Last write wins: one row per key, combined on the map side.
+
+    Whole rows are compared, so select the columns needed beforehand.
+    """
     rest = [c for c in tiles.columns if c not in by]
     rank = F.struct(*order) if len(order) > 1 else F.col(order[0])
     picked = tiles.groupBy(*by).agg(F.max_by(F.struct(*rest), rank).alias("_last"))
@@ -41,8 +44,12 @@ def fresh(stored: DataFrame, wanted: DataFrame, expire: Column, by: Sequence[str
 
 
 def with_state(requests: DataFrame, stored: DataFrame, expire: Column, by: Sequence[str] = KEY) -> DataFrame:
-    """Add ``state`` (hit, stale, miss) to rows keyed by tile; ``stored`` has one row per key."""
-    known = stored.select(*by, F.col("mtime").alias("_mtime"))
+    """Add ``state`` (hit, stale, miss) to rows keyed by tile.
+
+    Only the newest write time of a key matters, so a store with several writes per key is reduced
+    to that by a plain hash aggregate, which also partitions it for the join.
+    """
+    known = stored.groupBy(*by).agg(F.max("mtime").alias("_mtime"))
     state = F.when(F.col("_mtime").isNull(), "miss").when(F.col("_mtime") < expire, "stale").otherwise("hit")
     return requests.join(known, list(by), "left").withColumn("state", state).drop("_mtime")
 

@@ -26,7 +26,7 @@ STORE = """store AS (
 
 def current_store(t: Inputs):
     """The derived store holds several writes per tile; the last one counts."""
-    return cs.latest(t.tile_store, order=("mtime", "o_orderkey"))
+    return cs.latest(t.tile_store.select("z", "x", "y", "mtime", "size", "o_orderkey"), order=("mtime", "o_orderkey"))
 
 
 @plan("tile_heat_cache_state", "P2 J3 J4 A6 W5", f"""
@@ -35,7 +35,7 @@ heat AS (SELECT z, x, y, count(*) AS requests, count(*) FILTER (WHERE event_type
 SELECT z, x, y, requests, errors, CASE WHEN mtime IS NULL THEN 'miss' WHEN mtime < TIMESTAMP '1998-06-01' THEN 'stale' ELSE 'hit' END AS state
 FROM heat LEFT JOIN store USING (z, x, y)""")
 def tile_heat_cache_state(t: Inputs):
-    return cs.request_heat(t.tile_requests, current_store(t), expire())
+    return cs.request_heat(t.tile_requests, t.tile_store, expire())
 
 
 @plan("last_write_wins", "W5", """
@@ -83,7 +83,7 @@ c AS (SELECT z, x, y, max(mtime) AS mtime FROM s GROUP BY 1,2,3)
 SELECT z, x, y, CASE WHEN mtime < TIMESTAMP '1998-06-01' THEN 'stale' ELSE 'fresh' END AS state
 FROM c WHERE (z, x, y) IN (SELECT (z, x, y) FROM w)""")
 def stale_and_fresh_tiles(t: Inputs):
-    stored = cs.latest(sparse_store(t), order=("mtime", "o_orderkey"))
+    stored = sparse_store(t).groupBy("z", "x", "y").agg(F.max("mtime").alias("mtime"))
     wanted = deep_requests(t)
     old = cs.stale(stored, wanted, expire()).withColumn("state", F.lit("stale"))
     new = cs.fresh(stored, wanted, expire()).withColumn("state", F.lit("fresh"))
@@ -258,7 +258,7 @@ SELECT service, layer, z, count(*) FILTER (WHERE hit AND NOT bad) AS hits, count
   count(*) FILTER (WHERE bad) AS errors, count(*) FILTER (WHERE NOT bad) AS requests
 FROM j GROUP BY ROLLUP (service, layer, z)""")
 def access_metrics(t: Inputs):
-    return cs.access_metrics(t.tile_requests, current_store(t), expire())
+    return cs.access_metrics(t.tile_requests, t.tile_store, expire())
 
 
 @plan("fetch_manifest", "S10", """
