@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontamination, mixing, token_output
+from tilespark.llm import decontamination, mixing, ngram_join, token_output
 from tilespark.llm.common import prepare, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies."""
+    prepare(spark)
+    return ngram_join.one_of_each(docs)
+
+
 def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with a benchmark item."""
     prepare(spark)
@@ -31,6 +37,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("ngram_jaccard", without_copies),
     ("benchmark_decontamination", clean_of_tests),
     ("source_mixing", mixed),
     ("token_files", token_files),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontamination, mixing, token_counts, token_output
+from tilespark.llm import decontamination, licences, mixing, ngram_join, quality_rules, token_counts, token_output, url_trust
 from tilespark.llm.common import columns, prepare, table
 
 
@@ -16,10 +16,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.token_lengths(table(prepare(spark), sf_dir, "documents")))
 
 
+def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_urls(table(prepare(spark), sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(token_output.write_tokens(table(prepare(spark), sf_dir, "documents")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes_and_components(table(prepare(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(prepare(spark), sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_out")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = columns(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
@@ -27,5 +40,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op5_token_files, op9_decontamination)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_token_counts, op3_url_trust, op5_token_files, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
 ORACLES: dict[str, str] = {}
