@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontamination, mixing, ngram_join, token_output
+from tilespark.llm import decontamination, mixing, ngram_join, token_output, toxicity
 from tilespark.llm.common import prepare, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    return toxicity.without_toxic(docs, table(prepare(spark), sf_dir, "labels"))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
     prepare(spark)
@@ -37,6 +42,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
     ("ngram_jaccard", without_copies),
     ("benchmark_decontamination", clean_of_tests),
     ("source_mixing", mixed),

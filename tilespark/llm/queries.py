@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontamination, licences, mixing, ngram_join, quality_rules, token_counts, token_output, url_trust
+from tilespark.llm import decontamination, licences, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity, url_trust
 from tilespark.llm.common import columns, prepare, table
 
 
@@ -20,6 +20,12 @@ def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge_urls(table(prepare(spark), sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.add_scores(columns(docs, doc_id="doc_id", text="text", lang="lang"), toxicity.fit(docs, labels))
+    return scored.withColumn("held_out", toxicity.held_out(scored["doc_id"])).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(token_output.write_tokens(table(prepare(spark), sf_dir, "documents")))
 
@@ -46,5 +52,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_token_counts, op3_url_trust, op5_token_files, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
+    op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
 ORACLES: dict[str, str] = {}
