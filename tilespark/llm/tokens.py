@@ -1,7 +1,9 @@
 """Encoding of whole texts with a public tokenizer, inside tasks.
 
 The tokenizer splits at white space before anything else, so a text's ids are its words' ids one
-after the other. Each distinct word is encoded once per worker and looked up after that.
+after the other. It also splits between letters and punctuation other than an apostrophe, so a
+word of letters with such punctuation around it is up to three parts. Each distinct part is encoded
+once per worker and looked up after that.
 """
 
 from __future__ import annotations
@@ -9,10 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tilespark.llm.common import texts
+from tilespark.llm.common import flat_words
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, WordEncoder] = {}
+_AROUND = b".,!?;:*$%&|<>#()\"[]{}-/=+_~^@`"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -21,59 +24,104 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Ragged:
+    """Rows of integers of different lengths in one array."""
+
+    def __init__(self):
+        self.flat, self.size, self.used, self.rows = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int32), 0, 0
+        self.first = np.empty(1 << 14, np.int64)
+
+    def extend(self, flat: np.ndarray, size: np.ndarray) -> None:
+        used, rows = self.used + len(flat), self.rows + len(size)
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while rows > len(self.size):
+            self.size, self.first = np.concatenate([self.size, np.empty_like(self.size)]), np.concatenate([self.first, np.empty_like(self.first)])
+        self.flat[self.used:used], self.size[self.rows:rows] = flat, size
+        self.first[self.rows:rows] = self.used + np.cumsum(size) - size
+        self.used, self.rows = used, rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows one after the other, and the sum of lengths up to each."""
+        size = self.size[rows]
+        upto = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        return self.flat[np.repeat(self.first[rows] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class WordEncoder:
-    """Ids of words, kept in one flat array; holds at most ``most`` words at a time."""
+    """Parts of words, and ids of parts; each table is emptied once it holds more than ``most``."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.first, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.word: dict[bytes, int] = {}
+        self.part: dict[bytes, int] = {}
+        self.parts_of, self.ids_of, self.emptied = Ragged(), Ragged(), False
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        names = [p.decode("utf-8") for p in parts]
+        whole = [i for i, p in enumerate(names) if p.isalpha()]
+        size, ids = np.zeros(len(parts), np.int64), [np.empty(0, np.int32)] * len(parts)
+        if whole:  # words of letters are split off each other by a space: one call for all
+            found = self.tokenizer.encode(" ".join([names[i] for i in whole]), add_special_tokens=False)
+            of = np.array(found.word_ids, np.int64)
+            if len(of) and of[-1] + 1 == len(whole):  # as many pieces as words
+                cut = np.cumsum(np.bincount(of, minlength=len(whole)))
+                for i, got in zip(whole, np.split(np.array(found.ids, np.int32), cut[:-1]), strict=True):
+                    ids[i] = got
+            else:
+                whole = []
+        rest = sorted(set(range(len(parts))).difference(whole))
+        for i, e in zip(rest, self.tokenizer.encode_batch([names[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, np.int32)
+        size[:] = [len(x) for x in ids]
+        self.part.update(zip(parts, range(self.ids_of.rows, self.ids_of.rows + len(parts)), strict=True))
+        self.ids_of.extend(np.concatenate(ids), size)
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        need, rows = self.used + sum(map(len, ids)), len(self.row) + len(ids)
-        while need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while rows > len(self.first):
-            self.first = np.concatenate([self.first, np.empty_like(self.first)])
-            self.size = np.concatenate([self.size, np.empty_like(self.size)])
-        for w, got in zip(words, ids, strict=True):
-            k = self.row[w] = len(self.row)
-            self.first[k], self.size[k] = self.used, len(got)
-            self.flat[self.used:self.used + len(got)] = got
-            self.used += len(got)
-
-    def rows_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's row in the table, and where each text's words begin."""
-        words: list[bytes] = []
-        ends = [0]
-        for t in texts(column):
-            words += t.split()
-            ends.append(len(words))
-        if len(self.row) > self.most:
-            self.clear()
-        if new := set(words).difference(self.row):
+        parts: list[bytes] = []
+        size = np.ones(len(words), np.int64)
+        for i, w in enumerate(words):
+            core = w.strip(_AROUND)
+            if len(core) == len(w) or not (core.isalpha() or core.decode("utf-8").isalpha()):
+                parts.append(w)
+                continue
+            at = w.find(core)
+            cut = [x for x in (w[:at], core, w[at + len(core):]) if x]
+            parts += cut
+            size[i] = len(cut)
+        if len(self.part) > self.most:
+            self.part, self.ids_of = {}, Ragged()
+            self.word, self.parts_of = {}, Ragged()
+            self.emptied = True
+        if new := set(parts).difference(self.part):
+            self._learn_parts(sorted(new))
+        self.word.update(zip(words, range(self.parts_of.rows, self.parts_of.rows + len(words)), strict=True))
+        self.parts_of.extend(np.fromiter(map(self.part.__getitem__, parts), np.int32, len(parts)), size)
+
+    def _flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all parts, and where each text's parts begin."""
+        words, ends = flat_words(column)
+        if len(self.word) > self.most:
+            self.word, self.parts_of = {}, Ragged()
+        self.emptied = False
+        if new := set(words).difference(self.word):
             self.learn(sorted(new))
-        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words)), np.asarray(ends)
+            if self.emptied:  # what was known is gone as well
+                self.learn(sorted(set(words).difference(self.word)))
+        parts, upto = self.parts_of.take(np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)))
+        return parts, upto[ends]
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
-        rows, ends = self.rows_of(column)
-        return np.diff(np.r_[0, np.cumsum(self.size[rows])][ends])
+        parts, cut = self._flat(column)
+        return np.diff(np.r_[0, np.cumsum(self.ids_of.size[parts], dtype=np.int64)][cut])
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
-        rows, ends = self.rows_of(column)
-        size = self.size[rows]
-        upto = np.r_[0, np.cumsum(size)]
-        at = np.repeat(self.first[rows] - upto[:-1], size) + np.arange(upto[-1])
-        ids, cut = self.flat[at], upto[ends]
+        parts, cut = self._flat(column)
+        ids, upto = self.ids_of.take(parts)
+        ids, cut = ids.astype(np.uint32), upto[cut]
         return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
