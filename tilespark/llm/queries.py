@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilespark.llm import decontamination, licences, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity, url_trust
+from tilespark.llm import decontamination, licences, mixing, ngram_join, passages, quality_rules, token_counts, token_output, toxicity, url_trust
 from tilespark.llm.common import columns, prepare, table
 
 
@@ -30,6 +30,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(token_output.write_tokens(table(prepare(spark), sf_dir, "documents")))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(prepare(spark), sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_and_components(table(prepare(spark), sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -52,5 +56,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
+    op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op6_passage_dedup, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
 ORACLES: dict[str, str] = {}
