@@ -159,12 +159,12 @@ def _prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
 
     found = docs.select("text").mapInArrow(run, "hi long, lo long, size long, prefix binary")
     found = found.groupBy("hi", "lo").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    return stored(found.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "size", "prefix"), "classes")
+    return stored(found.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "size", "prefix"), "classes", free=True)
 
 
 def _meetings(classes: DataFrame, order: Order) -> DataFrame:
-    """``token, cid, left, size``: prefix n-grams that two classes or more hold; ``left`` is how much of the set
-    the n-gram and those after it in the order make up. Hot n-grams are dealt to several tasks, which
+    """``token, cid, left, size, met``: prefix n-grams that two classes or more hold; ``left`` is how much of the set
+    the n-gram and those after it in the order make up, ``met`` how many such n-grams the class has. Hot n-grams are dealt to several tasks, which
     keep their rows without looking for partners."""
     spark = classes.sparkSession
     short = order.hash >> _U(24)
@@ -205,15 +205,18 @@ def _meetings(classes: DataFrame, order: Order) -> DataFrame:
     total = classes.agg(F.sum(F.octet_length("prefix"))).head()[0] or 0
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), total // 5_000_000)
     dealt = classes.select("cid", "size", "prefix").mapInArrow(rows, "token long, cid long, left long, size long, salt long").repartition(tasks, "token", "salt")
-    return stored(dealt.mapInArrow(meet, "token long, cid long, left long, size long"), "meetings")
+    met = stored(dealt.mapInArrow(meet, "token long, cid long, left long, size long"), "meetings", free=True)
+    counts = met.groupBy(F.col("cid").alias("_cid")).agg(F.count(F.lit(1)).alias("met"))
+    return stored(met.join(counts, F.col("cid") == F.col("_cid")).drop("_cid"), "meetings", free=True)
 
 
-def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, meetings: DataFrame, order: Order, n: int) -> DataFrame:
-    """``cid, part, grams``: the whole sets, cut into fragments, of the classes that meet another.
+def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, pairs: DataFrame, order: Order, n: int) -> DataFrame:
+    """``cid, part, grams``: the whole sets, cut into fragments, of the classes in ``pairs``.
 
     One row of each class is read again; where rows are repeated, its fragments may be there twice."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
-    wanted = classes.select("cid", "hi", "lo").join(meetings.select("cid").distinct(), "cid")
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = classes.select("cid", "hi", "lo").join(ids, "cid")
     rows = found.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     rows = wanted.join(rows, ["hi", "lo"]).select("cid", F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "row.*").withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     picked = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("text", "cid", "_hi", "_lo")
@@ -234,7 +237,7 @@ def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, meetings:
                                 r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["cid", "part", "grams"])
 
-    return stored(picked.mapInArrow(run, "cid long, part int, grams binary"), "fragments")
+    return stored(picked.mapInArrow(run, "cid long, part int, grams binary"), "fragments", free=True)
 
 
 def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -254,11 +257,19 @@ def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def _can_link(percent: int) -> Column:
-    """Size and position of the first common n-gram leave room for enough common ones."""
-    return (100 + percent) * F.least("left", "_left") >= percent * (F.col("size") + F.col("_size"))
+    """Sizes, the position of the first common n-gram and the number of prefix n-grams that others hold leave
+    room for enough common ones.
+
+    Up to where the shorter of the two prefixes ends, common n-grams are in both prefixes; after that they
+    are in the rest of one of the sets.
+    """
+    enough = percent * (F.col("size") + F.col("_size"))
+    longest = F.greatest("size", "_size")
+    rest = F.floor((longest * percent + 99) / 100) - 1
+    return ((100 + percent) * F.least("left", "_left") >= enough) & ((100 + percent) * (F.least("met", "_met") + rest) >= enough)
 
 
-def _links(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar, of ``a, b`` with sizes ``size_a, size_b``."""
     found = overlaps(pairs.select("a", "b"), fragments).withColumnsRenamed({"a": "_a", "b": "_b"})
     joined = pairs.join(found, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
@@ -279,7 +290,8 @@ def _leaders(rows: DataFrame) -> DataFrame:
     """Of each n-gram: the member with most of its set still to come, by a hash among equals."""
     key = (F.col("size") - F.col("left")) * F.lit(1 << 44) + F.abs(F.xxhash64("cid")) % F.lit(1 << 44)
     return rows.groupBy(F.col("token").alias("_token")).agg(
-        F.min_by("cid", key).alias("_cid"), F.min_by("left", key).alias("_left"), F.min_by("size", key).alias("_size"), F.min_by("comp", key).alias("_comp"))
+        F.min_by("cid", key).alias("_cid"), F.min_by("left", key).alias("_left"), F.min_by("size", key).alias("_size"),
+        F.min_by("met", key).alias("_met"), F.min_by("comp", key).alias("_comp"))
 
 
 def _against_leaders(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
@@ -296,9 +308,9 @@ def _rest(rows: DataFrame, percent: int) -> DataFrame:
     least = rows.groupBy(F.col("token").alias("_token")).agg(F.min("size").alias("_least"), F.min("comp").alias("_c0"), F.max("comp").alias("_c1"))
     open_ = leaders.join(least.filter(F.col("_c0") != F.col("_c1")), "_token")
     rows = rows.join(open_, F.col("token") == F.col("_token")).filter((100 + percent) * F.col("left") >= percent * (F.col("size") + F.col("_least")))
-    own = rows.filter(F.col("comp") != F.col("_leading")).select("token", "cid", "left", "size", "comp")
+    own = rows.filter(F.col("comp") != F.col("_leading")).select("token", "cid", "left", "size", "met", "comp")
     other = rows.select(F.col("token").alias("_token"), F.col("cid").alias("_cid"), F.col("left").alias("_left"), F.col("size").alias("_size"),
-                        F.col("comp").alias("_comp"), (F.col("comp") == F.col("_leading")).alias("_led"))
+                        F.col("met").alias("_met"), F.col("comp").alias("_comp"), (F.col("comp") == F.col("_leading")).alias("_led"))
     met = own.join(other, (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & (F.col("_led") | (F.col("cid") < F.col("_cid"))) & _can_link(percent))
     return _distinct_pairs(met.select(F.col("_cid").alias("a"), F.col("cid").alias("b"), F.col("_size").alias("size_a"), F.col("size").alias("size_b")))
 
@@ -330,7 +342,6 @@ def classes_and_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     order = _order(repeated)
     classes = _prefixes(docs, order, n, percent)
     meetings = _meetings(classes, order)
-    fragments = _fragments(docs, found, classes, meetings, order, n)
     labels = None
     for step in range(leader_rounds + 1):
         rows = _labelled(meetings, labels)
@@ -343,10 +354,13 @@ def classes_and_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str
                 rows = rows.join(first, F.col("token") == F.col("_t")).filter(F.col("comp") != F.col("_led")).drop("_t", "_led")
                 leaders = _leaders(rows)
             pairs = _against_leaders(rows, leaders, percent)
-        labels = _joined(labels, _links(stored(pairs, "pairs"), fragments, classes, percent))
+        pairs = stored(pairs, "pairs", free=True)
+        if pairs.isEmpty():
+            continue
+        fragments = _fragments(docs, found, classes, pairs, order, n)
+        labels = _joined(labels, stored(_links(pairs, fragments, percent), "links", free=True))
     least = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
-    by_class = classes.select("cid", "hi", "lo").join(least, ["hi", "lo"]).join(labels, F.col("cid") == F.col("node"), "left")
-    by_class = by_class.select("hi", "lo", "least", F.coalesce("component", "cid").alias("comp"))
+    by_class = _labelled(classes.select("cid", "hi", "lo"), labels).join(least, ["hi", "lo"])
     smallest = by_class.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("component_id"))
     named = by_class.join(smallest, F.col("comp") == F.col("_comp")).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "component_id")
     some = found.filter("size > 0").join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
