@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,10 +156,15 @@ def swap_axes(srs: Column, box: Column) -> Column:
     )).otherwise(box)
 
 
+#: Latitudes nearer to a pole than this have no place on a mercator map and are moved to it.
+POLE = 89.999999
+
+
 def _to_mercator(x: Column, y: Column) -> Column:
+    lat = F.when(y > POLE, POLE).when(y < -POLE, -POLE).otherwise(y)
     return vertex(
         F.radians(x) * EARTH_RADIUS,
-        F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * EARTH_RADIUS,
+        F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH_RADIUS,
     )
 
 
@@ -179,6 +185,33 @@ def reproject_xy(x: Column, y: Column, src: str, dst: str) -> Column:
     return _to_mercator(x, y) if dst in MERCATOR else _to_lonlat(x, y)
 
 
+def numpy_projection(src: str, dst: str):
+    """:func:`reproject_xy` for arrays: a function of x and y."""
+    known = GEOGRAPHIC + MERCATOR
+    if src not in known or dst not in known:
+        raise ValueError(f"no projection from {src} to {dst}")
+    if (src in MERCATOR) == (dst in MERCATOR):
+        return lambda x, y: (x, y)
+    if dst in MERCATOR:
+        return lambda x, y: (np.radians(x) * EARTH_RADIUS, np.log(np.tan(math.pi / 4 + np.radians(np.clip(y, -POLE, POLE)) / 2)) * EARTH_RADIUS)
+    return lambda x, y: (np.degrees(x / EARTH_RADIUS), np.degrees(np.arctan(np.exp(y / EARTH_RADIUS)) * 2 - math.pi / 2))
+
+
+def numpy_inside(edges, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Even-odd rule for all rows ``y`` and columns ``x``; ``edges`` is an Arrow array of ``struct<p,q>``.
+
+    Each edge is looked at once, for the rows that it spans.
+    """
+    px, py, qx, qy = (edges.field(a).field(b).to_numpy(zero_copy_only=False) for a in "pq" for b in "xy")
+    odd = np.zeros((len(y), len(x)), bool)
+    for x0, y0, x1, y1 in zip(px, py, qx, qy, strict=True):
+        rows = np.flatnonzero((y0 > y) != (y1 > y))
+        if len(rows):
+            at = (x1 - x0) * (y[rows] - y0) / (y1 - y0) + x0
+            odd[rows] ^= x[None, :] < at[:, None]
+    return odd
+
+
 def reproject_parts(parts: Column, src: str, dst: str) -> Column:
     return F.transform(parts, lambda part: F.transform(
         part, lambda ring: F.transform(ring, lambda p: reproject_xy(p.x, p.y, src, dst))

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as geo
+from tilespark.functions.arrays import arrays, by_batch, lists, rasters
 from tilespark.functions.elevation import bilinear
 from tilespark.functions.once import once
 from tilespark.functions.tilemath import Grid, affected_range
@@ -35,19 +38,21 @@ def cell(vals: Column, width: Column | int, col: Column, row: Column) -> Column:
 
 def mosaic(
     tiles: DataFrame, by: Sequence[str], slot: Column, tiles_w: Column | int, tiles_h: Column | int,
-    width: int, height: int, fill: float | None = None,
+    width: int, height: int, fill: float | None = None, missing: Column | None = None,
 ) -> DataFrame:
     """Tiles of a block to one raster; slot ``i`` lies at ``(i % tiles_w, i / tiles_w)``.
 
     A block is a meta tile or the sources of one target tile, so its tiles fit in a row. Missing
-    slots keep the fill value.
+    slots keep the fill value, of tiles with one slot any is taken. ``missing`` is an aggregate to keep.
     """
     tiles_w = F.lit(tiles_w) if isinstance(tiles_w, int) else tiles_w
     tiles_h = F.lit(tiles_h) if isinstance(tiles_h, int) else tiles_h
     placed = tiles.withColumn("_slot", slot.cast("int")).withColumn("_tw", tiles_w.cast("int")).withColumn("_th", tiles_h.cast("int"))
     grouped = placed.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("_slot", "vals"))).alias("_tiles"),
-        F.first("_tw").alias("tiles_w"), F.first("_th").alias("tiles_h"))
+        F.array_sort(F.collect_list(F.struct("_slot", "vals"))).alias("_all"),
+        F.first("_tw").alias("tiles_w"), F.first("_th").alias("tiles_h"), *([] if missing is None else [missing.alias("missing")]))
+    alone = F.filter("_all", lambda e, i: (i == 0) | (F.get(F.col("_all"), i - 1)["_slot"] != e["_slot"]))
+    grouped = grouped.withColumn("_tiles", F.map_from_entries(alone)).drop("_all")
     blank = F.array_repeat(F.lit(fill).cast("double"), width * height)
 
     def line(row: Column, at: Column) -> Column:
@@ -98,15 +103,14 @@ def _mean(values: list[Column], nodata: float | None) -> Column:
     return F.when(n > 0, total / n).otherwise(F.lit(nodata).cast("double"))
 
 
-def halve(vals: Column, width: int, height: int, nodata: float | None = None, method: str = "mean") -> Column:
-    """Half-size raster: each cell from a 2 x 2 block, by mean or its upper-left cell."""
-    def block(i: Column) -> Column:
-        col, row = (i % (width // 2)) * 2, F.floor(i / (width // 2)) * 2
-        if method == "nearest":
-            return cell(vals, width, col, row)
-        return _mean([cell(vals, width, col + dx, row + dy) for dy in (0, 1) for dx in (0, 1)], nodata)
-
-    return F.transform(count_from(0, (width // 2) * (height // 2)), block)
+def halve(vals: np.ndarray, nodata: float | None = None, method: str = "mean") -> np.ndarray:
+    """Half-size raster: each cell from a 2 x 2 block, by the mean of its valid cells or its upper-left cell."""
+    if method == "nearest":
+        return vals[::2, ::2]
+    block = np.stack([vals[dy::2, dx::2] for dy in (0, 1) for dx in (0, 1)])
+    valid = ~np.isnan(block) if nodata is None else ~np.isnan(block) & (block != nodata)
+    n, total = valid.sum(0), np.where(valid, block, 0.0).sum(0)
+    return np.where(n > 0, total / np.maximum(n, 1), np.nan if nodata is None else nodata)
 
 
 def pyramid(tiles: DataFrame, levels: int, size: int, nodata: float | None = None, method: str = "mean", by: Sequence[str] = ()) -> DataFrame:
@@ -114,33 +118,43 @@ def pyramid(tiles: DataFrame, levels: int, size: int, nodata: float | None = Non
 
     A tile shrinks to a (size / 2^k)-wide piece of its ancestor k levels up without leaving its row;
     the pieces, a third of the input in all, are grouped by ancestor once. Deeper pyramids run this
-    again on the coarsest result.
+    again on the coarsest result. Cells are worked on as arrays, a batch of tiles at a time.
     """
     if size % (1 << levels):
         raise ValueError("a tile must halve evenly on every level")
-    reduced = tiles
-    pieces = []
-    for k in range(1, levels + 1):
-        source = F.col("vals") if k == 1 else F.col(f"_v{k - 1}")
-        reduced = reduced.withColumn(f"_v{k}", halve(source, size >> (k - 1), size >> (k - 1), nodata, method))
-        side = 1 << k
-        pieces.append(F.struct(
-            F.lit(k).alias("k"), F.shiftright("x", k).alias("px"), F.shiftright("y", k).alias("py"),
-            (F.pmod(F.col("y"), F.lit(side)) * side + F.pmod(F.col("x"), F.lit(side))).cast("int").alias("slot"),
-            F.col(f"_v{k}").alias("piece")))
-    opened = reduced.select(*by, "z", F.explode(F.array(*pieces)).alias("p"))
-    grouped = opened.groupBy(*by, (F.col("z") - F.col("p.k")).alias("z"), F.col("p.px").alias("x"), F.col("p.py").alias("y"), F.col("p.k").alias("k")).agg(
-        F.map_from_entries(F.collect_list(F.struct("p.slot", "p.piece"))).alias("_pieces"))
+    keys = tiles.select(*by, "z", "x", "y")
+
+    def shrink(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        at, ks, pieces = [], [], []
+        for i, vals in enumerate(arrays(batch.column("vals"))):
+            piece = vals.reshape(size, size)
+            for k in range(1, levels + 1):
+                piece = halve(piece, nodata, method)
+                at.append(i)
+                ks.append(k)
+                pieces.append(piece.ravel())
+        return np.array(at, np.int64), {"k": pa.array(ks, pa.int32()), "piece": rasters(pieces)}
+
+    shrunk = by_batch(tiles.select(*keys.columns, "vals"), shrink, keys.schema.fields, "k int, piece array<double>")
     side = F.pow(F.lit(2), F.col("k")).cast("int")
-    step = (F.lit(size) / side).cast("int")
-
-    def value(i: Column) -> Column:
-        col, row = i % size, F.floor(i / size).cast("int")
-        slot = F.floor(row / step).cast("int") * side + F.floor(col / step).cast("int")
-        inner = (row % step) * step + col % step
-        return F.coalesce(F.get(F.col("_pieces")[slot], inner.cast("int")), F.lit(nodata).cast("double"))
-
-    return grouped.withColumn("vals", F.transform(count_from(0, size * size), value)).drop("_pieces", "k")
+    slot = (F.pmod(F.col("y"), side) * side + F.pmod(F.col("x"), side)).cast("int")
+    up = [(F.floor(F.col(c) / side)).cast("long").alias(f"_{c}") for c in "xy"]
+    opened = shrunk.select(*by, (F.col("z") - F.col("k")).alias("z"), "k", *up, slot.alias("slot"), "piece")
+    grouped = opened.groupBy(*by, "z", F.col("_x").alias("x"), F.col("_y").alias("y"), "k").agg(
+        F.collect_list(F.struct("slot", "piece")).alias("_pieces"))
+
+    def assemble(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        out = []
+        for k, pieces in zip(batch.column("k").to_pylist(), lists(batch.column("_pieces")), strict=True):
+            n, whole = size >> k, np.full((size, size), np.nan if nodata is None else nodata)
+            for slot, piece in zip(pieces.field("slot").to_pylist(), arrays(pieces.field("piece")), strict=True):
+                row, col = divmod(slot, 1 << k)
+                piece = piece.reshape(n, n)
+                whole[row * n:(row + 1) * n, col * n:(col + 1) * n] = piece if nodata is None else np.where(np.isnan(piece), nodata, piece)
+            out.append(whole.ravel())
+        return np.arange(len(out)), {"vals": rasters(out)}
+
+    return by_batch(grouped, assemble, grouped.select(*by, "z", "x", "y").schema.fields, "vals array<double>")
 
 
 def all_blank(tiles: DataFrame, by: Sequence[str], background: float) -> DataFrame:
@@ -262,7 +276,8 @@ def sample_points(
     """Raster value at fractional pixel positions of a tiled raster.
 
     A point asks only the one to four tiles its neighbour cells lie in (clamped to the raster), takes
-    its cells out of their arrays inside the join, and is put together per point.
+    its cells out of their arrays inside the join, and is put together per point. Cells of absent tiles
+    are nodata: they take the mean of the valid neighbours, 0 without any.
     """
     x, y = F.col(px), F.col(py)
 
@@ -277,14 +292,14 @@ def sample_points(
     asked = points.withColumn("_spots", F.array(*spots)).withColumn("_t", F.explode(F.array_distinct(
         F.transform("_spots", lambda s: F.struct(s.x.alias("x"), s.y.alias("y"))))))
     held = tiles.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "vals")
-    met = asked.join(held, (F.col("_t.x") == F.col("_x")) & (F.col("_t.y") == F.col("_y")))
+    met = asked.join(held, (F.col("_t.x") == F.col("_x")) & (F.col("_t.y") == F.col("_y")), "left")
     picks = []
     for i, name in enumerate(corners):
         spot = F.col("_spots")[i]
         here = (spot.x == F.col("_x")) & (spot.y == F.col("_y"))
         picks.append(F.when(here, F.get("vals", spot.i)).alias(f"_{name}"))
     cut = met.select(point_id, px, py, *picks)
-    whole = cut.groupBy(point_id, px, py).agg(*[F.max(f"_{n}").alias(f"_{n}") for n in corners])
+    whole = cut.groupBy(point_id, px, py).agg(*[F.coalesce(F.max(f"_{n}"), F.lit(nodata)).alias(f"_{n}") for n in corners])
     filled = fill_nodata({n: F.col(f"_{n}") for n in corners}, nodata)
     named = whole.withColumns({f"_f{n}": c for n, c in filled.items()}).withColumn("_fx", x - F.floor(x)).withColumn("_fy", y - F.floor(y))
     fx, fy = F.col("_fx"), F.col("_fy")
@@ -297,11 +312,12 @@ def sample_points(
 # ---- warping -----------------------------------------------------------------------------------
 
 
-def source_blocks(targets: DataFrame, sources: DataFrame, dst: Grid, src: Grid, src_level: int, margin: int = 1) -> DataFrame:
-    """For each target tile the mosaic of the source tiles under it, and how many were missing.
+def source_blocks(targets: DataFrame, sources: DataFrame, dst: Grid, src: Grid, src_level: int, margin: int = 1, most_tiles: int = 1024) -> DataFrame:
+    """For each target tile the mosaic of the source tiles under it, and whether any was missing.
 
     ``targets``: z, x, y; ``sources``: x, y, vals of one source level. Blocks span the tiles a target
-    covers plus ``margin`` cells, a few tiles at matching resolutions.
+    covers plus ``margin`` cells, a few tiles at matching resolutions; a block of more than
+    ``most_tiles`` tiles is refused, as it would be one row. A target without any source tile is there, missing.
     """
     size = src.tile_size
     box = dst.tile_bbox(F.col("x"), F.col("y"), F.col("z"))
@@ -311,17 +327,20 @@ def source_blocks(targets: DataFrame, sources: DataFrame, dst: Grid, src: Grid,
     b = F.col("_b")
     ranged = once(moved, "_r", affected_range(src, b.minx - grow, b.miny - grow, b.maxx + grow, b.maxy + grow, level))
     r = F.col("_r")
+    n = (r.x1 - r.x0 + 1) * (r.y1 - r.y0 + 1)
+    allowed = F.when(n > most_tiles, F.raise_error(F.lit(f"a target covers more than {most_tiles} source tiles: choose a coarser source level"))).otherwise(r.x1)
+    one = F.lit(1).cast("long")
     pairs = (
-        ranged.withColumn("sx", F.explode(F.sequence(r.x0, r.x1))).withColumn("sy", F.explode(F.sequence(r.y0, r.y1)))
-        .withColumn("_tw", r.x1 - r.x0 + 1).withColumn("_th", r.y1 - r.y0 + 1)
+        ranged.withColumn("sx", F.explode_outer(F.sequence(r.x0, allowed))).withColumn("sy", F.explode_outer(F.sequence(r.y0, r.y1)))
+        .withColumn("_tw", F.coalesce(r.x1 - r.x0 + 1, one)).withColumn("_th", F.coalesce(r.y1 - r.y0 + 1, one))
         .withColumn("slot", (F.col("sy") - r.y0) * (r.x1 - r.x0 + 1) + F.col("sx") - r.x0)
         .withColumn("x0", r.x0).withColumn("y0", r.y0)
     )
     held = sources.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "vals")
-    joined = pairs.join(held, ["sx", "sy"]).select("z", "x", "y", "x0", "y0", "_tw", "_th", "slot", "vals")
-    counted = mosaic(joined.withColumn("_n", F.col("_tw") * F.col("_th")), ["z", "x", "y", "x0", "y0", "_n"], F.col("slot"),
-                     F.col("_tw"), F.col("_th"), size, size)
-    return counted.withColumn("missing", F.exists("vals", lambda v: v.isNull())).drop("_n")
+    joined = pairs.join(held.withColumn("_held", F.lit(1)), ["sx", "sy"], "left")
+    joined = joined.select("z", "x", "y", "x0", "y0", "_tw", "_th", F.coalesce("slot", F.lit(0).cast("long")).alias("slot"), "vals", "_held")
+    return mosaic(joined, ["z", "x", "y", "x0", "y0"], F.col("slot"), F.col("_tw"), F.col("_th"), size, size,
+                  missing=F.count("_held") < F.first(F.col("_tw") * F.col("_th")))
 
 
 def warp(
@@ -330,48 +349,83 @@ def warp(
     """Target tiles filled from their source blocks: each cell centre is projected back and looked up.
 
     ``nearest`` takes the cell holding the position; ``bilinear`` interpolates between cell corners as
-    elevation sampling does, treating nodata by the mean of the valid neighbours.
+    elevation sampling does, treating nodata by the mean of the valid neighbours; ``box`` takes the mean of
+    the valid source cells under the target cell. Positions outside the block have no value.
+    ``interpolate`` gets arrays; it may use arithmetic only.
     """
     size, res = dst.tile_size, src.resolutions[src_level]
     left = F.lit(src.bbox[0]) + F.col("x0") * res * src.tile_size
     top = F.lit(src.bbox[3]) - F.col("y0") * res * src.tile_size
-    box = dst.tile_bbox(F.col("x"), F.col("y"), F.col("z"))
-    placed = once(blocks.withColumn("_left", left).withColumn("_top", top), "_box", box).withColumn(
-        "_step", (F.col("_box.maxx") - F.col("_box.minx")) / size)
-
-    def at(i: Column) -> Column:
-        cx = F.col("_box.minx") + ((i % size) + 0.5) * F.col("_step")
-        cy = F.col("_box.maxy") - (F.floor(i / size) + 0.5) * F.col("_step")
-        p = geo.reproject_xy(cx, cy, dst.srs, src.srs)
-        return F.struct(((p.x - F.col("_left")) / res).alias("px"), ((F.col("_top") - p.y) / res).alias("py"))
-
-    def inside(col, row):
-        return (col >= 0) & (row >= 0) & (col < F.col("w")) & (row < F.col("h"))
-
-    def pick(col, row):
-        return F.when(inside(col, row), cell(F.col("vals"), F.col("w"), col, row))
-
-    # each step binds its result before the next one uses it several times
-    positions = F.transform(count_from(0, size * size), at)
-    if method == "nearest":
-        values = F.transform(positions, lambda p: pick(F.floor(p.px), F.floor(p.py)))
-    else:
-        floors = F.transform(positions, lambda p: F.struct(
-            F.floor(p.px).alias("x"), F.floor(p.py).alias("y"),
-            (p.px - F.floor(p.px)).alias("fx"), (p.py - F.floor(p.py)).alias("fy")))
-
-        def corners(p: Column) -> Column:
-            right, below = F.least(p.x + 1, F.col("w") - 1), F.least(p.y + 1, F.col("h") - 1)
-            return F.struct(pick(p.x, p.y).alias("nw"), pick(right, p.y).alias("ne"), pick(p.x, below).alias("sw"),
-                            pick(right, below).alias("se"), p.fx.alias("fx"), p.fy.alias("fy"))
-
-        def filled(c: Column) -> Column:
-            whole = fill_nodata({n: c[n] for n in CORNERS}, nodata)
-            return F.struct(*[whole[n].alias(n) for n in CORNERS], c.nw.alias("raw"), c.fx.alias("fx"), c.fy.alias("fy"))
-
-        values = F.transform(F.transform(F.transform(floors, corners), filled), lambda c: F.when(
-            near_sample(c.fx, c.fy), c.raw).otherwise(interpolate(*[c[n] for n in CORNERS], c.fx, c.fy)))
-    return placed.select("z", "x", "y", values.alias("vals"))
+    placed = blocks.select("z", "x", "y", "vals", F.col("w").cast("int").alias("w"), left.alias("_left"), top.alias("_top"),
+                           dst.tile_bbox(F.col("x"), F.col("y"), F.col("z")).alias("_b")).select("*", "_b.*")
+    project = geo.numpy_projection(dst.srs, src.srs)
+
+    def look_up(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        number = {c: batch.column(c).to_pylist() for c in ("w", "_left", "_top", "minx", "maxx", "maxy")}
+        out = []
+        for i, vals in enumerate(arrays(batch.column("vals"))):
+            grid = vals.reshape(-1, number["w"][i])
+            step = (number["maxx"][i] - number["minx"][i]) / size
+
+            def cells(edge: np.ndarray, i=i, step=step) -> tuple[np.ndarray, np.ndarray]:
+                x, y = project(number["minx"][i] + edge * step, number["maxy"][i] - edge * step)
+                return (x - number["_left"][i]) / res, (number["_top"][i] - y) / res
+
+            # both projections treat the axes apart, so a row and a column of positions are enough
+            px, py = cells(np.arange(size) + 0.5)
+            if method == "box":
+                out.append(_box_means(grid, *cells(np.arange(size + 1.0)), nodata).ravel())
+            elif method == "nearest":
+                out.append(_pick(grid, np.floor(py), np.floor(px)).ravel())
+            else:
+                out.append(_between(grid, px, py, nodata, interpolate).ravel())
+        return np.arange(len(out)), {"vals": rasters(out)}
+
+    return by_batch(placed, look_up, placed.select("z", "x", "y").schema.fields, "vals array<double>")
+
+
+def _pick(grid: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Cells at all rows and columns, NaN outside."""
+    h, w = grid.shape
+    r, c = np.clip(rows, 0, h - 1).astype(np.int64), np.clip(cols, 0, w - 1).astype(np.int64)
+    inside = ((rows >= 0) & (rows < h))[:, None] & ((cols >= 0) & (cols < w))[None, :]
+    return np.where(inside, grid[r[:, None], c[None, :]], np.nan)
+
+
+def _between(grid: np.ndarray, px: np.ndarray, py: np.ndarray, nodata: float, interpolate) -> np.ndarray:
+    x, y = np.floor(px), np.floor(py)
+    right, below = np.minimum(x + 1, grid.shape[1] - 1), np.minimum(y + 1, grid.shape[0] - 1)
+    corner = {"nw": _pick(grid, y, x), "ne": _pick(grid, y, right), "sw": _pick(grid, below, x), "se": _pick(grid, below, right)}
+    fx, fy = np.broadcast_arrays((px - x)[None, :], (py - y)[:, None])
+    raw = corner["nw"]
+    valid = {n: (v != nodata) & ~np.isnan(v) for n, v in corner.items()}
+    n = sum(valid[c].astype(int) for c in CORNERS)
+    mean = sum(np.where(valid[c], corner[c], 0.0) for c in CORNERS) / np.maximum(n, 1)
+    whole = [np.where(corner[c] == nodata, mean, corner[c]) for c in CORNERS]
+    near = ((fx < 0.1) | (fx > 0.9)) & ((fy < 0.1) | (fy > 0.9))
+    return np.where(near, raw, interpolate(*whole, fx, fy))
+
+
+def _box_means(grid: np.ndarray, px: np.ndarray, py: np.ndarray, nodata: float) -> np.ndarray:
+    """Mean of the valid cells whose centres lie between neighbouring positions; at least the nearest cell."""
+    valid = ~np.isnan(grid) & (grid != nodata)
+
+    def spans(p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        lo = np.ceil(p[:-1] - 0.5).astype(np.int64)
+        hi = np.ceil(p[1:] - 0.5).astype(np.int64)
+        middle = np.floor((p[:-1] + p[1:]) / 2).astype(np.int64)
+        lo, hi = np.where(hi > lo, lo, middle), np.where(hi > lo, hi, middle + 1)
+        return np.clip(lo, 0, n), np.clip(hi, 0, n)
+
+    (r0, r1), (c0, c1) = spans(py, grid.shape[0]), spans(px, grid.shape[1])
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        t = np.zeros((v.shape[0] + 1, v.shape[1] + 1))
+        t[1:, 1:] = v.cumsum(0).cumsum(1)
+        return t[r1][:, c1] - t[r0][:, c1] - t[r1][:, c0] + t[r0][:, c0]
+
+    n, held = sums(valid.astype(float)), sums(np.ones_like(grid))
+    return np.where(held == 0, np.nan, np.where(n > 0, sums(np.where(valid, grid, 0.0)) / np.maximum(n, 1), nodata))
 
 
 def split_complete(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -388,21 +442,26 @@ def mask(tiles: DataFrame, width: int, height: int, edges: str = "edges", backgr
     ``tiles``: box, vals and the polygon's edges (null: no coverage).
     """
     box, e = F.col("box"), F.col(edges)
-    step_x, step_y = (box.maxx - box.minx) / width, (box.maxy - box.miny) / height
-    bg = F.lit(background).cast("double")
-
-    def masked(v: Column, i: Column) -> Column:
-        cx = box.minx + ((i % width) + 0.5) * step_x
-        cy = box.maxy - (F.floor(i / width) + 0.5) * step_y
-        return F.when(geo.point_in_edges(e, cx, cy), v).otherwise(bg)
-
+    outside = np.nan if background is None else background
     classed = once(tiles, "_class", geo.classify_in_edges(e, box))
-    out = (
-        F.when(F.col("_class") == geo.CONTAINS, F.col("vals"))
-        .when(F.col("_class") == geo.NONE, F.array_repeat(bg, width * height))
-        .otherwise(F.transform("vals", masked))
-    )
-    return classed.withColumn("vals", out).drop("_class")
+    blank = F.array_repeat(F.lit(background).cast("double"), width * height)
+    plain = classed.withColumn("vals", F.when(F.col("_class") == geo.NONE, blank).otherwise(F.col("vals")))
+
+    def cut(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        out = []
+        where = batch.column("box")
+        sides = {c: where.field(c).to_pylist() for c in SIDES}
+        for i, (state, vals, ring) in enumerate(zip(batch.column("_class").to_pylist(), arrays(batch.column("vals")), lists(batch.column(edges)), strict=True)):
+            if state == geo.INTERSECTS:
+                minx, miny, maxx, maxy = (sides[c][i] for c in SIDES)
+                cx = minx + (np.arange(width) + 0.5) * ((maxx - minx) / width)
+                cy = maxy - (np.arange(height) + 0.5) * ((maxy - miny) / height)
+                vals = np.where(geo.numpy_inside(ring, cx, cy).ravel(), vals, outside)
+            out.append(vals)
+        return np.arange(len(out)), {"_vals": rasters(out)}
+
+    kept = by_batch(plain, cut, plain.schema.fields, "_vals array<double>")
+    return kept.withColumn("vals", F.col("_vals")).drop("_class", "_vals")
 
 
 def mesh_sample(points: DataFrame, triangles: DataFrame, point_id: str, x: str, y: str, bucket: float, salts: int = 1) -> DataFrame:

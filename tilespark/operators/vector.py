@@ -5,12 +5,16 @@ A feature row is ``layer, fid, geom_type, parts array<array<array<struct<x,y>>>>
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as geo
+from tilespark.functions.arrays import by_batch, lists
 from tilespark.functions.once import once, once_unless
 from tilespark.functions.tilemath import Grid, affected_range
 from tilespark.operators.coverage import expand_ranges
@@ -47,8 +51,9 @@ def features_in_coverages(features: DataFrame, coverages: DataFrame, grid: Grid,
     right = _cells(prepared, grid, depth, "_cb").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     fb, cb, level = F.col("_fb"), F.col("_cb"), F.lit(depth)
-    home = affected_range(grid, F.greatest(fb.minx, cb.minx), F.greatest(fb.miny, cb.miny),
-                          F.greatest(fb.minx, cb.minx), F.greatest(fb.miny, cb.miny), level)
+    # the corner of the common box, moved onto the grid like the cells of both
+    corner_x, corner_y = (F.greatest(fb[c], cb[c], F.lit(grid.bbox[i])) for i, c in enumerate(("minx", "miny")))
+    home = affected_range(grid, corner_x, corner_y, corner_x, corner_y, level)
     met = once(left.join(right, ["_cx", "_cy", "_salt"]), "_home", home)
     at_home = met.filter((F.col("_home.x0") == F.col("_cx")) & (F.col("_home.y0") == F.col("_cy")))
     is_point = F.col("geom_type").isin(*POINT_TYPES)
@@ -178,63 +183,78 @@ def combine_text(docs: DataFrame, by: Sequence[str], order: str, text: str) -> D
         F.sort_array(F.collect_list(F.struct(order, text))), lambda d: d[text]), "\n").alias("text"))
 
 
-def _nesting(text: Column) -> Column:
-    """Depth of nested objects in a JSON text."""
-    braces = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*(?:\\.[^"\\]*)*"', ""), r"[^{}]+", "")
-    step = F.aggregate(
-        F.split(braces, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, c: F.struct(
-            (acc.now + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
-            F.greatest(acc.top, acc.now + F.when(c == "{", 1).otherwise(0)).alias("top")))
-    return step["top"]
+class _Number(str):
+    """A number as it is written in its document."""
 
 
-def _fold_paths(entries: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Fold the entries of each path in document order.
+def _unique(pairs: list[tuple[str, object]]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key is there twice")
+    return found
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _parsed(text: str | None) -> dict | None:
+    """A document's object, or nothing if it is unreadable or no object."""
+    try:
+        value = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_refused, object_pairs_hook=_unique)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _written(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_written(value[k])}" for k in sorted(value)) + "}"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _folded(objects: list[dict], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Paths and values of merged objects, in document order.
 
     Scalars give way until the first object or list; from there on only entries of that kind count.
     """
-    def kind(v: Column) -> Column:
-        return F.when(v.startswith("{"), "map").when(v.startswith("["), "list").otherwise("scalar")
-
-    grouped = entries.groupBy(*by, "path").agg(F.sort_array(F.collect_list(F.struct("_ord", "_v"))).alias("_all"))
-    solid = F.filter("_all", lambda e: e["_v"].startswith("{") | e["_v"].startswith("["))
-    opened = once(grouped, "_first", F.get(solid, F.lit(0))).withColumn(
-        "kind", F.when(F.col("_first").isNull(), "scalar").otherwise(kind(F.col("_first._v"))))
-    kept = opened.withColumn("live", F.filter("_all", lambda e: (e["_ord"] >= F.col("_first._ord")) & (kind(e["_v"]) == F.col("kind"))))
-    inner = F.filter(F.transform("live", lambda e: F.substring(e["_v"], F.lit(2), F.length(e["_v"]) - 2)), lambda v: v != "")
-    value = (
-        F.when(F.col("kind") == "scalar", F.element_at("_all", -1)["_v"])
-        .when(F.col("kind") == "list", F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")))
-        .when(F.forall("live", lambda e: e["_v"] == "{}"), F.lit("{}"))
-    )
-    return once(kept, "value", value).select(*by, "path", "live", "value")
+    for key in sorted({k for o in objects for k in o}):
+        values, at = [o[key] for o in objects if key in o], (*path, key)
+        first = next((i for i, v in enumerate(values) if isinstance(v, (dict, list))), None)
+        if first is None:
+            yield at, _written(values[-1])
+            continue
+        live = [v for v in values[first:] if type(v) is type(values[first])]
+        if isinstance(live[0], list):
+            yield at, _written([e for v in live for e in v])
+        elif not any(live):
+            yield at, "{}"
+        else:
+            yield from _folded(live, at)
 
 
 def combine_json(docs: DataFrame, by: Sequence[str], order: str, text: str) -> DataFrame:
     """Deep merge of the JSON documents of a request, as rows ``path array<string>, value`` (JSON text).
 
     New keys are added, objects merge, lists append, and a scalar gives way to whatever comes later.
-    The merge goes one nesting level at a time, as deep as the deepest document; a request asks a
-    bounded number of layers, so the entries of one path are few. Unreadable documents add nothing.
+    One shuffle brings a request's documents together, as many as the layers it asks for; each request is
+    then merged by itself. Unreadable documents add nothing.
     """
     by = list(by)
-    body = F.trim(F.col(text))
-    whole = docs.filter(body.startswith("{") & F.try_parse_json(text).isNotNull()).select(
-        *by, F.array().cast("array<string>").alias("path"), F.col(order).alias("_ord"), body.alias("_v"))
-    # braces bound the depth and are cheap to count; only brace-rich documents need it exactly
-    braces = F.length("_v") - F.length(F.replace("_v", F.lit("{"), F.lit("")))
-    depth = whole.agg(F.max(braces)).first()[0] or 0
-    if depth > 4:
-        depth = whole.agg(F.max(_nesting(F.col("_v")))).first()[0]
-    level, leaves = whole, None
-    for _ in range(depth):
-        keyed = level.select(*by, "path", "_ord", F.explode(F.from_json("_v", "map<string,variant>")).alias("_k", "_value"))
-        entries = keyed.select(*by, F.concat("path", F.array("_k")).alias("path"), "_ord",
-                               F.coalesce(F.to_json("_value"), F.lit("null")).alias("_v"))
-        folded = _fold_paths(entries, by)
-        done = folded.filter("value IS NOT NULL").select(*by, "path", "value")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        level = folded.filter("value IS NULL").select(*by, "path", F.explode("live").alias("_e")).select(
-            *by, "path", F.col("_e._ord").alias("_ord"), F.col("_e._v").alias("_v"))
-    return leaves if leaves is not None else whole.select(*by, "path", F.col("_v").alias("value")).limit(0)
+    grouped = docs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("_docs"))
+
+    def merge(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        at, paths, values = [], [], []
+        for i, found in enumerate(lists(batch.column("_docs"))):
+            objects = [o for o in map(_parsed, found.field("t").to_pylist()) if o is not None]
+            for path, value in _folded(objects):
+                at.append(i)
+                paths.append(list(path))
+                values.append(value)
+        return np.array(at, np.int64), {"path": pa.array(paths, pa.list_(pa.string())), "value": pa.array(values, pa.string())}
+
+    return by_batch(grouped, merge, grouped.select(*by).schema.fields, "path array<string>, value string")

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when the split costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows with whole rasters or texts: Python gets batches of bounded size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
