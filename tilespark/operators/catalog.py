@@ -7,19 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilespark.functions.tilemath import Grid, tile_bounds
+from tilespark.functions.geometry import bbox, reproject_bbox
+from tilespark.functions.tilemath import WEBMERCATOR, Grid, tile_bounds
 
 
-def tileset_metadata(tiles: DataFrame, fmt: str = "png", by: str = "tileset", res_factor: str = "2") -> DataFrame:
-    """Zoom range, lon/lat bounds and centre per tileset; key ranges are taken before any geometry."""
+def _key_bounds(grid: Grid) -> Column:
+    """Lon/lat box of the tiles ``x0..x1, y0..y1`` of level ``z`` in any grid."""
+    z = F.col("z")
+    if grid == WEBMERCATOR:
+        upper, lower = tile_bounds(F.col("x0"), F.col("y0"), z), tile_bounds(F.col("x1"), F.col("y1"), z)
+        return bbox(upper.minx, lower.miny, lower.maxx, upper.maxy)
+    a, b = grid.tile_bbox(F.col("x0"), F.col("y0"), z), grid.tile_bbox(F.col("x1"), F.col("y1"), z)
+    box = bbox(a.minx, F.least(a.miny, b.miny), b.maxx, F.greatest(a.maxy, b.maxy))
+    return reproject_bbox(box, grid.srs, "EPSG:4326")
+
+
+def tileset_metadata(
+    tiles: DataFrame, fmt: str = "png", by: str = "tileset", res_factor: str = "2", grid: Grid = WEBMERCATOR,
+) -> DataFrame:
+    """Zoom range, lon/lat bounds and centre per tileset of ``grid``; key ranges are taken before any geometry."""
     per_level = tiles.groupBy(by, "z").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    upper = tile_bounds(F.col("x0"), F.col("y0"), F.col("z"))
-    lower = tile_bounds(F.col("x1"), F.col("y1"), F.col("z"))
-    merged = per_level.groupBy(by).agg(
+    box = F.col("_box")
+    merged = per_level.withColumn("_box", _key_bounds(grid)).groupBy(by).agg(
         F.min("z").alias("min_zoom"), F.max("z").alias("max_zoom"),
-        F.min(upper.minx).alias("minx"), F.min(lower.miny).alias("miny"),
-        F.max(lower.maxx).alias("maxx"), F.max(upper.maxy).alias("maxy"))
+        F.min(box.minx).alias("minx"), F.min(box.miny).alias("miny"), F.max(box.maxx).alias("maxx"), F.max(box.maxy).alias("maxy"))
     return (
         merged.withColumn("center_x", (F.col("minx") + F.col("maxx")) / 2)
         .withColumn("center_y", (F.col("miny") + F.col("maxy")) / 2)
@@ -69,12 +81,3 @@ def merge_extents(layers: DataFrame, by: Sequence[str]) -> DataFrame:
     return layers.groupBy(*by).agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"),
         F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
-
-
-def export_shards(tiles: DataFrame, grid: Grid, level: int) -> DataFrame:
-    """Add the ancestor tile at ``level`` (or the tile itself above it) as the export shard."""
-    from tilespark.functions.keys import ancestor
-
-    return tiles.withColumn("shard", F.concat_ws(
-        "-", F.least(F.col("z"), F.lit(level)), ancestor(F.col("x"), F.col("z"), level),
-        ancestor(F.col("y"), F.col("z"), level)))

@@ -42,13 +42,19 @@ def container_kind(path: str) -> str:
     raise ValueError(f"unknown container {path}")
 
 
+def _file_and_table(path: str) -> tuple[str, str | None]:
+    """File of a container and, for a GeoPackage, the table named after it."""
+    file, colon, table = path.partition(".gpkg:")
+    return (file + ".gpkg", table.split("?")[0]) if colon else (path, None)
+
+
 def _maybe_gunzip(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == GZIP_MAGIC else data
 
 
 # A task reads at most this many entries of a container that can be entered in the middle.
 CHUNK = 20_000
-CHUNK_SCHEMA = "path string, lo long, hi long"
+CHUNK_SCHEMA = "container string, path string, lo long, hi long"
 
 
 def _zip_names(z: zipfile.ZipFile) -> list[str]:
@@ -82,7 +88,7 @@ def _database(path: str) -> Iterator[sqlite3.Connection]:
     """Open a database file read-only: in place on mounted storage, else from a task-private copy."""
     from pyarrow import fs
 
-    filesystem, local = open_filesystem(path)
+    filesystem, local = open_filesystem(_file_and_table(path)[0])
     with tempfile.NamedTemporaryFile() as copy:
         if not isinstance(filesystem, fs.LocalFileSystem):
             with filesystem.open_input_stream(local, compression=None) as src:
@@ -100,15 +106,19 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def _tile_table(con: sqlite3.Connection, kind: str) -> str:
+def _tile_tables(con: sqlite3.Connection, kind: str, table: str | None = None) -> list[str]:
+    """Tables of tiles: the one asked for, or all."""
     if kind == "mbtiles":
-        return "tiles"
-    return con.execute("SELECT table_name FROM gpkg_tile_matrix_set ORDER BY rowid LIMIT 1").fetchone()[0]
+        return ["tiles"]
+    found = [name for name, in con.execute("SELECT table_name FROM gpkg_tile_matrix_set ORDER BY table_name")]
+    if table is not None and table not in found:
+        raise ValueError(f"no tile table {table}")
+    return found if table is None else [table]
 
 
 def _database_entries(path: str, kind: str, lo: int | None, hi: int | None) -> Iterator[dict]:
     with _database(path) as con:
-        table = _tile_table(con, kind)
+        table, = _tile_tables(con, kind, _file_and_table(path)[1])
         if kind == "mbtiles":
             fmt = dict(con.execute("SELECT name, value FROM metadata")).get("format", "")
         else:
@@ -123,24 +133,28 @@ def _database_entries(path: str, kind: str, lo: int | None, hi: int | None) -> I
             yield dict(format=fmt, z=z, x=x, y=y, data=_maybe_gunzip(data) if unpack else data)
 
 
-def _chunks(path: str, chunk: int) -> list[tuple[int | None, int | None]]:
-    """Ranges a container can be read in; one open range where it cannot be split."""
+def _chunks(path: str, chunk: int) -> list[tuple[str, int | None, int | None]]:
+    """Paths, with a GeoPackage's table, and ranges a container can be read in; an open range where it cannot be split."""
     kind = container_kind(path)
     if kind == "zip":
         with open_random(path) as src, zipfile.ZipFile(src) as z:
-            first, end = 0, len(_zip_names(z))
+            spans = [(path, 0, len(_zip_names(z)))]
     elif kind == "tar":
-        return [(None, None)]
+        return [(path, None, None)]
     else:
+        spans, (file, wanted) = [], _file_and_table(path)
         with _database(path) as con:
-            try:
-                first, last = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(_tile_table(con, kind))}").fetchone()
-            except sqlite3.OperationalError:  # a view has no row ids
-                return [(None, None)]
-            if first is None:
-                return []
-            end = last + 1
-    return [(lo, min(lo + chunk, end)) for lo in range(first, end, chunk)]
+            for table in _tile_tables(con, kind, wanted):
+                named = file if kind == "mbtiles" else f"{file}:{table}"
+                try:
+                    first, last = con.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(table)}").fetchone()
+                except sqlite3.OperationalError:  # a view has no row ids
+                    spans.append((named, None, None))
+                    continue
+                if first is not None:
+                    spans.append((named, first, last + 1))
+    return [(name, lo, None if lo is None else min(lo + chunk, end)) for name, first, end in spans
+            for lo in ([None] if first is None else range(first, end, chunk))]
 
 
 def _entries(path: str, lo: int | None, hi: int | None) -> Iterator[dict]:
@@ -172,22 +186,32 @@ def _frames(rows: Iterator[dict], container: str) -> Iterator[pd.DataFrame]:
 
 
 def read_containers(spark: SparkSession, paths: DataFrame, layouts: tuple[str, ...] = keys.LAYOUTS, chunk: int = CHUNK) -> DataFrame:
-    """Tiles of many containers, small batches at a time.
+    """Tiles of many containers; entries whose name is no tile are in :func:`unknown_entries`."""
+    return container_entries(spark, paths, layouts, chunk).filter("z IS NOT NULL").drop("name")
+
+
+def unknown_entries(spark: SparkSession, paths: DataFrame, layouts: tuple[str, ...] = keys.LAYOUTS, chunk: int = CHUNK) -> DataFrame:
+    """Entries of containers that name no tile: ``container, name, size``."""
+    return container_entries(spark, paths, layouts, chunk).filter("z IS NULL").select("container", "name", "size")
 
-    ``paths``: column ``path``. Archives with a directory and databases are read in chunks by many
+
+def container_entries(spark: SparkSession, paths: DataFrame, layouts: tuple[str, ...] = keys.LAYOUTS, chunk: int = CHUNK) -> DataFrame:
+    """Entries of many containers, small batches at a time.
+
+    ``paths``: column ``path``. Of a GeoPackage all tile tables are read, or the one named after ``.gpkg:``. Archives with a directory and databases are read in chunks by many
     tasks, so one container may hold a third of all tiles. Archive entries get their key from the
     layout their metadata names.
     """
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(path, lo, hi) for path in batch["path"] for lo, hi in _chunks(path, chunk)]
-            yield pd.DataFrame(rows, columns=["path", "lo", "hi"]).astype({"lo": "Int64", "hi": "Int64"})
+            rows = [(path, *part) for path in batch["path"] for part in _chunks(path, chunk)]
+            yield pd.DataFrame(rows, columns=["container", "path", "lo", "hi"]).astype({"lo": "Int64", "hi": "Int64"})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, lo, hi in zip(batch["path"], batch["lo"], batch["hi"]):
+            for container, path, lo, hi in zip(batch["container"], batch["path"], batch["lo"], batch["hi"]):
                 span = (None, None) if pd.isna(lo) else (int(lo), int(hi))
-                yield from _frames(_entries(path, *span), path)
+                yield from _frames(_entries(path, *span), container)
 
     ship_package(spark)
     chunks = paths.select("path").repartition("path").mapInPandas(plan, CHUNK_SCHEMA)
@@ -197,15 +221,26 @@ def read_containers(spark: SparkSession, paths: DataFrame, layouts: tuple[str, .
         parsed = parsed.when(F.col("layout") == layout, keys.parse_tile_path(layout, F.col("name")))
     key = parsed.otherwise(F.lit(None))
     return entries.withColumn("_key", key).select(
-        "container", F.coalesce("z", "_key.z").alias("z"), F.coalesce("x", "_key.x").alias("x"),
+        "container", "name", F.coalesce("z", "_key.z").alias("z"), F.coalesce("x", "_key.x").alias("x"),
         F.coalesce("y", "_key.y").alias("y"), F.coalesce("_key.ext", "format").alias("format"), "data",
-        F.octet_length("data").cast("long").alias("size")).filter("z IS NOT NULL")
+        F.octet_length("data").cast("long").alias("size"))
 
 
 # ---- export ------------------------------------------------------------------------------------
 
 
-def _write_zip(tiles: pd.DataFrame, meta: dict) -> bytes:
+def _held_box(tiles: pd.DataFrame, grid: Grid) -> list[float]:
+    """Box of the tiles in the units of their grid."""
+    box = [float("inf"), float("inf"), float("-inf"), float("-inf")]
+    for z, part in tiles.groupby("z"):
+        span = grid.resolutions[int(z)] * grid.tile_size
+        x0, x1, y0, y1 = part["x"].min(), part["x"].max() + 1, part["y"].min(), part["y"].max() + 1
+        low, high = (grid.bbox[3] - y1 * span, grid.bbox[3] - y0 * span) if grid.origin in ("nw", "ul") else (grid.bbox[1] + y0 * span, grid.bbox[1] + y1 * span)
+        box = [min(box[0], grid.bbox[0] + x0 * span), min(box[1], low), max(box[2], grid.bbox[0] + x1 * span), max(box[3], high)]
+    return box
+
+
+def _write_zip(tiles: pd.DataFrame, meta: dict, grid: Grid) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr(zipfile.ZipInfo("metadata.json"), json.dumps(meta, sort_keys=True))
@@ -214,7 +249,7 @@ def _write_zip(tiles: pd.DataFrame, meta: dict) -> bytes:
     return out.getvalue()
 
 
-def _write_tar(tiles: pd.DataFrame, meta: dict) -> bytes:
+def _write_tar(tiles: pd.DataFrame, meta: dict, grid: Grid) -> bytes:
     out = io.BytesIO()
     with gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as gz, tarfile.open(fileobj=gz, mode="w") as t:
         def add(name, payload):
@@ -232,7 +267,7 @@ def _packed(data) -> bytes:
     return gzip.compress(bytes(data), mtime=0)
 
 
-def _write_mbtiles(tiles: pd.DataFrame, meta: dict) -> bytes:
+def _write_mbtiles(tiles: pd.DataFrame, meta: dict, grid: Grid) -> bytes:
     con = sqlite3.connect(":memory:")
     con.execute("CREATE TABLE metadata (name text, value text)")
     con.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
@@ -244,7 +279,7 @@ def _write_mbtiles(tiles: pd.DataFrame, meta: dict) -> bytes:
     return con.serialize()
 
 
-def _write_gpkg(tiles: pd.DataFrame, meta: dict) -> bytes:
+def _write_gpkg(tiles: pd.DataFrame, meta: dict, grid: Grid) -> bytes:
     con = sqlite3.connect(":memory:")
     con.execute("PRAGMA application_id = 1196444487")
     con.execute("CREATE TABLE gpkg_contents (table_name text PRIMARY KEY, data_type text, identifier text, description text, "
@@ -252,12 +287,17 @@ def _write_gpkg(tiles: pd.DataFrame, meta: dict) -> bytes:
     con.execute("CREATE TABLE gpkg_tile_matrix_set (table_name text PRIMARY KEY, srs_id integer, min_x double, min_y double, max_x double, max_y double)")
     con.execute("CREATE TABLE gpkg_tile_matrix (table_name text, zoom_level integer, matrix_width integer, matrix_height integer, "
                 "tile_width integer, tile_height integer, pixel_x_size double, pixel_y_size double, PRIMARY KEY (table_name, zoom_level))")
-    name = str(meta["name"])
-    box = [float(v) for v in str(meta["bounds"]).split(",")]
-    con.execute("INSERT INTO gpkg_contents VALUES (?, 'tiles', ?, ?, ?, ?, ?, ?, 3857)", (name, name, meta["format"], *box))
-    con.execute("INSERT INTO gpkg_tile_matrix_set VALUES (?, 3857, ?, ?, ?, ?)", (name, *box))
+    con.execute("CREATE TABLE gpkg_spatial_ref_sys (srs_name text, srs_id integer PRIMARY KEY, organization text, "
+                "organization_coordsys_id integer, definition text, description text)")
+    name, code = str(meta["name"]), int(grid.srs.split(":")[1])
+    for srs in sorted({-1, 0, 4326, code}):  # the first three belong to every file
+        con.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', '')", (
+            f"EPSG:{srs}" if srs > 0 else "undefined", srs, "EPSG" if srs > 0 else "NONE", srs))
+    con.execute("INSERT INTO gpkg_contents VALUES (?, 'tiles', ?, ?, ?, ?, ?, ?, ?)", (name, name, meta["format"], *_held_box(tiles, grid), code))
+    con.execute("INSERT INTO gpkg_tile_matrix_set VALUES (?, ?, ?, ?, ?, ?)", (name, code, *grid.bbox))
     for z in sorted(set(int(v) for v in tiles["z"])):
-        con.execute("INSERT INTO gpkg_tile_matrix VALUES (?, ?, ?, ?, 256, 256, 0, 0)", (name, z, 1 << z, 1 << z))
+        con.execute("INSERT INTO gpkg_tile_matrix VALUES (?, ?, ?, ?, ?, ?, ?, ?)", (
+            name, z, *grid.size(z), grid.tile_size, grid.tile_size, grid.resolutions[z], grid.resolutions[z]))
     quoted = _quoted(name)
     con.execute(f"CREATE TABLE {quoted} (id integer PRIMARY KEY AUTOINCREMENT, zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
     con.executemany(f"INSERT INTO {quoted} (zoom_level, tile_column, tile_row, tile_data) VALUES (?, ?, ?, ?)", [
@@ -266,7 +306,7 @@ def _write_gpkg(tiles: pd.DataFrame, meta: dict) -> bytes:
     return con.serialize()
 
 
-WRITERS: dict[str, tuple[str, Callable[[pd.DataFrame, dict], bytes]]] = {
+WRITERS: dict[str, tuple[str, Callable[[pd.DataFrame, dict, Grid], bytes]]] = {
     "zip": (".zip", _write_zip), "tar": (".tar.gz", _write_tar), "mbtiles": (".mbtiles", _write_mbtiles), "gpkg": (".gpkg", _write_gpkg),
 }
 
@@ -306,7 +346,7 @@ def export_containers(
     single = latest(tiles, key) if "mtime" in tiles.columns else tiles.dropDuplicates(list(key))
     sharded = assign_shards(single, level, max_tiles).withColumn(
         "path", keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")))
-    meta = tileset_metadata(sharded, by="shard")
+    meta = tileset_metadata(sharded, by="shard", grid=grid)
     described = sharded.select("shard", "z", "x", "y", "format", "path", "data").join(meta.select(
         "shard", "min_zoom", "max_zoom", "minx", "miny", "maxx", "maxy"), "shard")
     origin, srs, base = grid.origin, grid.srs, qualified(tiles.sparkSession, root)
@@ -319,7 +359,7 @@ def export_containers(
             center=f"{(first['minx'] + first['maxx']) / 2},{(first['miny'] + first['maxy']) / 2},0", directory_layout=layout,
             origin=origin, srs=srs, bounds_srs="EPSG:4326", res_factor="2", tile_size=grid.tile_size)
         target = f"{base}/{name}-{first['shard']}{suffix}"
-        put_bytes(target, writer(group.sort_values(["z", "x", "y"]), info))
+        put_bytes(target, writer(group.sort_values(["z", "x", "y"]), info, grid))
         return pd.DataFrame([dict(shard=first["shard"], container=target, tiles=len(group), min_zoom=info["minzoom"],
                                   max_zoom=info["maxzoom"], minx=first["minx"], miny=first["miny"], maxx=first["maxx"], maxy=first["maxy"])])
 

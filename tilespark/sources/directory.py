@@ -17,15 +17,21 @@ from tilespark.sources.storage import put_bytes, qualified
 TILE_SCHEMA = "tileset string, z int, x long, y long, format string, data binary, size long, mtime timestamp, cacheable boolean"
 
 
-def _files(spark: SparkSession, root: str, layout: str) -> DataFrame:
+def _listed(spark: SparkSession, root: str, layout: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     key = keys.parse_tile_path(layout, F.col("path"))
-    return files.withColumn("_key", key).filter(F.col("_key").isNotNull())
+    return files.withColumn("_key", key)
+
+
+def unknown_files(spark: SparkSession, root: str, layout: str) -> DataFrame:
+    """Files of a directory whose path is no tile of the layout: ``path, size, mtime``. Scans leave them out."""
+    found = _listed(spark, root, layout).filter(F.col("_key").isNull())
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
 def scan_tiles(spark: SparkSession, root: str, layout: str, tileset: str) -> DataFrame:
     """Tiles of a directory with their payload."""
-    return _files(spark, root, layout).select(
+    return _listed(spark, root, layout).filter(F.col("_key").isNotNull()).select(
         F.lit(tileset).alias("tileset"), F.col("_key.z").alias("z"), F.col("_key.x").alias("x"), F.col("_key.y").alias("y"),
         F.col("_key.ext").alias("format"), F.col("content").alias("data"), F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"), F.lit(True).alias("cacheable"))
@@ -47,9 +53,10 @@ def write_table(tiles: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_files(tiles: DataFrame, root: str, layout: str) -> int:
-    """Write one file per tile below ``root``; returns how many were written."""
-    named = tiles.select(
-        keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")).alias("path"), "data").filter("path IS NOT NULL")
+    """Write one file per tile below ``root``; returns how many were written. A tile without a path in the
+    layout stops the export."""
+    path = keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format"))
+    named = tiles.select(F.coalesce(path, F.raise_error(F.lit(f"a tile has no path in layout {layout}")).cast("string")).alias("path"), "data")
     base = qualified(tiles.sparkSession, root)
     ship_package(tiles.sparkSession)
 
