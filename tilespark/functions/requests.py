@@ -96,14 +96,25 @@ def query_params(query: Column) -> Column:
     return bind(query_pairs(query), by_key)
 
 
-def canonical_query(params: Column) -> Column:
-    """Normalised query string: valid names in order, values joined and cut at 1000 characters."""
-    valid = F.map_filter(params, lambda k, v: k.rlike(r"^[\p{L}\p{Nd}_-]{1,100}$") & (F.size(v) > 0))
-    entries = F.transform(F.sort_array(F.map_entries(valid)), lambda e: F.concat_ws(
-        "=", F.url_encode(e.key), F.url_encode(F.substring(F.array_join(e.value, ","), 1, 1000))))
+def canonical_query(params: Column, longest_name: int | None = None, longest_value: int | None = None) -> Column:
+    """Normalised query string: valid names in order, values joined. With limits, longer names are left out and
+    longer values cut; :func:`query_truncated` tells where."""
+    size = "+" if longest_name is None else f"{{1,{longest_name}}}"
+    valid = F.map_filter(params, lambda k, v: k.rlike(rf"^[\p{{L}}\p{{Nd}}_-]{size}$") & (F.size(v) > 0))
+
+    def value(v: Column) -> Column:
+        joined = F.array_join(v, ",")
+        return joined if longest_value is None else F.substring(joined, 1, longest_value)
+
+    entries = F.transform(F.sort_array(F.map_entries(valid)), lambda e: F.concat_ws("=", F.url_encode(e.key), F.url_encode(value(e.value))))
     return F.array_join(entries, "&")
 
 
+def query_truncated(params: Column, longest_name: int, longest_value: int) -> Column:
+    """Whether these limits leave something out of :func:`canonical_query`."""
+    return F.exists(F.map_entries(params), lambda e: (F.length(e.key) > longest_name) | (F.length(F.array_join(e.value, ",")) > longest_value))
+
+
 def param(params: Column, name: str) -> Column:
     return F.element_at(params[name.upper()], 1)
 

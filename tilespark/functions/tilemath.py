@@ -236,7 +236,7 @@ def last_index(stop: Column, origin: float | Column, span: Column) -> Column:
 
 
 def affected_range(grid: Grid, minx: Column, miny: Column, maxx: Column, maxy: Column, z: Column) -> Column:
-    """``struct<x0,y0,x1,y1>`` of the tiles of level ``z`` a box touches, clamped to the matrix."""
+    """``struct<x0,y0,x1,y1>`` of the tiles of level ``z`` a box touches, clamped to the matrix; null off the grid."""
     span = grid.resolution(z) * grid.tile_size
     last_w, last_h = grid.grid_w(z) - 1, grid.grid_h(z) - 1
     zero = F.lit(0).cast("long")
@@ -248,10 +248,10 @@ def affected_range(grid: Grid, minx: Column, miny: Column, maxx: Column, maxy: C
     else:
         y0 = first_index(miny, grid.bbox[1], span)
         y1 = last_index(maxy, grid.bbox[1], span)
-    return F.struct(
-        F.greatest(x0, zero).alias("x0"), F.greatest(y0, zero).alias("y0"),
-        F.least(F.greatest(x1, x0), last_w).alias("x1"), F.least(F.greatest(y1, y0), last_h).alias("y1"),
-    )
+    x1, y1 = F.greatest(x1, x0), F.greatest(y1, y0)
+    met = (x0 <= last_w) & (x1 >= 0) & (y0 <= last_h) & (y1 >= 0)
+    return F.when(met, F.struct(
+        F.greatest(x0, zero).alias("x0"), F.greatest(y0, zero).alias("y0"), F.least(x1, last_w).alias("x1"), F.least(y1, last_h).alias("y1")))
 
 
 def buffered_bbox(grid: Grid, minx, miny, maxx, maxy, z: Column, pixels: Column) -> Column:

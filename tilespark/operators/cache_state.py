@@ -109,7 +109,7 @@ def rekey(tiles: DataFrame, src: Grid, dst: Grid) -> tuple[DataFrame, DataFrame]
     ranged = once(levelled, "_r", affected_range(
         dst, *[F.col(f"_box.{c}") for c in ("minx", "miny", "maxx", "maxy")], F.col("nz")))
     counted = ranged.withColumn(
-        "n_tiles", (F.col("_r.x1") - F.col("_r.x0") + 1) * (F.col("_r.y1") - F.col("_r.y0") + 1))
+        "n_tiles", F.coalesce((F.col("_r.x1") - F.col("_r.x0") + 1) * (F.col("_r.y1") - F.col("_r.y0") + 1), F.lit(0).cast("long")))
     one = counted.filter("n_tiles = 1").select(
         *tiles.columns, "nz", F.col("_r.x0").alias("nx"), F.col("_r.y0").alias("ny"))
     return one, counted.filter("n_tiles <> 1").select(*tiles.columns, "n_tiles")
@@ -143,7 +143,7 @@ def nearest_levels(wanted: DataFrame, stored: DataFrame, up: int = 0, down: int
 
     ``up``/``down`` bound the search. Every candidate is one equi-join row: ancestors by shifting the
     wanted key, descendants by shifting the stored key, so no level needs its own join. Adds
-    ``src_z`` (level used, null when none) and ``n_src`` (tiles of that level found).
+    ``src_z`` (level used, null when none; of two as near the coarser) and ``n_src`` (tiles of that level found).
     """
     z = F.col("z")
     asked = wanted.select(*KEY).distinct().select(*KEY, F.explode(
@@ -164,7 +164,7 @@ def nearest_levels(wanted: DataFrame, stored: DataFrame, up: int = 0, down: int
     else:
         found = found.withColumn("_n", F.lit(1).cast("long"))
     best = found.groupBy(*KEY).agg(F.min_by(F.struct(F.col("sz").alias("src_z"), F.col("_n").alias("n_src")),
-                                            F.abs(F.col("sz") - z)).alias("_b"))
+                                            F.struct(F.abs(F.col("sz") - z), "sz")).alias("_b"))
     return wanted.join(best, list(KEY), "left").select(
         *wanted.columns, F.col("_b.src_z").alias("src_z"), F.coalesce(F.col("_b.n_src"), F.lit(0)).alias("n_src"))
 

@@ -28,10 +28,17 @@ def box_columns(box: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def tile_ranges(boxes: DataFrame, grid: Grid, box: str = "box", z: str = "z") -> DataFrame:
-    """Add ``r struct<x0,y0,x1,y1>``, the tiles of level ``z`` each box touches, and their number."""
+    """Add ``r struct<x0,y0,x1,y1>``, the tiles of level ``z`` each box touches, and their number; null and 0 off the grid."""
     r = affected_range(grid, *box_columns(F.col(box)), F.col(z))
     return once(boxes, "r", r).withColumn(
-        "n_tiles", (F.col("r.x1") - F.col("r.x0") + 1) * (F.col("r.y1") - F.col("r.y0") + 1))
+        "n_tiles", F.coalesce((F.col("r.x1") - F.col("r.x0") + 1) * (F.col("r.y1") - F.col("r.y0") + 1), F.lit(0).cast("long")))
+
+
+def _require_halving(grid: Grid, levels: int) -> None:
+    """Ancestors are found by shifting keys, which holds only where each level halves the one above."""
+    for z in range(1, levels):
+        if abs(grid.resolutions[z - 1] / grid.resolutions[z] - 2) > 1e-9:
+            raise ValueError(f"grid {grid.name}: level {z} does not halve level {z - 1}; count its boxes with count_box_tiles")
 
 
 def within_tile_limit(ranges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -162,8 +169,9 @@ def count_tiles(coverages: DataFrame, grid: Grid, levels: int, stride: int = 4)
 
     The descent goes ``stride`` levels at a time and only opens cells the coverage's edge runs
     through: a cell wholly inside stands for 4^k tiles k levels below. Stages deeper than the
-    second start from a checkpointed frontier.
+    second start from a checkpointed frontier. Grids whose levels do not halve are refused.
     """
+    _require_halving(grid, levels)
     top = min(stride, levels - 1)
     cells = coverage_cells(coverages, grid, top).withColumnRenamed("cell_class", "state")
     one = F.lit(1).cast("long")

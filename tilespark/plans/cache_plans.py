@@ -155,15 +155,14 @@ def running_progress(t: Inputs):
 
 @plan("tileset_metadata", "A2", f"""
 WITH {SPARSE},
-u AS (SELECT tileset, z, x, y FROM s UNION ALL SELECT tileset, z, x, y FROM tile_store WHERE x < 8),
+u AS (SELECT tileset, z, x, y FROM s UNION ALL SELECT tileset, z, x, y FROM tile_store),
 b AS (SELECT tileset, z, x/pow(2e0,z)*360e0-180e0 AS minx, (x+1)/pow(2e0,z)*360e0-180e0 AS maxx,
   degrees(atan(sinh(pi()*(1e0-(y+1)*2e0/pow(2e0,z))))) AS miny, degrees(atan(sinh(pi()*(1e0-y*2e0/pow(2e0,z))))) AS maxy FROM u),
 m AS (SELECT tileset, min(z) AS min_zoom, max(z) AS max_zoom, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM b GROUP BY 1)
 SELECT tileset, min_zoom, max_zoom, round(minx,6) AS minx, round(miny,6) AS miny, round(maxx,6) AS maxx, round(maxy,6) AS maxy,
   round((minx+maxx)/2e0,5) AS center_x, round((miny+maxy)/2e0,5) AS center_y, 'png' AS format, '2' AS res_factor FROM m""")
 def tileset_metadata(t: Inputs):
-    west = t.tile_store.filter("x < 8").select("tileset", "z", "x", "y")
-    meta = catalog.tileset_metadata(sparse_store(t).select("tileset", "z", "x", "y").unionByName(west))
+    meta = catalog.tileset_metadata(sparse_store(t).select("tileset", "z", "x", "y").unionByName(t.tile_store.select("tileset", "z", "x", "y")))
     rounded = {c: F.round(c, 6) for c in ("minx", "miny", "maxx", "maxy")}
     rounded.update({c: F.round(c, 5) for c in ("center_x", "center_y")})
     return meta.withColumns(rounded)
@@ -233,7 +232,7 @@ def grid_overlap(t: Inputs):
 
 @plan("rescale_fill", "J15", f"""
 WITH {SPARSE}, {DEEP},
-h AS (SELECT DISTINCT 9 AS z, x, y FROM s UNION SELECT 7, x>>2, y>>2 FROM s WHERE tileset='P' UNION SELECT 11, x*4+1, y*4+2 FROM s),
+h AS (SELECT DISTINCT 9 AS z, x, y FROM s UNION SELECT 7, x>>2, y>>2 FROM s WHERE tileset='P' UNION SELECT 11, x*4+5, y*4+2 FROM s),
 a AS (SELECT DISTINCT z, x, y FROM w),
 f AS (
   SELECT a.x, a.y, 9 AS src_z, 1 AS n, 0 AS d FROM a JOIN h ON h.z=9 AND h.x=a.x AND h.y=a.y
@@ -245,7 +244,7 @@ def rescale_fill(t: Inputs):
     s = sparse_store(t)
     held = s.select("z", "x", "y").unionByName(
         s.filter("tileset = 'P'").select(F.lit(7).alias("z"), F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y"))
-    ).unionByName(s.select(F.lit(11).alias("z"), (F.col("x") * 4 + 1).alias("x"), (F.col("y") * 4 + 2).alias("y")))
+    ).unionByName(s.select(F.lit(11).alias("z"), (F.col("x") * 4 + 5).alias("x"), (F.col("y") * 4 + 2).alias("y")))
     wanted = deep_requests(t).select("z", "x", "y").distinct()
     return cs.nearest_levels(wanted, held, up=2, down=2).select("x", "y", "src_z", "n_src")
 

@@ -58,7 +58,7 @@ SELECT query_id, CASE WHEN a >= minx AND b <= maxx AND c >= miny AND d <= maxy A
        AND greatest(a,minx)+greatest(c,miny) < maxx+maxy-cut THEN 'INTERSECTS' ELSE 'NONE' END AS class
 FROM (SELECT query_id, minx AS a, miny AS c, maxx AS b, maxy AS d FROM map_queries) q
 JOIN boxes ON n_nationkey = query_id%25
-UNION ALL SELECT event_id AS query_id, 'CONTAINS' AS class FROM events WHERE event_type = 'error'""")
+UNION ALL SELECT event_id AS query_id, 'CONTAINS' AS class FROM event_points""")
 def coverage_classify(t: Inputs):
     polygons = cut_coverages(t).select(F.col("coverage").alias("n_nationkey"), "polygon")
     q = box_of(t.map_queries).withColumn("n_nationkey", (F.col("query_id") % 25).cast("int"))
@@ -66,10 +66,11 @@ def coverage_classify(t: Inputs):
     classified = q.join(polygons, "n_nationkey").select(
         "query_id", geo.classify_in_edges(F.col("edges"), F.col("box")).alias("class"))
     # requests without a coverage count as contained
-    uncovered = t.events.filter("event_type = 'error'").select(
+    lon, lat = F.col("lon"), F.col("lat")
+    uncovered = t.event_points.select(
         F.col("event_id").alias("query_id"),
         geo.classify_in_polygon(F.lit(None).cast("array<array<struct<x:double,y:double>>>"),
-                                geo.bbox(0, 0, 1, 1)).alias("class"))
+                                geo.bbox(lon, lat, lon + 1, lat + 1)).alias("class"))
     return classified.unionByName(uncovered)
 
 

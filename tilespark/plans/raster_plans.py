@@ -153,8 +153,10 @@ def dem_points(t: Inputs):
 CORNERS = f"""{DEM_SQL}, {POINTS},
 k AS (SELECT id, px, py, px-floor(px) AS fx, py-floor(py) AS fy, cast(floor(px) AS bigint) AS x0, least(cast(ceil(px) AS bigint),159) AS x1,
       cast(floor(py) AS bigint) AS y0, least(cast(ceil(py) AS bigint), th-1) AS y1 FROM pts),
-q AS (SELECT k.*, a.v AS nw, b.v AS ne, c.v AS sw, d.v AS se FROM k
-  JOIN dem a ON a.gc=x0 AND a.gr=y0 JOIN dem b ON b.gc=x1 AND b.gr=y0 JOIN dem c ON c.gc=x0 AND c.gr=y1 JOIN dem d ON d.gc=x1 AND d.gr=y1),
+c4 AS (SELECT id, 'nw' AS c, x0 AS gc, y0 AS gr FROM k UNION ALL SELECT id, 'ne', x1, y0 FROM k UNION ALL SELECT id, 'sw', x0, y1 FROM k UNION ALL SELECT id, 'se', x1, y1 FROM k),
+v4 AS (SELECT id, max(CASE WHEN c='nw' THEN v END) AS nw, max(CASE WHEN c='ne' THEN v END) AS ne, max(CASE WHEN c='sw' THEN v END) AS sw, max(CASE WHEN c='se' THEN v END) AS se
+  FROM c4 JOIN dem USING (gc, gr) GROUP BY id),
+q AS (SELECT k.*, nw, ne, sw, se FROM k JOIN v4 USING (id)),
 n AS (SELECT *, coalesce((CASE WHEN nw<>-9999 THEN nw ELSE 0 END + CASE WHEN ne<>-9999 THEN ne ELSE 0 END + CASE WHEN sw<>-9999 THEN sw ELSE 0 END + CASE WHEN se<>-9999 THEN se ELSE 0 END)
    / nullif((nw<>-9999)::int + (ne<>-9999)::int + (sw<>-9999)::int + (se<>-9999)::int, 0), 0) AS m FROM q),
 f AS (SELECT id, px, py, fx, fy, nw AS raw, CASE WHEN nw=-9999 THEN m ELSE nw END AS nw, CASE WHEN ne=-9999 THEN m ELSE ne END AS ne,
@@ -179,18 +181,20 @@ def geoid_shift(t: Inputs):
 
 
 @plan("interpolators", "P21", """
-WITH e AS (SELECT a.vec_id, a.v AS nw, b.v AS ne, c.v AS sw, d.v AS se, (a.vec_id%10)/10e0 AS fx, (a.vec_id%7)/7e0 AS fy
-  FROM cells a JOIN cells b ON b.vec_id=a.vec_id AND b.col=a.col+1 AND b.row_no=a.row_no JOIN cells c ON c.vec_id=a.vec_id AND c.col=a.col AND c.row_no=a.row_no+1
-  JOIN cells d ON d.vec_id=a.vec_id AND d.col=a.col+1 AND d.row_no=a.row_no+1 WHERE a.col=3 AND a.row_no=3)
-SELECT vec_id, round((nw+(sw-nw)*fy) + ((ne+(se-ne)*fy) - (nw+(sw-nw)*fy))*fx, 5) AS bilinear,
+WITH e AS (SELECT vec_id, cast(i AS int) AS quad, vals[i//7*8+i%7+1] AS nw, vals[i//7*8+i%7+2] AS ne, vals[i//7*8+i%7+9] AS sw, vals[i//7*8+i%7+10] AS se,
+  ((vec_id+i)%10)/10e0 AS fx, ((vec_id+i)%7)/7e0 AS fy FROM raster_tiles, range(49) r(i))
+SELECT vec_id, quad, round((nw+(sw-nw)*fy) + ((ne+(se-ne)*fy) - (nw+(sw-nw)*fy))*fx, 5) AS bilinear,
   round(sw+(se-sw)*fx+(nw-sw)*fy+(sw-se-nw+ne)*fx*fy, 5) AS hyperbolic FROM e""")
 def interpolators(t: Inputs):
-    def at(col, row):
-        return raster.cell(F.col("vals"), N, F.lit(col), F.lit(row))
+    quads = t.raster_tiles.withColumn("quad", F.explode(F.sequence(F.lit(0), F.lit(48))))
+    col, row = F.col("quad") % 7, F.floor(F.col("quad") / 7)
 
-    corners = (at(3, 4), at(4, 4), at(3, 3), at(4, 3))
-    fx, fy = F.col("vec_id") % 10 / 10.0, F.col("vec_id") % 7 / 7.0
-    return t.raster_tiles.select("vec_id", *[F.round(fn(*corners, fx, fy), 5).alias(name) for name, fn in elevation.INTERPOLATORS.items()])
+    def at(dx, dy):
+        return raster.cell(F.col("vals"), N, col + dx, row + dy)
+
+    corners = (at(0, 1), at(1, 1), at(0, 0), at(1, 0))
+    fx, fy = (F.col("vec_id") + F.col("quad")) % 10 / 10.0, (F.col("vec_id") + F.col("quad")) % 7 / 7.0
+    return quads.select("vec_id", "quad", *[F.round(fn(*corners, fx, fy), 5).alias(name) for name, fn in elevation.INTERPOLATORS.items()])
 
 
 @plan("elevation_pack", "P20", """
@@ -258,9 +262,9 @@ def raster_warp(t: Inputs):
 WITH {DEM_SQL}, n AS (SELECT max(y)+1 AS n FROM raster_tiles),
 d AS (SELECT tx, ty, (12*tx+13+7)//8-1 <= 19 AND (12*ty+13+7)//8-1 <= n-1 AS whole FROM n, range(14) a(tx), range(200) b(ty) WHERE ty < (8*n+11)//12),
 k AS (SELECT tx, ty, i, 12*tx+(i%8+0.5e0)*1.5e0 AS px, 12*ty+(i//8+0.5e0)*1.5e0 AS py FROM d, range(64) r(i) WHERE whole),
-q AS (SELECT k.*, px-floor(px) AS fx, py-floor(py) AS fy, a.v AS nw, b.v AS ne, c.v AS sw, e.v AS se FROM k
-  JOIN dem a ON a.gc=floor(px) AND a.gr=floor(py) JOIN dem b ON b.gc=floor(px)+1 AND b.gr=floor(py)
-  JOIN dem c ON c.gc=floor(px) AND c.gr=floor(py)+1 JOIN dem e ON e.gc=floor(px)+1 AND e.gr=floor(py)+1),
+c4 AS (SELECT tx, ty, i, px, py, dx, dy, cast(floor(px) AS bigint)+dx AS gc, cast(floor(py) AS bigint)+dy AS gr FROM k, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy)),
+q AS (SELECT tx, ty, i, px-floor(px) AS fx, py-floor(py) AS fy, max(CASE WHEN dx=0 AND dy=0 THEN v END) AS nw, max(CASE WHEN dx=1 AND dy=0 THEN v END) AS ne,
+  max(CASE WHEN dx=0 AND dy=1 THEN v END) AS sw, max(CASE WHEN dx=1 AND dy=1 THEN v END) AS se FROM c4 JOIN dem USING (gc, gr) GROUP BY tx, ty, i, px, py),
 m AS (SELECT *, coalesce((CASE WHEN nw<>-9999 THEN nw ELSE 0 END + CASE WHEN ne<>-9999 THEN ne ELSE 0 END + CASE WHEN sw<>-9999 THEN sw ELSE 0 END + CASE WHEN se<>-9999 THEN se ELSE 0 END)
    / nullif((nw<>-9999)::int + (ne<>-9999)::int + (sw<>-9999)::int + (se<>-9999)::int, 0), 0) AS m FROM q),
 f AS (SELECT tx, ty, i, fx, fy, CASE WHEN nw=-9999 THEN m ELSE nw END AS nw, CASE WHEN ne=-9999 THEN m ELSE ne END AS ne,

@@ -80,15 +80,14 @@ def route_by_resolution(t: Inputs):
 
 
 @plan("route_by_srs", "J8", """
-WITH l AS (SELECT name, srs, min(layer_id) AS layer_id FROM upstream_layers WHERE p_size > 10 OR name < 'Brand#15' GROUP BY 1,2),
+WITH l AS (SELECT name, srs, min(layer_id) AS layer_id FROM upstream_layers GROUP BY 1,2),
 k AS (SELECT name, arg_min(layer_id, srs) AS first_id, max(layer_id) FILTER (WHERE srs='EPSG:4326') AS geo_id,
       max(layer_id) FILTER (WHERE srs='EPSG:3857') AS merc_id FROM l GROUP BY 1)
 SELECT query_id, coalesce(CASE srs WHEN 'EPSG:4326' THEN geo_id WHEN 'EPSG:3857' THEN merc_id END,
        CASE srs WHEN 'EPSG:25832' THEN geo_id END, first_id) AS layer_id
 FROM (SELECT query_id, srs, p_brand AS name FROM map_queries JOIN part ON p_partkey = layer_key) q LEFT JOIN k USING (name)""")
 def route_by_srs(t: Inputs):
-    kept = t.upstream_layers.filter("p_size > 10 OR name < 'Brand#15'")
-    layers = kept.groupBy("name", "srs").agg(F.min("layer_id").alias("layer_id")).withColumn(
+    layers = t.upstream_layers.groupBy("name", "srs").agg(F.min("layer_id").alias("layer_id")).withColumn(
         "ordinal", F.when(F.col("srs") == "EPSG:3857", 0).otherwise(1))
     # systems without a layer of their own prefer lon/lat
     preferred = t.map_queries.filter("srs = 'EPSG:25832'").select(F.col("srs").alias("query_srs")).distinct().select(

@@ -99,11 +99,10 @@ def feature_coverage_filter(t: Inputs):
 @plan("vector_retile", "R5", f"""
 WITH {SHAPES},
 m AS (SELECT fid, (radians(a)/pi()+1e0)*16e0 AS px0, (radians(b)/pi()+1e0)*16e0 AS px1,
-  (1e0-ln(tan(pi()/4e0+radians(d)/2e0))/pi())*16e0 AS py0, (1e0-ln(tan(pi()/4e0+radians(c)/2e0))/pi())*16e0 AS py1 FROM shp WHERE d < 89.9e0)
+  (1e0-ln(tan(pi()/4e0+radians(least(d, 89.999999e0))/2e0))/pi())*16e0 AS py0, (1e0-ln(tan(pi()/4e0+radians(c)/2e0))/pi())*16e0 AS py1 FROM shp)
 SELECT fid, x, y FROM m, range(32) u(x), range(32) v(y) WHERE x BETWEEN floor(px0-0.2e0+1e-9) AND ceil(px1+0.2e0-1e-9)-1 AND y BETWEEN floor(py0-0.2e0+1e-9) AND ceil(py1+0.2e0-1e-9)-1""")
 def vector_retile(t: Inputs):
-    below_pole = shapes(t).filter(F.forall(F.col("parts")[0][0], lambda p: p.y < 89.9))
-    tiled = vector.retile(below_pole, WEBMERCATOR, 5, "EPSG:4326")
+    tiled = vector.retile(shapes(t), WEBMERCATOR, 5, "EPSG:4326")
     return tiled.select("fid", "x", "y")
 
 

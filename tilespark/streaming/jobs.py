@@ -62,13 +62,11 @@ def upsert_tiles(updates: DataFrame, table: str, checkpoint: str, order: Sequenc
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
+    """Whether the path is there at all; a damaged table is an error, not an empty one."""
+    from tilespark.sources.storage import qualified
 
-    try:
-        spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
-    return True
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(spark, path))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def seed(tasks: DataFrame, stored: DataFrame, grid: Grid, path: str, checkpoint: str) -> None:

@@ -15,12 +15,12 @@ def classify(requests: DataFrame, stored: DataFrame, grid: Grid, expire: Column,
     """Add ``state``: out_of_range, empty (outside the coverage), hit, stale or miss.
 
     Works on batches and streams. The static side is repeated once per salt, so requests for one
-    popular tile spread over several join tasks.
+    popular tile spread over several join tasks. Of several writes of a stored tile the last counts.
     """
     salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted = requests.withColumn("_salt", salt)
-    known = stored.select(*KEY, F.col("mtime").alias("_mtime")).withColumn("_salt", spread)
+    known = stored.groupBy(*KEY).agg(F.max("mtime").alias("_mtime")).withColumn("_salt", spread)
     joined = salted.join(known, [*KEY, "_salt"], "left")
     inside = F.lit(True)
     if covered is not None:
@@ -57,10 +57,3 @@ def creations(requests: DataFrame, ts: str, meta: int = 4, lock: str = "30 secon
         "z", keys.main_tile(F.col("x"), meta).alias("mx"), keys.main_tile(F.col("y"), meta).alias("my"),
         F.window(ts, lock)["start"].alias("slot"))
     return main.withWatermark("slot", watermark).dropDuplicates(["z", "mx", "my", "slot"])
-
-
-def creations_within_watermark(requests: DataFrame, ts: str, meta: int = 4, lock: str = "30 seconds") -> DataFrame:
-    """Streaming-state variant: after a creation, repeats within the lock time are dropped."""
-    main = requests.select(
-        "z", keys.main_tile(F.col("x"), meta).alias("mx"), keys.main_tile(F.col("y"), meta).alias("my"), ts)
-    return main.withWatermark(ts, lock).dropDuplicatesWithinWatermark(["z", "mx", "my"])
