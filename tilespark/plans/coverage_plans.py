@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilespark.functions import coverages as texts
 from tilespark.functions import geometry as geo
 from tilespark.functions.tilemath import GEODETIC, buffered_bbox
 from tilespark.operators import coverage as cov
@@ -315,3 +316,73 @@ def reproject_bbox(t: Inputs):
     box = geo.reproject_bbox(geo.bbox(*[F.col(c) for c in SIDES]), "EPSG:4326", "EPSG:3857")
     return t.map_queries.withColumn("m", box).select(
         "query_id", *[F.round(F.col(f"m.{c}"), 3).alias(c) for c in SIDES])
+
+
+def coverage_texts(t: Inputs):
+    """Each nation's cut box written as text: half of them well-known text, the others GeoJSON, one in three multipart."""
+    c, k = F.col, F.col("n_nationkey")
+    ring = [(c("minx"), c("miny")), (c("maxx"), c("miny")), (c("maxx"), c("maxy") - c("cut")), (c("maxx") - c("cut"), c("maxy")), (c("minx"), c("maxy")),
+            (c("minx"), c("miny"))]
+    far = [(c("minx") - 2, c("miny")), (c("minx") - 1, c("miny")), (c("minx") - 1, c("miny") + 1), (c("minx") - 2, c("miny"))]
+
+    def wkt(points):
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x, y) for x, y in points]), F.lit(")"))
+
+    def geojson(points):
+        return F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), F.concat_ws(",", x, y), F.lit("]")) for x, y in points]), F.lit("]"))
+
+    as_wkt = F.when(k % 3 == 0, F.concat(F.lit("MULTIPOLYGON(("), wkt(ring), F.lit("), ("), wkt(far), F.lit("))"))).otherwise(
+        F.concat(F.lit("POLYGON ("), wkt(ring), F.lit(")")))
+    as_json = F.when(k % 3 == 0, F.concat(F.lit('{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[['), geojson(ring), F.lit("],["), geojson(far),
+                                          F.lit("]]}}"))).otherwise(F.concat(F.lit('{"type":"Polygon","coordinates":['), geojson(ring), F.lit("]}")))
+    return t.boxes.select(k.alias("coverage"), F.when(k % 2 == 0, as_wkt).otherwise(as_json).alias("text"))
+
+
+@plan("coverage_from_wkt", "F1", """
+SELECT n_nationkey AS coverage, CASE WHEN n_nationkey%3=0 THEN 2 ELSE 1 END AS rings,
+  CASE WHEN n_nationkey%3=0 THEN minx-2e0 ELSE minx END AS minx, miny, maxx, maxy,
+  (SELECT count(*) FROM event_points WHERE (lon >= minx AND lon < maxx AND lat >= miny AND lat < maxy AND lon+lat < maxx+maxy-cut)
+     OR (n_nationkey%3=0 AND lat >= miny AND lat < lon-minx+2e0+miny AND lon < minx-1e0)) AS points
+FROM boxes""")
+def coverage_from_wkt(t: Inputs):
+    read = coverage_texts(t).withColumn("polygon", F.coalesce(texts.polygon_from_wkt(F.col("text")), texts.polygon_from_geojson(F.col("text"))))
+    read = read.withColumn("box", texts.polygon_box(F.col("polygon"))).drop("text")
+    inside = cov.points_in_coverages(t.event_points, read, GEODETIC, "lon", "lat", salts=4).groupBy(F.col("coverage").alias("_c")).agg(
+        F.count(F.lit(1)).alias("points"))
+    return read.join(inside, F.col("coverage") == F.col("_c"), "left").select(
+        "coverage", F.size("polygon").alias("rings"), "box.*", F.coalesce("points", F.lit(0).cast("long")).alias("points"))
+
+
+@plan("coverage_expression", "U1 U2 U3", """
+WITH q AS (SELECT query_id, m.minx AS a, m.miny AS c, m.maxx AS b, m.maxy AS d, x.minx AS x0, x.miny AS y0, x.maxx AS x1, x.maxy AS y1
+  FROM map_queries m JOIN boxes x ON n_nationkey = query_id%25),
+s AS (SELECT query_id, CASE WHEN a>=x0 AND b<=x1 AND c>=y0 AND d<=y1 THEN 2 WHEN a<x1 AND b>x0 AND c<y1 AND d>y0 THEN 1 ELSE 0 END AS one,
+  CASE WHEN a>=x0+30e0 AND b<=x1+60e0 AND c>=y0 AND d<=y1+20e0 THEN 2 WHEN a<x1+60e0 AND b>x0+30e0 AND c<y1+20e0 AND d>y0 THEN 1 ELSE 0 END AS two,
+  CASE WHEN a>=-60e0 AND b<=60e0 AND c>=-40e0 AND d<=40e0 THEN 2 WHEN a<60e0 AND b>-60e0 AND c<40e0 AND d>-40e0 THEN 1 ELSE 0 END AS three FROM q),
+u AS (SELECT query_id, greatest(one, two) AS both_, three FROM s)
+SELECT query_id, CASE WHEN both_=0 OR three=2 THEN 'NONE' WHEN both_=2 AND three=0 THEN 'CONTAINS' ELSE 'INTERSECTS' END AS without,
+  CASE least(both_, three) WHEN 0 THEN 'NONE' WHEN 1 THEN 'INTERSECTS' ELSE 'CONTAINS' END AS within FROM u""")
+def coverage_expression(t: Inputs):
+    q = queries_with_extent(t)
+    e = F.col("extent")
+    moved = geo.bbox(e.minx + 30, e.miny, e.maxx + 60, e.maxy + 20)
+    both = ("union", (e, None), (moved, None))
+    middle = (geo.bbox(-60, -40, 60, 40), None)
+    return q.select("query_id", texts.expression_class(("difference", both, middle), F.col("box")).alias("without"),
+                    texts.expression_class(("intersection", both, middle), F.col("box")).alias("within"))
+
+
+@plan("boxes_off_the_grid", "J1 A1", """
+WITH b AS (SELECT o_orderkey AS task, (o_orderkey*137.508e0)%900e0-450e0 AS minx, (o_orderkey*61.8034e0)%400e0-200e0 AS miny FROM orders),
+r AS (SELECT task, greatest(cast(floor((minx+180e0)/11.25e0+1e-9) AS bigint), 0) AS x0, least(cast(ceil((minx+210e0)/11.25e0-1e-9) AS bigint)-1, 31) AS x1,
+  greatest(cast(floor((miny+90e0)/11.25e0+1e-9) AS bigint), 0) AS y0, least(cast(ceil((miny+110e0)/11.25e0-1e-9) AS bigint)-1, 15) AS y1 FROM b)
+SELECT task, CASE WHEN x0 <= x1 AND y0 <= y1 THEN (x1-x0+1)*(y1-y0+1) ELSE 0 END AS n_tiles FROM r""")
+def boxes_off_the_grid(t: Inputs):
+    key = F.col("o_orderkey")
+    minx, miny = key * 137.508 % 900.0 - 450.0, key * 61.8034 % 400.0 - 200.0
+    boxes = t.orders.select(key.alias("task"), geo.bbox(minx, miny, minx + 30, miny + 20).alias("box"), F.lit(5).alias("z"))
+    counted = cov.count_box_tiles(boxes, GEODETIC).select("task", "n_tiles")
+    # as many tiles are there when the ranges are walked
+    walked = cov.affected_tiles(boxes, GEODETIC, spread=True).groupBy(F.col("task").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.join(walked, F.col("task") == F.col("_t"), "left").select(
+        "task", F.when(F.col("n_tiles") == F.coalesce("_n", F.lit(0)), F.col("n_tiles")).alias("n_tiles"))
