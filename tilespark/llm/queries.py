@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tilespark.llm import decontamination, licences, mixing, ngram_join, passages, quality_rules, token_counts, token_output, toxicity, url_trust
 from tilespark.llm.common import columns, prepare, table
+from tilespark.llm.oracles import ORACLES as ORACLES
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +58,3 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op6_passage_dedup, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
-ORACLES: dict[str, str] = {}
