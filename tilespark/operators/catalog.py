@@ -62,6 +62,24 @@ def available_json(ranges: DataFrame, by: str = "tileset") -> DataFrame:
     return levels.select(by, "z", F.to_json("rects").alias("available"))
 
 
+def layer_document(tiles: DataFrame, template: str, version: str = "1.0.0", fmt: str = "quantized-mesh-1.0", by: str = "tileset",
+                   projection: str = "EPSG:4326", scheme: str = "tms", grid: Grid = WEBMERCATOR) -> DataFrame:
+    """``tileset, layer``: the description of each tileset, with the rectangles of tiles that exist per level.
+
+    Levels without tiles, down to the deepest that has some, have an empty list.
+    """
+    levels = available_json(availability(tiles, (by, "z")), by)
+    held = levels.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("z", "available"))).alias("_held"), F.max("z").alias("_deepest"))
+    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_deepest").cast("int")), lambda z: F.coalesce(F.col("_held")[z], F.lit("[]"))), ",")
+    meta = tileset_metadata(tiles, by=by, grid=grid).join(held, by)
+    bounds = F.array_join(F.transform(F.array("minx", "miny", "maxx", "maxy"), lambda v: F.round(v, 6).cast("string")), ",")
+    text = F.concat(
+        F.lit('{"name":"'), F.col(by).cast("string"), F.lit(f'","tilejson":"2.1.0","version":"{version}","format":"{fmt}","available":['), listed,
+        F.lit('],"bounds":['), bounds, F.lit('],"minzoom":'), F.col("min_zoom").cast("string"), F.lit(',"maxzoom":'), F.col("max_zoom").cast("string"),
+        F.lit(f',"bvhlevels":0,"projection":"{projection}","scheme":"{scheme}","tiles":["{template}"]}}'))
+    return meta.select(by, text.alias("layer"))
+
+
 def task_progress(reports: DataFrame, task: str, done: Column, at: str) -> DataFrame:
     """Completed share and duration per task; a task without work has no share."""
     agg = reports.groupBy(task).agg(

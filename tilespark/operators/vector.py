@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tilespark.functions import geometry as geo
 from tilespark.functions.arrays import by_batch, lists
-from tilespark.functions.once import once, once_unless
+from tilespark.functions.once import bind, once, once_unless
 from tilespark.functions.tilemath import Grid, affected_range
 from tilespark.operators.coverage import expand_ranges
 
@@ -109,6 +109,52 @@ def layer_stats(features: DataFrame, by: Sequence[str] = ("layer",)) -> DataFram
         F.sum("_n").alias("count"), F.max_by("geom_type", F.struct("_n", "geom_type")).alias("geometry"))
 
 
+def _json_text(value: Column) -> Column:
+    """A scalar as JSON."""
+    return bind(F.to_json(F.struct(value.alias("v"))), lambda t: F.substring(t, F.lit(6), F.length(t) - 6))
+
+
+def attribute_values(features: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame:
+    """Distinct values of each attribute with their counts; as many rows as values."""
+    values = features.select(*by, F.explode("props").alias("attribute", "value"))
+    return values.groupBy(*by, "attribute", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def tile_stats(features: DataFrame, tileset: str, account: str = "", most_values: int = 100) -> DataFrame:
+    """``tilesetid, tilestats``: one statistics document per value of the column ``tileset``.
+
+    Attributes with up to ``most_values`` distinct values list them, sorted; more are in
+    :func:`attribute_values`. Bounds are left out for text and where they are 0.
+    """
+    by = [tileset, "layer"]
+    listed = attribute_values(features, by).groupBy(*by, "attribute").agg(F.count(F.lit(1)).alias("_n"), F.min("value").alias("_one"))
+    few = listed.filter(F.col("_n") <= most_values).select(*by, "attribute")
+    held = attribute_values(features, by).join(few, [*by, "attribute"], "left_semi").groupBy(*by, "attribute").agg(
+        F.sort_array(F.collect_list("value")).alias("_values"))
+    stats = attribute_stats(features, by).join(held, [*by, "attribute"], "left")
+    numeric = F.col("type") == "Number"
+    items = F.transform("_values", lambda v: F.when(numeric, v).otherwise(_json_text(v)))
+
+    def part(name: str, value: Column, there: Column) -> Column:
+        return F.when(there, F.concat(F.lit(f',"{name}":'), value)).otherwise("")
+
+    entry = F.concat(
+        F.lit('{"attribute":'), _json_text(F.col("attribute")), F.lit(',"type":"'), F.col("type"), F.lit('"'),
+        part("values", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), F.col("_values").isNotNull()),
+        part("min", _json_text(F.col("min")), F.coalesce(F.col("min") != 0, F.lit(False))),
+        part("max", _json_text(F.col("max")), F.coalesce(F.col("max") != 0, F.lit(False))), F.lit("}"))
+    attributes = stats.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("attribute", entry.alias("e")))).alias("_a"))
+    layers = layer_stats(features, by).join(attributes, by, "left")
+    head = F.concat(F.lit(f'{{"account":"{account}","tilesetid":'), _json_text(F.col(tileset)))
+    text = F.concat(
+        head, F.lit(',"layer":'), _json_text(F.col("layer")), F.lit(',"geometry":"'), F.col("geometry"), F.lit('","count":'), F.col("count").cast("string"),
+        F.when(F.col("_a").isNotNull(), F.concat(F.lit(',"attributes":['), F.array_join(F.transform("_a", lambda a: a.e), ","), F.lit("]"))).otherwise(""), F.lit("}"))
+    whole = layers.withColumn("_text", text).groupBy(tileset).agg(F.sort_array(F.collect_list(F.struct("layer", "_text"))).alias("_l"))
+    return whole.select(F.col(tileset).alias("tilesetid"), F.concat(
+        head, F.lit(',"layerCount":'), F.size("_l").cast("string"), F.lit(',"layers":['),
+        F.array_join(F.transform("_l", lambda e: e._text), ","), F.lit("]}")).alias("tilestats"))
+
+
 def vector_layers(features: DataFrame) -> DataFrame:
     """Catalogue entry per layer: its fields with their types, and its zoom range."""
     fields = attribute_stats(features).groupBy("layer").agg(

@@ -20,26 +20,35 @@ def read_access_log(spark: SparkSession, path: str, fmt: str = "json", schema: s
 
 
 def parse_access_log(log: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``family``, tile fields, and box, size and SRS of map requests.
+    """Add ``family``, tile fields, and box, size and SRS of map requests (WMS, ArcGIS export).
+
+    Tiles asked by keys and values (WMTS) have the family ``wmts_kvp``.
 
     ``reason`` is null for requests that can be served.
     """
     path = F.substring_index(F.col(url), "?", 1)
     query = F.when(F.instr(F.col(url), "?") > 0, F.substring_index(F.col(url), "?", -1))
     split = once(log.withColumn("_path", path), "_params", req.query_params(query))
-    family = F.coalesce(req.url_family(F.col("_path")), F.when(F.upper(req.param(F.col("_params"), "service")) == "WMS", "wms"))
+    service = F.upper(req.param(F.col("_params"), "service"))
+    family = F.coalesce(
+        req.url_family(F.col("_path")), F.when(service == "WMS", "wms").when(service == "WMTS", "wmts_kvp"),
+        F.when(F.col("_path").rlike("(?i)/export(image)?$") & req.param(F.col("_params"), "bbox").isNotNull(), "arcgis"))
     known = split.withColumn("family", family)
     tiled = once(known, "_tile", req.parse_tile_url(F.col("_path"), F.col("family")))
-    params = F.col("_params")
-    is_map = F.col("family") == "wms"
-    return tiled.select(
+    params, family = F.col("_params"), F.coalesce("family", F.lit(""))
+    is_map, is_key = family.isin("wms", "arcgis"), family == "wmts_kvp"
+    keyed = once(tiled, "_key", F.when(is_key, req.param_tile(params)))
+    number = {c: F.when(is_key, F.col(f"_key.{c}").cast("int" if c == "z" else "long")).otherwise(F.col(f"_tile.{c}")) for c in "zxy"}
+    reason = F.when(is_key, F.when((F.col("_key.x") < 0) | (F.col("_key.y") < 0) | (F.col("_key.z") < 0), "bad number")).when(
+        ~is_map, F.col("_tile.reason"))
+    srs = F.coalesce(*[req.param(params, n) for n in ("crs", "srs", "bboxsr", "imagesr")])
+    return keyed.select(
         *log.columns, "family",
-        F.coalesce(F.col("_tile.layer"), F.when(is_map, req.param(params, "layers"))).alias("layer"),
-        F.col("_tile.layer_spec").alias("layer_spec"), F.col("_tile.z").alias("z"), F.col("_tile.x").alias("x"),
-        F.col("_tile.y").alias("y"), F.coalesce(F.col("_tile.format"), F.when(is_map, req.param(params, "format"))).alias("format"),
+        F.coalesce(F.col("_tile.layer"), F.when(is_map, req.param(params, "layers")), F.when(is_key, req.param(params, "layer"))).alias("layer"),
+        F.coalesce(F.col("_tile.layer_spec"), F.when(is_key, req.param(params, "tilematrixset"))).alias("layer_spec"),
+        *[number[c].alias(c) for c in "zxy"], F.coalesce(F.col("_tile.format"), F.when(is_map | is_key, req.param(params, "format"))).alias("format"),
         F.when(is_map, req.param_bbox(params)).alias("box"), F.when(is_map, req.param_size(params)).alias("image"),
-        F.when(is_map, F.coalesce(req.param(params, "crs"), req.param(params, "srs"))).alias("srs"),
-        F.when(~F.coalesce(is_map, F.lit(False)), F.col("_tile.reason")).alias("reason"))
+        F.when(is_map, srs).alias("srs"), reason.alias("reason"))
 
 
 def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
