@@ -175,6 +175,30 @@ def test_two_writes_of_a_stored_tile(spark):
     assert [r.state for r in got] == ["hit"]
 
 
+def test_many_cornered_coverages(spark):
+    import math
+
+    def ring(n, wobble):
+        return [(math.cos(a) * r, math.sin(a) * r / 2) for i in range(n) for a in [2 * math.pi * i / n] for r in [100 + wobble * math.sin(37 * a)]]
+
+    polygon = [ring(10_000, 30.0), ring(500, 0.0)[::-1]]
+    cover = spark.createDataFrame([(1, (-140.0, -70.0, 140.0, 70.0), polygon)], f"coverage int, {BOX}, polygon array<array<struct<x:double,y:double>>>")
+    pts = spark.range(4000).select((F.col("id") * 137.508 % 300 - 150).alias("x"), (F.col("id") * 61.8034 % 160 - 80).alias("y"))
+    got = {(r.x, r.y) for r in cov.points_in_coverages(pts, cover, GEODETIC, "x", "y", depth=4).collect()}
+    x, y = (np.array([r[i] for r in pts.collect()]) for i in (0, 1))
+    inside = np.zeros(len(x), bool)
+    for points in polygon:
+        p = np.array(points)
+        q = np.roll(p, -1, axis=0)
+        for (x0, y0), (x1, y1) in zip(p, q):
+            hit = (y0 > y) != (y1 > y)
+            inside[hit] ^= x[hit] < (x1 - x0) * (y[hit] - y0) / (y1 - y0) + x0
+    assert got == set(zip(x[inside].tolist(), y[inside].tolist()))
+    cells = cov.coverage_cells(cover, GEODETIC, 5)
+    held = cells.groupBy("z", "cell_class").agg(F.max(F.size("edges")).alias("n")).collect()
+    assert all(r.n is None for r in held if r.cell_class == geo.CONTAINS) and max(r.n for r in held if r.z == 5 and r.n) < 4000
+
+
 SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
 
 

@@ -98,11 +98,24 @@ def _keep_touching(df: DataFrame, name: str, state: Column) -> DataFrame:
 
 
 def coverage_cells(coverages: DataFrame, grid: Grid, depth: int) -> DataFrame:
-    """Cells of levels ``0..depth`` each coverage touches, with their class and the coverage's edges."""
+    """Cells of levels ``0..depth`` each coverage touches, with their class and the edges that matter in them."""
     levelled = coverages.withColumn("edges", geo.polygon_edges(F.col("polygon"))).withColumn(
         "z", F.explode(F.sequence(F.lit(0), F.lit(depth))))
     cells = affected_tiles(levelled, grid).withColumn("tile", tile_box(grid))
-    return _keep_touching(cells, "cell_class", _classify(F.col("edges"), F.col("box"), F.col("tile"))).drop("tile")
+    classed = _keep_touching(cells, "cell_class", _classify(F.col("edges"), F.col("box"), F.col("tile")))
+    return classed.withColumn("edges", _edges_for(F.col("edges"), F.col("cell_class"), F.col("tile"))).drop("tile")
+
+
+def _edges_for(edges: Column, state: Column, tile: Column) -> Column:
+    """What tests inside a tile need of a polygon: nothing in a contained tile, else the edges beside it or right of it.
+
+    A ray to the right from a point of the tile meets no other edge, and no other edge enters the tile, so
+    answers stay the same while a row grows with the edges of the tile's own band only.
+    """
+    slack = (tile.maxx - tile.minx) * 1e-9
+    near = F.filter(edges, lambda e: (F.least(e.p.y, e.q.y) <= tile.maxy + slack) & (F.greatest(e.p.y, e.q.y) >= tile.miny - slack)
+                    & (F.greatest(e.p.x, e.q.x) >= tile.minx - slack))
+    return F.when(state != geo.CONTAINS, near)
 
 
 def _salted(left: DataFrame, right: DataFrame, spread_by: Sequence[str], salts: int):
@@ -184,7 +197,8 @@ def count_tiles(coverages: DataFrame, grid: Grid, levels: int, stride: int = 4)
         steps = min(stride, levels - 1 - top)
         below = _descendants(bottom.filter(F.col("state") == geo.INTERSECTS), grid, top, steps).withColumn(
             "tile", tile_box(grid))
-        cells = _keep_touching(below, "state", _classify(F.col("edges"), F.col("box"), F.col("tile"))).drop("tile")
+        cells = _keep_touching(below, "state", _classify(F.col("edges"), F.col("box"), F.col("tile")))
+        cells = cells.withColumn("edges", _edges_for(F.col("edges"), F.col("state"), F.col("tile"))).drop("tile")
         top += steps
         if top < levels - 1:
             cells = cut_lineage(cells)

@@ -74,8 +74,6 @@ def cache_hits(fetches: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:
     """
     asked = fetches.filter("cacheable")
     filled = asked.filter("ok").groupBy("url").agg(F.min("seq").alias("filled_at"))
-    per_url = asked.groupBy(*by, "url", "seq").agg(F.count(F.lit(1)).alias("n")).join(filled, "url")
-    return per_url.groupBy(*by).agg(
-        F.sum(F.when(F.col("seq") > F.col("filled_at"), F.col("n")).otherwise(0)).alias("hits"),
-        F.count_if(F.col("seq") == F.col("filled_at")).alias("misses"),
+    return asked.join(filled, "url").groupBy(*by).agg(
+        F.count_if(F.col("seq") > F.col("filled_at")).alias("hits"), F.count_if(F.col("seq") == F.col("filled_at")).alias("misses"),
     ).withColumn("hit_ratio", F.col("hits") / (F.col("hits") + F.col("misses")))
