@@ -61,6 +61,18 @@ def windowed_metrics(t: Inputs):
         F.unix_micros("window_start").alias("start_us"), "service", "layer", "hits", "misses", "errors")
 
 
+@plan("sliding_metrics", "T2", f"""
+WITH {CLASSIFIED}, s AS (SELECT c.*, unnest(range(4)) AS k FROM c),
+w AS (SELECT epoch_us(time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01')) - k*10800000000 AS start_us, service, layer,
+  count(*) FILTER (WHERE state='hit' AND event_type<>'error') AS hits, count(*) FILTER (WHERE state<>'hit' AND event_type<>'error') AS misses,
+  count(*) FILTER (WHERE event_type='error') AS errors FROM s GROUP BY 1,2,3)
+SELECT * FROM w WHERE start_us + 43200000000 <= (SELECT epoch_us(max(ts)) FROM events) - 600000000""")
+def sliding_metrics(t: Inputs):
+    metrics = stream.windowed_metrics(classified(t), "ts", "12 hours", "3 hours")
+    return collect_stream(t, metrics, "sliding").select(
+        F.unix_micros("window_start").alias("start_us"), "service", "layer", "hits", "misses", "errors")
+
+
 @plan("inflight_coalescing", "T3", """
 SELECT DISTINCT z, x - x%4 AS mx, y - y%4 AS my, epoch_us(time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '1970-01-01')) AS slot_us
 FROM (SELECT z, CASE WHEN event_type='signup' THEN 16 ELSE x END AS x, y, ts FROM tile_requests)""")

@@ -36,17 +36,20 @@ def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], check
         availableNow=True).start().awaitTermination()
 
 
-def upsert_tiles(updates: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("mtime",), key: Sequence[str] = KEY) -> None:
-    """Keep the last write of every tile in a Parquet table partitioned by tileset and level.
-
-    Each batch merges with the partitions it touches into a staged copy and then replaces only
-    those; a batch that runs again after a failure gives the same table.
+def upsert_tiles(
+    updates: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("mtime",), key: Sequence[str] = KEY, block_bits: int = 6,
+) -> None:
+    """Keep the last write of every tile in a Parquet table partitioned by tileset, level and block of tiles.
+
+    A block is ``2^block_bits`` tiles wide and high. Each batch merges with the blocks it touches into a
+    staged copy, then replaces only those and drops the copy; a batch that runs again after a failure gives
+    the same table.
     """
     spark = updates.sparkSession
-    parts = ["tileset", "z"]
+    parts = ["tileset", "z", "block"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = batch.withColumn("block", F.concat_ws("_", F.shiftright("x", block_bits), F.shiftright("y", block_bits))).persist()
         touched = batch.select(*parts).distinct()
         merged = batch
         if _exists(spark, table):
@@ -57,16 +60,26 @@ def upsert_tiles(updates: DataFrame, table: str, checkpoint: str, order: Sequenc
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *parts).parquet(table)
         batch.unpersist()
+        _drop(spark, staged)
 
     run_batches(updates, merge, checkpoint)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the path is there at all; a damaged table is an error, not an empty one."""
+    place = _place(spark, path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    place = _place(spark, path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
     from tilespark.sources.storage import qualified
 
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(spark, path))
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(qualified(spark, path))
 
 
 def seed(tasks: DataFrame, stored: DataFrame, grid: Grid, path: str, checkpoint: str) -> None:
