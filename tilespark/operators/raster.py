@@ -19,6 +19,7 @@ from tilespark.functions.arrays import arrays, by_batch, lists, rasters
 from tilespark.functions.elevation import bilinear
 from tilespark.functions.once import once
 from tilespark.functions.tilemath import Grid, affected_range
+from tilespark.operators.cache_state import nearest_levels
 
 # a point on a shared edge belongs to both triangles, whatever the rounding
 EDGE = 1e-9
@@ -144,19 +145,77 @@ def pyramid(tiles: DataFrame, levels: int, size: int, nodata: float | None = Non
         F.collect_list(F.struct("slot", "piece")).alias("_pieces"))
 
     def assemble(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
-        out = []
-        for k, pieces in zip(batch.column("k").to_pylist(), lists(batch.column("_pieces")), strict=True):
-            n, whole = size >> k, np.full((size, size), np.nan if nodata is None else nodata)
-            for slot, piece in zip(pieces.field("slot").to_pylist(), arrays(pieces.field("piece")), strict=True):
-                row, col = divmod(slot, 1 << k)
-                piece = piece.reshape(n, n)
-                whole[row * n:(row + 1) * n, col * n:(col + 1) * n] = piece if nodata is None else np.where(np.isnan(piece), nodata, piece)
-            out.append(whole.ravel())
+        out = [_put_together(size, k, pieces, nodata) for k, pieces in zip(batch.column("k").to_pylist(), lists(batch.column("_pieces")), strict=True)]
         return np.arange(len(out)), {"vals": rasters(out)}
 
     return by_batch(grouped, assemble, grouped.select(*by, "z", "x", "y").schema.fields, "vals array<double>")
 
 
+def rescale_fill(wanted: DataFrame, stored: DataFrame, size: int, up: int = 0, down: int = 0, nodata: float | None = None) -> DataFrame:
+    """``z, x, y, src_z, vals`` of wanted tiles, taken from themselves or the nearest level that has something.
+
+    A part of an ancestor is enlarged, each of its cells to a square; descendants shrink by the mean of their
+    valid cells and are put together, gaps staying nodata. Tiles with nothing within ``up`` levels above or
+    ``down`` below are left out. A result needs one tile of input however many levels lie between.
+    """
+    if size % (1 << max(up, down)):
+        raise ValueError("a tile must halve evenly on every level")
+    keys = stored.select("z", "x", "y").distinct()
+    chosen = nearest_levels(wanted.select("z", "x", "y").distinct(), keys, up, down).filter("src_z IS NOT NULL")
+    held = stored.select(F.col("z").alias("_z"), F.col("x").alias("_x"), F.col("y").alias("_y"), "vals")
+    steps = F.col("z") - F.col("src_z")
+    side = F.pow(F.lit(2), F.abs(steps)).cast("long")
+    above = chosen.filter("src_z <= z").join(held, (F.col("_z") == F.col("src_z")) & (F.col("_x") == F.floor(F.col("x") / side))
+                                             & (F.col("_y") == F.floor(F.col("y") / side)))
+
+    def enlarge(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        out = []
+        of = zip(*(batch.column(c).to_pylist() for c in ("z", "src_z", "x", "y")), arrays(batch.column("vals")), strict=True)
+        for z, src, x, y, vals in of:
+            k = 1 << (z - src)
+            n = size // k
+            row, col = y % k * n, x % k * n
+            part = vals.reshape(size, size)[row:row + n, col:col + n]
+            out.append(part.repeat(k, axis=0).repeat(k, axis=1).ravel())
+        return np.arange(len(out)), {"_vals": rasters(out)}
+
+    kept = ["z", "x", "y", "src_z"]
+    enlarged = by_batch(above.select(*kept, "vals"), enlarge, chosen.select(*kept).schema.fields, "_vals array<double>")
+
+    def shrink(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        out = []
+        for steps, vals in zip(batch.column("_k").to_pylist(), arrays(batch.column("vals")), strict=True):
+            piece = vals.reshape(size, size)
+            for _ in range(steps):
+                piece = halve(piece, nodata)
+            out.append(piece.ravel())
+        return np.arange(len(out)), {"piece": rasters(out)}
+
+    below = chosen.filter("src_z > z").join(held, (F.col("_z") == F.col("src_z")) & (F.floor(F.col("_x") / side) == F.col("x"))
+                                            & (F.floor(F.col("_y") / side) == F.col("y")))
+    slot = (F.pmod(F.col("_y"), side) * side + F.pmod(F.col("_x"), side)).cast("int")
+    below = below.select(*kept, (-steps).cast("int").alias("_k"), slot.alias("slot"), "vals")
+    pieces = by_batch(below, shrink, below.drop("vals").schema.fields, "piece array<double>").groupBy(*kept, F.col("_k").alias("k")).agg(
+        F.collect_list(F.struct("slot", "piece")).alias("_pieces"))
+
+    def assemble(batch: pa.RecordBatch) -> tuple[np.ndarray, dict]:
+        out = [_put_together(size, k, parts, nodata) for k, parts in zip(batch.column("k").to_pylist(), lists(batch.column("_pieces")), strict=True)]
+        return np.arange(len(out)), {"_vals": rasters(out)}
+
+    shrunk = by_batch(pieces, assemble, chosen.select(*kept).schema.fields, "_vals array<double>")
+    return enlarged.unionByName(shrunk).withColumnRenamed("_vals", "vals")
+
+
+def _put_together(size: int, k: int, pieces: pa.StructArray, nodata: float | None) -> np.ndarray:
+    """One raster from pieces that are ``2^k`` times smaller; nodata where there is none."""
+    n, whole = size >> k, np.full((size, size), np.nan if nodata is None else nodata)
+    for slot, piece in zip(pieces.field("slot").to_pylist(), arrays(pieces.field("piece")), strict=True):
+        row, col = divmod(slot, 1 << k)
+        piece = piece.reshape(n, n)
+        whole[row * n:(row + 1) * n, col * n:(col + 1) * n] = piece if nodata is None else np.where(np.isnan(piece), nodata, piece)
+    return whole.ravel()
+
+
 def all_blank(tiles: DataFrame, by: Sequence[str], background: float) -> DataFrame:
     """Per group: no tile holds anything but the background."""
     blank = F.forall("vals", lambda v: v.isNull() | (v == background))

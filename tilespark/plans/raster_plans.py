@@ -75,6 +75,23 @@ def overview_pyramid(t: Inputs):
     return cells_of(up, "z", "x", "y").withColumn("v", F.round("v", 6))
 
 
+@plan("rescale_fill_pixels", "J15", f"""
+WITH {DEM_SQL}, {_level('dem', 1)}, {_level('l1', 2)},
+p AS (SELECT DISTINCT x>>2 AS x, y>>2 AS y FROM raster_tiles),
+a AS (SELECT cast(5 AS int) AS z, x, y, cast(7 AS int) AS src_z, cast(i AS int) AS i, round(coalesce(v, -9999), 6) AS v
+  FROM (SELECT * FROM p, range(64) r(i)) q LEFT JOIN l2 ON gc = x*8+i%8 AND gr = y*8+i//8)
+SELECT * FROM a UNION ALL
+SELECT cast(9 AS int), 4*x+vec_id%4, 4*y+vec_id//4%4, cast(7 AS int), cast(i AS int), round(v, 6) FROM dem JOIN range(64) r(i)
+  ON col = vec_id%4*2+i%8//4 AND row_no = vec_id//4%4*2+i//8//4""")
+def rescale_fill_pixels(t: Inputs):
+    stored = dem_tiles(t).withColumn("z", F.lit(7))
+    vec = F.col("vec_id")
+    coarse = t.raster_tiles.select(F.lit(5).alias("z"), F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y"))
+    fine = t.raster_tiles.select(F.lit(9).alias("z"), (F.col("x") * 4 + vec % 4).alias("x"), (F.col("y") * 4 + F.floor(vec / 4) % 4).alias("y"))
+    filled = raster.rescale_fill(coarse.unionByName(fine), stored, N, up=2, down=2, nodata=NODATA)
+    return cells_of(filled, "z", "x", "y", "src_z").withColumn("v", F.round("v", 6))
+
+
 @plan("all_blank", "A14", """
 SELECT x//2 AS mx, y//2 AS my, bool_and(v < 1250) AS all_blank, count(*)//64 AS n_tiles FROM cells GROUP BY 1, 2""")
 def all_blank(t: Inputs):
