@@ -22,8 +22,8 @@ def ids_of(tokenizer, text):
 def test_words_and_whole_texts_have_the_same_ids(tokenizer):
     import pyarrow as pa
 
-    odd = [r[1] for r in rows()] + ["(the.) 'tis ...x-y_z", "İstanbul ﬁne Å Å", "ạ́b", "<b>bold</b> $5,000.00!", " line", "don't.", "x'S"]
-    for most in (600_000, 3):  # tables that overflow
+    odd = [r[1] for r in rows()] + ["(the.) 'tis ...x-y_z", "İstanbul ﬁne Å Å", "ạ́b", "<b>bold</b> $5,000.00!", " line", "don't.", "x'S", "a<|endoftext|>B (<|EndOfText|>) <|STARTOFTEXT|>", "<|startoftext|>."]
+    for most in (400_000, 3):  # tables that overflow
         coder = WordEncoder(tokenizer_path(), most=most)
         for some in (odd, odd[::-1], odd):
             got = coder.encode(pa.array(some))

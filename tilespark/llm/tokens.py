@@ -3,7 +3,8 @@
 The tokenizer splits at white space before anything else, so a text's ids are its words' ids one
 after the other. It also splits between letters and punctuation other than an apostrophe, so a
 word of letters with such punctuation around it is up to three parts. Each distinct part is encoded
-once per worker and looked up after that.
+once per worker and looked up after that. Lower-casing is the tokenizer's first step, but for the strings
+of its special tokens, which a text may hold; such words stay whole and as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tilespark.llm.common import flat_words
+from tilespark.llm.common import texts
 
 TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -49,15 +50,19 @@ class Ragged:
 
 
 class WordEncoder:
-    """Parts of words, and ids of parts; each table is emptied once it holds more than ``most``."""
+    """Parts of words, and ids of parts; the tables are emptied before a batch once one holds more than ``most``."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
         self.word: dict[bytes, int] = {}
         self.part: dict[bytes, int] = {}
-        self.parts_of, self.ids_of, self.emptied = Ragged(), Ragged(), False
+        self.parts_of, self.ids_of = Ragged(), Ragged()
 
     def _learn_parts(self, parts: list[bytes]) -> None:
         names = [p.decode("utf-8") for p in parts]
@@ -84,17 +89,13 @@ class WordEncoder:
         size = np.ones(len(words), np.int64)
         for i, w in enumerate(words):
             core = w.strip(_AROUND)
-            if len(core) == len(w) or not (core.isalpha() or core.decode("utf-8").isalpha()):
+            if len(core) == len(w) or any(s in w for s in self.special) or not (core.isalpha() or core.decode("utf-8").isalpha()):
                 parts.append(w)
                 continue
             at = w.find(core)
             cut = [x for x in (w[:at], core, w[at + len(core):]) if x]
             parts += cut
             size[i] = len(cut)
-        if len(self.part) > self.most:
-            self.part, self.ids_of = {}, Ragged()
-            self.word, self.parts_of = {}, Ragged()
-            self.emptied = True
         if new := set(parts).difference(self.part):
             self._learn_parts(sorted(new))
         self.word.update(zip(words, range(self.parts_of.rows, self.parts_of.rows + len(words)), strict=True))
@@ -102,16 +103,18 @@ class WordEncoder:
 
     def _flat(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Rows of all parts, and where each text's parts begin."""
-        words, ends = flat_words(column)
-        if len(self.word) > self.most:
-            self.word, self.parts_of = {}, Ragged()
-        self.emptied = False
+        words: list[bytes] = []
+        ends = [0]
+        for t in texts(column):
+            low = t.lower()
+            words += (t if any(s in low for s in self.special) else low).split()
+            ends.append(len(words))
+        if max(len(self.word), len(self.part)) > self.most:
+            self.clear()
         if new := set(words).difference(self.word):
             self.learn(sorted(new))
-            if self.emptied:  # what was known is gone as well
-                self.learn(sorted(set(words).difference(self.word)))
         parts, upto = self.parts_of.take(np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)))
-        return parts, upto[ends]
+        return parts, upto[np.asarray(ends)]
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
