@@ -30,6 +30,8 @@ _AROUND = b".,!?;:*$%&|<>#()\"'"
 _HEADS, _TAILS = (3, 4, 5, 6, 7, 8, 9), (3, 4, 5)
 ROWS = 1 + len(_HEADS) + len(_TAILS)
 SCORE_LIMIT = 0.7
+#: Rows of each class that a threshold of its own takes at least.
+ENOUGH = 15
 
 
 def word_rows(word: bytes) -> list[int]:
@@ -41,9 +43,9 @@ def word_rows(word: bytes) -> list[int]:
 
 
 class WordTable:
-    """Buckets of distinct words, looked up once per worker; emptied when it holds ``most``."""
+    """Buckets of distinct words, each made once; emptied when it holds ``most``."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.row, self.rows = most, {}, np.zeros((1 << 12, ROWS), np.int32)
 
     def take(self, words: list[bytes]) -> np.ndarray:
@@ -232,20 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     weight = (share / share.min())[ya.astype(int)]
     _calibrate(m, z, ya, weight)
     # the score at which a decision is best becomes the limit of ``predicted``
-    best = _best_threshold(m.scores(z), ya, weight)
-    m.scale = (m.scale[0], m.scale[1] + float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(best / (1 - best))))
+    if ya.sum() >= ENOUGH and (1 - ya).sum() >= ENOUGH:
+        best = _best_threshold(m.scores(z), ya, weight)
+        m.scale = (m.scale[0], m.scale[1] + float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(best / (1 - best))))
     p, langs = m.scores(z), np.array([r.lang for r, s in zip(got, aside, strict=True) if s])
-    m.threshold = _best_threshold(p, ya, weight)
     for name in sorted(set(langs)):
         of = langs == name
-        if ya[of].sum() >= 15 and (1 - ya[of]).sum() >= 15:
+        if ya[of].sum() >= ENOUGH and (1 - ya[of]).sum() >= ENOUGH:
             m.thresholds[str(name)] = _best_threshold(p[of], ya[of], weight[of])
     return m
 
 
-_TABLE: list[WordTable] = []
-
-
 def add_scores(docs: DataFrame, model: Model, *, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """The columns of ``docs`` with ``score`` (0 to 1), ``predicted`` (1 if 0.7 or more), ``threshold`` (of the
     language) and ``rejected``.
@@ -258,15 +257,13 @@ def add_scores(docs: DataFrame, model: Model, *, text: str = "text", lang: str |
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if not _TABLE:
-            _TABLE.append(WordTable())
+        m, table = shared.value, WordTable()
         for batch in batches:
             for piece in pieces(batch, text, 1 << 20):
                 words, ends = flat_words(piece.column(place))
-                known = _TABLE[0].take(words)
+                known = table.take(words)
                 used, of = np.unique(known, return_inverse=True)
-                p = m.scores(m.logits(_TABLE[0].rows[used], of, ends))
+                p = m.scores(m.logits(table.rows[used], of, ends))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p, pa.float64())], [*piece.schema.names, name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
