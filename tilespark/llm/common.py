@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tilespark.session import checkpoint_dir, ship_package, tune
 
+#: Rows go to Python workers in batches of about this size, so that several workers fit beside an executor's heap.
+BATCH_BYTES = 16 << 20
 #: Characters between words of the contracts: space, tab, line feed, vertical tab, form feed, return.
 BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -21,6 +23,7 @@ BLANK = "[\\x20\\x09-\\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings, and the package on the workers."""
     tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
     return spark
 
@@ -65,7 +68,7 @@ def fresh(df: DataFrame, name: str) -> str:
 class Lazy(dict):
     """A dictionary that computes what it lacks; emptied once it holds ``most`` entries."""
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 150_000):
         self.make, self.most = make, most
 
     def __missing__(self, key):

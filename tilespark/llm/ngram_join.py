@@ -36,7 +36,6 @@ FRAGMENTS = 8
 HOT_ROWS = 20_000
 
 _U = np.uint64
-_WORDS = Lazy(xxhash.xxh3_64_intdigest)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,10 +44,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def ngram_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
+def word_hashes() -> Lazy:
+    """A table of words' hashes; each task has its own, so that it goes with the task."""
+    return Lazy(xxhash.xxh3_64_intdigest)
+
+
+def ngram_sets(column: pa.Array, n: int = N, known: Lazy | None = None) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer words is one n-gram, of none has none."""
     words, ends = flat_words(column)
-    h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+    h = np.fromiter(map((known if known is not None else word_hashes()).__getitem__, words), _U, len(words))
+    del words[:]
     rolled = np.zeros(max(0, len(h) - n + 1), _U)
     for k in range(n):
         rolled = rolled * _U(0x9E3779B97F4A7C15) + h[k:len(h) - n + 1 + k]
@@ -57,11 +62,16 @@ def ngram_sets(column: pa.Array, n: int = N) -> Iterator[np.ndarray]:
         if b - a >= n:
             yield np.unique(rolled[a:b - n + 1])
         elif b > a:
-            yield np.array([xxhash.xxh3_64_intdigest(b" ".join(words[a:b]), seed=n)], _U)
+            yield _mixed(np.array([_short(h[a:b])], _U))
         else:
             yield np.empty(0, _U)
 
 
+def _short(h: np.ndarray) -> int:
+    """Hash of a text of fewer words than an n-gram."""
+    return xxhash.xxh3_64_intdigest(h.tobytes(), seed=N)
+
+
 def _signature(s: np.ndarray) -> tuple[int, int]:
     d = blake2b(s.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -99,12 +109,12 @@ class Order:
 def _measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """One pass over the texts: each row's class and size, and n-grams that batches hold repeatedly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "text_hash", "hi", "lo", "size", "token", "times"]
+        names, known = ["kind", "doc_id", "text_hash", "hi", "lo", "size", "token", "times"], word_hashes()
         for batch in batches:
             seen, held = set(), []
             for piece in pieces(batch, "text"):
                 hi, lo, size = [], [], []
-                for s in ngram_sets(piece.column("text"), n):
+                for s in ngram_sets(piece.column("text"), n, known):
                     sig = _signature(s) if len(s) else (0, 0)
                     hi.append(sig[0])
                     lo.append(sig[1])
@@ -141,12 +151,12 @@ def _prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+        order, known = shared.value, word_hashes()
         for batch in batches:
             seen = set()
             for piece in pieces(batch, "text"):
                 rows: list[list] = [[], [], [], []]
-                for s in ngram_sets(piece.column("text"), n):
+                for s in ngram_sets(piece.column("text"), n, known):
                     if not len(s) or (sig := _signature(s)) in seen:
                         continue
                     seen.add(sig)
@@ -222,12 +232,12 @@ def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, pairs: Dat
     picked = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("text", "cid", "_hi", "_lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+        order, known = shared.value, word_hashes()
         for batch in batches:
             for piece in pieces(batch, "text"):
                 out: list[list] = [[], [], []]
                 keys = zip(*(piece.column(c).to_pylist() for c in ("cid", "_hi", "_lo")), strict=True)
-                for s, (cid, hi, lo) in zip(ngram_sets(piece.column("text"), n), keys, strict=True):
+                for s, (cid, hi, lo) in zip(ngram_sets(piece.column("text"), n, known), keys, strict=True):
                     if _signature(s) != (hi, lo):
                         continue
                     part = np.where(order.counts(s) > 0, FRAGMENTS - 1, (s >> _U(40)) * _U(FRAGMENTS - 1) >> _U(24))
