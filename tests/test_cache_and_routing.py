@@ -141,10 +141,11 @@ def test_map_requests(spark):
     assert bad.count() == 1
 
 
-def test_long_values_are_cut(spark):
+def test_long_values_are_cut_on_request(spark):
     df = spark.createDataFrame([("a=" + "x" * 1500 + "&" + "k" * 101 + "=1&empty",)], "q string")
-    text = df.select(req.canonical_query(req.query_params(F.col("q"))).alias("c")).first().c
-    assert text == "A=" + "x" * 1000 + "&EMPTY="
+    params = req.query_params(F.col("q"))
+    row = df.select(req.canonical_query(params).alias("whole"), req.canonical_query(params, 100, 1000).alias("cut")).first()
+    assert row.whole == "A=" + "x" * 1500 + "&EMPTY=&" + "K" * 101 + "=1" and row.cut == "A=" + "x" * 1000 + "&EMPTY="
 
 
 @pytest.mark.parametrize("text,want", [
