@@ -6,6 +6,7 @@ import gzip
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tilespark.functions import formats
 from tilespark.functions.tilemath import WEBMERCATOR
@@ -56,7 +57,7 @@ def tile_table_sink(t: Inputs):
     return t.spark.read.parquet(path).groupBy("tileset", "z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("size").alias("bytes"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda d: gzip.decompress(bytes(d)).decode())
 
