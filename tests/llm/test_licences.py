@@ -37,6 +37,6 @@ def test_odd_rows_and_nothing(spark):
 def test_query_finds_every_notice(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     notices = {t: k for k, ts in licences.NOTICES.items() for t in ts}
-    want = {d: sorted({notices[x] for x in t.split("\n") if x in notices}) for d, t in docs.items()}
+    want = {d: ",".join(sorted({notices[x] for x in t.split("\n") if x in notices})) for d, t in docs.items()}
     got = {r.doc_id: r.licences for r in op10_license_scan(spark, sf_dir).collect()}
     assert got == want and any(want.values())

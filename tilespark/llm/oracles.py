@@ -98,7 +98,7 @@ k AS (SELECT sha256(form) AS digest, min(licence) AS licence FROM known JOIN f U
 g AS (SELECT doc_id, part, sha256(form) AS digest FROM u JOIN f USING (body) WHERE part < 2),
 j AS (SELECT g.*, licence FROM g LEFT JOIN k USING (digest))
 SELECT doc_id, max(CASE WHEN part = 0 THEN digest END) AS text_digest, max(CASE WHEN part = 0 THEN licence END) AS whole_licence,
-  coalesce(list_sort(list(DISTINCT licence) FILTER (WHERE licence IS NOT NULL)), []) AS licences, count(CASE WHEN part = 1 THEN licence END) AS n_notices FROM j GROUP BY 1"""
+  coalesce(array_to_string(list_sort(list(DISTINCT licence) FILTER (WHERE licence IS NOT NULL)), ','), '') AS licences, count(CASE WHEN part = 1 THEN licence END) AS n_notices FROM j GROUP BY 1"""
 
 
 ORACLES = {"op1_source_mix": SOURCE_MIX, "op8_quality_rules": _quality(), "op9_decontamination": DECONTAMINATION, "op10_license_scan": _licences()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilespark.llm import decontamination, licences, mixing, ngram_join, passages, quality_rules, token_counts, token_output, toxicity, url_trust
 from tilespark.llm.common import columns, prepare, table
@@ -53,7 +54,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
+    return found.withColumn("licences", F.array_join("licences", ","))
 
 
 QUERIES = {f.__name__: f for f in (
