@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import columns, pieces
+from tilespark.llm.common import columns, pieces, stored
 from tilespark.llm.tokens import encoder, tokenizer_path
 from tilespark.operators.ordering import running_total
 
@@ -40,6 +40,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ``quantile``, the share of documents up to it. No documents: no rows. Limits between two rows
     follow from :func:`at_limits`."""
     found = lengths.groupBy(F.col("length").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
+    found = stored(found, "histogram")  # texts are encoded once, whatever is asked of the few rows after that
     found = found.withColumn("tokens", F.col("context_limit") * F.col("n_docs"))
     block = F.floor(-F.col("context_limit") / BLOCK)
     longest_first = [F.col("context_limit").desc()]
