@@ -109,8 +109,10 @@ class WordEncoder:
             low = t.lower()
             words += (t if any(s in low for s in self.special) else low).split()
             ends.append(len(words))
-        if max(len(self.word), len(self.part)) > self.most:
+        if len(self.part) > self.most:
             self.clear()
+        elif len(self.word) > self.most:  # parts stay known
+            self.word, self.parts_of = {}, Ragged()
         if new := set(words).difference(self.word):
             self.learn(sorted(new))
         parts, upto = self.parts_of.take(np.fromiter(map(self.word.__getitem__, words), np.int64, len(words)))
