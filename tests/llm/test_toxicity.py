@@ -85,3 +85,36 @@ def test_labels_that_teach_nothing(spark):
         assert {r.score for r in toxicity.add_scores(docs, m).collect()} == {0.5}
     kept = toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert kept.columns == docs.columns and kept.count() == len(rows())
+
+
+def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    docs, labels = [], []
+    for d in range(900):
+        w, lang = words(12, d).split(), "de" if d % 15 in (0, 1) else "en"
+        bad = d % 3 == 0
+        if bad:
+            w[d % 12] = "vile"
+        docs.append((d, " ".join(w), lang))
+        labels.append((d, int(bad)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    add = toxicity.add_scores
+    monkeypatch.setattr(toxicity, "add_scores", lambda rows, *a, **k: (seen.append({r.d for r in rows.select("d").collect()}), add(rows, *a, **k))[1])
+    m = toxicity.fit(frame, marks, per_class=60)
+    rest = {d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1}
+    # 120 chosen, of which 90 are fitted on; the rare language has a threshold too
+    assert len(seen) == 1 and seen[0] <= rest and len(seen[0]) == len(rest) - 90
+    assert set(m.thresholds) == {"de", "en"}
+
+
+def test_thresholds_of_rare_languages_are_drawn_to_the_common_one(spark):
+    shape = {w: np.zeros((w, toxicity.WIDTH, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS}
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    got = {}
+    for size in (1, 400):
+        m = toxicity.Model(np.zeros((toxicity.BUCKETS, toxicity.WIDTH), np.float32), shape, np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0)
+        rows = [(d, d % 2, "xx", "word") for d in range(2 * size)]
+        toxicity._set_thresholds(m, spark.createDataFrame(rows, "d long, _y int, lang string, text string"), {0: size, 1: size})
+        got[size] = m.thresholds["xx"]
+    assert abs(got[1] - toxicity.SCORE_LIMIT) < 0.05

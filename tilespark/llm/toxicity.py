@@ -3,8 +3,8 @@
 A word's embedding is the sum of hashed rows for the word and its beginnings and endings, so words
 never seen still have one. Filters of several widths run over the words of the whole text; each
 keeps its largest value (max pooling), and a logistic layer turns these into a score. Only words
-enter a score. Scores are calibrated on labelled rows kept out of training; thresholds for the
-decision are set per language on the same rows.
+enter a score. Scores are calibrated on sampled labelled rows kept out of training; thresholds for the
+decision are set per language on all labelled rows that are neither fitted on nor held out.
 
 The model is fitted on the driver on at most ``PER_CLASS`` labelled texts of each class, those with
 the smallest hash of their id, however many there are. Everything else runs over all rows.
@@ -30,8 +30,10 @@ _AROUND = b".,!?;:*$%&|<>#()\"'"
 _HEADS, _TAILS = (3, 4, 5, 6, 7, 8, 9), (3, 4, 5)
 ROWS = 1 + len(_HEADS) + len(_TAILS)
 SCORE_LIMIT = 0.7
-#: Rows of each class that a threshold of its own takes at least.
+#: Rows of each class that the common threshold takes at least; at as many, a language's threshold is half its own.
 ENOUGH = 15
+#: Steps of the log odds of a score, from -30 to 30, in which labelled rows are counted.
+STEP = 0.05
 
 
 def word_rows(word: bytes) -> list[int]:
@@ -219,8 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         some = marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     language = F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")
-    rows = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).join(F.broadcast(chosen), F.col("d") == F.col("_d"))
-    got = rows.select("d", "_y", "lang", "text").limit(4 * per_class).collect()
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).join(some, F.col("d") == F.col("_d")).select("d", "_y", "lang", "text")
+
+    got = rows_of(F.broadcast(chosen)).limit(4 * per_class).collect()
     got = sorted({r.d: r for r in got}.values(), key=lambda r: xxhash.xxh32_intdigest(str(r.d)))
     y = np.array([r["_y"] for r in got], np.float64)
     words = [(r.text or "").encode().lower().split() for r in got]
@@ -233,16 +238,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     share = np.array([counts[0] / (1 - y).sum(), counts[1] / y.sum()])
     weight = (share / share.min())[ya.astype(int)]
     _calibrate(m, z, ya, weight)
+    fitted = docs.sparkSession.createDataFrame([(r.d,) for r, out in zip(got, aside, strict=True) if not out], "_f long")
+    _set_thresholds(m, rows_of(marks.join(F.broadcast(fitted), F.col("_d") == F.col("_f"), "left_anti")), counts)
+    return m
+
+
+def _set_thresholds(m: Model, labelled: DataFrame, counts: dict[int, int]) -> None:
+    """The common threshold and those of languages, from counts over all of ``labelled`` (``d, _y, lang, text``).
+
+    ``counts``: rows of each class, with those that were fitted on. Counts come to the driver: a few hundred for each
+    language. A language's own threshold is drawn to the common one, the more the fewer rows of either class it has.
+    """
+    p = F.col("score")
+    each = add_scores(labelled, m).groupBy("d", "_y").agg(F.min(F.struct("lang", "score")).alias("one")).select("_y", "one.lang", "one.score")
+    place = F.round(F.log(p / (1 - p)) / STEP).cast("int")
+    got = each.groupBy("lang", "_y", place.alias("place")).count().orderBy("lang", "_y", "place").collect()
+    y, n, langs = (np.array([r[c] for r in got]) for c in ("_y", "count", "lang"))
+    z = np.array([r.place for r in got]) * STEP
+    total = [n[y == k].sum() for k in (0, 1)]
+    if not min(total):
+        return
+    weight = n * np.array([counts[k] / total[k] for k in (0, 1)])[y]
+
+    def best(of: np.ndarray, z: np.ndarray) -> float:
+        """Rows of a place and class count together."""
+        where, back = np.unique(z[of], return_inverse=True)
+        sums = [np.bincount(back, weight[of] * (y[of] == k), len(where)) for k in (0, 1)]
+        return _best_threshold(1 / (1 + np.exp(-np.r_[where, where])), np.repeat([0, 1], len(where)), np.r_[sums[0], sums[1]])
+
     # the score at which a decision is best becomes the limit of ``predicted``
-    if ya.sum() >= ENOUGH and (1 - ya).sum() >= ENOUGH:
-        best = _best_threshold(m.scores(z), ya, weight)
-        m.scale = (m.scale[0], m.scale[1] + float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(best / (1 - best))))
-    p, langs = m.scores(z), np.array([r.lang for r, s in zip(got, aside, strict=True) if s])
+    if min(total) >= ENOUGH:
+        common = best(n > 0, z)
+        move = float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(common / (1 - common)))
+        m.scale, z = (m.scale[0], m.scale[1] + move), z + move
     for name in sorted(set(langs)):
         of = langs == name
-        if ya[of].sum() >= ENOUGH and (1 - ya[of]).sum() >= ENOUGH:
-            m.thresholds[str(name)] = _best_threshold(p[of], ya[of], weight[of])
-    return m
+        some = min(n[of & (y == k)].sum() for k in (0, 1))
+        if some:
+            m.thresholds[str(name)] = float((some * best(of, z) + ENOUGH * m.threshold) / (some + ENOUGH))
 
 
 def add_scores(docs: DataFrame, model: Model, *, text: str = "text", lang: str | None = "lang") -> DataFrame:
