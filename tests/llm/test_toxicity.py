@@ -99,8 +99,8 @@ def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     seen = []
-    add = toxicity.add_scores
-    monkeypatch.setattr(toxicity, "add_scores", lambda rows, *a, **k: (seen.append({r.d for r in rows.select("d").collect()}), add(rows, *a, **k))[1])
+    put = toxicity._set_thresholds
+    monkeypatch.setattr(toxicity, "_set_thresholds", lambda m, scored, counts: (seen.append({r.d for r in scored.collect()}), put(m, scored, counts)))
     m = toxicity.fit(frame, marks, per_class=60)
     rest = {d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1}
     # 120 chosen, of which 90 are fitted on; the rare language has a threshold too
@@ -109,12 +109,10 @@ def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
 
 
 def test_thresholds_of_rare_languages_are_drawn_to_the_common_one(spark):
-    shape = {w: np.zeros((w, toxicity.WIDTH, toxicity.FILTERS), np.float32) for w in toxicity.WIDTHS}
-    n = len(toxicity.WIDTHS) * toxicity.FILTERS
     got = {}
     for size in (1, 400):
-        m = toxicity.Model(np.zeros((toxicity.BUCKETS, toxicity.WIDTH), np.float32), shape, np.zeros(n, np.float32), np.zeros(n, np.float32), 0.0)
-        rows = [(d, d % 2, "xx", "word") for d in range(2 * size)]
-        toxicity._set_thresholds(m, spark.createDataFrame(rows, "d long, _y int, lang string, text string"), {0: size, 1: size})
-        got[size] = m.thresholds["xx"]
-    assert abs(got[1] - toxicity.SCORE_LIMIT) < 0.05
+        m = toxicity.Model(np.zeros((1, 1)), {}, np.zeros(1), np.zeros(1), 0.0)
+        rows = [(d, d % 2, "xx", 0.4 + 0.2 * (d % 2)) for d in range(2 * size)] + [(-d, d % 2, "en", 0.1 + 0.8 * (d % 2)) for d in range(2, 2000)]
+        toxicity._set_thresholds(m, spark.createDataFrame(rows, "d long, _y int, lang string, score double"), {0: 999 + size, 1: 999 + size})
+        got[size] = m.thresholds["xx"] - toxicity.SCORE_LIMIT
+    assert abs(got[1]) < abs(got[400]) / 5 or abs(got[1]) < 0.02

@@ -221,11 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         some = marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
     language = F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")
-
-    def rows_of(some: DataFrame) -> DataFrame:
-        return columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).join(some, F.col("d") == F.col("_d")).select("d", "_y", "lang", "text")
-
-    got = rows_of(F.broadcast(chosen)).limit(4 * per_class).collect()
+    rows = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).join(F.broadcast(chosen), F.col("d") == F.col("_d"))
+    got = rows.select("d", "_y", "lang", "text").limit(4 * per_class).collect()
     got = sorted({r.d: r for r in got}.values(), key=lambda r: xxhash.xxh32_intdigest(str(r.d)))
     y = np.array([r["_y"] for r in got], np.float64)
     words = [(r.text or "").encode().lower().split() for r in got]
@@ -239,18 +236,22 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     weight = (share / share.min())[ya.astype(int)]
     _calibrate(m, z, ya, weight)
     fitted = docs.sparkSession.createDataFrame([(r.d,) for r, out in zip(got, aside, strict=True) if not out], "_f long")
-    _set_thresholds(m, rows_of(marks.join(F.broadcast(fitted), F.col("_d") == F.col("_f"), "left_anti")), counts)
+    # rows are scored before they meet their labels, so that no text is shuffled
+    every = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).filter(F.col("d").isNotNull() & ~held_out(F.col("d")))
+    scored = add_scores(every, m).select("d", "lang", "score")
+    rest = marks.join(F.broadcast(fitted), F.col("_d") == F.col("_f"), "left_anti")
+    _set_thresholds(m, scored.join(rest, F.col("d") == F.col("_d")).select("d", "_y", "lang", "score"), counts)
     return m
 
 
-def _set_thresholds(m: Model, labelled: DataFrame, counts: dict[int, int]) -> None:
-    """The common threshold and those of languages, from counts over all of ``labelled`` (``d, _y, lang, text``).
+def _set_thresholds(m: Model, scored: DataFrame, counts: dict[int, int]) -> None:
+    """The common threshold and those of languages, from counts over all of ``scored`` (``d, _y, lang, score``).
 
     ``counts``: rows of each class, with those that were fitted on. Counts come to the driver: a few hundred for each
     language. A language's own threshold is drawn to the common one, the more the fewer rows of either class it has.
     """
     p = F.col("score")
-    each = add_scores(labelled, m).groupBy("d", "_y").agg(F.min(F.struct("lang", "score")).alias("one")).select("_y", "one.lang", "one.score")
+    each = scored.groupBy("d", "_y").agg(F.min(F.struct("lang", "score")).alias("one")).select("_y", "one.lang", "one.score")
     place = F.round(F.log(p / (1 - p)) / STEP).cast("int")
     got = each.groupBy("lang", "_y", place.alias("place")).count().orderBy("lang", "_y", "place").collect()
     y, n, langs = (np.array([r[c] for r in got]) for c in ("_y", "count", "lang"))
