@@ -5,7 +5,7 @@ import pytest
 from odd import documents, none, rows
 
 from tilespark.llm import token_counts, token_output
-from tilespark.llm.tokens import WordEncoder, tokenizer_path
+from tilespark.llm.tokens import TextEncoder, tokenizer_path
 
 
 @pytest.fixture(scope="module")
@@ -19,16 +19,32 @@ def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-def test_words_and_whole_texts_have_the_same_ids(tokenizer):
+ODD = ["(the.) 'tis ...x-y_z", "\u0130stanbul \ufb01ne \u212b A\u030a", "a\u0323\u0301b", "<b>bold</b> $5,000.00!", "\x1fline\x0b\x0c", "don't.", "x'S",
+       "a<|endoftext|>B (<|EndOfText|>) <|STARTOFTEXT|>", "<|startoftext|>.", "KED\u0130.", "G\u0130TT\u0130!", "(\u0130)", "\u095c,", "\ufb2a.", "\u03a3\u03a3 \u03a3", "a\x01b",
+       " " * 30_000 + "a", "\n" * 12_000, "x" * 50_000, "</w> a</w>"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_tokenizers(name):
+    """Every code point between letters, digits, marks and spaces, and random strings of awkward ones."""
+    import random
+
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    odd = [r[1] for r in rows()] + ["(the.) 'tis ...x-y_z", "İstanbul ﬁne Å Å", "ạ́b", "<b>bold</b> $5,000.00!", " line", "don't.", "x'S", "a<|endoftext|>B (<|EndOfText|>) <|STARTOFTEXT|>", "<|startoftext|>."]
-    for most in (400_000, 3):  # tables that overflow
-        coder = WordEncoder(tokenizer_path(), most=most)
-        for some in (odd, odd[::-1], odd):
-            got = coder.encode(pa.array(some))
-            assert [g.tolist() for g in got] == [ids_of(tokenizer, t) for t in some]
-            assert coder.lengths(pa.array(some)).tolist() == [len(g) for g in got]
+    r = random.Random(7)
+    some = [*map(chr, range(32, 127)), *"\u00e9\u00df\u00c0\u6f22\u0301\u0307\u05c1\u0130\u03a3\u03c3\u03c2\u0921\u093c\u05e9\u1e9e\ufb01\u2019\u201c\U0001f600\u200d\ufeff\u0663\u2167\u00bd\t\n\r\x0b\x1c\x85\xa0",
+            "'s", "'ll", "  ", "<|endoftext|>", "</w>", "\x01"]
+    texts = [f"a{c}b {c}1{c}. {c} {c}{c}\n{c}'s{c} x" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    texts += ["".join(r.choices(some, k=r.randint(1, 60))) for _ in range(40_000)] + ODD + [t for _, t, *_ in rows() if t]
+    whole, coder = Tokenizer.from_file(tokenizer_path(name)), TextEncoder(tokenizer_path(name))
+    assert coder.fast is not None
+    for at in range(0, len(texts), 100_000):
+        part = texts[at:at + 100_000]
+        assert [i for i, e in enumerate(whole.encode_batch(part, add_special_tokens=False)) if coder.ids(part[i]) != e.ids] == []
+    flat, cuts = coder.encode(pa.array([None, *ODD, ""]), 5)
+    assert [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [ids_of(whole, t) + [5] for t in [None, *ODD, ""]]
+    assert coder.lengths(pa.array([None, *ODD])).tolist() == [len(ids_of(whole, t)) for t in [None, *ODD]]
 
 
 def expected(tokenizer, pairs):

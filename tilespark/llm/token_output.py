@@ -51,13 +51,11 @@ def _sum32(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
 
 
-def pack(docs: list[tuple[int | None, np.ndarray]], width: int) -> bytes:
-    """Content of a frame."""
-    head = struct.pack("<IB", len(docs), width)
-    known = bytes(d is not None for d, _ in docs)
-    ids = np.array([0 if d is None else d for d, _ in docs], "<i8").tobytes()
-    lengths = np.array([len(t) for _, t in docs], "<u4").tobytes()
-    return head + known + ids + lengths + b"".join(t.astype(f"<u{width}").tobytes() for _, t in docs)
+def pack(doc_ids: list[int | None], lengths: np.ndarray, tokens: list[bytes], width: int) -> bytes:
+    """Content of a frame: ``tokens`` are the little-endian ids of all its documents, in any number of parts."""
+    known = bytes(d is not None for d in doc_ids)
+    ids = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
+    return b"".join([struct.pack("<IB", len(doc_ids), width), known, ids, lengths.astype("<u4").tobytes(), *tokens])
 
 
 def unpack(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
@@ -65,8 +63,9 @@ def unpack(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     known, at = content[5:5 + n], 5 + n
     ids = np.frombuffer(content, "<i8", n, at)
     lengths = np.frombuffer(content, "<u4", n, at + 8 * n).astype(np.int64)
-    tokens = np.frombuffer(content, f"<u{width}", offset=at + 12 * n).astype(np.uint32)
-    return [int(d) if k else None for d, k in zip(ids, known, strict=True)], np.split(tokens, np.cumsum(lengths)[:-1]) if n else []
+    tokens = np.frombuffer(content, f"<u{width}", offset=at + 12 * n).astype("<u4")
+    cuts = np.r_[0, np.cumsum(lengths)].tolist()
+    return [d if k else None for d, k in zip(ids.tolist(), known, strict=True)], [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class ShardWriter:
@@ -130,47 +129,58 @@ def write_tokens(docs: DataFrame, folder: str | None = None, *, doc_id: str = "d
     rows = (columns(docs, doc_id=F.col(f"`{doc_id}`").cast("long"), text=text)
             .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")))
 
+    schema = pa.schema([("shard", pa.string()), ("part", pa.int32()), ("frame", pa.int32()), ("position", pa.int64()), ("packed", pa.int64()),
+                        ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         coder = encoder(tokenizer)
-        width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        width = 2 if max(coder.vocab_size(), end_id + 1) <= 1 << 16 else 4
         part = TaskContext.get().partitionId()
         system, base = _place(folder)
         name, made = f"{base}/part-{part:07d}.tokens", []
-        held, size, trial, writer, out = [], 0, "", None, None
+        held, room, trial, writer, out = ([], [], []), frame_bytes // width, "", None, None
 
         def flush() -> None:
-            position, packed = writer.frame(pack(held, width))
-            made.append({"shard": f"{folder}/part-{part:07d}.tokens", "part": part, "frame": len(made), "position": position,
-                         "packed": packed, "n_tokens": sum(len(t) for _, t in held), "doc_ids": [d for d, _ in held],
-                         "lengths": [len(t) for _, t in held]})
+            lengths = np.concatenate(held[1])
+            position, packed = writer.frame(pack(held[0], lengths, held[2], width))
+            made.append((len(made), position, packed, int(lengths.sum()), list(held[0]), lengths))
+            for h in held:
+                h.clear()
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                found = coder.encode(piece.column("text"))
-                for d, ids in zip(piece.column("doc_id").to_pylist(), found, strict=True):
-                    if writer is None:
-                        system.create_dir(base, recursive=True)
-                        trial = f"{base}/.{part}-{uuid.uuid4().hex}"
-                        out = system.open_output_stream(trial)
-                        writer = ShardWriter(out)
-                    ids = np.append(ids, np.uint32(end_id))
-                    if held and size + len(ids) * width > frame_bytes:
-                        flush()
-                        held, size = [], 0
-                    held.append((d, ids))
-                    size += len(ids) * width
+                if writer is None:
+                    system.create_dir(base, recursive=True)
+                    trial = f"{base}/.{part}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(trial)
+                    writer = ShardWriter(out)
+                doc_ids = piece.column("doc_id").to_pylist()
+                flat, cuts = coder.encode(piece.column("text"), end_id, f"<u{width}")
+                i = 0
+                while i < len(doc_ids):  # as many documents as the frame has room for
+                    j = int(np.searchsorted(cuts, cuts[i] + room, side="right")) - 1
+                    if j <= i:
+                        if held[0]:
+                            flush()
+                            room = frame_bytes // width
+                            continue
+                        j = i + 1
+                    for h, x in zip(held, (doc_ids[i:j], [np.diff(cuts[i:j + 1])], [flat[cuts[i]:cuts[j]].tobytes()]), strict=True):
+                        h.extend(x)
+                    room -= int(cuts[j] - cuts[i])
+                    i = j
         if writer is not None:
             flush()
             writer.finish()
             out.close()
             system.move(trial, name)
-        schema = pa.schema([("shard", pa.string()), ("part", pa.int32()), ("frame", pa.int32()), ("position", pa.int64()),
-                            ("packed", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                            ("lengths", pa.list_(pa.int64()))])
         for i in range(0, len(made), 64):
-            yield from pa.Table.from_pylist(made[i:i + 64], schema).to_batches()
+            frame, position, packed, n_tokens, ids, lengths = zip(*made[i:i + 64], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                ([f"{folder}/part-{part:07d}.tokens"] * len(frame), [part] * len(frame), frame, position, packed, n_tokens, ids, lengths),
+                schema.types, strict=True)], schema=schema)
 
     catalogue = f"{folder}/catalogue"
     rows.mapInArrow(write, CATALOGUE).write.parquet(catalogue)
@@ -189,22 +199,32 @@ def frame_starts(catalogue: DataFrame) -> DataFrame:
 
 
 def _spread(frames: DataFrame) -> DataFrame:
-    """Frames dealt out evenly, about 32 MB of them to a task."""
+    """Frames dealt out evenly, about 32 MB of them to a task, those of a shard one after the other."""
     total = frames.agg(F.sum("packed")).head()[0] or 0
     tasks = max(frames.sparkSession.sparkContext.defaultParallelism * 2, int(total >> 25))
-    return frames.repartition(tasks, "part", "frame")
+    return frames.repartitionByRange(tasks, "part", "frame").sortWithinPartitions("part", "frame")
 
 
 def _read(frames: DataFrame, schema: str, rows_of) -> DataFrame:
     kind = pa.schema(rows_of(None, None, None, None))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                system, path = _place(row["shard"])
-                with system.open_input_file(path) as f:
-                    ids, tokens = unpack(ShardReader(f).content(row["frame"]))
-                yield from pa.Table.from_pydict(rows_of(row, ids, tokens, kind), schema=kind).to_batches()
+        shard, file, reader = None, None, None
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["shard"] != shard:  # the seek table is read once
+                        if file is not None:
+                            file.close()
+                        shard = row["shard"]
+                        system, path = _place(shard)
+                        file = system.open_input_file(path)
+                        reader = ShardReader(file)
+                    ids, tokens = unpack(reader.content(row["frame"]))
+                    yield from pa.Table.from_pydict(rows_of(row, ids, tokens, kind), schema=kind).to_batches()
+        finally:
+            if file is not None:
+                file.close()
 
     return frames.mapInArrow(read, schema)
 
@@ -216,7 +236,7 @@ def read_digests(catalogue: DataFrame) -> DataFrame:
             return [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
         n = [len(t) for t in tokens]
         return {"doc_id": ids, "start": (row["start"] + np.r_[0, np.cumsum(n)][:-1]).tolist(), "n_tokens": n,
-                "ids_crc32": [zlib.crc32(t.astype("<u4").tobytes()) for t in tokens]}
+                "ids_crc32": list(map(zlib.crc32, tokens))}
 
     frames = frame_starts(catalogue.drop("doc_ids", "lengths"))
     return _read(_spread(frames).select("shard", "frame", "start"), DOCUMENTS, rows)
