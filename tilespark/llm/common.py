@@ -37,13 +37,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False, compression: str = "snappy") -> DataFrame:
     """Write ``df`` in the shared folder and read it back: later steps survive lost executors and
     don't compute it again. The folder's owner removes it. ``free`` lets Spark delete at once the shuffle
     files that only steps up to here needed, which it does when it finds their plans unused."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     if free:
         del df

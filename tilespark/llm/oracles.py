@@ -102,3 +102,46 @@ SELECT doc_id, max(CASE WHEN part = 0 THEN digest END) AS text_digest, max(CASE
 
 
 ORACLES = {"op1_source_mix": SOURCE_MIX, "op8_quality_rules": _quality(), "op9_decontamination": DECONTAMINATION, "op10_license_scan": _licences()}
+
+
+def _crc32(text: str) -> str:
+    """Unsigned checksum of a text of ASCII and Latin-1 letters, bit by bit."""
+    rest = "0, 0, 0, 0, 0, 0, 0"
+    steps = (f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), {rest}] "
+             f"ELSE [195, {rest}, unicode(c)-64, {rest}] END))")
+    return (f"xor(list_reduce(list_concat([4294967295], {steps}), lambda a, b: xor(xor(a, b) >> 1, "
+            "CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)")
+
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, ''), 'w': len({_WORDS})}} AS x,
+  md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, k) AS xs FROM t GROUP BY 1),
+h AS (SELECT o.conv_id, o.xs, b.xs AS head, {_crc32("cast(o.conv_id AS varchar)")} % 4 AS h FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+c AS (SELECT conv_id, list_concat(coalesce(head[1:h], []), xs[h+1:]) AS xs FROM h),
+m AS (SELECT conv_id, len(xs) AS d_all, d, xs[1:d] AS p FROM (SELECT *, unnest(range(0, len(xs)+1)) AS d FROM c)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(p[d].w, 0)*(count(*)-1) AS own,
+  sha256(coalesce(string_agg(cast(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE d = d_all), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT p[1:d-1] AS p, d-1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (p, d)),
+s AS (SELECT p[1:a] AS p, a AS d, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d+1)) AS a FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, cast(s.saved_tokens AS bigint) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (p, d) LEFT JOIN n u ON u.d = f.d-1 AND u.p = f.p[1:f.d-1]"""
+
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UP}', '{_LOW}') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+h AS (SELECT *, {_crc32("concat(doc_id, ':', w)")} AS h FROM d),
+s AS (SELECT n, CASE WHEN h % 199 = 0 THEN concat(w[1:h % length(w)], w[h % length(w) + 2:]) ELSE w END AS word FROM h),
+v AS (SELECT word, cast(sum(n) AS bigint) AS n FROM s WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS (SELECT word, n, i, concat(word[1:i-1], word[i+1:]) AS less FROM (SELECT *, unnest(range(1, length(word)+1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = x.less UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = x.less),
+b AS (SELECT word, count(*) AS n_near, first(struct_pack(o := other, m := m) ORDER BY m DESC, other) AS best FROM near GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5*v.n THEN best.o END AS form, CASE WHEN best.m >= 5*v.n THEN best.m END AS form_n
+  FROM v LEFT JOIN b USING (word)),
+roots AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT roots.word, f.form, step+1 FROM roots JOIN f ON f.word = roots.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, arg_max(root, step) AS root FROM roots GROUP BY 1)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last USING (word)"""
+
+ORACLES |= {"op12_prefix_trie": PREFIX_TRIE, "op13_spelling": SPELLING}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import decontamination, licences, mixing, ngram_join, passages, quality_rules, token_counts, token_output, toxicity, url_trust
+from tilespark.llm import decontamination, licences, mixing, ngram_join, packing, passages, prefix_trie, quality_rules, spelling, token_counts, token_output, toxicity, url_trust
 from tilespark.llm.common import columns, prepare, table
 from tilespark.llm.oracles import ORACLES as ORACLES
 
@@ -58,5 +58,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("licences", F.array_join("licences", ","))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(prepare(spark), sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(prepare(spark), sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(prepare(spark), sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op6_passage_dedup, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_license_scan)}
+    op1_source_mix, op2_token_counts, op3_url_trust, op4_toxicity, op5_token_files, op6_passage_dedup, op7_ngram_jaccard, op8_quality_rules, op9_decontamination,
+    op10_license_scan, op11_packing, op12_prefix_trie, op13_spelling)}
