@@ -241,30 +241,3 @@ def test_key_value_and_export_requests(spark):
     assert got[1].reason == "bad number"
     assert got[2].family == "arcgis" and tuple(got[2].box) == (1, 2, 3, 4) and tuple(got[2].image) == (256, 512) and got[2].srs == "4326" and got[2].reason is None
     assert got[3].family == "arcgis" and tuple(got[3].box) == (0, 0, 0, 0) and tuple(got[3].image) == (1, 2)
-
-
-def test_statistics_document(spark):
-    import json
-
-    rows = [("a", "roads", 1, "LineString", {"lanes": "2", "na\"me": "x"}), ("a", "roads", 2, "LineString", {"lanes": "10"}), ("a", "poi", 3, "Point", {}),
-            ("b", "poi", 4, "Point", {"k": "é"}), ("b", "poi", 5, "Point", {"k": "f"})]
-    f = spark.createDataFrame(rows, "ts string, layer string, fid long, geom_type string, props map<string,string>")
-    got = {r.tilesetid: json.loads(r.tilestats) for r in vector.tile_stats(f, "ts").collect()}
-    assert got["a"]["layerCount"] == 2 and [x["layer"] for x in got["a"]["layers"]] == ["poi", "roads"] and "attributes" not in got["a"]["layers"][0]
-    roads = got["a"]["layers"][1]
-    assert roads["count"] == 2 and roads["geometry"] == "LineString"
-    assert roads["attributes"] == [{"attribute": "lanes", "type": "Number", "values": [10, 2], "min": 2.0, "max": 10.0},
-                                   {"attribute": 'na"me', "type": "String", "values": ["x"]}]
-    assert got["b"]["layers"][0]["attributes"][0]["values"] == ["f", "é"]
-    few = {r.tilesetid: json.loads(r.tilestats) for r in vector.tile_stats(f, "ts", most_values=1).collect()}
-    assert "values" not in few["b"]["layers"][0]["attributes"][0]
-
-
-def test_layer_document(spark):
-    import json
-
-    t = spark.createDataFrame([("d", 0, 0, 0), ("d", 2, 1, 1), ("d", 2, 2, 1)], "tileset string, z int, x long, y long")
-    (row,) = catalog.layer_document(t, "{z}/{x}/{y}.terrain?v={version}").collect()
-    doc = json.loads(row.layer)
-    assert doc["available"] == [[{"startX": 0, "startY": 0, "endX": 0, "endY": 0}], [], [{"startX": 1, "startY": 1, "endX": 2, "endY": 1}]]
-    assert (doc["minzoom"], doc["maxzoom"]) == (0, 2) and len(doc["bounds"]) == 4

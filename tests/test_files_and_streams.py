@@ -122,9 +122,9 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
     assert sorted((r.event_id, r.state) for r in batch.collect()) == run()
 
 
-def test_coalescing_by_interval(spark, tmp_path):
+def test_meta_tiles_once_per_interval(spark, tmp_path):
     requests(spark, tmp_path, "in", [(1, at(0), "view", 0, 0, 4, 1, 1), (2, at(10), "view", 0, 0, 4, 3, 2), (3, at(40), "view", 0, 0, 4, 0, 0)])
-    once = stream.creations(jobs.stream_parquet(spark, str(tmp_path / "in")), "ts")
+    once = stream.meta_tile_requests(jobs.stream_parquet(spark, str(tmp_path / "in")), "ts")
     jobs.run_available(once, str(tmp_path / "out"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
@@ -155,3 +155,80 @@ def test_seeding_resumes(spark, tmp_path):
     assert run((1, (-180.0, -90.0, 180.0, 90.0), 1)) == [(1, 1, 1, 0)]
     assert run() == [(1, 1, 1, 0)]
     assert run((2, (0.0, 0.0, 10.0, 10.0), 1)) == [(1, 1, 1, 0), (2, 1, 1, 0)]
+
+
+def test_classification_sees_the_store_as_it_is(spark, tmp_path):
+    """A store written between batches, partitioned by block; a batch that fails half-way runs again and replaces its folder."""
+    stores = "tileset string, z int, x long, y long, mtime timestamp, v int"
+
+    def store(*rows):
+        spark.createDataFrame(rows, stores).coalesce(1).write.mode("append").parquet(str(tmp_path / "writes"))
+        jobs.upsert_tiles(jobs.stream_parquet(spark, str(tmp_path / "writes")), str(tmp_path / "table"), str(tmp_path / "write-log"))
+
+    fails = [False]
+
+    def lookup():
+        if fails[0]:
+            fails[0] = False
+            raise RuntimeError("lost")
+        return spark.read.parquet(str(tmp_path / "table")), covered
+
+    covered = spark.createDataFrame([(9, x, 5) for x in range(0, 500)] * 2, "z int, x long, y long")
+
+    def run():
+        stream.classify_stream(jobs.stream_parquet(spark, str(tmp_path / "in")), lookup, WEBMERCATOR, F.lit(at(10)), str(tmp_path / "out"), str(tmp_path / "log"))
+
+    def found():
+        return sorted((r.event_id, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    store(("a", 9, 100, 5, at(3), 1), ("a", 9, 400, 5, at(20), 1), ("b", 9, 400, 5, at(1), 1))
+    hot = [(i, at(1), "view", 0, 0, 9, 400, 5) for i in range(100, 400)]
+    requests(spark, tmp_path, "in", [(1, at(0), "view", 0, 0, 9, 100, 5), (2, at(0), "view", 0, 0, 9, 101, 5), (3, at(0), "view", 0, 0, 9, 100, 6),
+                                     (4, at(0), "view", 0, 0, 9, 600, 5), (5, at(0), "view", 0, 0, 9, None, 5), *hot])
+    run()
+    first = [(1, "stale"), (2, "miss"), (3, "empty"), (4, "out_of_range"), (5, "empty"), *((h[0], "hit") for h in hot)]
+    got = found()
+    assert [g for g in got if g[0] != 5] == [f for f in first if f[0] != 5]
+    store(("a", 9, 101, 5, at(30), 2))
+    requests(spark, tmp_path, "in", [(6, at(0), "view", 0, 0, 9, 101, 5)])
+    fails[0] = True
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert found() == got
+    run()
+    assert found() == sorted([*got, (6, "hit")])
+    static = stream.judged(spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(str(tmp_path / "table")), WEBMERCATOR, F.lit(at(10)), covered)
+    assert {r.event_id: r.state for r in static.collect()}[6] == "hit" and static.count() == len(got) + 1
+
+
+def test_counters_between_resets(spark, tmp_path):
+    """Rows out of order over several files, a reset and events at one time, repeated resets, a layer without events."""
+    import random
+
+    r = random.Random(4)
+    events = [(i, at(r.randrange(0, 4000)), r.choice(["view", "view", "error"]), 0, r.choice([0, 0, 1]), r.choice(["hit", "miss"])) for i in range(600)]
+    events += [(1000 + i, at(1500), "view", 0, 0, "hit") for i in range(5)] + [(2000, at(9000), "view", 0, 0, "hit")]
+    resets = [(0, at(s)) for s in (500, 1500, 1500, 3900, 20_000)] + [(1, at(100))]
+    layers = spark.createDataFrame([(0, 0), (0, 1), (0, 7), (1, 0)], "service long, layer long")
+    early, late = [e for e in events if e[1] < at(2000)], [e for e in events if e[1] >= at(2000)]
+    r.shuffle(early)
+    for n, part in enumerate((early[::2], early[1::2], late)):
+        spark.createDataFrame(part, "event_id long, ts timestamp, event_type string, service long, layer long, state string").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+        now = resets[:3] + resets[5:] if n == 0 else resets[3:5] if n == 2 else []
+        if now:
+            spark.createDataFrame(now, "service long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "resets"))
+        # restarted for each part; the delay covers the whole disorder
+        counted = stream.counters_between_resets(jobs.stream_parquet(spark, str(tmp_path / "in")), jobs.stream_parquet(spark, str(tmp_path / "resets")), layers,
+                                                 "ts", watermark="40 minutes", salts=3)
+        jobs.run_available(counted, str(tmp_path / "out"), str(tmp_path / "log"))
+    got = {(x.service, x.layer, x.since, x.until): (x.hits, x.misses, x.errors) for x in stream.segment_totals(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    want = {}
+    for service, layer in ((0, 0), (0, 1), (0, 7), (1, 0)):
+        marks = sorted(t for s, t in resets if s == service and t < at(20_000 - 2400))
+        for since, until in zip([None, *marks], marks):
+            mine = [e for e in events if e[3] == service and e[4] == layer and e[1] < until and (since is None or e[1] >= since)]
+            bad = [e for e in mine if e[2] == "error"]
+            n = (sum(e[5] == "hit" for e in mine) - sum(e[5] == "hit" for e in bad), sum(e[5] == "miss" for e in mine) - sum(e[5] == "miss" for e in bad), len(bad))
+            want[service, layer, since, until] = tuple(map(sum, zip(n, want.get((service, layer, since, until), (0, 0, 0)))))
+    assert got == want

@@ -28,7 +28,6 @@ NAMED_EXTENSIONS = {
     "application/json": "geojson",
     "application/vnd.quantized-mesh": "terrain",
 }
-TILE_KINDS = {"imagery": 0, "dem": 1, "vector": 2}
 
 
 def mime_type(fmt: Column) -> Column:

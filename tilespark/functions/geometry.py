@@ -45,13 +45,6 @@ def bbox_contains(outer: Column, inner: Column) -> Column:
     )
 
 
-def bbox_intersection(a: Column, b: Column) -> Column:
-    return F.when(bbox_overlaps(a, b), F.struct(
-        F.greatest(a.minx, b.minx).alias("minx"), F.greatest(a.miny, b.miny).alias("miny"),
-        F.least(a.maxx, b.maxx).alias("maxx"), F.least(a.maxy, b.maxy).alias("maxy"),
-    ))
-
-
 def bbox_equals(a: Column, b: Column, tol_x: Column, tol_y: Column) -> Column:
     return (
         (F.abs(a.minx - b.minx) <= tol_x) & (F.abs(a.maxx - b.maxx) <= tol_x)
@@ -91,10 +84,6 @@ def point_in_edges(edges: Column, x: Column, y: Column) -> Column:
     return hits % 2 == 1
 
 
-def point_in_polygon(polygon: Column, x: Column, y: Column) -> Column:
-    return point_in_edges(polygon_edges(polygon), x, y)
-
-
 def _edge_enters(edge: Column, box: Column) -> Column:
     """The edge meets the open box: no separating axis among x, y and the edge normal."""
     p, q = edge.p, edge.q
@@ -131,13 +120,6 @@ def vertex(x, y) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def bbox_ring(box: Column) -> Column:
-    return F.array(
-        vertex(box.minx, box.miny), vertex(box.maxx, box.miny),
-        vertex(box.maxx, box.maxy), vertex(box.minx, box.maxy),
-    )
-
-
 def parts_bbox(parts: Column) -> Column:
     """Box around all vertices of a geometry."""
     points = F.flatten(F.flatten(parts))
@@ -241,13 +223,6 @@ def pixel_to_coord(px: Column, py: Column, width: Column, height: Column, box: C
     )
 
 
-def coord_to_pixel(x: Column, y: Column, width: Column, height: Column, box: Column) -> Column:
-    return vertex(
-        (x - box.minx) * width / (box.maxx - box.minx),
-        (box.maxy - y) * height / (box.maxy - box.miny),
-    )
-
-
 def sub_image(query: Column, width: Column, height: Column, limit: Column) -> Column:
     """Where ``query`` clipped to ``limit`` lies in the query's image: size, offset and box."""
     def px(x):

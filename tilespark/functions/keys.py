@@ -162,11 +162,6 @@ def main_tile(value: Column, meta: int | Column) -> Column:
     return value - F.pmod(value, F.lit(meta) if isinstance(meta, int) else meta)
 
 
-def meta_size(grid_extent: Column, meta: int) -> Column:
-    """Meta tiles never exceed the matrix of their level."""
-    return F.least(F.lit(meta).cast("long"), grid_extent)
-
-
 def parent(value: Column) -> Column:
     return F.shiftright(value, 1)
 

@@ -86,14 +86,22 @@ def query_pairs(query: Column) -> Column:
     return F.filter(pairs, lambda p: p.k.isNotNull() & p.v.isNotNull())
 
 
-def query_params(query: Column) -> Column:
-    """``map<string,array<string>>`` of a raw query string."""
-    def by_key(pairs: Column) -> Column:
-        keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
-        return F.map_from_entries(F.transform(keys, lambda k: F.struct(
-            k, F.transform(F.filter(pairs, lambda p: p.k == k), lambda p: p.v))))
+def _by_key(pairs: Column) -> Column:
+    """``array<struct<key,value array>>`` in the order of keys, values in the order they were given, by one pass over sorted pairs."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p.k.alias("k"), i.alias("i"), p.v.alias("v"))))
+    none = F.array().cast("array<struct<key:string,value:array<string>>>")
+
+    def add(found: Column, p: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        more = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct(p.k.alias("key"), F.concat(last.value, F.array(p.v)).alias("value"))))
+        return F.when((F.size(found) > 0) & (last.key == p.k), more).otherwise(F.concat(found, F.array(F.struct(p.k.alias("key"), F.array(p.v).alias("value")))))
+
+    return F.aggregate(placed, none, add)
 
-    return bind(query_pairs(query), by_key)
+
+def query_params(query: Column) -> Column:
+    """``map<string,array<string>>`` of a raw query string, keys in order."""
+    return F.map_from_entries(_by_key(query_pairs(query)))
 
 
 def canonical_query(params: Column, longest_name: int | None = None, longest_value: int | None = None) -> Column:
@@ -106,7 +114,10 @@ def canonical_query(params: Column, longest_name: int | None = None, longest_val
         joined = F.array_join(v, ",")
         return joined if longest_value is None else F.substring(joined, 1, longest_value)
 
-    entries = F.transform(F.sort_array(F.map_entries(valid)), lambda e: F.concat_ws("=", F.url_encode(e.key), F.url_encode(value(e.value))))
+    def encoded(text: Column) -> Column:
+        return bind(text, lambda t: F.when(t.rlike("^[A-Za-z0-9._*-]*$"), t).otherwise(F.url_encode(t)))  # most need no encoding
+
+    entries = F.transform(F.sort_array(F.map_entries(valid)), lambda e: F.concat_ws("=", encoded(e.key), encoded(value(e.value))))
     return F.array_join(entries, "&")
 
 

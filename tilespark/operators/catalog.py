@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.functions.geometry import bbox, reproject_bbox
 from tilespark.functions.tilemath import WEBMERCATOR, Grid, tile_bounds
+from tilespark.operators.ordering import RUN_BLOCK, runs
 
 
 def _key_bounds(grid: Grid) -> Column:
@@ -39,45 +40,11 @@ def tileset_metadata(
     )
 
 
-def _islands(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
-    """Number runs of consecutive values of ``at``; a key holds at most one matrix side of rows."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    return df.withColumn("_run", F.col(at) - F.row_number().over(w))
-
-
-def availability(tiles: DataFrame, by: Sequence[str] = ("tileset", "z")) -> DataFrame:
-    """Rectangles of existing tiles per level: runs along rows, equal runs merged down the rows."""
+def availability(tiles: DataFrame, by: Sequence[str] = ("tileset", "z"), block: int = RUN_BLOCK) -> DataFrame:
+    """Rectangles of existing tiles per level: runs along rows, equal runs joined down the rows."""
     by = list(by)
-    rows = _islands(tiles.select(*by, "x", "y").distinct(), [*by, "y"], "x").groupBy(*by, "y", "_run").agg(
-        F.min("x").alias("start_x"), F.max("x").alias("end_x")).drop("_run")
-    return _islands(rows, [*by, "start_x", "end_x"], "y").groupBy(*by, "start_x", "end_x", "_run").agg(
-        F.min("y").alias("start_y"), F.max("y").alias("end_y")).drop("_run")
-
-
-def available_json(ranges: DataFrame, by: str = "tileset") -> DataFrame:
-    """``available`` of a layer description: per level its rectangles, as JSON."""
-    rect = F.struct(F.col("start_x").alias("startX"), F.col("start_y").alias("startY"),
-                    F.col("end_x").alias("endX"), F.col("end_y").alias("endY"))
-    levels = ranges.groupBy(by, "z").agg(F.sort_array(F.collect_list(rect)).alias("rects"))
-    return levels.select(by, "z", F.to_json("rects").alias("available"))
-
-
-def layer_document(tiles: DataFrame, template: str, version: str = "1.0.0", fmt: str = "quantized-mesh-1.0", by: str = "tileset",
-                   projection: str = "EPSG:4326", scheme: str = "tms", grid: Grid = WEBMERCATOR) -> DataFrame:
-    """``tileset, layer``: the description of each tileset, with the rectangles of tiles that exist per level.
-
-    Levels without tiles, down to the deepest that has some, have an empty list.
-    """
-    levels = available_json(availability(tiles, (by, "z")), by)
-    held = levels.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("z", "available"))).alias("_held"), F.max("z").alias("_deepest"))
-    listed = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_deepest").cast("int")), lambda z: F.coalesce(F.col("_held")[z], F.lit("[]"))), ",")
-    meta = tileset_metadata(tiles, by=by, grid=grid).join(held, by)
-    bounds = F.array_join(F.transform(F.array("minx", "miny", "maxx", "maxy"), lambda v: F.round(v, 6).cast("string")), ",")
-    text = F.concat(
-        F.lit('{"name":"'), F.col(by).cast("string"), F.lit(f'","tilejson":"2.1.0","version":"{version}","format":"{fmt}","available":['), listed,
-        F.lit('],"bounds":['), bounds, F.lit('],"minzoom":'), F.col("min_zoom").cast("string"), F.lit(',"maxzoom":'), F.col("max_zoom").cast("string"),
-        F.lit(f',"bvhlevels":0,"projection":"{projection}","scheme":"{scheme}","tiles":["{template}"]}}'))
-    return meta.select(by, text.alias("layer"))
+    along = runs(tiles, [*by, "y"], "x", block).withColumnsRenamed({"first": "start_x", "last": "end_x"})
+    return runs(along, [*by, "start_x", "end_x"], "y", block).withColumnsRenamed({"first": "start_y", "last": "end_y"})
 
 
 def task_progress(reports: DataFrame, task: str, done: Column, at: str) -> DataFrame:

@@ -34,11 +34,15 @@ def tile_ranges(boxes: DataFrame, grid: Grid, box: str = "box", z: str = "z") ->
         "n_tiles", F.coalesce((F.col("r.x1") - F.col("r.x0") + 1) * (F.col("r.y1") - F.col("r.y0") + 1), F.lit(0).cast("long")))
 
 
-def _require_halving(grid: Grid, levels: int) -> None:
-    """Ancestors are found by shifting keys, which holds only where each level halves the one above."""
-    for z in range(1, levels):
-        if abs(grid.resolutions[z - 1] / grid.resolutions[z] - 2) > 1e-9:
-            raise ValueError(f"grid {grid.name}: level {z} does not halve level {z - 1}; count its boxes with count_box_tiles")
+def halves(grid: Grid) -> bool:
+    """Each level halves the one above."""
+    return all(abs(a / b - 2) <= 1e-9 for a, b in zip(grid.resolutions[:-1], grid.resolutions[1:], strict=True))
+
+
+def _require_halving(grid: Grid) -> None:
+    """Ancestors are found by shifting keys here, which holds only where levels halve; ``density`` takes any grid."""
+    if not halves(grid):
+        raise ValueError(f"levels of grid {grid.name} do not halve; use density.join_tiles and density.count_tiles_by_rows")
 
 
 def within_tile_limit(ranges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -128,6 +132,7 @@ def _salted(left: DataFrame, right: DataFrame, spread_by: Sequence[str], salts:
 
 def join_coverages(tiles: DataFrame, coverages: DataFrame, grid: Grid, depth: int = 5, salts: int = 1) -> DataFrame:
     """Tiles with every coverage they touch: columns ``coverage`` and ``coverage_class``."""
+    _require_halving(grid)
     cells = coverage_cells(coverages, grid, depth).select(
         F.col("z").alias("_cz"), F.col("x").alias("_cx"), F.col("y").alias("_cy"),
         "coverage", "box", "edges", "cell_class")
@@ -184,7 +189,7 @@ def count_tiles(coverages: DataFrame, grid: Grid, levels: int, stride: int = 4)
     through: a cell wholly inside stands for 4^k tiles k levels below. Stages deeper than the
     second start from a checkpointed frontier. Grids whose levels do not halve are refused.
     """
-    _require_halving(grid, levels)
+    _require_halving(grid)
     top = min(stride, levels - 1)
     cells = coverage_cells(coverages, grid, top).withColumnRenamed("cell_class", "state")
     one = F.lit(1).cast("long")

@@ -66,11 +66,11 @@ def schedule(urls: DataFrame, rules: Sequence[FetchRule], bucket: Column, order:
     return queued.withColumn("start_ms", F.coalesce(offset, F.lit(0)).cast("long"))
 
 
-def cache_hits(fetches: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:
-    """Hits, misses and hit ratio of the content cache.
+def repeat_share(fetches: DataFrame, by: Sequence[str] = ("host",)) -> DataFrame:
+    """How much of a fetch log asks for a URL again after its first good fetch, by aggregation.
 
-    ``fetches``: url, seq (ordered), ok, cacheable. The first good fetch of a URL fills the cache;
-    later ones hit. Uncacheable requests and failed fills count as neither.
+    ``fetches``: url, seq (ordered), ok, cacheable. ``misses`` counts the first good fetches of cacheable URLs, ``hits`` the cacheable
+    fetches after them; fetches before them, uncacheable ones and URLs never fetched count as neither.
     """
     asked = fetches.filter("cacheable")
     filled = asked.filter("ok").groupBy("url").agg(F.min("seq").alias("filled_at"))

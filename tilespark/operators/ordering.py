@@ -1,4 +1,4 @@
-"""Ranks and running totals that no single task has to hold.
+"""Ranks, running totals and runs that no single task has to hold.
 
 A window over a key sends all of a key's rows to one task. Here a key's rows are first cut into
 order-preserving buckets (a value range, a level, an hour); totals are taken per bucket with
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKET, _BEFORE = "_bucket", "_before"
+#: Values whose runs one window finds.
+RUN_BLOCK = 1024
 
 
 def _carried(df: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
@@ -48,3 +50,21 @@ def running_total(
     joined = _with_carry(bucketed, keys, F.sum("_value"))
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(name, F.col(_BEFORE) + F.sum("_value").over(inside)).drop(_BUCKET, _BEFORE, "_value")
+
+
+def runs(rows: DataFrame, keys: Sequence[str], at: str, block: int = RUN_BLOCK) -> DataFrame:
+    """``keys, first, last``: runs of consecutive values of ``at`` per key, each value counted once.
+
+    Runs are found per block of ``block`` values. Only those that touch their block's border go on to a second window, at most two a
+    block, where runs that follow one another are joined; so a key's full row of 2^z values is 2^z / block rows there.
+    """
+    keys = list(keys)
+    cut = rows.select(*keys, F.col(at).cast("long").alias("_at")).distinct().withColumn("_block", F.floor(F.col("_at") / block).cast("long"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_at")
+    found = cut.withColumn("_run", F.col("_at") - F.row_number().over(inside)).groupBy(*keys, "_block", "_run").agg(
+        F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_run")
+    border = (F.col("first") == F.col("_block") * block) | (F.col("last") == (F.col("_block") + 1) * block - 1)
+    order = Window.partitionBy(*keys).orderBy("first")
+    touching = found.filter(border).withColumn("_new", (F.coalesce(F.lag("last").over(order) + 1 != F.col("first"), F.lit(True))).cast("long"))
+    joined = touching.withColumn("_group", F.sum("_new").over(order)).groupBy(*keys, "_group").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return found.filter(~border).select(*keys, "first", "last").unionByName(joined.select(*keys, "first", "last"))

@@ -19,6 +19,7 @@ from tilespark.functions.arrays import arrays, by_batch, lists, rasters
 from tilespark.functions.elevation import bilinear
 from tilespark.functions.once import once
 from tilespark.functions.tilemath import Grid, affected_range
+from tilespark.operators import hot
 from tilespark.operators.cache_state import nearest_levels
 
 # a point on a shared edge belongs to both triangles, whatever the rounding
@@ -330,13 +331,14 @@ def near_sample(fx: Column, fy: Column) -> Column:
 
 def sample_points(
     points: DataFrame, tiles: DataFrame, point_id: str, px: str, py: str, size: int, total_w: Column, total_h: Column,
-    nodata: float, interpolate=bilinear, snap: bool = True,
+    nodata: float, interpolate=bilinear, snap: bool = True, most: int = hot.MOST,
 ) -> DataFrame:
     """Raster value at fractional pixel positions of a tiled raster.
 
     A point asks only the one to four tiles its neighbour cells lie in (clamped to the raster), takes
     its cells out of their arrays inside the join, and is put together per point. Cells of absent tiles
-    are nodata: they take the mean of the valid neighbours, 0 without any.
+    are nodata: they take the mean of the valid neighbours, 0 without any. A tile that more than ``most`` points ask is
+    repeated, and its points dealt over the copies.
     """
     x, y = F.col(px), F.col(py)
 
@@ -349,9 +351,10 @@ def sample_points(
     spots = [F.struct(F.floor(cx / size).cast("long").alias("x"), F.floor(cy / size).cast("long").alias("y"),
                       ((cy % size) * size + cx % size).cast("int").alias("i")) for cx, cy in corners.values()]
     asked = points.withColumn("_spots", F.array(*spots)).withColumn("_t", F.explode(F.array_distinct(
-        F.transform("_spots", lambda s: F.struct(s.x.alias("x"), s.y.alias("y"))))))
+        F.transform("_spots", lambda s: F.struct(s.x.alias("x"), s.y.alias("y")))))).withColumns({"_x": F.col("_t.x"), "_y": F.col("_t.y")})
     held = tiles.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "vals")
-    met = asked.join(held, (F.col("_t.x") == F.col("_x")) & (F.col("_t.y") == F.col("_y")), "left")
+    asked, held = hot.deal_hot(asked, held, ["_x", "_y"], [point_id, px, py], most)
+    met = asked.join(held, ["_x", "_y", hot.SALT], "left")
     picks = []
     for i, name in enumerate(corners):
         spot = F.col("_spots")[i]
@@ -539,11 +542,43 @@ def mesh_sample(points: DataFrame, triangles: DataFrame, point_id: str, x: str,
         "_by", F.explode(F.sequence(lo("y"), hi("y")))).withColumn("_salt", F.pmod(F.xxhash64("ax", "ay", "bx", "by"), F.lit(salts)))
     asked = points.withColumn("_bx", F.floor(F.col(x) / bucket).cast("long")).withColumn(
         "_by", F.floor(F.col(y) / bucket).cast("long")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return _highest(asked.join(listed, ["_bx", "_by", "_salt"]), point_id, x, y)
+
+
+def _highest(met: DataFrame, point_id: str, x: str, y: str) -> DataFrame:
+    """The highest of the triangles over each point, from pairs of them."""
     c = F.col
     det = (c("by") - c("cy")) * (c("ax") - c("cx")) + (c("cx") - c("bx")) * (c("ay") - c("cy"))
     u = ((c("by") - c("cy")) * (c(x) - c("cx")) + (c("cx") - c("bx")) * (c(y) - c("cy"))) / det
     v = ((c("cy") - c("ay")) * (c(x) - c("cx")) + (c("ax") - c("cx")) * (c(y) - c("cy"))) / det
     w = F.lit(1.0) - u - v
-    met = asked.join(listed, ["_bx", "_by", "_salt"]).filter(det != 0).withColumn(
+    met = met.filter(det != 0).withColumn(
         "_z", F.when((u >= -EDGE) & (v >= -EDGE) & (w >= -EDGE), u * c("az") + v * c("bz") + w * c("cz")))
     return met.filter(F.col("_z").isNotNull()).groupBy(point_id).agg(F.max("_z").alias("value"))
+
+
+def mesh_sample_sizes(points: DataFrame, triangles: DataFrame, point_id: str, x: str, y: str, base: float, most: int = 64) -> DataFrame:
+    """:func:`mesh_sample` for triangles of all sizes.
+
+    Each triangle lies in the grid of its own size, where cells are at least as wide as it (``base`` times a power of two), so it is
+    in four cells at most; a point asks its cell in every grid that has triangles, some dozens at most. Cells of more than ``most``
+    triangles deal them over salts, and the points there ask each salt.
+    """
+    def sides(axis):
+        return [F.col(f"{v}{axis}") for v in "abc"]
+
+    spans = [F.greatest(*sides(axis)) - F.least(*sides(axis)) for axis in "xy"]
+    grid = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*spans, F.lit(base)) / base))).cast("int")
+    cell_at = lambda v: F.floor(v / (F.pow(F.lit(2.0), F.col("_grid")) * base)).cast("long")
+    listed = triangles.withColumn("_grid", grid)
+    for name, axis in (("_bx", "x"), ("_by", "y")):
+        listed = listed.withColumn(name, F.explode(F.sequence(cell_at(F.least(*sides(axis))), cell_at(F.greatest(*sides(axis))))))
+    key = ["_grid", "_bx", "_by"]
+    crowded = listed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*key, F.ceil(F.col("_n") / most).cast("int").alias("_salts"))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[f"{v}{a}" for v in "abc" for a in "xyz"]), F.col("_salts")).cast("int"))
+    listed = listed.join(crowded, key, "left").withColumn("_salt", salt).drop("_salts")
+    grids = triangles.select(grid.alias("_grid")).distinct()  # a few dozen: exponents of a double at most
+    asked = points.crossJoin(F.broadcast(grids)).withColumn("_bx", cell_at(F.col(x))).withColumn("_by", cell_at(F.col(y)))
+    asked = asked.join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    met = asked.join(listed, [*key, "_salt"])
+    return _highest(met, point_id, x, y)

@@ -47,9 +47,3 @@ def key_verdict(grid: Grid) -> Column:
         .when(~keys.in_matrix(x, y, grid.grid_w(level), grid.grid_h(level)), "outside")
         .otherwise("ok")
     )
-
-
-def split_valid(tiles: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Servable tiles and quarantined ones with the reason."""
-    judged = tiles.withColumn("verdict", key_verdict(grid))
-    return judged.filter("verdict = 'ok'").drop("verdict"), judged.filter("verdict <> 'ok'")

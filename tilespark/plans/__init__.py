@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tilespark.plans.registry import PLANS, Plan
 
-_AREAS = ("keys", "coverage", "cache", "routing", "requests", "raster", "stack", "vector", "files", "streams")
+_AREAS = ("keys", "coverage", "density", "cache", "routing", "requests", "raster", "mesh", "stack", "vector", "describe", "files", "streams")
 
 
 def load() -> dict[str, Plan]:

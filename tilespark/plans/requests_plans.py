@@ -9,7 +9,6 @@ from tilespark.functions.once import once
 from tilespark.operators import fetch
 from tilespark.plans.inputs import Inputs
 from tilespark.plans.registry import plan
-from tilespark.session import spread
 from tilespark.sources import access_log
 
 
@@ -24,7 +23,7 @@ SELECT event_id, path,
   CASE event_id%8 WHEN 6 THEN 'negative coordinate' WHEN 7 THEN 'no match' END AS reason
 FROM service_urls""")
 def tile_url_parse(t: Inputs):
-    parsed = spread(t.service_urls.select("event_id", "path")).withColumn("family", req.url_family(F.col("path")))
+    parsed = t.service_urls.select("event_id", "path").withColumn("family", req.url_family(F.col("path")))
     parsed = parsed.withColumn("p", req.parse_tile_url(F.col("path"), F.col("family")))
     return parsed.select("event_id", "path", "family", *[F.col(f"p.{c}").alias(c) for c in (
         "layer", "layer_spec", "z", "x", "y", "retina", "format", "reason")])
@@ -46,7 +45,7 @@ SELECT o_orderkey, concat(
   CASE WHEN o_custkey%3 = 1 THEN -1 ELSE ia+5 END AS z
 FROM n""")
 def query_string_normalise(t: Inputs):
-    q = once(spread(t.service_queries.select("o_orderkey", "query")), "params", req.query_params(F.col("query")))
+    q = once(t.service_queries.select("o_orderkey", "query"), "params", req.query_params(F.col("query")))
     params = F.col("params")
     q = q.select("o_orderkey", req.canonical_query(params).alias("canonical"), req.param_bbox(params).alias("box"),
                  req.param_size(params).alias("image"), req.param_tile(params).alias("tile"))
@@ -60,11 +59,25 @@ SELECT event_id AS id, 'tile' AS kind, CASE event_id%8 WHEN 0 THEN 'xyz' WHEN 1
   CASE event_id%8 WHEN 6 THEN 'negative coordinate' WHEN 7 THEN 'no match' END AS reason FROM service_urls
 UNION ALL
 SELECT o_orderkey, 'map', 'wms', 'roads', NULL, CASE WHEN o_custkey%4 < 2 THEN cast(o_orderkey%170 AS double) ELSE 0e0 END,
-  CASE WHEN o_custkey%5 < 2 THEN 0 ELSE 256*(1+o_custkey%4) END, NULL FROM service_queries""")
+  CASE WHEN o_custkey%5 < 2 THEN 0 ELSE 256*(1+o_custkey%4) END, NULL FROM service_queries
+UNION ALL
+SELECT o_orderkey, 'key', 'wmts_kvp', 'roads', cast(CASE WHEN o_custkey%3 = 1 THEN -1 ELSE o_orderkey%170+5 END AS int), NULL, NULL,
+  CASE WHEN o_custkey%3 <> 2 THEN 'bad number' END FROM service_queries
+UNION ALL
+SELECT o_orderkey, 'export', 'arcgis', 'show:1', NULL, CASE WHEN o_custkey%7 > 0 THEN cast(o_orderkey%170 AS double) ELSE 0e0 END, 256*(1+o_custkey%4), NULL FROM service_queries""")
 def access_log_rows(t: Inputs):
+    # tiles asked by keys and values, some with a row that is no number or without one; exports, some with a side missing
+    q = t.service_queries
+    row = F.when(F.col("o_custkey") % 3 == 1, "&TileRow=north").when(F.col("o_custkey") % 3 == 2, F.concat(F.lit("&TILEROW="), "b")).otherwise("")
+    keyed = q.select(F.col("o_orderkey").alias("id"), F.lit("key").alias("kind"), F.concat(
+        F.lit("/wmts?SERVICE=wmts&Layer=roads&TileMatrixSet=g&tilecol="), "a", row, F.lit("&TILEMATRIX="), (F.col("o_orderkey") % 170 + 5).cast("string"), F.lit("&format=image/png")).alias("url"))
+    side = F.when(F.col("o_custkey") % 7 > 0, F.concat(F.lit(","), (F.col("o_custkey") % 80 + 7).cast("string"))).otherwise("")
+    export = q.select(F.col("o_orderkey").alias("id"), F.lit("export").alias("kind"), F.concat(
+        F.lit("/arcgis/rest/services/roads/MapServer/export?bbox="), "a", F.lit(","), "b", F.lit(","), (F.col("o_orderkey") % 170 + 5).cast("string"), side,
+        F.lit("&size="), (256 * (F.col("o_custkey") % 4 + 1)).cast("string"), F.lit(",128&layers=show:1")).alias("url"))
     log = t.service_urls.select(F.col("event_id").alias("id"), F.lit("tile").alias("kind"), F.col("path").alias("url")).unionByName(
         t.service_queries.select(F.col("o_orderkey").alias("id"), F.lit("map").alias("kind"), F.concat(F.lit("/service?"), "query").alias("url")))
-    return access_log.parse_access_log(spread(log)).select(
+    return access_log.parse_access_log(log.unionByName(keyed).unionByName(export)).select(
         "id", "kind", "family", "layer", "z", F.col("box.minx").alias("minx"), F.col("image.width").alias("width"), "reason")
 
 
@@ -117,16 +130,16 @@ FETCHES = f"""f AS (SELECT url, {HOST} AS host, event_id AS seq, event_type <> '
   FROM events JOIN log_urls ON page_id = event_id%(SELECT count(*) FROM pages))"""
 
 
-@plan("fetch_cache_hit_ratio", "A18", f"""
+@plan("repeat_fetch_share", "A18", f"""
 WITH {FETCHES},
 c AS (SELECT * FROM f WHERE cacheable),
 l AS (SELECT url, min(seq) AS filled_at FROM c WHERE ok GROUP BY 1),
 a AS (SELECT host, count(*) FILTER (WHERE seq > filled_at) AS hits, count(*) FILTER (WHERE seq = filled_at) AS misses FROM c JOIN l USING (url) GROUP BY 1)
 SELECT host, hits, misses, round(hits/(hits+misses), 6) AS hit_ratio FROM a""")
-def fetch_cache_hit_ratio(t: Inputs):
+def repeat_fetch_share(t: Inputs):
     n = t.pages.agg(F.count(F.lit(1)).alias("n"))
     asked = t.events.join(F.broadcast(n)).withColumn("page_id", F.col("event_id") % F.col("n"))  # one-row side
     fetches = asked.join(t.log_urls, "page_id").select(
         "url", req.url_host(F.col("url")).alias("host"), F.col("event_id").alias("seq"),
         (F.col("event_type") != "error").alias("ok"), (F.col("event_type") != "signup").alias("cacheable"))
-    return fetch.cache_hits(fetches).withColumn("hit_ratio", F.round("hit_ratio", 6))
+    return fetch.repeat_share(fetches).withColumn("hit_ratio", F.round("hit_ratio", 6))

@@ -30,11 +30,19 @@ def collect_stream(t: Inputs, rows, name: str):
     return t.spark.read.parquet(path)
 
 
-def classified(t: Inputs):
+def classified_folder(t: Inputs) -> str:
+    """Where the classified requests are, written by a stream."""
     # two stored tiles share a key and only even rows are stored; the coverage ends before column 12
     stored = current_store(t).withColumn("mtime", F.col("mtime").cast("timestamp")).withColumn("y", F.col("y") * 2 % 16)
     covered = current_store(t).select("z", (F.col("x") % 12).alias("x"), "y")
-    return stream.classify(event_stream(t), stored, WEBMERCATOR, expire().cast("timestamp"), covered)
+    path = scratch(t.spark, "classified")
+    stream.classify_stream(event_stream(t), lambda: (stored, covered), WEBMERCATOR, expire().cast("timestamp"), path, scratch(t.spark, "classified-log"))
+    return path
+
+
+def classified(t: Inputs):
+    """The classified requests as a stream of their own."""
+    return jobs.stream_parquet(t.spark, classified_folder(t))
 
 
 CLASSIFIED = f"""{STORE},
@@ -46,7 +54,27 @@ c AS (SELECT event_id, r.ts, event_type, service, layer, CASE WHEN event_type='s
 
 @plan("request_stream_classify", "T1", f"WITH {CLASSIFIED} SELECT event_id, state FROM c")
 def request_stream_classify(t: Inputs):
-    return collect_stream(t, classified(t), "classified").select("event_id", "state")
+    return t.spark.read.parquet(classified_folder(t)).select("event_id", "state")
+
+
+@plan("store_stream_classify", "T1 T4", """
+WITH k AS (SELECT o_orderkey%16 AS x, o_orderkey//16%16 AS y, max(o_orderdate) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS early, max(o_orderdate) AS late
+  FROM orders GROUP BY 1, 2),
+c AS (SELECT event_id, event_type, CASE event_id%2 WHEN 0 THEN early ELSE late END AS mtime FROM tile_requests r LEFT JOIN k USING (x, y))
+SELECT event_id, CASE WHEN event_type='signup' THEN 'out_of_range' WHEN mtime IS NULL THEN 'miss' WHEN mtime < TIMESTAMP '1998-06-01' THEN 'stale' ELSE 'hit' END AS state FROM c""")
+def store_stream_classify(t: Inputs):
+    # the store is written by a stream too: half of the requests see its older tiles, the other half all of them
+    table, path = scratch(t.spark, "store"), scratch(t.spark, "judged")
+    orders = jobs.stream_parquet(t.spark, t.sf_dir, "orders.parquet")
+    key = F.col("o_orderkey")
+    updates = orders.select(F.col("o_orderstatus").alias("tileset"), F.lit(4).alias("z"), (key % 16).alias("x"), (F.floor(key / 16) % 16).alias("y"),
+                            F.col("o_orderdate").cast("timestamp").alias("mtime"))
+    for half, rows in enumerate((updates.filter("mtime < timestamp'1998-01-01'"), updates)):
+        jobs.upsert_tiles(rows, table, scratch(t.spark, f"store-log-{half}"))
+        asked = event_stream(t).filter(F.col("event_id") % 2 == half)
+        stream.classify_stream(asked, lambda: (t.spark.read.parquet(table), None), WEBMERCATOR, expire().cast("timestamp"), f"{path}/half={half}",
+                               scratch(t.spark, f"judged-log-{half}"))
+    return t.spark.read.parquet(path).select("event_id", "state")
 
 
 @plan("windowed_metrics", "T2", f"""
@@ -73,12 +101,30 @@ def sliding_metrics(t: Inputs):
         F.unix_micros("window_start").alias("start_us"), "service", "layer", "hits", "misses", "errors")
 
 
-@plan("inflight_coalescing", "T3", """
+@plan("metrics_between_resets", "T2", f"""
+WITH {CLASSIFIED},
+r AS (SELECT user_id%3 AS service, ts, lag(ts) OVER (PARTITION BY user_id%3 ORDER BY ts) AS since FROM events WHERE event_id%200 = 0),
+s AS (SELECT r.*, layer FROM r JOIN (SELECT DISTINCT user_id%3 AS service, user_id%4 AS layer FROM events) l USING (service)
+  WHERE epoch_us(r.ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events)*1000)
+SELECT s.service, s.layer, epoch_us(s.since) AS since_us, epoch_us(s.ts) AS until_us, count(*) FILTER (WHERE state='hit' AND event_type<>'error') AS hits,
+  count(*) FILTER (WHERE state<>'hit' AND event_type<>'error') AS misses, count(*) FILTER (WHERE event_type='error') AS errors
+FROM s LEFT JOIN c ON c.service = s.service AND c.layer = s.layer AND c.ts < s.ts AND (s.since IS NULL OR c.ts >= s.since) GROUP BY 1, 2, 3, 4""")
+def metrics_between_resets(t: Inputs):
+    # every 200th event also resets the counters of its service
+    events = jobs.stream_parquet(t.spark, t.sf_dir, "events.parquet")
+    resets = events.filter("event_id % 200 = 0").select((F.col("user_id") % 3).alias("service"), F.col("ts").cast("timestamp").alias("ts"))
+    layers = t.events.select((F.col("user_id") % 3).alias("service"), (F.col("user_id") % 4).alias("layer")).distinct()
+    counted = stream.counters_between_resets(classified(t), resets, layers, "ts")
+    return stream.segment_totals(collect_stream(t, counted, "segments")).select(
+        "service", "layer", F.unix_micros("since").alias("since_us"), F.unix_micros("until").alias("until_us"), "hits", "misses", "errors")
+
+
+@plan("meta_tile_requests", "T3", """
 SELECT DISTINCT z, x - x%4 AS mx, y - y%4 AS my, epoch_us(time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '1970-01-01')) AS slot_us
 FROM (SELECT z, CASE WHEN event_type='signup' THEN 16 ELSE x END AS x, y, ts FROM tile_requests)""")
-def inflight_coalescing(t: Inputs):
-    once = stream.creations(event_stream(t), "ts")
-    return collect_stream(t, once, "creations").select("z", "mx", "my", F.unix_micros("slot").alias("slot_us"))
+def meta_tile_requests(t: Inputs):
+    once = stream.meta_tile_requests(event_stream(t), "ts")
+    return collect_stream(t, once, "meta-requests").select("z", "mx", "my", F.unix_micros("slot").alias("slot_us"))
 
 
 @plan("incremental_upsert", "T4", """

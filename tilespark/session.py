@@ -64,12 +64,3 @@ def cut_lineage(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
-
-
-def spread(df):
-    """Use the whole cluster for costly row-wise work on few input splits.
-
-    Large inputs have more splits than cores and pass through without an exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

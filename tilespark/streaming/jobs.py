@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilespark.functions.tilemath import Grid
@@ -12,6 +12,12 @@ from tilespark.operators.cache_state import latest, missing
 from tilespark.operators.coverage import affected_tiles
 
 KEY = ("tileset", "z", "x", "y")
+#: A block of the tile table is ``2^BLOCK_BITS`` tiles wide and high.
+BLOCK_BITS = 6
+
+
+def block_of(x: Column, y: Column, bits: int = BLOCK_BITS) -> Column:
+    return F.concat_ws("_", F.shiftright(x, bits), F.shiftright(y, bits))
 
 
 def stream_parquet(spark: SparkSession, folder: str, pattern: str | None = None, **options) -> DataFrame:
@@ -37,7 +43,7 @@ def run_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], check
 
 
 def upsert_tiles(
-    updates: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("mtime",), key: Sequence[str] = KEY, block_bits: int = 6,
+    updates: DataFrame, table: str, checkpoint: str, order: Sequence[str] = ("mtime",), key: Sequence[str] = KEY, block_bits: int = BLOCK_BITS,
 ) -> None:
     """Keep the last write of every tile in a Parquet table partitioned by tileset, level and block of tiles.
 
@@ -49,7 +55,7 @@ def upsert_tiles(
     parts = ["tileset", "z", "block"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("block", F.concat_ws("_", F.shiftright("x", block_bits), F.shiftright("y", block_bits))).persist()
+        batch = batch.withColumn("block", block_of(F.col("x"), F.col("y"), block_bits)).persist()
         touched = batch.select(*parts).distinct()
         merged = batch
         if _exists(spark, table):
