@@ -4,6 +4,10 @@ Items are lower-cased (A-Z) and cut into words; every run of ten words of an ite
 an item of fewer words is one window. The automaton's alphabet is the items' words, so a text is
 scanned as word numbers, and a match says directly which words it covers. Word positions lead back
 to offsets in the original text, as normalising replaces bytes one by one.
+
+The automaton holds the short items and every fifth run of five words of the others: any window holds such a run whole.
+Where one is found, the few windows around it are looked up among the items' windows, by a hash and then word by word. So the
+automaton has about as many nodes as the items have words. Workers read the items from a stored table; the driver holds none.
 """
 
 from __future__ import annotations
@@ -15,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import add_by_batch, columns, fresh, texts
+from tilespark.llm.common import add_by_batch, columns, shared_path, texts
+from tilespark.sources.storage import open_filesystem
 
 WINDOW = 10
-#: Text of items that one automaton takes; more items make further automata, each in a pass of its own.
-BLOCK_BYTES = 2 << 20
 
 #: Bytes of a word stay (A-Z lower-cased), all others become a space; bytes of other alphabets stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -32,43 +35,101 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
+def _window_hashes(numbers: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """A hash of each run of ``window`` numbers."""
+    out = np.zeros(max(0, len(numbers) - window + 1), np.uint64)
+    wide = (numbers.astype(np.uint64) + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+    wide ^= wide >> np.uint64(29)
+    for k in range(window):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + wide[k:len(numbers) - window + 1 + k]
+    return out ^ (out >> np.uint64(31))
+
+
 class Matcher:
-    """The automaton of some items (id as string, text)."""
+    """The automaton of some items (id as string, text), and their windows by hash."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         import ahocorasick
 
-        windows: dict[tuple[int, ...], set[str]] = {}
+        self.window, self.run = window, window // 2
         self.number: dict[bytes, int] = {}
+        patterns: dict[tuple[int, ...], set[str] | None] = {}
+        runs: set[tuple[int, ...]] = set()
+        parts, starts, owners, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], 0
+        self.names: list[str] = []
         for item, text in items:
-            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in words_of(text))
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                windows.setdefault(w[i:i + window], set()).add(item)
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
+            if not w:
+                continue
+            if len(w) < window:
+                patterns.setdefault(tuple(w), set()).add(item)
+                continue
+            runs.update(tuple(w[i:i + self.run]) for i in range(0, len(w) - self.run + 1, self.run))
+            parts.append(np.array(w, np.int32))
+            starts.append(np.arange(at, at + len(w) - window + 1))
+            owners.append(np.full(len(w) - window + 1, len(self.names), np.int32))
+            self.names.append(item)
+            at += len(w)
+        self.words, start, owner = np.concatenate(parts), np.concatenate(starts), np.concatenate(owners)
+        self.seed = 0
+        while len(start):  # until no two different windows share a hash
+            hashes = _window_hashes(self.words, window, self.seed)[start]
+            by = np.argsort(hashes, kind="stable")
+            ordered, first = hashes[by], start[by]
+            same = np.flatnonzero(ordered[1:] == ordered[:-1])
+            spread = np.arange(window)
+            if all(np.array_equal(self.words[first[some][:, None] + spread], self.words[first[some + 1][:, None] + spread]) for some in np.array_split(same, len(same) // 100_000 + 1)):
+                break
+            self.seed += 1
+        if len(start):
+            edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            self.hashes, self.first, self.cuts, self.owner = ordered[edge], first[edge], np.r_[edge, len(ordered)], owner[by]
+        else:
+            self.hashes = np.empty(0, np.uint64)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for w, ids in windows.items():
-            self.automaton.add_word(w, (len(w), tuple(ids)))
-        if windows:
+        for p in patterns.keys() | runs:
+            self.automaton.add_word(p, (len(p), tuple(patterns.get(p, ())), p in runs))
+        self.some = bool(patterns or runs)
+        if self.some:
             self.automaton.make_automaton()
-        self.some, self.least = bool(windows), min(map(len, windows), default=0)
+        self.least = min([len(p) for p in patterns] + [window] * bool(runs), default=0)
 
     def find(self, words: list[bytes]) -> list[tuple[int, int, tuple[str, ...]]]:
         """First and last word of each match, and the items it belongs to."""
         if not self.some or len(words) < self.least:
             return []
         known = self.number.get
-        return [(end - n + 1, end, ids) for end, (n, ids) in self.automaton.iter(tuple(known(w, 0) for w in words))]
+        numbers = tuple(known(w, 0) for w in words)
+        out, possible = [], set()
+        for end, (n, ids, is_run) in self.automaton.iter(numbers):
+            if ids:
+                out.append((end - n + 1, end, ids))
+            if is_run:  # windows that hold this run
+                possible.update(range(max(0, end - self.window + 1), min(end - n + 1, len(words) - self.window) + 1))
+        if possible:
+            array, start = np.array(numbers, np.int32), np.array(sorted(possible))
+            low, high = start[0], start[-1] + self.window
+            found = _window_hashes(array[low:high], self.window, self.seed)[start - low]
+            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+            for s, k in zip(start[self.hashes[at] == found].tolist(), at[self.hashes[at] == found].tolist(), strict=True):
+                if np.array_equal(array[s:s + self.window], self.words[self.first[k]:self.first[k] + self.window]):
+                    out.append((s, s + self.window - 1, tuple(self.names[o] for o in self.owner[self.cuts[k]:self.cuts[k + 1]].tolist())))
+        return out
+
 
+_MATCHERS: dict[str, Matcher] = {}
 
-_MATCHERS: dict[bytes, Matcher] = {}
 
+def matcher(path: str) -> Matcher:
+    """The automaton of a stored table of items, one for each worker process."""
+    if path not in _MATCHERS:
+        import pyarrow.parquet as pq
 
-def matcher(items: list[tuple[str, bytes]]) -> Matcher:
-    """One automaton for each worker process and set of items."""
-    key = hashlib.sha256(repr(items).encode()).digest()
-    if key not in _MATCHERS:
+        system, place = open_filesystem(path)
+        items = pq.read_table(place, filesystem=system, columns=["item", "text"])
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items)
-    return _MATCHERS[key]
+        _MATCHERS[path] = Matcher(list(zip(items.column("item").to_pylist(), texts(items.column("text").combine_chunks()), strict=True)))
+    return _MATCHERS[path]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,50 +150,36 @@ def char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first": int(chars[edge[2 * a]]), "last": int(chars[edge[2 * b + 1]])} for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size; an item is text of a test, so even many are small."""
+def stored_items(benchmark: DataFrame, item_id: str, text: str) -> str:
+    """Where the distinct items are stored, for all workers to read."""
     items = columns(benchmark, item=F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")), text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    items = items.distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted((r.item, r.text.encode()) for r in items.filter(block == k).collect()) for k in range(n)]
+    path = shared_path(benchmark.sparkSession, "items")
+    items.distinct().write.parquet(path)
+    return path
 
 
-def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns of ``docs`` and, for each row: number of words, of words inside matches and of items that
     match, the items (sorted as strings), the SHA-256 of their comma-joined ids, whether there is any, and
     the matches as merged offsets in the original text.
 
     Null and empty texts have no words, no hit, and the digest of the empty string. Items without words
     match nothing; repeated items count once; a null item id counts as the empty string. Without items,
-    nothing is contaminated. A column of ``docs`` named like a result is replaced by it.
+    nothing is contaminated. Repeated rows are marked each; an empty table gives no rows. A column of ``docs`` named like a result
+    is replaced by it. A worker holds the items' words, their windows and the automaton: some 150 bytes for each word of an item.
     """
     from pyspark.sql.types import StructType
 
     results = [f.name for f in StructType.fromDDL(ADDED).fields]
     rows = docs.drop(*[c for c in docs.columns if c.lower() in results])
-    found, place = fresh(rows, "_found"), rows.columns.index(text)
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    earlier: list[str] = []
-    for items in blocks[:-1]:
-        name = f"{found}_{len(earlier)}"
-
-        def partial(piece, items=items, name=name, place=place):
-            of = matcher(items)
-            return {name: [[{"first": a, "last": b, "items": list(ids)} for a, b, ids in of.find(words_of(t))] for t in texts(piece.column(place))]}
-
-        rows = add_by_batch(rows, f"{name} array<struct<first:long,last:long,items:array<string>>>", partial, text)
-        earlier.append(name)
-    last = blocks[-1]
-
-    def finish(piece: pa.RecordBatch) -> dict:
-        of, out = matcher(last), {n: [] for n in results}
-        before = [piece.column(piece.schema.names.index(n)).to_pylist() for n in earlier]
-        for i, t in enumerate(texts(piece.column(place))):
+    place = rows.columns.index(text)
+    path = stored_items(benchmark, item_id, item_text)
+
+    def mark(piece: pa.RecordBatch) -> dict:
+        of, out = matcher(path), {n: [] for n in results}
+        for t in texts(piece.column(place)):
             words = words_of(t)
-            hits = of.find(words) + [(m["first"], m["last"], m["items"]) for b in before for m in b[i]]
+            hits = of.find(words)
             ranges = merged([(a, b) for a, b, _ in hits])
             ids = sorted({x for _, _, y in hits for x in y})
             row = (len(words), sum(b - a + 1 for a, b in ranges), len(ids), ids,
@@ -141,7 +188,7 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
                 out[n].append(v)
         return out
 
-    return add_by_batch(rows, ADDED, finish, text).drop(*earlier)
+    return add_by_batch(rows, ADDED, mark, text)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
