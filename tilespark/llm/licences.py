@@ -8,6 +8,8 @@ doesn't matter.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ EQUIVALENT = {
 
 # Known notices and licences (fixed values: their public wording).
 NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
@@ -40,7 +41,7 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
 CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
 NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""],
-    "MIT-text": ["""MIT License
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", """MIT License
 
 Copyright (c) <year> <copyright holders>
 
@@ -71,9 +72,16 @@ def canonical(text: Column) -> Column:
     return F.when(plain.rlike(rf"\b(?:{'|'.join(EQUIVALENT)})\b"), F.trim(spelled)).otherwise(plain)
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """Licence and text of the notices above and of the full public texts in ``licence_texts``, named by licence."""
+    folder = resources.files("tilespark.llm") / "licence_texts"
+    full = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in folder.iterdir() if f.name.endswith(".txt"))
+    return [(k, t) for k, ts in NOTICES.items() for t in ts] + full
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
-    """``licence, text`` of the notices and licences above."""
-    return spark.createDataFrame([(k, t) for k, ts in NOTICES.items() for t in ts], "licence string, text string")
+    """``licence, text`` of all known texts."""
+    return spark.createDataFrame(known_texts(), "licence string, text string")
 
 
 def licence_digests(known: DataFrame) -> DataFrame:
