@@ -8,7 +8,7 @@ def test_stages_on_the_given_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels, tests = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect())
-    scored = toxicity.add_scores(docs, toxicity.fit(docs, labels))
+    scored = toxicity.classify(docs, labels)
     clean = docs.join(scored.filter("rejected").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     single = clean.join(ngram_join.classes_and_components(clean).filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     known = decontamination.mark_contaminated(single.select("doc_id", "text"), tests).filter("contaminated").select("doc_id")

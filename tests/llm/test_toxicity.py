@@ -22,12 +22,12 @@ def model(spark):
     labels += [(None, 1), (1000, 0), (3, None), (6, 1)]
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    return toxicity.fit(frame, marks), frame, dict((d, y) for d, y in labels[:600])
+    return marks, frame, dict((d, y) for d, y in labels[:600])
 
 
 def test_held_out_accuracy(model):
-    m, frame, truth = model
-    got = [r for r in toxicity.add_scores(frame, m).withColumn("out", toxicity.held_out(F.col("doc_id"))).collect() if r.out]
+    marks, frame, truth = model
+    got = [r for r in toxicity.classify(frame, marks).withColumn("out", toxicity.held_out(F.col("doc_id"))).collect() if r.out]
     assert len(got) > 100 and all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert sum(r.predicted == truth[r.doc_id] for r in got) / len(got) > 0.97
     assert sum(r.rejected == truth[r.doc_id] for r in got) / len(got) > 0.97
@@ -38,28 +38,40 @@ def test_query_on_held_out_rows(spark, sf_dir):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = op4_toxicity(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect())
-    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and r.rejected == (r.score >= r.threshold) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in truth]
     good = [r.score for r in held if not truth[r.doc_id]]
     bad = [r.score for r in held if truth[r.doc_id]]
     assert np.mean([b > g for b in bad for g in good]) > 0.6 and np.mean(np.array(good) < 0.7) > 0.85
 
 
+def test_query_learns_from_enough_labels(spark):
+    """The query's own accuracy on held-out rows of the larger table."""
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    held = [r for r in op4_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in truth]
+    bad, good = [r for r in held if truth[r.doc_id]], [r for r in held if not truth[r.doc_id]]
+    assert len(bad) > 30 and np.mean([r.predicted for r in bad]) > 0.9 and np.mean([r.rejected for r in bad]) > 0.9
+    assert np.mean([r.predicted for r in good]) < 0.01 and np.mean([r.rejected for r in good]) < 0.01
+
+
 def test_words_alone_enter_a_score(model, spark):
-    m = model[0]
+    marks, docs, _ = model
     text = words(30, 7) + " vile"
-    frame = spark.createDataFrame([(1, text, "en", "a"), (2, text, None, None), (None, text, "xx", "b")], "doc_id long, text string, lang string, source string")
-    assert len({r.score for r in toxicity.add_scores(frame, m).collect()}) == 1
+    frame = spark.createDataFrame([(2001, text, "en", "a"), (2002, text, None, None), (None, text, "xx", "b")], "doc_id long, text string, lang string, source string")
+    got = toxicity.classify(frame.unionByName(docs.withColumn("source", F.lit("s"))), marks).filter("doc_id is null or doc_id > 2000").collect()
+    assert len(got) == 3 and len({r.score for r in got}) == 1 and {r.threshold for r in got if r.lang != "en"} == {0.7}
 
 
 def test_odd_rows(model, spark):
-    m = model[0]
-    got = toxicity.add_scores(documents(spark), m)
+    marks = model[0].unionByName(spark.createDataFrame([(d, int(d == 3)) for d in (1, 2, 3, 4, 5, 6, 7, 8)], "doc_id long, toxic int"))
+    got = toxicity.classify(documents(spark), marks)
     assert got.columns.count("score") == 1 and "n_words" in got.columns
     found = got.collect()
     assert len(found) == len(rows()) and all(0 <= r.score <= 1 for r in found)
     assert len({r.score for r in found if not (r.text or "").split()}) == 1
-    assert toxicity.add_scores(none(spark), m).count() == 0
+    again = toxicity.classify(documents(spark), marks).collect()
+    assert sorted((str(r.doc_id), r.score) for r in found) == sorted((str(r.doc_id), r.score) for r in again)
+    assert toxicity.classify(none(spark), marks).count() == 0
 
 
 def test_filters_stay_inside_texts():
@@ -81,8 +93,7 @@ def test_filters_stay_inside_texts():
 def test_labels_that_teach_nothing(spark):
     docs = documents(spark)
     for labels in ([], [(1, 1)], [(i, 0) for i in range(20)]):
-        m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-        assert {r.score for r in toxicity.add_scores(docs, m).collect()} == {0.5}
+        assert {r.score for r in toxicity.classify(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()} == {0.5}
     kept = toxicity.without_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert kept.columns == docs.columns and kept.count() == len(rows())
 
@@ -98,21 +109,65 @@ def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
         labels.append((d, int(bad)))
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    seen = []
-    put = toxicity._set_thresholds
-    monkeypatch.setattr(toxicity, "_set_thresholds", lambda m, scored, counts: (seen.append({r.d for r in scored.collect()}), put(m, scored, counts)))
-    m = toxicity.fit(frame, marks, per_class=60)
+    seen, limits = [], []
+    put = toxicity.thresholds
+
+    def watch(rows, counts):
+        seen.append({r.d for r in rows.collect()})
+        limits.append(put(rows, counts))
+        return limits[-1]
+
+    monkeypatch.setattr(toxicity, "thresholds", watch)
+    toxicity.classify(frame, marks, per_class=60).collect()
     rest = {d for d, _ in labels if zlib.crc32(str(d).encode()) % 3 != 1}
     # 120 chosen, of which 90 are fitted on; the rare language has a threshold too
     assert len(seen) == 1 and seen[0] <= rest and len(seen[0]) == len(rest) - 90
-    assert set(m.thresholds) == {"de", "en"}
+    assert {r.lang for r in limits[0][1].collect()} == {"de", "en"}
+
+
+def brute_thresholds(rows, counts):
+    """The best F1 over all cuts, row by row."""
+    total = [sum(y == k for _, y, _, _ in rows) for k in (0, 1)]
+
+    def best(some, shift=0.0):
+        at = sorted({round(o / toxicity.STEP) for _, _, _, o in some}, reverse=True)
+        weigh = lambda y: counts[y] / total[y]
+        all_bad = sum(weigh(1) for _, y, _, _ in some if y)
+        scores = []
+        for place in at:
+            in_ = [y for _, y, _, o in some if round(o / toxicity.STEP) >= place]
+            hit, miss = sum(weigh(1) for y in in_ if y), sum(weigh(0) for y in in_ if not y)
+            scores.append(2 * hit / (hit + miss + all_bad))
+        k = max(range(len(at)), key=lambda i: (round(scores[i], 12), -i))
+        p = [1 / (1 + np.exp(-(a * toxicity.STEP + shift))) for a in at]
+        return float(np.clip((p[k] + (p[k + 1] if k + 1 < len(p) else 0)) / 2, 0.2, 0.9))
+
+    common = (min(total) * best(rows) + toxicity.PRIOR * 0.7) / (min(total) + toxicity.PRIOR)
+    move = np.log(0.7 / 0.3) - np.log(common / (1 - common))
+    out = {}
+    for lang in {r[2] for r in rows} - {None}:
+        some = [r for r in rows if r[2] == lang]
+        few = min(sum(y == k for _, y, _, _ in some) for k in (0, 1))
+        if few:
+            out[lang] = (few * best(some, move) + toxicity.PRIOR * 0.7) / (few + toxicity.PRIOR)
+    return move, out
+
+
+@pytest.mark.parametrize("seed, size", [(1, 20), (2, 300), (3, 2000)])
+def test_thresholds_against_brute_force(spark, seed, size):
+    r = np.random.default_rng(seed)
+    rows = [(d, int(y), str(r.choice(["en", "de", "xx"])) if r.random() < 0.9 else None, float(r.normal(2 * y - 1, 1.5))) for d, y in enumerate(r.random(size) < 0.3)]
+    counts = {0: 3 * size, 1: size // 5 + 1}
+    move, table = toxicity.thresholds(spark.createDataFrame(rows + rows[:3], "d long, _y int, lang string, odds double"), counts)
+    want_move, want = brute_thresholds(rows, counts)
+    assert move == pytest.approx(want_move, abs=1e-9) and {x.lang: pytest.approx(x.threshold) for x in table.collect()} == want
 
 
 def test_thresholds_of_rare_languages_are_drawn_to_the_common_one(spark):
     got = {}
     for size in (1, 400):
-        m = toxicity.Model(np.zeros((1, 1)), {}, np.zeros(1), np.zeros(1), 0.0)
-        rows = [(d, d % 2, "xx", 0.4 + 0.2 * (d % 2)) for d in range(2 * size)] + [(-d, d % 2, "en", 0.1 + 0.8 * (d % 2)) for d in range(2, 2000)]
-        toxicity._set_thresholds(m, spark.createDataFrame(rows, "d long, _y int, lang string, score double"), {0: 999 + size, 1: 999 + size})
-        got[size] = m.thresholds["xx"] - toxicity.SCORE_LIMIT
+        logit = lambda p: float(np.log(p / (1 - p)))
+        rows = [(d, d % 2, "xx", logit(0.4 + 0.2 * (d % 2))) for d in range(2 * size)] + [(-d, d % 2, "en", logit(0.1 + 0.8 * (d % 2))) for d in range(2, 2000)]
+        table = toxicity.thresholds(spark.createDataFrame(rows, "d long, _y int, lang string, odds double"), {0: 999 + size, 1: 999 + size})[1]
+        got[size] = {r.lang: r.threshold for r in table.collect()}["xx"] - toxicity.SCORE_LIMIT
     assert abs(got[1]) < abs(got[400]) / 5 or abs(got[1]) < 0.02

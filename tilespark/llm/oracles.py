@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tilespark.llm.licences import EQUIVALENT, NOTICES
+from tilespark.llm.licences import EQUIVALENT, known_texts
 from tilespark.llm.quality_rules import Rules
+from tilespark.llm.url_trust import RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -83,7 +84,7 @@ def _licences() -> str:
     spelled = "concat(' ', plain, ' ')"
     for other, one in EQUIVALENT.items():
         spelled = f"replace({spelled}, ' {other} ', ' {one} ')"
-    known = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, ts in NOTICES.items() for t in ts)
+    known = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in known_texts())
     mark = r"copyright|\(c\)|©|all rights reserved"
     return rf"""
 WITH known AS (SELECT * FROM (VALUES {known}) v(licence, body)),
@@ -144,4 +145,45 @@ roots AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT roots.wor
 last AS (SELECT word, arg_max(root, step) AS root FROM roots GROUP BY 1)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last USING (word)"""
 
-ORACLES |= {"op12_prefix_trie": PREFIX_TRIE, "op13_spelling": SPELLING}
+
+NGRAM_JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w)-3), lambda i: array_to_string(w[i:i+4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS k, g FROM g),
+c AS (SELECT k, min(doc_id) AS c, any_value(n) AS n, any_value(g) AS g FROM k WHERE k IS NOT NULL GROUP BY 1),
+s AS (SELECT c, n, unnest(g) AS s FROM c),
+p AS (SELECT a.c AS a, b.c AS b FROM s a JOIN s b ON a.s = b.s AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100*count(*) >= 80*(a.n+b.n-count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT c AS f, c AS t FROM c UNION SELECT r.f, e.b FROM r JOIN e ON e.a = r.t),
+m AS (SELECT f, min(t) AS component FROM r GROUP BY 1)
+SELECT doc_id, cast(k.n AS bigint) AS n_shingles, coalesce(component, doc_id) AS component_id FROM k LEFT JOIN c USING (k) LEFT JOIN m ON m.f = c.c"""
+
+
+def _url_trust(steps: int = 20, damping: float = 0.85, floor: float = 0.05) -> str:
+    fits = "\n  ".join(
+        f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{rest}') THEN '{verdict} {rule}'"
+        for verdict, rule in sorted(RULES, key=lambda r: (len(r[1]), r[1], r[0]), reverse=True) for d, _, rest in [rule.partition("/")])
+    rounds = ",\n".join(
+        f"s{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT e.kind, dst AS host, {damping!r}e0*score*share AS score FROM s{i-1} s JOIN e ON e.kind = s.kind AND e.src = s.host "
+        f"UNION ALL SELECT kind, host, {1-damping!r}e0*score FROM s0) q GROUP BY 1, 2)" for i in range(1, steps + 1))
+    url, link = r"(?s)^.*?://([^/?#]*)([^?#]*)", r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""".replace("'", "''")
+    return rf"""
+WITH u AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{url}', 1), ''), '{_UP}', '{_LOW}') AS host, coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
+p AS (SELECT *, CASE {fits} END AS fit FROM u),
+j AS (SELECT page_id, html, host, path, split_part(fit, ' ', 1) AS ruled, split_part(fit, ' ', 2) AS rule FROM p),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE ruled='allow') AS allowed, count(*) FILTER (WHERE ruled='block') AS blocked FROM j WHERE host <> '' GROUP BY 1),
+l AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{_UP}', '{_LOW}') AS dst FROM j WHERE host <> ''),
+n AS (SELECT src, dst, cast(count(*) AS double) AS links FROM l WHERE src <> dst GROUP BY 1, 2),
+b AS (SELECT 'trust' AS kind, src, dst, links FROM n UNION ALL SELECT 'distrust', dst, src, links FROM n),
+e AS (SELECT kind, src, dst, links/sum(links) OVER (PARTITION BY kind, src) AS share FROM b),
+k AS (SELECT host, CASE WHEN 2*allowed > n THEN 'trust' WHEN 2*blocked > n THEN 'distrust' END AS kind FROM h),
+s0 AS (SELECT kind, host, 1e0/count(*) OVER (PARTITION BY kind) AS score FROM k WHERE kind IS NOT NULL),
+{rounds},
+t AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind='trust'), 0e0)*(SELECT count(*) FROM h) AS trust,
+  coalesce(sum(score) FILTER (WHERE kind='distrust'), 0e0)*(SELECT count(*) FROM h) AS distrust FROM s{steps} GROUP BY 1)
+SELECT page_id, j.host, path, nullif(rule, '') AS rule, CASE WHEN ruled <> '' THEN ruled WHEN coalesce(distrust, 0e0) > {floor!r}e0 AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict,
+  round(coalesce(trust, 0e0), 6) AS trust, round(coalesce(distrust, 0e0), 6) AS distrust FROM j LEFT JOIN t ON t.host = j.host"""
+
+
+ORACLES |= {"op3_url_trust": _url_trust(), "op7_ngram_jaccard": NGRAM_JACCARD, "op12_prefix_trie": PREFIX_TRIE, "op13_spelling": SPELLING}

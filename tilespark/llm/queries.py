@@ -19,13 +19,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_trust.judge_urls(table(prepare(spark), sf_dir, "pages"))
+    judged = url_trust.judge_urls(table(prepare(spark), sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = toxicity.add_scores(columns(docs, doc_id="doc_id", text="text", lang="lang"), toxicity.fit(docs, labels))
-    return scored.withColumn("held_out", toxicity.held_out(scored["doc_id"])).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
+    judged = toxicity.classify(columns(docs, doc_id="doc_id", text="text", lang="lang"), labels, keep_text=False)
+    return judged.withColumn("held_out", toxicity.held_out(judged["doc_id"])).select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,31 +7,35 @@ enter a score. Scores are calibrated on sampled labelled rows kept out of traini
 decision are set per language on all labelled rows that are neither fitted on nor held out.
 
 The model is fitted on the driver on at most ``PER_CLASS`` labelled texts of each class, those with
-the smallest hash of their id, however many there are. Everything else runs over all rows.
+the smallest hash of their id, however many there are, without texts of more than ``FIT_BYTES``. Everything else runs over all
+rows: each text is scored once, and the stored scores serve both to set the thresholds and to apply them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import columns, flat_words, fresh, pieces
+from tilespark.llm.common import columns, flat_words, fresh, pieces, stored
 
 #: Labelled texts of each class that the model is fitted on, at most.
 PER_CLASS = 1500
+#: Longer texts are not fitted on; they are scored like all others.
+FIT_BYTES = 1 << 20
 BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 _AROUND = b".,!?;:*$%&|<>#()\"'"
 _HEADS, _TAILS = (3, 4, 5, 6, 7, 8, 9), (3, 4, 5)
 ROWS = 1 + len(_HEADS) + len(_TAILS)
 SCORE_LIMIT = 0.7
-#: Rows of each class that the common threshold takes at least; at as many, a language's threshold is half its own.
-ENOUGH = 15
+#: A threshold is drawn to the one above it, the limit or the common threshold, as if that had this many rows of each class.
+PRIOR = 15
 #: Steps of the log odds of a score, from -30 to 30, in which labelled rows are counted.
 STEP = 0.05
 
@@ -72,8 +76,6 @@ class Model:
     weights: np.ndarray
     start: float
     scale: tuple[float, float] = (1.0, 0.0)
-    thresholds: dict[str, float] = field(default_factory=dict)
-    threshold: float = SCORE_LIMIT
 
     def pooled(self, x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest value of each filter in each text, and at which word; 0 and -1 where none is above 0.
@@ -105,9 +107,10 @@ class Model:
     def logits(self, rows: np.ndarray, of: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.pooled(self.embedding[rows].sum(1)[of], ends)[0] @ self.weights + self.start
 
-    def scores(self, z: np.ndarray) -> np.ndarray:
+    def odds(self, z: np.ndarray) -> np.ndarray:
+        """Calibrated log odds."""
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        return np.clip(a * z + b, -30, 30)
 
 
 def _fit(texts: list[list[bytes]], y: np.ndarray, epochs: int, seed: int) -> Model:
@@ -194,100 +197,59 @@ def _calibrate(m: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> No
     m.scale = (max(float(a), 1e-3), float(b))
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The threshold with the best F1, halfway to the next lower score; never below 0.3."""
-    by = np.argsort(-p, kind="stable")
-    hit, miss = np.cumsum((weight * y)[by]), np.cumsum((weight * (1 - y))[by])
-    f1 = 2 * hit / (hit + miss + (weight * y).sum())
-    last = np.r_[p[by][1:] != p[by][:-1], True]
-    k = int(np.argmax(np.where(last, f1, -1)))
-    below = p[by][k + 1] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[by][k] + below) / 2, 0.2, 0.9))
+def _best_threshold(odds: np.ndarray, bad: np.ndarray, good: np.ndarray) -> float:
+    """Of ascending log odds with weights of both classes, the threshold with the best F1: halfway from the last place that is
+    rejected to the next lower one, as a score from 0.2 to 0.9."""
+    hit, miss = np.cumsum(bad[::-1]), np.cumsum(good[::-1])
+    k = int(np.argmax(2 * hit / (hit + miss + bad.sum())))
+    p = 1 / (1 + np.exp(-odds[::-1]))
+    below = p[k + 1] if k + 1 < len(p) else 0.0
+    return float(np.clip((p[k] + below) / 2, 0.2, 0.9))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", label: str = "toxic",
-        per_class: int = PER_CLASS, epochs: int = 6, seed: int = 1) -> Model:
-    """A model from labelled rows whose ``crc32(doc_id) % 3`` is not 1. Rows without id or label and
-    repeated ids are left out or taken once. Without both classes the model scores every text 0.5."""
+def _marks(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """``_d, _y``: labelled ids that may be learnt from, each once; the higher label counts."""
     marks = columns(labels, _d=F.col(f"`{doc_id}`").cast("long"), _y=F.col(f"`{label}`").cast("int")).filter("_d is not null and _y in (0, 1)")
-    marks = marks.groupBy("_d").agg(F.max("_y").alias("_y")).filter(~held_out(F.col("_d")))
+    return marks.groupBy("_d").agg(F.max("_y").alias("_y")).filter(~held_out(F.col("_d")))
+
+
+def fit(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, epochs: int = 6,
+        seed: int = 1) -> tuple[Model, list[int], dict[int, int]]:
+    """A calibrated model, the ids it was fitted on, and the labelled rows of each class; ``marks`` as :func:`_marks` gives them.
+
+    Of texts with one id the first by hash is taken. Without both classes every text scores 0.5.
+    """
     counts = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
     chosen = None
     for y in (0, 1):  # the smallest hashes of each class, and so no more than 2 * per_class rows
         some = marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_d"), "_d").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    language = F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang else F.lit("")
-    rows = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).join(F.broadcast(chosen), F.col("d") == F.col("_d"))
-    got = rows.select("d", "_y", "lang", "text").limit(4 * per_class).collect()
-    got = sorted({r.d: r for r in got}.values(), key=lambda r: xxhash.xxh32_intdigest(str(r.d)))
+    rows = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).filter(F.octet_length("text") <= FIT_BYTES)
+    met = rows.join(F.broadcast(chosen), F.col("d") == F.col("_d"))
+    got = met.groupBy("d", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("d", "_y", "one.text").collect()
+    got = sorted(got, key=lambda r: xxhash.xxh32_intdigest(str(r.d)))
     y = np.array([r["_y"] for r in got], np.float64)
-    words = [(r.text or "").encode().lower().split() for r in got]
+    words = [r.text.encode().lower().split() for r in got]
     aside = np.arange(len(got)) % 4 == 3
     if any(y[aside == s].sum() in (0, (aside == s).sum()) for s in (False, True)):
         z = np.zeros(len(WIDTHS) * FILTERS, np.float32)
-        return Model(np.zeros((BUCKETS, WIDTH), np.float32), {w: np.zeros((w, WIDTH, FILTERS), np.float32) for w in WIDTHS}, z, z, 0.0)
+        return Model(np.zeros((BUCKETS, WIDTH), np.float32), {w: np.zeros((w, WIDTH, FILTERS), np.float32) for w in WIDTHS}, z, z, 0.0), [], {0: 0, 1: 0}
     m = _fit([w for w, s in zip(words, aside, strict=True) if not s], y[~aside], epochs, seed)
     z, ya = _logits(m, [w for w, s in zip(words, aside, strict=True) if s]), y[aside]
     share = np.array([counts[0] / (1 - y).sum(), counts[1] / y.sum()])
-    weight = (share / share.min())[ya.astype(int)]
-    _calibrate(m, z, ya, weight)
-    fitted = docs.sparkSession.createDataFrame([(r.d,) for r, out in zip(got, aside, strict=True) if not out], "_f long")
-    # rows are scored before they meet their labels, so that no text is shuffled
-    every = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=text, lang=language).filter(F.col("d").isNotNull() & ~held_out(F.col("d")))
-    scored = add_scores(every, m).select("d", "lang", "score")
-    rest = marks.join(F.broadcast(fitted), F.col("_d") == F.col("_f"), "left_anti")
-    _set_thresholds(m, scored.join(rest, F.col("d") == F.col("_d")).select("d", "_y", "lang", "score"), counts)
-    return m
-
+    _calibrate(m, z, ya, (share / share.min())[ya.astype(int)])
+    return m, [r.d for r, out in zip(got, aside, strict=True) if not out], counts
 
-def _set_thresholds(m: Model, scored: DataFrame, counts: dict[int, int]) -> None:
-    """The common threshold and those of languages, from counts over all of ``scored`` (``d, _y, lang, score``).
 
-    ``counts``: rows of each class, with those that were fitted on. Counts come to the driver: a few hundred for each
-    language. A language's own threshold is drawn to the common one, the more the fewer rows of either class it has.
-    """
-    p = F.col("score")
-    each = scored.groupBy("d", "_y").agg(F.min(F.struct("lang", "score")).alias("one")).select("_y", "one.lang", "one.score")
-    place = F.round(F.log(p / (1 - p)) / STEP).cast("int")
-    got = each.groupBy("lang", "_y", place.alias("place")).count().orderBy("lang", "_y", "place").collect()
-    y, n, langs = (np.array([r[c] for r in got]) for c in ("_y", "count", "lang"))
-    z = np.array([r.place for r in got]) * STEP
-    total = [n[y == k].sum() for k in (0, 1)]
-    if not min(total):
-        return
-    weight = n * np.array([counts[k] / total[k] for k in (0, 1)])[y]
-
-    def best(of: np.ndarray, z: np.ndarray) -> float:
-        """Rows of a place and class count together."""
-        where, back = np.unique(z[of], return_inverse=True)
-        sums = [np.bincount(back, weight[of] * (y[of] == k), len(where)) for k in (0, 1)]
-        return _best_threshold(1 / (1 + np.exp(-np.r_[where, where])), np.repeat([0, 1], len(where)), np.r_[sums[0], sums[1]])
-
-    # the score at which a decision is best becomes the limit of ``predicted``
-    if min(total) >= ENOUGH:
-        common = best(n > 0, z)
-        move = float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(common / (1 - common)))
-        m.scale, z = (m.scale[0], m.scale[1] + move), z + move
-    for name in sorted(set(langs)):
-        of = langs == name
-        some = min(n[of & (y == k)].sum() for k in (0, 1))
-        if some:
-            m.thresholds[str(name)] = float((some * best(of, z) + ENOUGH * m.threshold) / (some + ENOUGH))
-
-
-def add_scores(docs: DataFrame, model: Model, *, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The columns of ``docs`` with ``score`` (0 to 1), ``predicted`` (1 if 0.7 or more), ``threshold`` (of the
-    language) and ``rejected``.
-
-    Whole texts are scored; null and empty ones have no words and get the score of no filter firing.
-    A null or rare language takes the common threshold. Columns named like a result are replaced.
-    """
-    rows = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted", "threshold", "rejected")])
-    name, place = fresh(rows, "_score"), rows.columns.index(text)
+def add_odds(docs: DataFrame, model: Model, name: str, *, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """The columns of ``docs``, without the text unless it is kept, and ``name``, the log odds of each whole text; a text without words
+    has those of no filter firing."""
+    place = docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != place]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,25 +259,85 @@ def add_scores(docs: DataFrame, model: Model, *, text: str = "text", lang: str |
                 words, ends = flat_words(piece.column(place))
                 known = table.take(words)
                 used, of = np.unique(known, return_inverse=True)
-                p = m.scores(m.logits(table.rows[used], of, ends))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p, pa.float64())], [*piece.schema.names, name])
+                odds = m.odds(m.logits(table.rows[used], of, ends))
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept), pa.array(odds, pa.float64())], [*(piece.schema.names[i] for i in kept), name])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    out = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
-    limit = F.lit(model.threshold)
-    if lang:
-        for k, v in model.thresholds.items():
-            limit = F.when(F.col(f"`{lang}`") == k, v).otherwise(limit)
-    own = [F.col(f"`{c}`") for c in rows.columns]
-    return out.select(*own, F.col(name).alias("score"), (F.col(name) >= SCORE_LIMIT).cast("int").alias("predicted"),
-                      limit.alias("threshold"), (F.col(name) >= limit).alias("rejected"))
+    return docs.mapInArrow(run, StructType([*(docs.schema.fields[i] for i in kept), StructField(name, DoubleType())]))
+
 
+def thresholds(rows: DataFrame, counts: dict[int, int]) -> tuple[float, DataFrame]:
+    """How far to move all log odds, so that the common threshold is ``SCORE_LIMIT``, and ``lang, threshold`` of each language that has
+    labelled rows of both classes.
 
-def without_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs``, unchanged, that the classifier doesn't reject."""
+    ``rows``: ``d, _y, lang, odds`` of labelled rows; of rows with one id the first counts. They are counted in steps of the odds, weighed
+    so that the classes are as frequent as in ``counts``. The common counts, some hundred numbers, come to the driver; languages are
+    settled in tasks, one each. Thresholds are drawn to the limit, and to the common one, the more the fewer rows of either class there are.
+    """
+    each = rows.groupBy("d", "_y").agg(F.min(F.struct("lang", "odds")).alias("one")).select("_y", "one.lang", "one.odds")
+    places = stored(each.groupBy("lang", "_y", F.round(F.col("odds") / STEP).cast("int").alias("place")).agg(F.count(F.lit(1)).alias("n")), "places")
+    whole = places.groupBy("_y", "place").agg(F.sum("n").alias("n")).collect()
+    total = [sum(r.n for r in whole if r["_y"] == k) for k in (0, 1)]
+    share = [counts.get(k, 0) / total[k] if total[k] else 0.0 for k in (0, 1)]
+    move = 0.0
+    if min(total):
+        at = sorted({r.place for r in whole})
+        n = np.zeros((2, len(at)))
+        for r in whole:
+            n[r["_y"], at.index(r.place)] += r.n * share[r["_y"]]
+        best = (min(total) * _best_threshold(np.array(at) * STEP, n[1], n[0]) + PRIOR * SCORE_LIMIT) / (min(total) + PRIOR)
+        move = float(np.log(SCORE_LIMIT / (1 - SCORE_LIMIT)) - np.log(best / (1 - best)))
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        some = min(part.n[part._y == k].sum() for k in (0, 1))
+        if not some:
+            return pd.DataFrame({"lang": [], "threshold": []})
+        at = np.sort(part.place.unique())
+        n = np.zeros((2, len(at)))
+        np.add.at(n, (part._y.to_numpy(), np.searchsorted(at, part.place)), part.n * np.array(share)[part._y])
+        own = _best_threshold(at * STEP + move, n[1], n[0])
+        return pd.DataFrame({"lang": [part.lang.iloc[0]], "threshold": [(some * own + PRIOR * SCORE_LIMIT) / (some + PRIOR)]})
+
+    return move, stored(places.filter("lang is not null").groupBy("lang").applyInPandas(settle, "lang string, threshold double"), "thresholds")
+
+
+RESULTS = ("score", "predicted", "threshold", "rejected")
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", keep_text: bool = True,
+             **options) -> DataFrame:
+    """The columns of ``docs``, without the text unless it is kept, with ``score`` (0 to 1), ``predicted`` (1 if 0.7 or more), ``threshold`` (of
+    the language) and ``rejected``.
+
+    The model is fitted on labelled rows whose ``crc32(doc_id) % 3`` is not 1. Whole texts are scored; null and empty ones have no
+    words. A null language, and one without labelled rows of both classes, takes the common threshold. Repeated rows are scored
+    each; labels without id or label are left out. An empty table gives no rows; without labels of both classes every score is 0.5. Columns
+    named like a result are replaced.
+    """
+    rows = docs.drop(*[c for c in docs.columns if c.lower() in RESULTS])
+    own = [c for c in rows.columns if keep_text or c != text]
+    marks = stored(_marks(labels, doc_id, label), "marks")
+    model, fitted, counts = fit(rows, marks, doc_id=doc_id, text=text, **options)
+    odds = fresh(rows, "_odds")
+    scored = stored(add_odds(rows, model, odds, text=text, keep_text=keep_text), "scored")
+    rest = marks.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in fitted], "_f long")), F.col("_d") == F.col("_f"), "left_anti")  # a bounded sample
+    labelled = columns(scored, d=F.col(f"`{doc_id}`").cast("long"), lang=F.col(f"`{lang}`").cast("string"), odds=odds).join(rest, F.col("d") == F.col("_d"))
+    move, by_lang = thresholds(labelled.select("d", "_y", "lang", "odds"), counts)
+    limits = by_lang.select(F.col("lang").alias(f"{odds}_lang"), F.col("threshold").alias(f"{odds}_limit"))
+    met = scored.join(limits, F.col(f"`{lang}`") == F.col(f"{odds}_lang"), "left")
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(odds) + F.lit(move)))))
+    met = met.withColumn(odds, score)
+    limit = F.coalesce(F.col(f"{odds}_limit"), F.lit(SCORE_LIMIT))
+    return met.select(*[F.col(f"`{c}`") for c in own], F.col(odds).alias("score"), (F.col(odds) >= SCORE_LIMIT).cast("int").alias("predicted"),
+                      limit.alias("threshold"), (F.col(odds) >= limit).alias("rejected"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, that the classifier doesn't reject. Rows are judged one by one, as :func:`classify` does."""
     own = docs.columns
-    model = fit(docs, labels, text=text, lang=lang, **options)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
-    scored = add_scores(rows, model, text=f"c{own.index(text)}", lang=f"c{own.index(lang)}").filter(~F.col("rejected"))
-    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
+    at = {n: f"c{own.index(c)}" for n, c in (("doc_id", doc_id), ("text", text), ("lang", lang))}
+    marks = columns(labels, **{at["doc_id"]: F.col("doc_id"), "toxic": F.col("toxic")})
+    kept = classify(rows, marks, **at, **options).filter(~F.col("rejected"))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
