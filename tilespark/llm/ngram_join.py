@@ -26,14 +26,17 @@ from pyspark.sql import functions as F
 
 from tilespark.llm.common import Lazy, columns, flat_words, fresh, pieces, stored
 from tilespark.llm.components import components
+from tilespark.operators.hot import SALT, deal_hot
 
 N = 5
 PERCENT = 80
 #: N-grams that the order puts last; a bound on what is sent to all tasks, not on what is compared.
 FREQUENT = 1 << 16
 FRAGMENTS = 8
-#: Rows of a frequent n-gram that one task takes at most, by estimate.
-HOT_ROWS = 20_000
+#: A batch that holds a prefix n-gram this often knows that it has company, and deals its rows to any task.
+REPEATED = 2
+#: Rows of one n-gram that one task compares at most.
+MOST = 20_000
 
 _U = np.uint64
 
@@ -172,17 +175,15 @@ def _prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     return stored(found.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", "size", "prefix"), "classes", free=True)
 
 
-def _meetings(classes: DataFrame, order: Order) -> DataFrame:
+def _meetings(classes: DataFrame) -> DataFrame:
     """``token, cid, left, size, met``: prefix n-grams that two classes or more hold; ``left`` is how much of the set
-    the n-gram and those after it in the order make up, ``met`` how many such n-grams the class has. Hot n-grams are dealt to several tasks, which
-    keep their rows without looking for partners."""
+    the n-gram and those after it in the order make up, ``met`` how many such n-grams the class has.
+
+    A batch in which an n-gram repeats deals its rows to any tasks, where they are kept as they are, and sends one row to the n-gram's own
+    task, where the others then find company: so that task has one row a batch at most."""
     spark = classes.sparkSession
-    short = order.hash >> _U(24)
-    hot = order.count > HOT_ROWS
-    parts = spark.sparkContext.broadcast((short[hot].astype(np.int64), order.count[hot] // HOT_ROWS + 1))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, salts = parts.value
         for batch in batches:
             packed = [p.as_py() for p in batch.column("prefix")]
             k = np.array([len(p) // 5 for p in packed], np.int64)
@@ -191,13 +192,13 @@ def _meetings(classes: DataFrame, order: Order) -> DataFrame:
             token = raw.view(">u8").ravel().astype(np.int64)
             cid, size = (np.repeat(np.asarray(batch.column(c)), k) for c in ("cid", "size"))
             left = size - (np.arange(len(token)) - np.repeat(np.cumsum(k) - k, k))
-            salt = np.full(len(token), -1, np.int64)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
-                salt = np.where(tokens[at] == token, cid % salts[at], -1)
-            for a in range(0, len(token), 50_000):
+            _, first, back, times = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+            salt = np.where(times[back] >= REPEATED, cid % 64, -1)
+            mark = first[times >= REPEATED]
+            cols = [np.r_[token, token[mark]], np.r_[cid, np.full(len(mark), -1)], np.r_[left, left[mark]], np.r_[size, size[mark]], np.r_[salt, np.full(len(mark), -1)]]
+            for a in range(0, len(cols[0]), 50_000):
                 b = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[b]) for x in (token, cid, left, size, salt)], ["token", "cid", "left", "size", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[b]) for x in cols], ["token", "cid", "left", "size", "salt"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[np.asarray(c) for c in b.columns] for b in batches]
@@ -207,7 +208,7 @@ def _meetings(classes: DataFrame, order: Order) -> DataFrame:
         by = np.argsort(token, kind="stable")
         ordered = token[by]
         same = ordered[1:] == ordered[:-1]
-        keep = by[np.r_[False, same] | np.r_[same, False] | (salt[by] >= 0)]
+        keep = by[(np.r_[False, same] | np.r_[same, False] | (salt[by] >= 0)) & (cid[by] >= 0)]
         for a in range(0, len(keep), 50_000):
             b = keep[a:a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x[b]) for x in (token, cid, left, size)], ["token", "cid", "left", "size"])
@@ -305,7 +306,8 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def _against_leaders(rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    met = rows.join(leaders, F.col("token") == F.col("_token")).filter((F.col("comp") != F.col("_comp")) & _can_link(percent))
+    dealt, repeated = deal_hot(rows, leaders.withColumnRenamed("_token", "token"), ["token"], ["cid"], MOST)
+    met = dealt.join(repeated, ["token", SALT]).filter((F.col("comp") != F.col("_comp")) & _can_link(percent))
     return _distinct_pairs(met.select(F.col("_cid").alias("a"), F.col("cid").alias("b"), F.col("_size").alias("size_a"), F.col("size").alias("size_b")))
 
 
@@ -319,9 +321,10 @@ def _rest(rows: DataFrame, percent: int) -> DataFrame:
     open_ = leaders.join(least.filter(F.col("_c0") != F.col("_c1")), "_token")
     rows = rows.join(open_, F.col("token") == F.col("_token")).filter((100 + percent) * F.col("left") >= percent * (F.col("size") + F.col("_least")))
     own = rows.filter(F.col("comp") != F.col("_leading")).select("token", "cid", "left", "size", "met", "comp")
-    other = rows.select(F.col("token").alias("_token"), F.col("cid").alias("_cid"), F.col("left").alias("_left"), F.col("size").alias("_size"),
+    other = rows.select("token", F.col("cid").alias("_cid"), F.col("left").alias("_left"), F.col("size").alias("_size"),
                         F.col("met").alias("_met"), F.col("comp").alias("_comp"), (F.col("comp") == F.col("_leading")).alias("_led"))
-    met = own.join(other, (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & (F.col("_led") | (F.col("cid") < F.col("_cid"))) & _can_link(percent))
+    dealt, repeated = deal_hot(other, own, ["token"], ["_cid"], MOST)
+    met = dealt.join(repeated, ["token", SALT]).filter((F.col("comp") != F.col("_comp")) & (F.col("_led") | (F.col("cid") < F.col("_cid"))) & _can_link(percent))
     return _distinct_pairs(met.select(F.col("_cid").alias("a"), F.col("cid").alias("b"), F.col("_size").alias("size_a"), F.col("size").alias("size_b")))
 
 
@@ -338,20 +341,12 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(kept.unionByName(added), "labels")
 
 
-def classes_and_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT,
-                           leader_rounds: int = 2) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs``.
-
-    ``component_id`` is the smallest doc_id that links reach, own included. Null and empty texts have no
-    n-grams and only themselves. Rows with one doc_id are documents of their own; a null doc_id has no
-    say in the smallest, and is null where no other is reached. An empty table gives no rows. Other
-    columns are not read.
-    """
-    docs = columns(docs, doc_id=F.col(f"`{doc_id}`").cast("long"), text=text, text_hash=F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+def _grouped(docs: DataFrame, n: int, percent: int, leader_rounds: int) -> DataFrame:
+    """``doc_id, text_hash, size, comp, least`` of ``doc_id, text, text_hash``: a component's key, and its smallest doc_id; both null without n-grams."""
     found, repeated = _measure(docs, n)
     order = _order(repeated)
     classes = _prefixes(docs, order, n, percent)
-    meetings = _meetings(classes, order)
+    meetings = _meetings(classes)
     labels = None
     for step in range(leader_rounds + 1):
         rows = _labelled(meetings, labels)
@@ -372,19 +367,39 @@ def classes_and_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     least = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
     by_class = _labelled(classes.select("cid", "hi", "lo"), labels).join(least, ["hi", "lo"])
     smallest = by_class.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("component_id"))
-    named = by_class.join(smallest, F.col("comp") == F.col("_comp")).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "component_id")
+    named = by_class.join(smallest, F.col("comp") == F.col("_comp")).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "comp", "component_id")
     some = found.filter("size > 0").join(named, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")))
-    out = some.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), "component_id")
-    return out.unionByName(found.filter("size = 0").select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    none = F.lit(None).cast("long")
+    return some.select("doc_id", "text_hash", "size", "comp", F.col("component_id").alias("least")).unionByName(
+        found.filter("size = 0").select("doc_id", "text_hash", "size", none.alias("comp"), none.alias("least")))
+
+
+def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return columns(docs, doc_id=F.col(f"`{doc_id}`").cast("long"), text=text, text_hash=F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+
+
+def classes_and_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT,
+                           leader_rounds: int = 2) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs``.
+
+    ``component_id`` is the smallest doc_id that links reach, own included. Null and empty texts have no
+    n-grams and only themselves. Rows with one doc_id are documents of their own; a null doc_id has no
+    say in the smallest, and is null where no other is reached. An empty table gives no rows. Other
+    columns are not read.
+    """
+    rows = _grouped(_own(docs, doc_id, text), n, percent, leader_rounds)
+    return rows.select("doc_id", "text_hash", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The columns of ``docs``; of each component the row with the smallest doc_id, of equal ones a single one.
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, leader_rounds: int = 2) -> DataFrame:
+    """The columns of ``docs``; of each component one row: the smallest doc_id, of equal ones the first by a hash of the text, of equal
+    rows a single one.
 
-    Rows without n-grams or with a null doc_id, which nothing is smaller than, all stay."""
+    Rows without n-grams or with a null doc_id, which nothing is smaller than, all stay; equal rows without n-grams are one."""
     own, key = docs.columns, fresh(docs, "_key")
-    named = classes_and_components(docs, doc_id=doc_id, text=text, **options)
-    keep = named.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{key}_d"), F.col("text_hash").alias(f"{key}_t"))
+    named = _grouped(_own(docs, doc_id, text), n, percent, leader_rounds).filter(F.col("doc_id").isNotNull())
+    first = named.filter("size > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    keep = first.unionByName(named.filter("size = 0").select("doc_id", "text_hash")).select(F.col("doc_id").alias(f"{key}_d"), F.col("text_hash").alias(f"{key}_t"))
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     loose = rows.filter(F.col(f"`{doc_id}`").isNull()).select(*[F.col(f"`{c}`") for c in own])
     kept = rows.join(keep.distinct(), (F.col(f"`{doc_id}`") == F.col(f"{key}_d")) & (F.col(key) == F.col(f"{key}_t")), "left_semi")
