@@ -71,7 +71,7 @@ def near_copies(seed, n=150, size=70):
 def test_groups_of_near_copies(spark, seed, monkeypatch):
     docs = near_copies(seed)
     if seed == 2:  # hot n-grams dealt to several tasks
-        monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+        monkeypatch.setattr(ngram_join, "MOST", 5)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     got = ngram_join.classes_and_components(frame).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(docs)
@@ -87,6 +87,18 @@ def test_one_of_each(spark):
     assert {i for i in ids if i is not None} == {d for d, cs in want.items() if d in cs and d is not None} and ids.count(3) == 1 and ids.count(None) == 2
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    """Rows of one id that are near copies are one component; rows of one id that are not are two, though these share their smallest id."""
+    body, other = words(80, 21), words(80, 22)
+    near = body.split()
+    near[30] = "changed"
+    rows = [(3, body), (3, " ".join(near)), (9, body), (4, other), (4, words(60, 23)), (8, other), (5, ""), (5, None), (6, " "), (None, body), (None, body)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    ids = sorted((r.doc_id for r in kept), key=str)
+    assert ids == [3, 4, 4, 5, 6, None, None]
+    assert {r.text for r in kept if r.doc_id == 4} == {other, words(60, 23)}
+
+
 def test_nothing(spark):
     assert ngram_join.classes_and_components(none(spark)).count() == 0 and ngram_join.one_of_each(none(spark)).count() == 0
 

@@ -117,8 +117,10 @@ def test_histogram_against_brute_force(spark, tokenizer):
         assert r.n_docs == n.count(limit) and r.n_longer == sum(x > limit for x in n) and r.docs_upto == len(n) - r.n_longer
         assert r.truncated_tokens == sum(min(x, limit) for x in n) and r.total_tokens == sum(n)
         assert r.quantile == pytest.approx(r.docs_upto / len(n))
-    limits = spark.createDataFrame([(5,), (100,), (10**9,)], "context_limit long")
-    for r in token_counts.at_limits(found, limits).collect():
+    limits = spark.createDataFrame([(0,), (1,), (5,), (5,), (100,), (2047,), (2048,), (30_000,), (10**9,), (None,)], "context_limit long")
+    asked = token_counts.at_limits(found, limits).collect()
+    assert len(asked) == 8 and token_counts.at_limits(found.limit(0), limits).count() == 0
+    for r in asked:
         assert (r.n_longer, r.truncated_tokens) == (sum(x > r.context_limit for x in n), sum(min(x, r.context_limit) for x in n))
 
 

@@ -77,3 +77,20 @@ def test_nothing(spark):
     assert url_trust.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     one = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string").selectExpr("page_id", "url", "cast(null as string) as html")
     assert url_trust.judge_urls(one, rules=()).head().verdict == "allow"
+
+
+def test_null_ids_and_pages_long_urls_and_links_at_once(spark):
+    long = "http://Long.example.com/en/" + "p" * 200_000 + "?q=" + "x" * 100_000
+    many = "".join(f'<a href="http://host{i}.org/{"y" * 300}">l</a>' for i in range(3000))
+    rows = [(None, long, many), (1, "http://long.example.com/en/2", None), (None, None, many), (2, "", many), (2, "", many), (3, "http://" + "h" * 70_000 + ".net/es/1", "<a href"),
+            (4, "http://host7.org/1", '<a href="http://long.example.com/en/9">x</a>'), (5, "http://host8.org/1", None)]
+    got = url_trust.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and sorted((r.page_id for r in got), key=str) == sorted((r[0] for r in rows), key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append(r)
+    want = {(u, *brute(u)) for _, u, _ in rows}
+    assert {(r.host, r.path, r.rule) for r in got} == {w[1:4] for w in want}
+    assert {r.verdict for r in got if r.rule} <= {"allow", "block"} and by[3][0].verdict == by[1][0].verdict == "block"
+    assert by[4][0].verdict == "block" and by[4][0].distrust > 0  # it links to a blocked host
+    assert by[5][0].verdict == "allow" and {(r.host, r.verdict) for r in by[2]} == {("", "allow")}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilespark.llm.common import columns, pieces, stored
@@ -22,7 +22,8 @@ BLOCK = 1024
 
 
 def token_lengths(docs: DataFrame, *, text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """One row per document: ``length``, its number of token ids (null or empty text: 0)."""
+    """One row per document: ``length``, its number of token ids (null or empty text: 0). Repeated rows are documents each; other columns, of
+    any name, are not read; no documents: no rows."""
     path = tokenizer or tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,7 @@ def token_lengths(docs: DataFrame, *, text: str = "text", tokenizer: str | None
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """``context_limit``, ``n_docs`` of exactly that length, ``n_longer`` above it, ``docs_upto`` up to it,
     ``total_tokens`` of all documents, ``truncated_tokens`` left when each is cut at the limit, and
-    ``quantile``, the share of documents up to it. No documents: no rows. Limits between two rows
+    ``quantile``, the share of documents up to it. No documents: no rows. Repeated rows count each. Limits between two rows
     follow from :func:`at_limits`."""
     found = lengths.groupBy(F.col("length").alias("context_limit")).agg(F.count(F.lit(1)).alias("n_docs"))
     found = stored(found, "histogram")  # texts are encoded once, whatever is asked of the few rows after that
@@ -57,9 +58,23 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """Truncated total and documents cut for any ``context_limit``s (few rows) from the histogram."""
-    wanted = limits.select(F.col("context_limit").cast("long").alias("at")).distinct()
-    cut = F.when(F.col("context_limit") > F.col("at"), F.col("n_docs")).otherwise(0)
-    kept = F.least("context_limit", "at") * F.col("n_docs")
-    return (histogram.join(F.broadcast(wanted), F.lit(True)).groupBy(F.col("at").alias("context_limit"))
-            .agg(F.sum(cut).alias("n_longer"), F.sum(kept).alias("truncated_tokens")))
+    """``context_limit, n_longer, truncated_tokens`` for any limits, each once, from the histogram; without documents no rows.
+
+    A limit takes the last row at or below it: by blocks of lengths, whose last rows are carried forward. No task holds more than one
+    block's rows, or one row per block. Null limits are left out.
+    """
+    held = F.when(F.col("n_docs").isNotNull(), F.struct(F.col("context_limit").alias("upto"), "n_longer", "truncated_tokens"))
+    asked = limits.select(F.col("context_limit").cast("long").alias("context_limit")).filter("context_limit is not null").distinct()
+    rows = histogram.select("context_limit", "n_docs", "n_longer", "truncated_tokens").unionByName(asked, allowMissingColumns=True)
+    rows = rows.select("context_limit", held.alias("_row"), F.floor(F.col("context_limit") / BLOCK).alias("_block"))
+    ends = rows.groupBy("_block").agg(F.max("_row").alias("_last"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_block").alias("_b"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy("_block").orderBy("context_limit", F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_at", F.last("_row", ignorenulls=True).over(inside)).filter(F.col("_row").isNull()).join(carried, F.col("_block") == F.col("_b"))
+    found = found.select("context_limit", F.coalesce("_at", "_carried").alias("_at"))
+    docs = histogram.agg(F.max(F.col("n_longer") + F.col("docs_upto")).alias("_docs")).filter("_docs is not null")  # one row
+    limit, at = F.col("context_limit"), F.col("_at")
+    return found.crossJoin(F.broadcast(docs)).select(
+        "context_limit", F.coalesce(at.n_longer, F.col("_docs")).alias("n_longer"),
+        F.coalesce(at.truncated_tokens + at.n_longer * (limit - at.upto), F.col("_docs") * limit).alias("truncated_tokens"))

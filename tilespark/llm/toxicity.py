@@ -292,12 +292,12 @@ def thresholds(rows: DataFrame, counts: dict[int, int]) -> tuple[float, DataFram
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         some = min(part.n[part._y == k].sum() for k in (0, 1))
         if not some:
-            return pd.DataFrame({"lang": [], "threshold": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "threshold": pd.Series([], dtype=float)})
         at = np.sort(part.place.unique())
         n = np.zeros((2, len(at)))
         np.add.at(n, (part._y.to_numpy(), np.searchsorted(at, part.place)), part.n * np.array(share)[part._y])
         own = _best_threshold(at * STEP + move, n[1], n[0])
-        return pd.DataFrame({"lang": [part.lang.iloc[0]], "threshold": [(some * own + PRIOR * SCORE_LIMIT) / (some + PRIOR)]})
+        return pd.DataFrame({"lang": pd.Series([part.lang.iloc[0]], dtype=object), "threshold": [(some * own + PRIOR * SCORE_LIMIT) / (some + PRIOR)]})
 
     return move, stored(places.filter("lang is not null").groupBy("lang").applyInPandas(settle, "lang string, threshold double"), "thresholds")
 
