@@ -94,6 +94,24 @@ def test_table_is_partitioned(spark, tiles, tmp_path):
     assert "PartitionFilters: [isnotnull" in plan
 
 
+def test_shards_are_bounded_by_tiles_and_bytes(spark):
+    rows = spark.range(400).select(F.lit(8).alias("z"), (F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"),
+                                   F.expr("cast(repeat('x', if(id < 100, 1000, 10)) as binary)").alias("data"))
+    by_tiles = containers.assign_shards(rows, 2, 50).groupBy("shard").count()
+    by_bytes = containers.assign_shards(rows, 2, 1000, 20_000).groupBy("shard").agg(F.sum(F.octet_length("data")).alias("n"), F.count(F.lit(1)).alias("count"))
+    assert by_tiles.count() == 8 and by_tiles.agg(F.max("count")).first()[0] < 100
+    assert by_bytes.count() == 6 and by_bytes.agg(F.max("n")).first()[0] < 40_000 and by_bytes.agg(F.sum("count")).first()[0] == 400
+
+
+def test_entity_tags(spark):
+    import hashlib
+
+    from tilespark.functions import requests as req
+
+    got = spark.range(3).select("id", req.etag(F.lit("t1"), F.col("id") * 7).alias("tag")).collect()
+    assert [r.tag for r in got] == [hashlib.sha512(f"t1{7 * r.id}".encode()).hexdigest().upper() for r in got]
+
+
 REQUEST = "event_id long, ts timestamp, event_type string, service int, layer int, z int, x long, y long"
 
 

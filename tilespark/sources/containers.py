@@ -306,30 +306,36 @@ def _write_gpkg(tiles: pd.DataFrame, meta: dict, grid: Grid) -> bytes:
     return con.serialize()
 
 
+#: Data of one container, about.
+MAX_BYTES = 128 << 20
+
 WRITERS: dict[str, tuple[str, Callable[[pd.DataFrame, dict, Grid], bytes]]] = {
     "zip": (".zip", _write_zip), "tar": (".tar.gz", _write_tar), "mbtiles": (".mbtiles", _write_mbtiles), "gpkg": (".gpkg", _write_gpkg),
 }
 
 
-def assign_shards(tiles: DataFrame, level: int, max_tiles: int) -> DataFrame:
-    """Add ``shard``: the ancestor tile at ``level``, split into parts of about ``max_tiles`` tiles.
+def assign_shards(tiles: DataFrame, level: int, max_tiles: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Add ``shard``: the ancestor tile at ``level``, split into parts of about ``max_tiles`` tiles and ``max_bytes`` of data, whichever
+    gives more.
 
-    Parts come from counts and a hash of the key, so an area with a third of all tiles becomes many
+    Parts come from counts, sizes and a hash of the key, so an area with a third of all tiles, or of large ones, becomes many
     containers instead of one.
     """
     z = F.col("z")
     area = F.concat_ws("-", F.least(z, F.lit(level)), keys.ancestor(F.col("x"), z, level), keys.ancestor(F.col("y"), z, level))
     placed = tiles.withColumn("_area", area)
-    parts = placed.groupBy("_area").agg(F.ceil(F.count(F.lit(1)) / max_tiles).cast("long").alias("_parts"))
+    size = F.coalesce(F.sum(F.octet_length("data")), F.lit(0)) if "data" in tiles.columns else F.lit(0)
+    parts = placed.groupBy("_area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / max_tiles), F.ceil(size / max_bytes)).cast("long").alias("_parts"))
     part = F.pmod(F.xxhash64("z", "x", "y"), F.col("_parts"))
     return placed.join(parts, "_area").withColumn("shard", F.concat_ws("-", "_area", part)).drop("_area", "_parts")
 
 
 def export_containers(
     tiles: DataFrame, root: str, kind: str, name: str, grid: Grid, level: int = 2, max_tiles: int = 20_000, layout: str = "tms",
-    source: Grid | None = None,
+    source: Grid | None = None, max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
-    """Write tiles (z, x, y, format, data) as one container per shard; returns the manifest.
+    """Write tiles (z, x, y, format, data) as one container per shard; returns the manifest. A task holds one shard, which
+    ``max_tiles`` and ``max_bytes`` bound.
 
     Payloads are gzipped in MBTiles and GeoPackage and raw in archives. The manifest carries each
     container's path, tile count, zoom range and bounds, taken from the keys. Tiles of another
@@ -344,7 +350,7 @@ def export_containers(
     key = ("z", "x", "y")
     # a container holds a key once; copies are combined before they could crowd a shard
     single = latest(tiles, key) if "mtime" in tiles.columns else tiles.dropDuplicates(list(key))
-    sharded = assign_shards(single, level, max_tiles).withColumn(
+    sharded = assign_shards(single, level, max_tiles, max_bytes).withColumn(
         "path", keys.tile_path(layout, F.col("x"), F.col("y"), F.col("z"), F.col("format")))
     meta = tileset_metadata(sharded, by="shard", grid=grid)
     described = sharded.select("shard", "z", "x", "y", "format", "path", "data").join(meta.select(
