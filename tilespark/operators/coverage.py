@@ -42,7 +42,7 @@ def halves(grid: Grid) -> bool:
 def _require_halving(grid: Grid) -> None:
     """Ancestors are found by shifting keys here, which holds only where levels halve; ``density`` takes any grid."""
     if not halves(grid):
-        raise ValueError(f"levels of grid {grid.name} do not halve; use density.join_tiles and density.count_tiles_by_rows")
+        raise ValueError(f"levels of grid {grid.name} do not halve; use density.join_tiles and density.count_tiles_by_rows, or count_box_tiles for boxes")
 
 
 def within_tile_limit(ranges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
