@@ -84,6 +84,14 @@ def test_box_resampling(spark):
     assert np.allclose(np.array(row.vals).reshape(8, 8), want)
 
 
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "box"])
+def test_warp_of_targets_off_the_source(spark, method):
+    t = tiles(spark, *[(x, y, [7.0] * 64) for x in range(8) for y in range(8)])
+    targets = spark.createDataFrame([(0, 1, 1), (0, 9, 9), (0, -3, 1), (0, 1, 40)], "z int, x long, y long")
+    got = {(r.x, r.y): r.vals for r in raster.warp(raster.source_blocks(targets, t, DST, SRC, 0), DST, SRC, 0, method=method).collect()}
+    assert got == {(1, 1): [7.0] * 64, **{k: [None] * 64 for k in ((9, 9), (-3, 1), (1, 40))}}
+
+
 def test_a_slot_held_twice(spark):
     t = tiles(spark, (0, 0, [1.0]), (0, 0, [1.0]), (1, 0, [2.0])).withColumn("g", F.lit(1))
     assert raster.mosaic(t, ["g"], F.col("x"), 2, 1, 1, 1).first().vals == [1.0, 2.0]

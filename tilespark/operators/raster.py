@@ -412,8 +412,8 @@ def warp(
 
     ``nearest`` takes the cell holding the position; ``bilinear`` interpolates between cell corners as
     elevation sampling does, treating nodata by the mean of the valid neighbours; ``box`` takes the mean of
-    the valid source cells under the target cell. Positions outside the block have no value.
-    ``interpolate`` gets arrays; it may use arithmetic only.
+    the valid source cells under the target cell. Positions outside the block have no value, and a target off the
+    source's grid (null ``x0``) has none at all. ``interpolate`` gets arrays; it may use arithmetic only.
     """
     size, res = dst.tile_size, src.resolutions[src_level]
     left = F.lit(src.bbox[0]) + F.col("x0") * res * src.tile_size
@@ -426,6 +426,9 @@ def warp(
         number = {c: batch.column(c).to_pylist() for c in ("w", "_left", "_top", "minx", "maxx", "maxy")}
         out = []
         for i, vals in enumerate(arrays(batch.column("vals"))):
+            if number["_left"][i] is None:
+                out.append(np.full(size * size, np.nan))
+                continue
             grid = vals.reshape(-1, number["w"][i])
             step = (number["maxx"][i] - number["minx"][i]) / size
 
