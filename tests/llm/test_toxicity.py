@@ -33,6 +33,15 @@ def test_held_out_accuracy(model):
     assert sum(r.rejected == truth[r.doc_id] for r in got) / len(got) > 0.97
 
 
+def test_driver_holds_a_word_once(model, monkeypatch):
+    """The sample comes to the driver whole; words that its texts share are one object there."""
+    marks, frame, _ = model
+    held = []
+    monkeypatch.setattr(toxicity, "_fit", lambda texts, *a, fit=toxicity._fit: (held.extend(w for t in texts for w in t), fit(texts, *a))[1])
+    toxicity.fit(frame, toxicity._marks(marks, "doc_id", "toxic"), epochs=1)
+    assert len(held) > 3000 and len({id(w) for w in held}) == len(set(held))
+
+
 def test_query_on_held_out_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}

@@ -217,6 +217,12 @@ def _marks(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     return marks.groupBy("_d").agg(F.max("_y").alias("_y")).filter(~held_out(F.col("_d")))
 
 
+def _read(rows: DataFrame) -> list[tuple[int, int, list[bytes]]]:
+    """``d, _y`` and the words of ``text``, of a bounded sample; texts come one by one, and a word that many texts hold is held once."""
+    known: dict[bytes, bytes] = {}
+    return [(d, y, [known.setdefault(w, w) for w in text.encode().lower().split()]) for d, y, text in rows.toLocalIterator()]
+
+
 def fit(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, epochs: int = 6,
         seed: int = 1) -> tuple[Model, list[int], dict[int, int]]:
     """A calibrated model, the ids it was fitted on, and the labelled rows of each class; ``marks`` as :func:`_marks` gives them.
@@ -230,10 +236,10 @@ def fit(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = columns(docs, d=F.col(f"`{doc_id}`").cast("long"), text=F.coalesce(F.col(f"`{text}`"), F.lit(""))).filter(F.octet_length("text") <= FIT_BYTES)
     met = rows.join(F.broadcast(chosen), F.col("d") == F.col("_d"))
-    got = met.groupBy("d", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("d", "_y", "one.text").collect()
-    got = sorted(got, key=lambda r: xxhash.xxh32_intdigest(str(r.d)))
-    y = np.array([r["_y"] for r in got], np.float64)
-    words = [r.text.encode().lower().split() for r in got]
+    one = met.groupBy("d", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("d", "_y", "one.text")
+    got = sorted(_read(one), key=lambda r: xxhash.xxh32_intdigest(str(r[0])))
+    y = np.array([label for _, label, _ in got], np.float64)
+    words = [w for _, _, w in got]
     aside = np.arange(len(got)) % 4 == 3
     if any(y[aside == s].sum() in (0, (aside == s).sum()) for s in (False, True)):
         z = np.zeros(len(WIDTHS) * FILTERS, np.float32)
@@ -242,7 +248,7 @@ def fit(docs: DataFrame, marks: DataFrame, *, doc_id: str = "doc_id", text: str
     z, ya = _logits(m, [w for w, s in zip(words, aside, strict=True) if s]), y[aside]
     share = np.array([counts[0] / (1 - y).sum(), counts[1] / y.sum()])
     _calibrate(m, z, ya, (share / share.min())[ya.astype(int)])
-    return m, [r.d for r, out in zip(got, aside, strict=True) if not out], counts
+    return m, [d for (d, _, _), out in zip(got, aside, strict=True) if not out], counts
 
 
 def add_odds(docs: DataFrame, model: Model, name: str, *, text: str = "text", keep_text: bool = True) -> DataFrame:
