@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd import documents, none, rows, words
 
@@ -117,3 +119,33 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 250)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 250: 200, 300: 200}
+
+
+def test_repeated_ngrams_are_counted():
+    r = np.random.default_rng(5)
+    for size in (0, 1, 2, 3, 400):
+        sets = [np.unique(r.integers(0, 60, size).astype(np.uint64)) for _ in range(8)]
+        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        held = list(sets)
+        got, counts = ngram_join._repeated(held)
+        assert not held and dict(zip(got.tolist(), counts.tolist(), strict=True)) == {v: t for v, t in zip(values.tolist(), times.tolist(), strict=True) if t >= 3}
+
+
+def test_a_large_batch_takes_little_memory():
+    """One batch of 8 MB: its words and n-grams are not all held at once, and what repeats in it is found."""
+    class Frame:
+        def mapInArrow(self, run, schema):
+            raise StopIteration(run)
+
+    with pytest.raises(StopIteration) as found:
+        ngram_join._measure(Frame(), 5)
+    run = found.value.value
+    body = [words(300, 100 + i) for i in range(40)]
+    texts = [f"{i} {body[i % 40]} {words(60, 9000 + i)}" for i in range(3600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text_hash": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    rows = [(b.column("kind")[0].as_py(), len(b)) for b in run(iter([batch])) if len(b)]
+    peak = tracemalloc.get_traced_memory()[1] / batch.column("text").nbytes
+    tracemalloc.stop()
+    assert sum(n for kind, n in rows if kind == 0) == len(texts) and sum(n for kind, n in rows if kind == 1) >= 40 * 290
+    assert peak < 5.3

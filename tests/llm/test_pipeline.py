@@ -119,3 +119,10 @@ def test_stages_keep_the_columns(spark, sf_dir):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "benchmark_decontamination", "source_mixing", "token_files"]
     assert len(rows()) > 10
+
+
+def test_stages_hand_python_small_batches(spark, sf_dir):
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+        stage(spark, none(spark), sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import Lazy, columns, flat_words, fresh, pieces, stored
+from tilespark.llm.common import Lazy, columns, flat_words, fresh, pieces, release, stored
 from tilespark.llm.components import components
 from tilespark.operators.hot import SALT, deal_hot
 
@@ -33,6 +33,10 @@ PERCENT = 80
 #: N-grams that the order puts last; a bound on what is sent to all tasks, not on what is compared.
 FREQUENT = 1 << 16
 FRAGMENTS = 8
+#: Bytes of text whose n-grams are counted together, to find the frequent ones.
+SPAN = 16 << 20
+#: Bytes of text that are cut into words at once.
+PIECE = 1 << 20
 #: A batch that holds a prefix n-gram this often knows that it has company, and deals its rows to any task.
 REPEATED = 2
 #: Rows of one n-gram that one task compares at most.
@@ -109,13 +113,31 @@ class Order:
         return s[np.lexsort((s, c))][:k]
 
 
+def _repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Values that all arrays together hold three times or more, and how often; the list is emptied."""
+    token = np.concatenate([np.empty(0, _U), *held])
+    held.clear()
+    token.sort()
+    third, more = np.unique(token[2:][token[2:] == token[:-2]], return_counts=True)
+    return third, more + 2
+
+
 def _measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """One pass over the texts: each row's class and size, and n-grams that batches hold repeatedly."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known = ["kind", "doc_id", "text_hash", "hi", "lo", "size", "token", "times"], word_hashes()
+        seen, held, width = set(), [], 0
+
+        def repeated() -> pa.RecordBatch:
+            token, times = _repeated(held)
+            seen.clear()
+            keep = np.argsort(-times, kind="stable")[:FREQUENT // 2]
+            m, none = len(keep), pa.nulls(len(keep), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, none, none, none,
+                                               pa.array(token[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], names)
+
         for batch in batches:
-            seen, held = set(), []
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 hi, lo, size = [], [], []
                 for s in ngram_sets(piece.column("text"), n, known):
                     sig = _signature(s) if len(s) else (0, 0)
@@ -130,12 +152,12 @@ def _measure(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.zeros(m, np.int32)), piece.column("doc_id"), piece.column("text_hash"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                     pa.array(size, pa.int64()), none, none], names)
-            token, times = np.unique(np.concatenate([np.empty(0, _U), *held]), return_counts=True)
-            keep = np.flatnonzero(times >= 3)
-            keep = keep[np.argsort(-times[keep], kind="stable")[:FREQUENT // 2]]
-            m, none = len(keep), pa.nulls(len(keep), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, none, none, none,
-                                              pa.array(token[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], names)
+                width += piece.column("text").nbytes
+                if width >= SPAN:
+                    yield repeated()
+                    width = 0
+            release()
+        yield repeated()
 
     rows = docs.mapInArrow(run, "kind int, doc_id long, text_hash long, hi long, lo long, size long, token long, times long")
     rows = stored(rows, "sets")
@@ -157,7 +179,7 @@ def _prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
         order, known = shared.value, word_hashes()
         for batch in batches:
             seen = set()
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 rows: list[list] = [[], [], [], []]
                 for s in ngram_sets(piece.column("text"), n, known):
                     if not len(s) or (sig := _signature(s)) in seen:
@@ -169,6 +191,7 @@ def _prefixes(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
                         r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                                                  ["hi", "lo", "size", "prefix"])
+            release()
 
     found = docs.select("text").mapInArrow(run, "hi long, lo long, size long, prefix binary")
     found = found.groupBy("hi", "lo").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
@@ -205,6 +228,7 @@ def _meetings(classes: DataFrame) -> DataFrame:
         if not held:
             return
         token, cid, left, size, salt = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         by = np.argsort(token, kind="stable")
         ordered = token[by]
         same = ordered[1:] == ordered[:-1]
@@ -235,7 +259,7 @@ def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, pairs: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, known = shared.value, word_hashes()
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", PIECE):
                 out: list[list] = [[], [], []]
                 keys = zip(*(piece.column(c).to_pylist() for c in ("cid", "_hi", "_lo")), strict=True)
                 for s, (cid, hi, lo) in zip(ngram_sets(piece.column("text"), n, known), keys, strict=True):
@@ -247,6 +271,7 @@ def _fragments(docs: DataFrame, found: DataFrame, classes: DataFrame, pairs: Dat
                             for r, v in zip(out, (cid, p, grams.tobytes()), strict=True):
                                 r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["cid", "part", "grams"])
+            release()
 
     return stored(picked.mapInArrow(run, "cid long, part int, grams binary"), "fragments", free=True)
 
@@ -262,6 +287,7 @@ def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
             common = [len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
                       for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("part"), pa.array(common, pa.int64())], ["a", "b", "part", "common"])
+            release()
 
     counted = both.mapInArrow(run, "a long, b long, part int, common long")
     return counted.groupBy("a", "b", "part").agg(F.max("common").alias("common")).groupBy("a", "b").agg(F.sum("common").alias("common"))

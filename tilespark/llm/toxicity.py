@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.llm.common import columns, flat_words, fresh, pieces, stored
+from tilespark.llm.common import columns, flat_words, fresh, pieces, release, stored
 
 #: Labelled texts of each class that the model is fitted on, at most.
 PER_CLASS = 1500
@@ -267,6 +267,7 @@ def add_odds(docs: DataFrame, model: Model, name: str, *, text: str = "text", ke
                 used, of = np.unique(known, return_inverse=True)
                 odds = m.odds(m.logits(table.rows[used], of, ends))
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in kept), pa.array(odds, pa.float64())], [*(piece.schema.names[i] for i in kept), name])
+            release()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
